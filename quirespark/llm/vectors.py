@@ -379,21 +379,25 @@ class Forest:
             out[:, t] = node
         return out
 
-    def visit(self, q: np.ndarray, number: int) -> list[tuple[int, int]]:
+    def visit(self, q: np.ndarray, number: int, sizes: dict[tuple[int, int], int], least: int) -> list[tuple[int, int]]:
         """The (tree, leaf) that a shared priority queue over all trees pops first for one query: nearest
-        first by the sum of squared distances to the planes crossed, whatever the tree."""
+        first by the sum of squared distances to the planes crossed, whatever the tree. It goes on past
+        ``number`` leaves until those of one tree hold ``least`` vectors (sizes), or no leaf is left."""
         import heapq
 
         margins = [[w @ q - cut for w, cut in zip(self.planes[t], self.cuts[t], strict=True)] for t in range(self.trees)]
         queue = [(0.0, t, 0, 0) for t in range(self.trees)]
         out: list[tuple[int, int]] = []
-        while queue and len(out) < number:
+        held = [0] * self.trees
+        while queue and (len(out) < number or max(held) < least):
             cost, t, d, node = heapq.heappop(queue)
             while d < self.depth:
                 m = float(margins[t][d][node])
                 heapq.heappush(queue, (cost + m * m, t, d + 1, node * 2 + (m <= 0)))
                 d, node = d + 1, node * 2 + (m > 0)
-            out.append((t, node))
+            if (t, node) in sizes:
+                out.append((t, node))
+                held[t] += sizes[t, node]
         return out
 
 
@@ -442,15 +446,13 @@ def nearest_neighbours(
                 yield pd.DataFrame({"vec_id": np.repeat(df["vec_id"].to_numpy(), trees), "v": np.repeat(df["v"].to_numpy(), trees), "tree": np.tile(np.arange(trees), len(df)), "leaf": at.ravel()})
 
     indexed = materialize(first.mapInPandas(index, "vec_id long, v array<double>, tree int, leaf int"))
-    large = {
-        (r["tree"], r["leaf"]): -(-r["n"] // leaf_cap)
-        for r in indexed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > leaf_cap).collect()
-    }  # at most one row for each leaf of each tree
+    sizes = {(r["tree"], r["leaf"]): r["n"] for r in indexed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect()}
+    large = {key: -(-n // leaf_cap) for key, n in sizes.items() if n > leaf_cap}  # sizes: a row for each leaf at most
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             for q, v in zip(df["vec_id"], df["v"], strict=True):
-                rows = [(t, j, p) for t, j in trees_of.visit(np.asarray(v, dtype=np.float64), visits) for p in range(large.get((t, j), 1))]
+                rows = [(t, j, p) for t, j in trees_of.visit(np.asarray(v, dtype=np.float64), visits, sizes, k + 1) for p in range(large.get((t, j), 1))]
                 yield pd.DataFrame({"vec_id": q, "v": [v] * len(rows), "tree": [r[0] for r in rows], "leaf": [r[1] for r in rows], "part": [r[2] for r in rows]})
 
     parts = spark.createDataFrame([(t, j, n) for (t, j), n in large.items()], "tree int, leaf int, parts int")
