@@ -246,7 +246,7 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = 32_768) -> D
         big.groupBy("uid").agg(F.first("text").alias("text"))
         .select("uid", whole.alias("text"))
         .select("uid", "text", F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / chunk).cast("int") - 1)).alias("chunk"))
-        .withColumn("halo", F.when(F.col("chunk") > 0, halo).otherwise(0))
+        .withColumn("halo", F.least(F.lit(halo), F.col("chunk") * chunk))
         .select("uid", "chunk", "halo", F.substr("text", F.col("chunk") * chunk - F.col("halo") + 1, F.col("halo") + chunk).alias("text"))
     )
     parts = materialize(parts.repartition("uid", "chunk"))
