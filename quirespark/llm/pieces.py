@@ -47,6 +47,9 @@ class Vocabulary:
             raise ValueError("pieces that hold a blank after another character are not supported")
         line = "" if "\n" in self.inner else "\n"
         self.units = re.compile(rf"{line}|{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" if line else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+        # Scores of pieces, and None for what only begins one.
+        self.begins: dict[str, int | None] = {p[:k]: None for p in self.score for k in range(1, len(p))}
+        self.begins |= {p: v for p, (v, _) in self.score.items()}
         self.memo: dict[str, tuple[int, bytes]] = {}
         self.limit = limit
 
@@ -72,6 +75,25 @@ class Vocabulary:
             best[e], back[e] = top, at
         return best, back
 
+    def forward(self, text: str) -> tuple[list[int], list[int]]:
+        """table(text, 0, [0]) from each start onward, as far as a piece can still go on; starts come in
+        order, so of equal scores the earliest start stays."""
+        n, begins, missing = len(text), self.begins, NONE
+        best, back = [0] + [NONE] * n, [-1] * (n + 1)
+        for s in range(n):
+            base = best[s]
+            if text[s] not in self.score and base + self.unknown > best[s + 1]:
+                best[s + 1], back[s + 1] = base + self.unknown, s
+            for e in range(s + 1, n + 1):
+                got = begins.get(text[s:e], missing)
+                if got is None:
+                    continue
+                if got == missing:
+                    break
+                if base + got > best[e]:
+                    best[e], back[e] = base + got, s
+        return best, back
+
     def ids(self, text: str, back: list[int], start: int, end: int) -> bytes:
         """The ids of the path that goes from start to end, as little-endian uint32."""
         out: list[int] = []
@@ -86,7 +108,7 @@ class Vocabulary:
         """Score and ids of a stretch between places that no piece can span."""
         got = self.memo.get(text)
         if got is None:
-            best, back = self.table(text, 0, [0])
+            best, back = self.forward(text)
             got = best[-1], self.ids(text, back, 0, len(text))
             if len(self.memo) >= self.limit:
                 self.memo.clear()
