@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,25 @@ SPACE = "▁"
 _VOCABULARIES: dict[str, Vocabulary] = {}
 
 
+class Memo(dict):
+    """A cache of find(key) in two generations of ``size`` keys: what is asked for again outlives the older one."""
+
+    def __init__(self, find: Callable[[str], bytes], size: int):
+        super().__init__()
+        self.find, self.size, self.older = find, size, {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.older.get(key)
+        if got is None:
+            got = self.find(key)
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        if len(key) < 40:
+            self[key] = got
+        return got
+
+
 class Vocabulary:
     """Pieces of a SentencePiece file with unigram scores, and best paths over them.
 
@@ -27,19 +46,20 @@ class Vocabulary:
     probabilities; by Zipf's law the logarithm of the rank stands for them.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        self.bytes = [0] * 256
-        self.score: dict[str, tuple[int, int]] = {}
+        self.bytes = [b""] * 256
+        self.byte_of: dict[int, int] = {}
+        self.score: dict[str, tuple[int, bytes]] = {}
         for i, p in enumerate(self.names):
             if model.is_byte(i):
-                self.bytes[int(p[3:5], 16)] = i
+                self.byte_of[i] = int(p[3:5], 16)
+                self.bytes[int(p[3:5], 16)] = i.to_bytes(4, "little")
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.score[p] = (-round(1000 * math.log(len(self.score) + 2)), i)
-        self.byte_of = {i: b for b, i in enumerate(self.bytes)}
+                self.score[p] = (-round(1000 * math.log(len(self.score) + 2)), i.to_bytes(4, "little"))
         self.unknown = min(s for s, _ in self.score.values()) - 10_000
         self.longest = max(map(len, self.score))
         self.inner = {c for p in self.score if len(p) > 1 for c in p}
@@ -47,11 +67,16 @@ class Vocabulary:
             raise ValueError("pieces that hold a blank after another character are not supported")
         line = "" if "\n" in self.inner else "\n"
         self.units = re.compile(rf"{line}|{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" if line else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
-        # Scores of pieces, and None for what only begins one.
-        self.begins: dict[str, int | None] = {p[:k]: None for p in self.score for k in range(1, len(p))}
-        self.begins |= {p: v for p, (v, _) in self.score.items()}
-        self.memo: dict[str, tuple[int, bytes]] = {}
-        self.limit = limit
+        # A trie: each node holds its piece's score (None for what only begins one) and its children.
+        self.trie: dict[str, list] = {}
+        for p, (v, _) in self.score.items():
+            at: dict[str, list] = self.trie
+            for c in p:
+                node = at.setdefault(c, [None, {}])
+                at = node[1]
+            node[0] = v
+        self.memo = Memo(self.unit_ids, limit)
+        self.scores = Memo(lambda u: self.forward(u)[0][-1], limit)
 
     # Best paths
 
@@ -78,48 +103,38 @@ class Vocabulary:
     def forward(self, text: str) -> tuple[list[int], list[int]]:
         """table(text, 0, [0]) from each start onward, as far as a piece can still go on; starts come in
         order, so of equal scores the earliest start stays."""
-        n, begins, missing = len(text), self.begins, NONE
+        n, trie, unknown = len(text), self.trie, self.unknown
         best, back = [0] + [NONE] * n, [-1] * (n + 1)
         for s in range(n):
-            base = best[s]
-            if text[s] not in self.score and base + self.unknown > best[s + 1]:
-                best[s + 1], back[s + 1] = base + self.unknown, s
-            for e in range(s + 1, n + 1):
-                got = begins.get(text[s:e], missing)
-                if got is None:
-                    continue
-                if got == missing:
-                    break
-                if base + got > best[e]:
-                    best[e], back[e] = base + got, s
+            base, at, e = best[s], trie, s
+            while e < n and (node := at.get(text[e])):
+                v, at = node
+                e += 1
+                if v is not None and base + v > best[e]:
+                    best[e], back[e] = base + v, s
+            if base + unknown > best[s + 1] and text[s] not in self.score:
+                best[s + 1], back[s + 1] = base + unknown, s
         return best, back
 
     def ids(self, text: str, back: list[int], start: int, end: int) -> bytes:
         """The ids of the path that goes from start to end, as little-endian uint32."""
-        out: list[int] = []
+        out: list[bytes] = []
         while end > start:
             s = back[end]
             got = self.score.get(text[s:end])
             out += [got[1]] if got else [self.bytes[b] for b in reversed(text[s:end].encode("utf-8", "replace"))]
             end = s
-        return np.array(out[::-1], dtype="<u4").tobytes()
+        return b"".join(reversed(out))
 
-    def unit(self, text: str) -> tuple[int, bytes]:
-        """Score and ids of a stretch between places that no piece can span."""
-        got = self.memo.get(text)
-        if got is None:
-            best, back = self.forward(text)
-            got = best[-1], self.ids(text, back, 0, len(text))
-            if len(self.memo) >= self.limit:
-                self.memo.clear()
-            if len(text) < 40:
-                self.memo[text] = got
-        return got
+    def unit_ids(self, text: str) -> bytes:
+        """The ids of a stretch between places that no piece can span."""
+        return self.ids(text, self.forward(text)[1], 0, len(text))
+
+    def stretch(self, text: str) -> bytes:
+        return b"".join(map(self.memo.__getitem__, self.units(text)))
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        return b"".join([self.unit(u)[1] for u in self.units(marked(text))])
+        return self.stretch(marked(text)) if text else b""
 
     def decode(self, ids: list[int]) -> str:
         out, held = [], bytearray()
@@ -161,7 +176,7 @@ class Vocabulary:
             for s in range(width - (n - halo)):
                 out[s, s + n - halo] = max(out[s, s + n - halo], 0) if out[s, s + n - halo] > NONE else 0
         if ends:
-            middle = sum(self.unit(u)[0] for u in self.units(text[ends[0] : ends[1]]))
+            middle = sum(map(self.scores.__getitem__, self.units(text[ends[0] : ends[1]])))
             best, _ = self.table(text[ends[1] :], 0, [0])
             tail = np.array([best[n - ends[1] - t] if n - ends[1] - t >= 0 else NONE for t in range(width)], dtype=np.int64)
             out = np.maximum(out + middle + tail[None], NONE)
@@ -195,7 +210,7 @@ class Vocabulary:
         _, back = self.table(text[:stop], halo, before)
         out = self.ids(text, back, halo - s, stop)
         if stop < n - t:
-            out += b"".join([self.unit(u)[1] for u in self.units(text[ends[0] : ends[1]])])
+            out += self.stretch(text[ends[0] : ends[1]])
             _, back = self.table(text[ends[1] : n - t], 0, [0])
             out += self.ids(text[ends[1] : n - t], back, 0, n - t - ends[1])
         return out
@@ -324,17 +339,18 @@ def piece_digests(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(model_path)
-        pieces = [bytes([voc.byte_of[i]]) if i in voc.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(voc.names)]
+        pieces = pa.array([bytes([voc.byte_of[i]]) if i in voc.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(voc.names)], pa.large_binary())
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, chunk = batch.column(2), batch.column(1).to_pylist()
             offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
-            out = []
+            spelt = pieces.take(ids.values)
+            at = np.frombuffer(spelt.buffers()[1], dtype=np.int64)[offsets].tolist()
+            whole, out = memoryview(spelt.buffers()[2] or b""), []
             for k in range(batch.num_rows):
                 own = values[offsets[k] : offsets[k + 1]]
-                text = b"".join(map(pieces.__getitem__, own.tolist()))
-                text = text[1:] if chunk[k] == 0 else text
+                text = whole[at[k] : at[k + 1]][1 if chunk[k] == 0 else 0 :]
                 out.append((len(own), zlib.crc32(own.astype("<u4").tobytes()), len(text), zlib.crc32(text)))
             columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "chunk", "n_ids", "ids_crc32", "decoded_bytes", "decoded_crc32"])
