@@ -52,3 +52,14 @@ def merge_spans(spans: DataFrame) -> DataFrame:
     top = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("new", F.coalesce(F.col("s") > top, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(w))
     return marked.groupBy("doc_id", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
+
+
+def request_slots(requests: DataFrame, interval_ms: int = 3334, key: str = "user_id") -> DataFrame:
+    """When each request (key, event_id, at_ms, free_ms) may start: not before it is there, its cooldown ends
+    (null: none) and ``interval_ms`` have passed since the one before. The recurrence
+    start = max(ready, previous start + interval) is a running maximum of ready - i * interval, so no fold is needed."""
+    w = Window.partitionBy(key).orderBy("at_ms", "event_id")
+    ready = F.greatest(F.col("at_ms"), F.coalesce(F.col("free_ms"), F.col("at_ms")))
+    placed = requests.withColumn("lag_ms", (F.row_number().over(w) - 1).cast("long") * interval_ms)
+    top = F.max(ready - F.col("lag_ms")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return placed.select(key, "event_id", (top + F.col("lag_ms")).alias("start_ms"))

@@ -123,3 +123,32 @@ def runs(blocks: DataFrame, value: Column) -> DataFrame:
     v = blocks.withColumn("v", value)
     v = v.withColumn("new", (~F.col("v").eqNullSafe(F.lag("v").over(w))).cast("int")).withColumn("run", F.sum("new").over(w))
     return v.groupBy("doc_id", "run").agg(F.first("v").alias("value"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n"))
+
+
+def insert_by_geometry(blocks: DataFrame, extra: DataFrame, columns: int = 2) -> DataFrame:
+    """Place on its page of every block (origin 0) and of every extra row (origin 1) that reading order lacks.
+
+    Extra rows come in order of their number. Each goes before the first block of its column that starts
+    lower, else after the last one of its column, else to the end; full-width rows and pages of one column
+    take all blocks as theirs. Rows inserted count as blocks for those after them. A page is one group.
+    """
+    import pandas as pd
+
+    def column(x0: float, x1: float) -> str:
+        if columns <= 1:
+            return "auto"
+        edges = (500,) if columns == 2 else (333, 667)
+        return "full" if x1 - x0 >= 720 else f"column{1 + sum((x0 + x1) / 2 >= e for e in edges)}"
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        rows = [(o, n, column(a, b), y) for o, n, a, b, y in df.sort_values(["origin", "num"])[["origin", "num", "x0", "x1", "y0"]].itertuples(index=False)]
+        page = [r for r in rows if r[0] == 0]
+        for new in (r for r in rows if r[0] == 1):
+            own = [i for i, r in enumerate(page) if columns <= 1 or new[2] in ("full", r[2])]
+            lower = next((i for i in own if page[i][3] > new[3]), None)
+            page.insert(lower if lower is not None else own[-1] + 1 if own else len(page), new)
+        return pd.DataFrame({"doc_id": df["doc_id"].iloc[0], "page": df["page"].iloc[0], "place": range(len(page)), "origin": [r[0] for r in page], "num": [r[1] for r in page]})
+
+    pick = lambda d, o, n: d.select("doc_id", "page", F.lit(o).alias("origin"), F.col(n).cast("long").alias("num"), "x0", "x1", "y0")
+    both = pick(blocks, 0, "pos").unionByName(pick(extra, 1, "hint_ord"))
+    return both.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, place int, origin int, num long")

@@ -9,8 +9,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import tex as T
 from ..functions import text as X
-from ..operators import batching, integrity, layout, queue
+from ..operators import batching, integrity, layout, providers, queue
 from ..sources import entities as E
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,6 +446,77 @@ def display_fields(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_FORMULA = "replace(replace(text, 'th', '{'), 'er', '}') || ' ' || chr(92) || '{'"
+
+
+@register(rf"""SELECT doc_id, pos, CASE WHEN list_min(d) < 0 THEN 'extra closing brace' WHEN d[-1] > 0 THEN d[-1] || ' unmatched opening brace(s)' END AS problem
+  FROM (SELECT doc_id, pos, [length(replace(t[1:i], '}}', '')) - length(replace(t[1:i], '{{', '')) FOR i IN range(1, length(t) + 1)] AS d
+    FROM (SELECT doc_id, pos, regexp_replace(regexp_replace({_FORMULA}, '\\[{{}}]', '', 'g'), '[^{{}}]', '', 'g') AS t FROM blocks))""", E.BLOCKS_SQL)
+def brace_balance(spark: SparkSession, sf: str) -> DataFrame:
+    math = F.concat(F.replace(F.replace("text", F.lit("th"), F.lit("{")), F.lit("er"), F.lit("}")), F.lit(" \\{"))
+    return E.blocks(spark, sf).select("doc_id", "pos", T.brace_error(math).alias("problem"))
+
+
+@register(r"""SELECT doc_id, pos, CASE WHEN contains(text, ' of ') THEN 2 * n + 1 ELSE 1 END - CASE WHEN text LIKE '% of ' THEN 1 ELSE 0 END AS n_parts,
+  CASE WHEN contains(text, ' of ') THEN n ELSE 0 END AS n_math FROM (SELECT *, len(string_split(text, ' of ')) - 1 AS n FROM blocks) WHERE NOT starts_with(text, ' of ') AND NOT contains(text, ' of of ')""", E.BLOCKS_SQL)
+def leaked_math_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of prose in which each ' of ' is replaced by a math wrapper within another."""
+    b = E.blocks(spark, sf).where("not startswith(text, ' of ') and not contains(text, ' of of ')")
+    parts = T.split_wrapped(F.replace("text", F.lit(" of "), F.lit("§math{$math{x_{1}}}")))
+    n = b.select("doc_id", "pos", parts.alias("p"))
+    return n.select("doc_id", "pos", F.size("p").cast("long").alias("n_parts"), F.size(F.filter("p", lambda x: x["kind"] == "math")).cast("long").alias("n_math"))
+
+
+@register(r"""SELECT doc_id, pos, CASE pos % 3 WHEN 0 THEN '{C_A}_' || pos % 10 WHEN 1 THEN '{x_{i}^2}_' || pos % 10 || ' + y^a' ELSE chr(92) || 'frac{{a_1}_2}{b}' END AS formula FROM blocks""", E.BLOCKS_SQL)
+def repeated_scripts(spark: SparkSession, sf: str) -> DataFrame:
+    digit = (F.col("pos") % 10).cast("string")
+    raw = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("C_A_"), digit)).when(F.col("pos") % 3 == 1, F.concat(F.lit("x_{i}^2_"), digit, F.lit(" + y^a"))).otherwise("\\frac{a_1_2}{b}")
+    return E.blocks(spark, sf).select("doc_id", "pos", T.group_scripts(raw).alias("formula"))
+
+
+@register("SELECT doc_id, pos, item_id, CASE WHEN true THEN 'identity' END AS provider, source AS translated FROM items", E.BLOCKS_SQL, E.ITEMS_SQL)
+def provider_identity(spark: SparkSession, sf: str) -> DataFrame:
+    return providers.translate(E.items(spark, sf), [providers.Identity()]).drop("calls", "reason")
+
+
+@register()
+def geometry_insertion(spark: SparkSession, sf: str) -> DataFrame:
+    """Measured hints that no block covers, put into their page's order."""
+    b, h = E.blocks(spark, sf), E.hints(spark, sf)
+    return layout.insert_by_geometry(b.where("pos % 3 <> 1"), h.where("hint_ord % 3 = 1"))
+
+
+@register("""o AS (SELECT user_id, event_id, at_ms, CASE WHEN event_id % 7 = 0 THEN at_ms + 9000 END AS free_ms, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, event_id) AS i
+    FROM (SELECT user_id, event_id, epoch_us(ts) // 600000 AS at_ms FROM events)),
+  g AS (SELECT user_id, event_id, i, greatest(at_ms, coalesce(free_ms, at_ms)) AS start_ms FROM o WHERE i = 1 UNION ALL
+    SELECT o.user_id, o.event_id, o.i, greatest(o.at_ms, coalesce(o.free_ms, o.at_ms), g.start_ms + 3334) FROM g JOIN o ON o.user_id = g.user_id AND o.i = g.i + 1)
+  SELECT user_id, event_id, start_ms FROM g""")
+def rate_slots(spark: SparkSession, sf: str) -> DataFrame:
+    at = F.expr("unix_micros(cast(ts as timestamp)) div 600000")
+    e = E.read(spark, sf, "events").select("user_id", "event_id", at.alias("at_ms"))
+    return batching.request_slots(e.withColumn("free_ms", F.when(F.col("event_id") % 7 == 0, F.col("at_ms") + 9000)))
+
+
+SQL["rate_slots"] = "WITH RECURSIVE " + SQL["rate_slots"]
+
+
+@register("""SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1,
+  CASE WHEN count(*) FILTER (pos % 2 = 1) > 0 AND count(*) FILTER (pos % 2 = 0) > 0 THEN greatest(0.0::DOUBLE, min(x0) FILTER (pos % 2 = 1) - max(x1) FILTER (pos % 2 = 0)) END AS gap FROM blocks GROUP BY doc_id, page""", E.BLOCKS_SQL)
+def page_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Union of a page's boxes and the gap between its columns (null where one is empty)."""
+    odd = F.col("pos") % 2 == 1
+    right, left = F.min(F.when(odd, F.col("x0"))), F.max(F.when(~odd, F.col("x1")))
+    gap = F.when((right - left).isNotNull(), F.greatest(F.lit(0.0), right - left))
+    return E.blocks(spark, sf).groupBy("doc_id", "page").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), gap.alias("gap"))
+
+
+@register("SELECT doc_id, sha256(text) AS source_sha256, length(text) >= 3 AND 2 * length(text) > greatest(2.4 * length(text), length(text) + 12) AS implausible FROM documents WHERE text IS NOT NULL")
+def source_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Hash of each source, and whether an output twice as long would be implausible."""
+    n = F.length("text")
+    return E.read(spark, sf, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("source_sha256"), ((n >= 3) & (2 * n > F.greatest(2.4 * n, n + 12))).alias("implausible"))
+
+
 def entry(spark: SparkSession, sf: str = "/root/testdata/sf0.001") -> DataFrame:
     """The flagship query."""
     return prose_coverage_by_lang(spark, sf).orderBy("lang", "source")
