@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import protect as P
 from ..functions import tex as T
 from ..functions import text as X
 from ..operators import batching, integrity, layout, providers, queue
@@ -517,6 +518,28 @@ def source_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return E.read(spark, sf, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("source_sha256"), ((n >= 3) & (2 * n > F.greatest(2.4 * n, n + 12))).alias("implausible"))
 
 
+GLOSSARY = ("the", "ther", "ing", "of", "der")
+_KEPT_SQL = rf"""kept AS (SELECT doc_id, pos, source, f, array_to_string([p[i] || CASE WHEN i <= len(f) THEN 'QZKEEP' || (i - 1) || 'ZQ' ELSE '' END FOR i IN range(1, len(p) + 1)], '') AS safe
+  FROM (SELECT *, regexp_extract_all(source, '{P.PLACEHOLDER}|ther|the|ing|der|of') AS f, string_split_regex(source, '{P.PLACEHOLDER}|ther|the|ing|der|of') AS p FROM items))"""
+
+
+@register("SELECT doc_id, pos, safe, len(f) AS n_kept FROM kept", E.BLOCKS_SQL, E.ITEMS_SQL, _KEPT_SQL)
+def term_protection(spark: SparkSession, sf: str) -> DataFrame:
+    source = F.col("source")
+    return E.items(spark, sf).select("doc_id", "pos", P.protected(source, GLOSSARY).alias("safe"), F.size(P.held(source, GLOSSARY)).cast("long").alias("n_kept"))
+
+
+@register("""SELECT doc_id, pos, CASE WHEN pos % 3 = 2 THEN 'unknown' WHEN pos % 3 = 1 AND len(f) > 0 THEN 'missing' END AS reason,
+  CASE WHEN pos % 3 = 0 OR (pos % 3 = 1 AND len(f) = 0) THEN source END AS restored FROM kept""", E.BLOCKS_SQL, E.ITEMS_SQL, _KEPT_SQL)
+def term_restoration(spark: SparkSession, sf: str) -> DataFrame:
+    """Results that keep all tokens, lose one or invent one."""
+    safe, third = P.protected(F.col("source"), GLOSSARY), F.col("pos") % 3
+    out = F.when(third == 0, F.col("safe")).when(third == 1, F.replace("safe", F.lit("QZKEEP0ZQ"), F.lit(""))).otherwise(F.concat("safe", F.lit(" QZKEEP9999ZQ")))
+    rows = E.items(spark, sf).select("doc_id", "pos", safe.alias("safe"), P.held(F.col("source"), GLOSSARY).alias("kept"))
+    rows = rows.withColumn("out", out)
+    return rows.select("doc_id", "pos", P.restore_fault(F.col("out"), F.col("kept")).alias("reason"), P.restored(F.col("out"), F.col("kept")).alias("restored"))
+
+
 def entry(spark: SparkSession, sf: str = "/root/testdata/sf0.001") -> DataFrame:
     """The flagship query."""
     return prose_coverage_by_lang(spark, sf).orderBy("lang", "source")

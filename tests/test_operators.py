@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quirespark.functions import tex
-from quirespark.operators import batching, layout, providers
+from quirespark.functions import protect, tex
+from quirespark.operators import batching, integrity, layout, providers
 from quirespark.sources import checkpoints
 
 
@@ -128,3 +128,22 @@ def test_brace_errors(spark):
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
     got = {r.t: r.e for r in df.select("t", tex.brace_error(F.col("t")).alias("e")).collect()}
     assert got == {**cases, None: None}
+
+
+def test_protection_round_trip(spark):
+    terms = ["state space", "state", "a.b", " "]
+    texts = ["", "state space of state", "a.b axb [[MATH_12]]", "none", "statestate", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    safe = df.select("t", protect.protected(F.col("t"), terms).alias("s"), protect.held(F.col("t"), terms).alias("k"))
+    rows = safe.select("*", protect.restored(F.lower("s"), F.col("k")).alias("r"), protect.restore_fault(F.concat("s", F.lit("qzkeep")), F.col("k")).alias("f")).collect()
+    assert all(r.r == r.t for r in rows)
+    got = {r.t: r.s for r in rows}
+    assert got["state space of state"] == "QZKEEP0ZQ of QZKEEP1ZQ" and got["a.b axb [[MATH_12]]"] == "QZKEEP0ZQ axb QZKEEP1ZQ"
+    assert {r.f for r in rows if r.t is not None} == {"leftover"}
+
+
+def test_similar_blocks_join_the_first(spark):
+    rows = [(1, 0, 0, "paragraph", "the quick brown fox jumps over it"), (1, 0, 1, "paragraph", "The quick brown fox jumps over it all!"), (1, 0, 2, "paragraph", "short"), (1, 0, 3, "paragraph", "short"), (1, 1, 8, "paragraph", "the quick brown fox jumps over it")]
+    df = spark.createDataFrame(rows, "doc_id long, page int, pos int, kind string, text string")
+    got = sorted((r.page, r.pos, r.text_of) for r in integrity.dedup_similar(df).collect())
+    assert got == [(0, 0, 1), (0, 2, 2), (0, 3, 3), (1, 8, 8)]
