@@ -1 +1,5 @@
-"""Part of quirespark; see the README for the map of modules."""
+"""Queries over the driver's tables."""
+
+from . import catalog, documents
+
+__all__ = ["catalog", "documents"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -14,23 +12,7 @@ from ..functions import tex as T
 from ..functions import text as X
 from ..operators import batching, integrity, layout, providers, queue
 from ..sources import entities as E
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def register(sql: str | None = None, *needs: str) -> Callable[[Query], Query]:
-    """Add a query under its function's name; ``needs`` are the common table expressions its SQL reads."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = f"WITH RECURSIVE {', '.join(needs)} {sql}" if needs else sql
-        return f
-
-    return add
-
+from .registry import QUERIES, SQL, register
 
 LETTERS = r"length(regexp_replace({0}, '[^\p{{L}}]', '', 'g'))"
 FLAT = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
