@@ -178,6 +178,8 @@ def embedding_links(
         for g, x in enumerate(parts):
             group[label][x] = g
 
+    names = ["node", "label", "weight", "u", "shards", "homes", "cells"]  # homes: the cell of each shard
+
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             pieces = []
@@ -186,18 +188,18 @@ def embedding_links(
                 v = np.array(own["v"].tolist(), dtype=np.float64)
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
                 if c is None:
-                    near = np.zeros((len(own), 1), dtype=np.int64)
-                    cells = [[0]] * len(own)
+                    near = homes = np.zeros((len(own), 1), dtype=np.int64)
                 else:
                     near = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :overlap]
-                    cells = [sorted(set(x)) for x in group[label][near].tolist()]
-                pieces.append(own.assign(u=list(v), shards=list(near.astype(np.int32)), cells=cells)[["node", "label", "weight", "u", "shards", "cells"]])
-            yield pd.concat(pieces) if pieces else pd.DataFrame(columns=["node", "label", "weight", "u", "shards", "cells"])
+                    homes = group[label][near]
+                cells = [sorted(set(x)) for x in homes.tolist()]
+                pieces.append(own.assign(u=list(v), shards=list(near.astype(np.int32)), homes=list(homes.astype(np.int32)), cells=cells)[names])
+            yield pd.concat(pieces) if pieces else pd.DataFrame(columns=names)
 
     label_type = vectors.schema["label"].dataType.simpleString()
     routed = materialize(
         vectors.select("node", "label", "weight", "v").mapInPandas(
-            assign, f"node long, label {label_type}, weight long, u array<double>, shards array<int>, cells array<int>"
+            assign, f"node long, label {label_type}, weight long, u array<double>, shards array<int>, homes array<int>, cells array<int>"
         )
     )
 
@@ -217,9 +219,11 @@ def embedding_links(
     members = routed.select("node", "label", "weight", "u", "cells", "shards", F.explode("cells").alias("cell")).join(
         F.broadcast(crowd), ["label", "cell"], "left"
     )
-    sparse = routed.join(F.broadcast(crowd.select("label", F.col("cell").alias("x")).groupBy("label").agg(F.collect_set("x").alias("crowded"))), "label", "left")
-    shards = sparse.where(F.col("crowded").isNull() | (F.size(F.array_except("cells", "crowded")) > 0)).select(
-        "node", "label", "u", F.explode("shards").alias("shard")
+    # Only shards of cells that are searched get a graph, so no shard is larger than a calm cell.
+    shards = (
+        routed.select("node", "label", "u", F.explode(F.arrays_zip("shards", "homes")).alias("s"))
+        .select("node", "label", "u", F.col("s.shards").alias("shard"), F.col("s.homes").alias("cell"))
+        .join(F.broadcast(crowd.select("label", "cell")), ["label", "cell"], "left_anti")
     )
     lists = (
         shards.groupBy("label", "shard")
