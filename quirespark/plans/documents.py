@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formula as M
 from ..functions import markup as K
+from ..functions import provider as V
 from ..functions import text as X
 from ..operators import stabilise
 from ..sources import entities as E
@@ -316,3 +317,29 @@ def missing_report(spark: SparkSession, sf: str) -> DataFrame:
 def ordered_distinct(spark: SparkSession, sf: str) -> DataFrame:
     """Words of a block, each once, in order of first sight."""
     return E.blocks(spark, sf).select("doc_id", "pos", F.array_join(F.array_distinct(F.split("text", " ", -1)), " ").alias("words"))
+
+
+@register("""SELECT job_id, CASE WHEN job_id % 10 = 0 THEN 'fallback' WHEN job_id % 10 = 1 THEN 'skip' WHEN s IS NULL THEN 'next' WHEN s BETWEEN 200 AND 299 THEN 'accept' WHEN s = 429 THEN 'lock'
+    WHEN s = 404 OR s >= 500 THEN 'next' ELSE 'raise' END AS step FROM (SELECT job_id, [200, 429, 404, 503, 400, NULL][CAST(job_id % 6 AS INTEGER) + 1] AS s FROM jobs)""", E.JOBS_SQL)
+def provider_steps(spark: SparkSession, sf: str) -> DataFrame:
+    status = F.element_at(F.array(*[F.lit(x).cast("int") for x in (200, 429, 404, 503, 400, None)]), (F.col("job_id") % 6 + 1).cast("int"))
+    k = F.col("job_id") % 10
+    return E.jobs(spark, sf).select("job_id", V.next_step(k == 0, k == 1, status).alias("step"))
+
+
+@register("""SELECT p_brand, string_agg('- ' || p_name || ' => ' || CASE WHEN p_size % 3 = 0 THEN 'KEEP ENGLISH EXACTLY AS: ' || p_name ELSE p_type END || CASE WHEN p_size % 2 = 0 THEN ' (size ' || p_size || ')' ELSE '' END, chr(10)
+  ORDER BY p_partkey) AS glossary FROM part GROUP BY p_brand""")
+def glossary_request(spark: SparkSession, sf: str) -> DataFrame:
+    """The glossary lines of a request, a glossary for each brand."""
+    policy = F.when(F.col("p_size") % 3 == 0, "keep_english").otherwise("translate")
+    note = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("size "), F.col("p_size").cast("string")))
+    term = F.struct(F.col("p_partkey").alias("n"), F.col("p_name").alias("source"), F.col("p_type").alias("target"), policy.alias("policy"), note.alias("note"))
+    g = E.read(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(term)).alias("terms"))
+    return g.select("p_brand", V.glossary_lines(F.col("terms")).alias("glossary"))
+
+
+@register("""SELECT job_id, '[{"kind":"figure","page":' || job_id || '}]' AS blocks, lower(status) AS code FROM jobs""", E.JOBS_SQL)
+def checkpoint_without_assets(spark: SparkSession, sf: str) -> DataFrame:
+    block = F.struct(F.lit("figure").alias("kind"), F.col("job_id").alias("page"), F.lit("f.png").alias("asset"))
+    shouted = F.concat(F.lit(" "), F.upper("status"))
+    return E.jobs(spark, sf).select("job_id", F.to_json(V.without_assets(F.array(block))).alias("blocks"), V.target_code(shouted).alias("code"))

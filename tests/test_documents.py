@@ -112,3 +112,21 @@ def test_empty_tables(spark, sf_dir):
 
     b, h = E.blocks(spark, sf_dir).where("false"), E.hints(spark, sf_dir).where("false")
     assert stabilise.stabilised(b, h).count() == 0 and stabilise.column_hint(h).count() == 0 and stabilise.previews(b, h).count() == 0
+
+
+def test_objects_are_checked(spark, tmp_path):
+    from quirespark.sources import objects
+
+    for name, data in (("a.pdf", b"%PDF-1.7 x"), ("b.pdf", b"<html>"), ("c.pdf", b""), ("d.pdf", b"%PDF" + b"x" * 100), ("e.txt", b"%PDF")):
+        (tmp_path / name).write_bytes(data)
+    rows = objects.read_objects(spark, str(tmp_path), largest=50).collect()
+    assert {r.path[-5:]: r.fault for r in rows} == {"a.pdf": None, "b.pdf": "type", "d.pdf": "too large"}
+    bytes_ = spark.createDataFrame([(b"",), (b"%PD",)], "c binary").select(objects.fault(F.col("c"), F.length("c")).alias("f"))
+    assert [r.f for r in bytes_.collect()] == ["empty", "type"]
+
+
+def test_glossary_without_terms(spark):
+    from quirespark.functions import provider
+
+    df = spark.createDataFrame([([],), (None,), ([("a", "", "translate", None)],)], "t array<struct<source: string, target: string, policy: string, note: string>>")
+    assert [r.g for r in df.select(provider.glossary_lines(F.col("t")).alias("g")).collect()] == ["- none supplied"] * 3
