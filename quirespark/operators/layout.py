@@ -130,25 +130,21 @@ def insert_by_geometry(blocks: DataFrame, extra: DataFrame, columns: int = 2) ->
 
     Extra rows come in order of their number. Each goes before the first block of its column that starts
     lower, else after the last one of its column, else to the end; full-width rows and pages of one column
-    take all blocks as theirs. Rows inserted count as blocks for those after them. A page is one group.
+    take all blocks as theirs. Rows inserted count as blocks for those after them. A page is one group, folded in the JVM.
     """
-    import pandas as pd
-
-    def column(x0: float, x1: float) -> str:
-        if columns <= 1:
-            return "auto"
-        edges = (500,) if columns == 2 else (333, 667)
-        return "full" if x1 - x0 >= 720 else f"column{1 + sum((x0 + x1) / 2 >= e for e in edges)}"
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        rows = [(o, n, column(a, b), y) for o, n, a, b, y in df.sort_values(["origin", "num"])[["origin", "num", "x0", "x1", "y0"]].itertuples(index=False)]
-        page = [r for r in rows if r[0] == 0]
-        for new in (r for r in rows if r[0] == 1):
-            own = [i for i, r in enumerate(page) if columns <= 1 or new[2] in ("full", r[2])]
-            lower = next((i for i in own if page[i][3] > new[3]), None)
-            page.insert(lower if lower is not None else own[-1] + 1 if own else len(page), new)
-        return pd.DataFrame({"doc_id": df["doc_id"].iloc[0], "page": df["page"].iloc[0], "place": range(len(page)), "origin": [r[0] for r in page], "num": [r[1] for r in page]})
-
-    pick = lambda d, o, n: d.select("doc_id", "page", F.lit(o).alias("origin"), F.col(n).cast("long").alias("num"), "x0", "x1", "y0")
-    both = pick(blocks, 0, "pos").unionByName(pick(extra, 1, "hint_ord"))
-    return both.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, place int, origin int, num long")
+    side = G.column_of(F.col("x0"), F.col("x1"), F.lit(columns))
+    row = lambda o, n: F.struct(F.lit(o).alias("origin"), F.col(n).cast("long").alias("num"), side.alias("side"), F.col("y0").cast("double").alias("y0"))
+    every = blocks.select(*PAGE, row(0, "pos").alias("r")).unionByName(extra.select(*PAGE, row(1, "hint_ord").alias("r")))
+
+    def put(page: Column, new: Column) -> Column:
+        own = lambda r: F.lit(columns <= 1) | (new["side"] == "full") | (r["side"] == new["side"])
+        lower = F.array_position(F.transform(page, lambda r: own(r) & (r["y0"] > new["y0"])), F.lit(True))
+        from_end = F.array_position(F.reverse(F.transform(page, own)), F.lit(True))
+        n = F.size(page)
+        before = F.when(lower > 0, lower - 1).when(from_end > 0, n + 1 - from_end).otherwise(n).cast("int")
+        return F.concat(F.slice(page, F.lit(1), before), F.array(new), F.slice(page, before + 1, n))
+
+    pages = every.groupBy(*PAGE).agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    part = lambda o: F.filter("rs", lambda r: r["origin"] == o)
+    placed = pages.select(*PAGE, F.posexplode(F.aggregate(part(1), part(0), put)).alias("place", "r"))
+    return placed.select(*PAGE, "place", "r.origin", "r.num")
