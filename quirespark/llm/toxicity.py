@@ -79,21 +79,21 @@ def char_model(counts: np.ndarray, words: dict[str, float], share: float = 0.05)
 
 
 def decode(noisy: str, log_p: np.ndarray) -> str:
-    """Viterbi decoding of one obfuscated word: the likeliest letters under the character model.
+    """Viterbi decoding of one obfuscated word of any length: the likeliest letters under the character model.
 
     The lattice has, for each character, its letters (a letter is itself, a symbol any letter that it
     stands for), and arcs that drop it: symbols at a cost, repetitions of the letter before nearly free.
     A state is the last two letters; ties go to the first reading.
     """
     table = latin()
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # text: (text before, letter)
     before = ""
     for ch in noisy:
         code = int(table[ord(ch)])
         options = [(code, ch, 0.0)] if code else [(ord(x) - 96, x, COST["leet"]) for x in LEET.get(ch, "")]
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
 
-        def put(key: tuple[int, int], value: float, text: str, new: dict = new) -> None:
+        def put(key: tuple[int, int], value: float, text: tuple | None, new: dict = new) -> None:
             if key not in new or value > new[key][0]:
                 new[key] = (value, text)
 
@@ -104,14 +104,20 @@ def decode(noisy: str, log_p: np.ndarray) -> str:
                 repeated = b == c and (ch == before or not code)
                 if repeated:
                     put((a, b), value + COST["collapse"], text)
-                put((b, c), value + cost + log_p[a, b, c] + COST["repeat"] * repeated, text + letter)
+                put((b, c), value + cost + log_p[a, b, c] + COST["repeat"] * repeated, (text, letter))
         states, before = new, ch
-    return max(((v + log_p[a, b, 0], t) for (a, b), (v, t) in states.items()), key=lambda x: x[0])[1]
+    text = max(((v + log_p[a, b, 0], t) for (a, b), (v, t) in states.items()), key=lambda x: x[0])[1]
+    out: list[str] = []
+    while text is not None:
+        text, letter = text
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 _EDGE = re.compile(r"^[^\w@$!|+(€£¡]+|[^\w]+$|^[|+(]+(?=\w)|_+$")
 _DOUBLE = re.compile(r"(.)\1")
 _WORDS = re.compile(r"[^\W\d_]+").findall
+_PARTS = re.compile("[" + re.escape("".join(sorted(SEPARATORS))) + "]+").split
 
 
 def restore(token: str, log_p: np.ndarray) -> str:
@@ -120,19 +126,35 @@ def restore(token: str, log_p: np.ndarray) -> str:
     if not token.isalpha():
         core = _EDGE.sub("", token)
         if not core.isalpha():
-            if len(core) > 40 or not any(c.isalpha() for c in core) or core.isdigit():
-                return "".join(c for c in core if c.isalpha())
+            if not any(c.isalpha() for c in core):
+                return ""
             first, last = core[0].isalpha(), core[-1].isalpha()
             if all(c.isalpha() or c in SEPARATORS for c in core) and first and last and len(core) > 2 * sum(c in SEPARATORS for c in core) + 1:
                 return core  # a compound such as well-known: its parts are read one by one
             return decode(core, log_p)
         token = core
     doubles = _DOUBLE.findall(token)
-    if len(doubles) > 1 and len(token) <= 40 and (len(doubles) * 4 >= len(token) or re.search(r"(.)\1\1", token)):
+    if len(doubles) > 1 and (len(doubles) * 4 >= len(token) or re.search(r"(.)\1\1", token)):
         return decode(token, log_p)
     return token
 
 
+def readings(token: str, log_p: np.ndarray) -> list[list[str]]:
+    """The ways to read one token without white space, each a list of words: its restored whole, and for one that
+    holds other characters than letters the words between separators, each restored, and all its runs of letters."""
+    whole = restore(token, log_p)
+    if whole.isalpha() and token.isalpha():
+        return [[whole]]
+    core = _EDGE.sub("", token.lower())
+    if not any(c.isalpha() for c in core):
+        return []
+    out = [[whole]] if whole.isalpha() else []
+    for parts in (_PARTS(core), _WORDS(core)):
+        if len(parts) > 1:
+            out.append([w for x in parts for w in _WORDS(restore(x, log_p))])
+    return out
+
+
 def features(word: str) -> Iterator[str]:
     """A restored word and its prefixes, in the form in which they are learned."""
     if len(word) >= 3:
@@ -225,32 +247,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 2000, strictne
 
 
 class _Scorer(dict):
-    """Evidence of each raw token, memoised in one task; restored words of those that have any in ``read``."""
+    """The words with evidence in each raw token, and that evidence, memoised in one task."""
 
     def __init__(self, model: ToxicityModel):
         super().__init__()
         self.model = model
         self.starts = {f[:4] for f in model.weights}
         self.whole = [f for f in model.weights if f[-1] != "*" and len(f) > 3]
-        self.read: dict[str, str] = {}
 
     def word(self, w: str) -> float:
         if w[:4] not in self.starts:
             return 0.0
         return max((self.model.weights.get(f, 0.0) for f in features(w)), default=0.0)
 
-    def __missing__(self, token: str) -> float:
-        w = restore(token, self.model.char_log_p)
-        if not w.isalpha():
-            w = max(re.findall(r"[^\W\d_]+", w) or [""], key=self.word)
-        v = self.word(w)
+    def __missing__(self, token: str) -> list[tuple[str, float]]:
+        """Of the token's readings the one of most evidence, with every word of it that has any."""
+        ways = ([(w, v) for w in way if (v := self.word(w))] for way in readings(token, self.model.char_log_p))
+        hits = max(ways, key=lambda way: sum(v for _, v in way), default=[])
         if len(self) > 300_000:
             self.clear()
-            self.read.clear()
-        self[token] = v
-        if v:
-            self.read[token] = w
-        return v
+        self[token] = hits
+        return hits
 
     def spaced(self, letters: str) -> tuple[str, float]:
         """The strongest toxic word in the reading of a run of single characters."""
@@ -263,8 +280,9 @@ class _Scorer(dict):
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Add score (0 to 1) to all rows of docs (text, ...), from the whole text alone.
 
-    Each token is restored (leetspeak, separators, repetition; runs of three or more single characters
-    are read together) and looked up, with its prefixes, in the lexicon. The log odds are the prior, plus the
+    Each token, of any length, is restored (leetspeak, separators, repetition; runs of three or more single
+    characters are read together) and looked up, with its prefixes, in the lexicon; one that separators divide
+    may be read in parts, which all count. The log odds are the prior, plus the
     evidence of each different word found, times 1 + ln(its occurrences), less the rate for each token.
     Null, empty and wordless texts have the prior alone. Other columns pass through; one named score is replaced.
     """
@@ -285,8 +303,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 names = coded.dictionary.to_pylist()
                 if len(scorer) > 200_000:
                     scorer.clear()
-                    scorer.read.clear()
-                v = np.fromiter(map(scorer.__getitem__, names), float, len(names))
+                hits = [scorer[x] for x in names]
+                toxic = np.fromiter(map(bool, hits), bool, len(names))
                 codes = coded.indices.to_numpy()
                 owner = lambda i, ends=ends: np.searchsorted(ends, i, side="right") - 1
                 found: dict[int, dict[str, list[float]]] = defaultdict(dict)
@@ -295,8 +313,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                     hit = found[d].setdefault(word, [value, 0])
                     hit[1] += 1
 
-                for i in np.flatnonzero(v[codes] > 0):
-                    note(int(owner(i)), scorer.read.get(names[codes[i]], names[codes[i]]), v[codes[i]])
+                for i in np.flatnonzero(toxic[codes]):
+                    for word, value in hits[codes[i]]:
+                        note(int(owner(i)), word, value)
                 single = np.fromiter(map(len, names), np.int64, len(names))[codes] == 1
                 edge = np.diff(np.concatenate(([0], single.astype(np.int8), [0])))
                 for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
@@ -308,8 +327,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                             if value:
                                 note(int(d), word, value)
                 odds[a:b] -= model.rate * np.diff(ends)
-                for d, hits in found.items():
-                    odds[a + d] += sum(value * (1 + math.log(n)) for value, n in hits.values())
+                for d, own in found.items():
+                    odds[a + d] += sum(value * (1 + math.log(n)) for value, n in own.values())
             scores = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 

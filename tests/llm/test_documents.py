@@ -118,6 +118,20 @@ def test_toxicity_reads_obfuscation(spark):
     assert score_toxicity(awkward(spark), model).count() == len(AWKWARD)
 
 
+def scores(spark, model, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return [r["score"] for r in score_toxicity(df, model).orderBy("doc_id").collect()]
+
+
+def test_toxicity_reads_long_tokens(spark):
+    model = toy_model(spark)
+    bad = ["you.are.an.idiot.nobody.wants.you.here.ever.again", "y0u,are,an,1d10t,nobody,wants,you,here,ever,again", "i_d_i_o_t" + "_" * 40, "i" + "_" * 20 + "d" + "_" * 20 + "iot", "idi" + "o" * 60 + "t", "i" + "d" * 30 + "i" * 30 + "ot"]
+    assert min(scores(spark, model, bad)) >= 0.3
+    once, both, words = scores(spark, model, ["well.idiot.so", "idiot.and.idiot", "idiot and idiot"])
+    assert both > once and words > 0.3
+    assert max(scores(spark, model, ["x" * 70_000, "kind." * 200, "a1" * 500])) < 0.3
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = fit_toxicity(awkward(spark), none)
