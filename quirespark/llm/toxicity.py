@@ -140,18 +140,18 @@ def restore(token: str, log_p: np.ndarray) -> str:
 
 
 def readings(token: str, log_p: np.ndarray) -> list[list[str]]:
-    """The ways to read one token without white space, each a list of words: its restored whole, and for one that
-    holds other characters than letters the words between separators, each restored, and all its runs of letters."""
-    whole = restore(token, log_p)
-    if whole.isalpha() and token.isalpha():
-        return [[whole]]
-    core = _EDGE.sub("", token.lower())
+    """The ways to read one token without white space, each a list of words: as it is if it has letters only; else
+    decoded as a whole, the words between separators, each decoded if it holds symbols, and all its runs of letters.
+    A token without any letter is a number or a mark, and has none."""
+    core = token.lower() if token.isalpha() else _EDGE.sub("", token.lower())
+    if core.isalpha():
+        return [[core]]
     if not any(c.isalpha() for c in core):
         return []
-    out = [[whole]] if whole.isalpha() else []
+    out = [[decode(core, log_p)]]
     for parts in (_PARTS(core), _WORDS(core)):
         if len(parts) > 1:
-            out.append([w for x in parts for w in _WORDS(restore(x, log_p))])
+            out.append([x if x.isalpha() else decode(x, log_p) for x in parts if any(c.isalpha() for c in x)])
     return out
 
 
@@ -260,9 +260,14 @@ class _Scorer(dict):
             return 0.0
         return max((self.model.weights.get(f, 0.0) for f in features(w)), default=0.0)
 
+    def hit(self, w: str) -> tuple[str, float]:
+        """A word and its evidence; one with doubled letters is looked up decoded and as it is."""
+        ways = [decode(w, self.model.char_log_p), w] if _DOUBLE.search(w) else [w]
+        return max(((x, self.word(x)) for x in ways), key=lambda x: x[1])
+
     def __missing__(self, token: str) -> list[tuple[str, float]]:
         """Of the token's readings the one of most evidence, with every word of it that has any."""
-        ways = ([(w, v) for w in way if (v := self.word(w))] for way in readings(token, self.model.char_log_p))
+        ways = ([h for w in way if (h := self.hit(w))[1]] for way in readings(token, self.model.char_log_p))
         hits = max(ways, key=lambda way: sum(v for _, v in way), default=[])
         if len(self) > 300_000:
             self.clear()

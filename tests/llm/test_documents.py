@@ -132,6 +132,13 @@ def test_toxicity_reads_long_tokens(spark):
     assert max(scores(spark, model, ["x" * 70_000, "kind." * 200, "a1" * 500])) < 0.3
 
 
+def test_toxicity_decodes_behind_gates(spark):
+    model = toy_model(spark)
+    bad = ["idiooot", "iidiot", "idiiiot", "id-iot", "i.diot", "id.io.t", "idi_ot", "i'd'iot", "idio-t", "1d-iot", "so.idiiiot.oh"]
+    assert min(scores(spark, model, bad)) >= 0.3
+    assert max(scores(spark, model, ["well-known", "id-card", "little", "balloon", "THE!! OF!!"])) < 0.3
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = fit_toxicity(awkward(spark), none)
