@@ -78,12 +78,13 @@ def char_model(counts: np.ndarray, words: dict[str, float], share: float = 0.05)
     return np.log(tri)
 
 
-def decode(noisy: str, log_p: np.ndarray) -> str:
+def decode(noisy: str, log_p: np.ndarray, spaces: bool = False, collapse: bool = True) -> str:
     """Viterbi decoding of one obfuscated word of any length: the likeliest letters under the character model.
 
     The lattice has, for each character, its letters (a letter is itself, a symbol any letter that it
     stands for), and arcs that drop it: symbols at a cost, repetitions of the letter before nearly free.
-    A state is the last two letters; ties go to the first reading.
+    A state is the last two letters; ties go to the first reading. With ``spaces`` a word may end after each letter,
+    and the reading has a blank there; without ``collapse`` repeated letters stay.
     """
     table = latin()
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # text: (text before, letter)
@@ -101,12 +102,16 @@ def decode(noisy: str, log_p: np.ndarray) -> str:
             if not code:
                 put((a, b), value + COST["drop"] * (1 if ch in LEET else 0.2), text)
             for c, letter, cost in options:
-                repeated = b == c and (ch == before or not code)
+                repeated = collapse and b == c and (ch == before or not code)
                 if repeated:
                     put((a, b), value + COST["collapse"], text)
                 put((b, c), value + cost + log_p[a, b, c] + COST["repeat"] * repeated, (text, letter))
+        if spaces:
+            for (a, b), (value, text) in list(new.items()):
+                if b:
+                    put((b, 0), value + log_p[a, b, 0], (text, " "))
         states, before = new, ch
-    text = max(((v + log_p[a, b, 0], t) for (a, b), (v, t) in states.items()), key=lambda x: x[0])[1]
+    text = max(((v + (log_p[a, b, 0] if b or not a else 0.0), t) for (a, b), (v, t) in states.items()), key=lambda x: x[0])[1]
     out: list[str] = []
     while text is not None:
         text, letter = text
@@ -253,7 +258,10 @@ class _Scorer(dict):
         super().__init__()
         self.model = model
         self.starts = {f[:4] for f in model.weights}
-        self.whole = [f for f in model.weights if f[-1] != "*" and len(f) > 3]
+        self.whole = [f for f in model.weights if f[-1] != "*"]
+        self.longest = max(map(len, self.whole), default=0)
+        self.pieces = {f[i:j] for f in self.whole for i in range(len(f)) for j in range(i + 1, len(f) + 1)} - set(self.whole)
+        self.part: dict[str, bool] = {}  # fragment() of tokens seen
 
     def word(self, w: str) -> float:
         if w[:4] not in self.starts:
@@ -271,22 +279,99 @@ class _Scorer(dict):
         hits = max(ways, key=lambda way: sum(v for _, v in way), default=[])
         if len(self) > 300_000:
             self.clear()
+            self.part.clear()
         self[token] = hits
         return hits
 
-    def spaced(self, letters: str) -> tuple[str, float]:
-        """The strongest toxic word in the reading of a run of single characters."""
-        if len(set(letters)) < 3:
-            return "", 0.0
-        parts = [decode(letters[i : i + 400].lower(), self.model.char_log_p) for i in range(0, len(letters), 200)]
-        return max(((f, self.model.weights[f]) for f in self.whole if any(f in x for x in parts)), key=lambda x: x[1], default=("", 0.0))
+    def spaced(self, letters: str) -> list[tuple[str, float]]:
+        """The toxic words in the reading of a run of single characters, repeated letters dropped or, if that has
+        more evidence, kept."""
+        ways = [decode(letters.lower(), self.model.char_log_p, True, c) for c in ((True, False) if _DOUBLE.search(letters.lower()) else (True,))]
+        return max((self.segments(x.split()) for x in ways), key=lambda x: sum(v for _, v in x))
+
+    def segments(self, words: list[str]) -> list[tuple[str, float]]:
+        """The toxic words of most evidence that do not overlap in a run read as ``words``.
+
+        Lexicon words of more than three letters count anywhere, those of three where the reading begins and ends
+        words, prefixes where it begins one.
+        """
+        text = "".join(words)
+        bounds = {0, *np.cumsum([len(w) for w in words]).tolist()}
+        arcs: dict[int, list[tuple[int, str, float]]] = defaultdict(list)  # by end: (start, word, evidence)
+        for at in bounds:
+            for k in PREFIXES:
+                if at + k < len(text) and (v := self.model.weights.get(text[at : at + k] + "*")):
+                    arcs[at + k].append((at, text[at : at + k], v))
+        for f in self.whole:
+            at = text.find(f)
+            while at >= 0:
+                if len(f) > 3 or (at in bounds and at + len(f) in bounds):
+                    arcs[at + len(f)].append((at, f, self.model.weights[f]))
+                at = text.find(f, at + 1)
+        best = [0.0] * (len(text) + 1)
+        taken: list[tuple[int, str, float] | None] = [None] * (len(text) + 1)
+        for end in range(1, len(text) + 1):
+            best[end] = best[end - 1]
+            for arc in arcs.get(end, ()):
+                if best[arc[0]] + arc[2] > best[end]:
+                    best[end], taken[end] = best[arc[0]] + arc[2], arc
+        out, end = [], len(text)
+        while end:
+            if arc := taken[end]:
+                out.append(arc[1:])
+            end = arc[0] if arc else end - 1
+        return out
+
+    def fragment(self, token: str) -> bool:
+        """Whether a token may be a piece of a word of the lexicon: one character, or letters within such a word."""
+        if len(token) == 1:
+            return True
+        w = restore(token, self.model.char_log_p)
+        return len(w) < self.longest and w in self.pieces and not self[token]
+
+    def broken(self, tokens: list[str]) -> list[tuple[str, float]]:
+        """The toxic words in a run of fragments: lexicon words made of whole tokens, from the left the longest first;
+        single characters between them, three at least, are read as a run of their own."""
+        out: list[tuple[str, float]] = []
+        read = [restore(t, self.model.char_log_p) or t for t in tokens]
+        singles: list[str] = []
+
+        def flush() -> None:
+            if len(singles) >= 3:
+                out.extend(self.spaced("".join(singles)))
+            singles.clear()
+
+        i = 0
+        while i < len(tokens):
+            found = 0
+            j, size = i + 1, len(read[i])
+            while j < len(tokens) and size < 2 * self.longest:
+                size += len(read[j])
+                j += 1
+                if any(len(t) > 1 for t in tokens[i:j]):
+                    for joined in ("".join(read[i:j]), decode("".join(tokens[i:j]).lower(), self.model.char_log_p)):
+                        if joined in self.model.weights:
+                            found, word = j, joined
+                            break
+            if found:
+                flush()
+                out.append((word, self.word(word)))
+                i = found
+            else:
+                if len(tokens[i]) == 1:
+                    singles.append(tokens[i])
+                else:
+                    flush()
+                i += 1
+        flush()
+        return out
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Add score (0 to 1) to all rows of docs (text, ...), from the whole text alone.
 
     Each token, of any length, is restored (leetspeak, separators, repetition; runs of three or more single
-    characters are read together) and looked up, with its prefixes, in the lexicon; one that separators divide
+    characters, and of pieces of lexicon words, are read together) and looked up, with its prefixes, in the lexicon; one that separators divide
     may be read in parts, which all count. The log odds are the prior, plus the
     evidence of each different word found, times 1 + ln(its occurrences), less the rate for each token.
     Null, empty and wordless texts have the prior alone. Other columns pass through; one named score is replaced.
@@ -308,6 +393,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 names = coded.dictionary.to_pylist()
                 if len(scorer) > 200_000:
                     scorer.clear()
+                    scorer.part.clear()
                 hits = [scorer[x] for x in names]
                 toxic = np.fromiter(map(bool, hits), bool, len(names))
                 codes = coded.indices.to_numpy()
@@ -321,15 +407,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 for i in np.flatnonzero(toxic[codes]):
                     for word, value in hits[codes[i]]:
                         note(int(owner(i)), word, value)
-                single = np.fromiter(map(len, names), np.int64, len(names))[codes] == 1
-                edge = np.diff(np.concatenate(([0], single.astype(np.int8), [0])))
+                for x in names:
+                    if x not in scorer.part:
+                        scorer.part[x] = scorer.fragment(x)
+                piece = np.fromiter(map(scorer.part.__getitem__, names), bool, len(names))[codes]
+                edge = np.diff(np.concatenate(([0], piece.astype(np.int8), [0])))
                 for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-                    if j - i >= 3:
+                    if j - i >= 2:
                         own = owner(np.arange(i, j))
                         for d in np.unique(own):
-                            letters = "".join(names[c] for c in codes[i:j][own == d])
-                            word, value = scorer.spaced(letters) if len(letters) >= 3 else ("", 0.0)
-                            if value:
+                            for word, value in scorer.broken([names[c] for c in codes[i:j][own == d]]):
                                 note(int(d), word, value)
                 odds[a:b] -= model.rate * np.diff(ends)
                 for d, own in found.items():

@@ -12,7 +12,7 @@ from quirespark.llm.language import fit_language_model, identify_languages
 from quirespark.llm.packing import differencing, pack_documents, windows_for
 from quirespark.llm.sharding import place, shard_documents
 from quirespark.llm.simhash import GrayIndex, fingerprint, fingerprint_edges, gray_rank, simhash_components
-from quirespark.llm.toxicity import char_model, decode, fit_toxicity, restore, score_toxicity
+from quirespark.llm.toxicity import ToxicityModel, _Scorer, char_model, decode, fit_toxicity, restore, score_toxicity
 
 from .util import AWKWARD, awkward, empty, union_components
 
@@ -139,6 +139,20 @@ def test_toxicity_decodes_behind_gates(spark):
     assert max(scores(spark, model, ["well-known", "id-card", "little", "balloon", "THE!! OF!!"])) < 0.3
 
 
+def test_toxicity_reads_runs(spark):
+    model = toy_model(spark)
+    bad = ["so id iot", "an i diot", "you id i ot", "1d iot", "such an i d i o t i d i o t"]
+    assert min(scores(spark, model, bad)) >= 0.3
+    assert max(scores(spark, model, ["an i d card", "so id is it", "to do it id", "a a a", "i i i i i i", "i " * 5000])) < 0.3
+    once, twice = scores(spark, model, ["i d i o t " + "x x x x x", "i d i o t i d i o t"])
+    assert twice > once
+    short = ToxicityModel({"ass": 5.0, "dumb*": 5.0, "moron": 5.0}, model.char_log_p)
+    found = _Scorer(short)
+    assert found.broken(list("ass")) == [("ass", 5.0)] and found.broken(["a", "ss"]) == [("ass", 5.0)]
+    assert sorted(found.spaced("moronmoron")) == [("moron", 5.0)] * 2
+    assert [v for _, v in found.spaced("dumbest")] == [5.0]
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = fit_toxicity(awkward(spark), none)
