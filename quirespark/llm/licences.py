@@ -29,6 +29,26 @@ SENTENCES = {
     "all rights reserved": "AllRights",
 }
 
+#: Sentences of standard headers and texts as patterns over normalised words, and their identifiers.
+#: They may be wrapped, and other words may stand before and after them in a sentence.
+TEXTS = (
+    ("licensed under the apache license version 2 0 the license", "ApacheRef"),
+    ("you may not use this (?:file|work|software) except in compliance with the license", "ApacheUse"),
+    ("you may obtain a copy of the license at", "ApacheCopy"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "MitGrant"),
+    ("the software is provided as is without warranty of any kind express or implied", "AsIs"),
+    ("this (?:program|file|software|library) is free software you can redistribute it and or modify it under the terms of (?:version 3 of the gnu general public license|the gnu general public license as published by the free software foundation version 3)", "Gpl3Ref"),
+    ("this (?:program|file|software|library) is free software you can redistribute it and or modify it under the terms of (?:version 2 of the gnu general public license|the gnu general public license as published by the free software foundation version 2)", "Gpl2Ref"),
+    ("this (?:program|file|software|library) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "GplGrant"),
+    ("either version 3 of the license or at your option any later version", "Gpl3Later"),
+    ("either version 2 of the license or at your option any later version", "Gpl2Later"),
+    ("licensed under (?:a|the) creative commons attribution non(?: )?commercial 4 0 international(?: public)? license", "CcByNcRef"),
+    ("licensed under (?:a|the) creative commons attribution share(?: )?alike 4 0 international(?: public)? license", "CcBySaRef"),
+    ("licensed under (?:a|the) creative commons attribution 4 0 international(?: public)? license", "CcByRef"),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "BsdGrant"),
+    ("neither the names? of (?:[a-z0-9]+ ){1,12}nor the names of (?:its|their|the) contributors may be used to endorse or promote products", "BsdNoName"),
+)
+
 #: Ordered rules. Each is a sequence of identifiers that must stand in this order, with any others between;
 #: the identifiers a rule matches are used up, so a later, looser rule does not report the same sentences.
 RULES = (
@@ -50,16 +70,27 @@ RULES = (
 
 # A sentence ends at a line end, or at . ! ? ; before white space or the end.
 _ENDS = r"[.!?;]+(?:[ \t\r]+|$)|[\r\n]+|[.!?;]+[\r\n]"
-_MARK = "(?i)licen|permission|warranty|gnu general|redistribution|version [23]|copyright|rights reserved"
+# Between words of a known sentence: a blank or one line end, in TEXTS also marks such as the ; in the GPL's grant.
+_WRAP = r"[ \n]"
+_GAP = r"[ \n|]+"
+_MARK = "(?i)licen|permission|warranty|gnu\\s+general|redistribution|version\\s+[23]|copyright|rights\\W+reserved"
 
 
 def sentence_ids(text: Column) -> Column:
-    """The identifiers of a text's known sentences, in order (array<string>)."""
-    known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    clean = lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " "))
-    # Only sentences with a marking word are normalised; the rest cannot be known ones.
-    likely = F.filter(F.split(text, _ENDS), lambda s: s.rlike(_MARK))
-    return F.filter(F.transform(likely, lambda s: F.element_at(known, clean(s))), lambda x: x.isNotNull())
+    """The identifiers of a text's known sentences, in order (array<string>).
+
+    The text becomes words with single blanks, "\\n" at line ends and "|" at sentence ends. Known sentences, whole
+    ones of SENTENCES and those of TEXTS anywhere, each also over several lines, become "|#identifier|".
+    """
+    swap = F.regexp_replace
+    words = swap(swap(F.translate(F.lower(text), "|#", "  "), r"[.!?;]+(?=[ \t\r\n]|$)", "|"), r"[^a-z0-9|\r\n]+", " ")
+    words = swap(swap(swap(words, r"\r\n?", "\n"), r" *\n *", "\n"), r" *\| *", "|")
+    for pattern, name in TEXTS:
+        words = swap(words, f"(?<![a-z0-9])(?:{pattern.replace(' ', _GAP)})(?![a-z0-9])", f"|#{name}|")
+    for name in dict.fromkeys(SENTENCES.values()):
+        own = "|".join(s.replace(" ", _WRAP) for s, i in SENTENCES.items() if i == name)
+        words = swap(words, rf"(?<![^|\n])(?: ?)(?:{own})(?= ?(?:[|\n]|$))", f"|#{name}|")
+    return F.transform(F.filter(F.split(words, r"[|\n]"), lambda s: s.startswith("#")), lambda s: F.substring(s, 2, 99))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
@@ -111,7 +142,8 @@ def _apply_rules(df: DataFrame) -> DataFrame:
 
 
 def licences_sql() -> str:
-    """The same rows from DuckDB, with the rules nested in order."""
+    """The same rows from DuckDB for sentences that fill one line or end at a mark; it does not know TEXTS or wrapped
+    sentences."""
     ends = r"[.!?;]+(?:[ \t\r]+|$)|[\r\n]+|[.!?;]+[\r\n]"
     known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
     steps, last = [], "base"

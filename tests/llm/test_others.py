@@ -241,3 +241,48 @@ def test_licences_rules(spark):
     assert scan_licences(empty(spark)).count() == 0 and scan_licences(awkward(spark)).count() == len(AWKWARD)
     got = scan_licences(spark.createDataFrame([(1, apache)], "doc_id long, text string")).first()
     assert got["n_sentences"] >= 2
+
+
+HEADERS = {
+    "Apache-2.0-header": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0""",
+    "MIT-full": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.""",
+    "GPL-3.0-or-later": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; version 2.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:""",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons\nAttribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "MIT": "Released under the\nMIT License.",
+}
+
+
+def test_licences_standard_texts(spark):
+    df = spark.createDataFrame([(k, v) for k, v in HEADERS.items()], "doc_id string, text string")
+    got = {r["doc_id"]: r["licences"] for r in scan_licences(df).collect()}
+    assert got == {k: k for k in HEADERS}
+    crlf = df.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\r\n")))
+    assert all(r["licences"] == r["doc_id"] for r in scan_licences(crlf).collect())
