@@ -465,8 +465,8 @@ def provider_identity(spark: SparkSession, sf: str) -> DataFrame:
 @register()
 def geometry_insertion(spark: SparkSession, sf: str) -> DataFrame:
     """Measured hints that no block covers, put into their page's order."""
-    b, h = E.blocks(spark, sf), E.hints(spark, sf)
-    return layout.insert_by_geometry(b.where("pos % 3 <> 1"), h.where("hint_ord % 3 = 1"))
+    kept = E.blocks(spark, sf).where("pos % 3 <> 1")
+    return layout.insert_by_geometry(kept, layout.uncovered(E.hints(spark, sf), kept))
 
 
 @register("""o AS (SELECT user_id, event_id, at_ms, CASE WHEN event_id % 7 = 0 THEN at_ms + 9000 END AS free_ms, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, event_id) AS i
