@@ -45,7 +45,7 @@ def formula_clean(spark: SparkSession, sf: str) -> DataFrame:
 @register()
 def equation_display(spark: SparkSession, sf: str) -> DataFrame:
     """Display markup of equations whose terms are the words of a block."""
-    words = F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]+)")), 1, 40)
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"))
     body = F.concat(F.lit("a = "), F.array_join(F.transform(words, lambda w: F.concat(F.lit("x_{"), w, F.lit("}"))), " + "))
     b = E.blocks(spark, sf).where("kind = 'equation'")
     number = X.equation_number(F.concat(F.lit("("), F.col("pos").cast("string"), F.lit(")")))

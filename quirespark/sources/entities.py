@@ -158,7 +158,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split("text", " ", -1)
     marked = F.when(
         ((F.col("doc_id") + F.col("ord")) % 4 == 0) & (F.size(words) > 4),
-        F.concat_ws(" ", F.slice(words, 1, 3), F.lit("[[MATH_0]]"), F.slice(words, 4, 2), F.lit("[[MATH_1]]"), F.slice(words, 6, 100_000)),
+        F.concat_ws(" ", F.slice(words, 1, 3), F.lit("[[MATH_0]]"), F.slice(words, 4, 2), F.lit("[[MATH_1]]"), F.slice(words, F.lit(6), F.size(words))),
     ).otherwise(F.col("text"))
     k = F.col("doc_id") * 5 + F.col("pos")
     source = F.col("source")

@@ -130,3 +130,16 @@ def test_glossary_without_terms(spark):
 
     df = spark.createDataFrame([([],), (None,), ([("a", "", "translate", None)],)], "t array<struct<source: string, target: string, policy: string, note: string>>")
     assert [r.g for r in df.select(provider.glossary_lines(F.col("t")).alias("g")).collect()] == ["- none supplied"] * 3
+
+
+def test_long_lines_stay_whole(spark, tmp_path):
+    from quirespark.plans import documents
+    from quirespark.sources import entities as E
+
+    line = " ".join(["word"] * 100_020)
+    rows = [(i, line if i < 4 else "\n".join(["fast words " * 30] * 12), "en", "s", 1) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    sizes = [r["n"] for r in E.items(spark, str(tmp_path)).where("doc_id < 4").select(F.size(F.split("source", " ")).alias("n")).collect()]
+    assert 100_022 in sizes and set(sizes) <= {100_020, 100_022}
+    terms = documents.equation_display(spark, str(tmp_path)).where("doc_id >= 4").select(F.regexp_count("markup", F.lit("x_[{]")).alias("n")).collect()
+    assert terms and all(r["n"] == 60 for r in terms)
