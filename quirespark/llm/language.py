@@ -118,8 +118,6 @@ def mixture(word_ll: np.ndarray, begins: np.ndarray, rounds: int = 8, penalty: f
         gain = fit - penalty * 0.5 * size * np.log(count + 1.0)
         better = gain > score
         best[better], score[better] = theta[better], gain[better]
-        if size > 1 and not better.any():
-            break
     return best
 
 

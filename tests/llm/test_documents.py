@@ -352,3 +352,15 @@ def test_stages_awkward(spark, sf_dir):
         assert stage(spark, empty(spark).withColumn("n_chars", F.lit(1)), sf_dir).count() == 0, name
         docs = stage(spark, docs, sf_dir)
         assert docs.count() > 0
+
+
+def test_mixture_depends_on_the_text_alone():
+    from quirespark.llm.language import mixture
+
+    rng = np.random.default_rng(3)
+    counts = rng.integers(2, 40, 6000)
+    begins = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    words = np.log(rng.dirichlet(np.full(4, 0.3), counts.sum()) + 1e-6).astype(np.float32) * 2
+    together = mixture(words, begins)
+    alone = np.concatenate([mixture(words[b : b + n], np.zeros(1, int)) for b, n in zip(begins, counts, strict=True)])
+    assert ((together > 0) == (alone > 0)).all() and np.abs(together - alone).max() < 1e-5
