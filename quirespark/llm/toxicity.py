@@ -8,6 +8,7 @@ from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +79,7 @@ def char_model(counts: np.ndarray, words: dict[str, float], share: float = 0.05)
     return np.log(tri)
 
 
-def decode(noisy: str, log_p: np.ndarray, spaces: bool = False, collapse: bool = True) -> str:
+def decode(noisy: str, log_p: np.ndarray | list, spaces: bool = False, collapse: bool = True) -> str:
     """Viterbi decoding of one obfuscated word of any length: the likeliest letters under the character model.
 
     The lattice has, for each character, its letters (a letter is itself, a symbol any letter that it
@@ -105,13 +106,13 @@ def decode(noisy: str, log_p: np.ndarray, spaces: bool = False, collapse: bool =
                 repeated = collapse and b == c and (ch == before or not code)
                 if repeated:
                     put((a, b), value + COST["collapse"], text)
-                put((b, c), value + cost + log_p[a, b, c] + COST["repeat"] * repeated, (text, letter))
+                put((b, c), value + cost + log_p[a][b][c] + COST["repeat"] * repeated, (text, letter))
         if spaces:
             for (a, b), (value, text) in list(new.items()):
                 if b:
-                    put((b, 0), value + log_p[a, b, 0], (text, " "))
+                    put((b, 0), value + log_p[a][b][0], (text, " "))
         states, before = new, ch
-    text = max(((v + (log_p[a, b, 0] if b or not a else 0.0), t) for (a, b), (v, t) in states.items()), key=lambda x: x[0])[1]
+    text = max(((v + (log_p[a][b][0] if b or not a else 0.0), t) for (a, b), (v, t) in states.items()), key=lambda x: x[0])[1]
     out: list[str] = []
     while text is not None:
         text, letter = text
@@ -125,7 +126,7 @@ _WORDS = re.compile(r"[^\W\d_]+").findall
 _PARTS = re.compile("[" + re.escape("".join(sorted(SEPARATORS))) + "]+").split
 
 
-def restore(token: str, log_p: np.ndarray) -> str:
+def restore(token: str, log_p: np.ndarray | list) -> str:
     """The letters of one token without white space: as they are, or decoded if it looks obfuscated."""
     token = token.lower()
     if not token.isalpha():
@@ -144,7 +145,7 @@ def restore(token: str, log_p: np.ndarray) -> str:
     return token
 
 
-def readings(token: str, log_p: np.ndarray) -> list[list[str]]:
+def readings(token: str, log_p: np.ndarray | list) -> list[list[str]]:
     """The ways to read one token without white space, each a list of words: as it is if it has letters only; else
     decoded as a whole, the words between separators, each decoded if it holds symbols, and all its runs of letters.
     A token without any letter is a number or a mark, and has none."""
@@ -257,10 +258,13 @@ class _Scorer(dict):
     def __init__(self, model: ToxicityModel):
         super().__init__()
         self.model = model
+        self.log_p = model.char_log_p.tolist()  # lists are read faster than an array, one number at a time
         self.starts = {f[:4] for f in model.weights}
         self.whole = [f for f in model.weights if f[-1] != "*"]
         self.longest = max(map(len, self.whole), default=0)
         self.pieces = {f[i:j] for f in self.whole for i in range(len(f)) for j in range(i + 1, len(f) + 1)} - set(self.whole)
+        self.heads = {f[:j] for f in self.whole for j in range(1, len(f) + 1)}
+        self.join = lru_cache(100_000)(lambda x: decode(x, self.log_p))
         self.part: dict[str, bool] = {}  # fragment() of tokens seen
 
     def word(self, w: str) -> float:
@@ -270,12 +274,12 @@ class _Scorer(dict):
 
     def hit(self, w: str) -> tuple[str, float]:
         """A word and its evidence; one with doubled letters is looked up decoded and as it is."""
-        ways = [decode(w, self.model.char_log_p), w] if _DOUBLE.search(w) else [w]
+        ways = [decode(w, self.log_p), w] if _DOUBLE.search(w) else [w]
         return max(((x, self.word(x)) for x in ways), key=lambda x: x[1])
 
     def __missing__(self, token: str) -> list[tuple[str, float]]:
         """Of the token's readings the one of most evidence, with every word of it that has any."""
-        ways = ([h for w in way if (h := self.hit(w))[1]] for way in readings(token, self.model.char_log_p))
+        ways = ([h for w in way if (h := self.hit(w))[1]] for way in readings(token, self.log_p))
         hits = max(ways, key=lambda way: sum(v for _, v in way), default=[])
         if len(self) > 300_000:
             self.clear()
@@ -286,7 +290,7 @@ class _Scorer(dict):
     def spaced(self, letters: str) -> list[tuple[str, float]]:
         """The toxic words in the reading of a run of single characters, repeated letters dropped or, if that has
         more evidence, kept."""
-        ways = [decode(letters.lower(), self.model.char_log_p, True, c) for c in ((True, False) if _DOUBLE.search(letters.lower()) else (True,))]
+        ways = [decode(letters.lower(), self.log_p, True, c) for c in ((True, False) if _DOUBLE.search(letters.lower()) else (True,))]
         return max((self.segments(x.split()) for x in ways), key=lambda x: sum(v for _, v in x))
 
     def segments(self, words: list[str]) -> list[tuple[str, float]]:
@@ -326,14 +330,16 @@ class _Scorer(dict):
         """Whether a token may be a piece of a word of the lexicon: one character, or letters within such a word."""
         if len(token) == 1:
             return True
-        w = restore(token, self.model.char_log_p)
+        if token.isalpha() and not _DOUBLE.search(w := token.lower()):
+            return w in self.pieces and not self[token]
+        w = restore(token, self.log_p)
         return len(w) < self.longest and w in self.pieces and not self[token]
 
     def broken(self, tokens: list[str]) -> list[tuple[str, float]]:
         """The toxic words in a run of fragments: lexicon words made of whole tokens, from the left the longest first;
         single characters between them, three at least, are read as a run of their own."""
         out: list[tuple[str, float]] = []
-        read = [restore(t, self.model.char_log_p) or t for t in tokens]
+        read = [restore(t, self.log_p) or t for t in tokens]
         singles: list[str] = []
 
         def flush() -> None:
@@ -345,11 +351,18 @@ class _Scorer(dict):
         while i < len(tokens):
             found = 0
             j, size = i + 1, len(read[i])
+            plain, begun = read[i], tokens[i].isalpha() and read[i] in self.heads
+            odd = not tokens[i].isalpha()  # symbols or doubled letters: the join may be read otherwise than its parts
+            many = len(tokens[i]) > 1
             while j < len(tokens) and size < 2 * self.longest:
-                size += len(read[j])
+                odd = odd or not tokens[j].isalpha() or plain[-1:] == read[j][:1]
+                plain, size, many = plain + read[j], size + len(read[j]), many or len(tokens[j]) > 1
+                begun = begun and plain in self.heads
                 j += 1
-                if any(len(t) > 1 for t in tokens[i:j]):
-                    for joined in ("".join(read[i:j]), decode("".join(tokens[i:j]).lower(), self.model.char_log_p)):
+                if not (begun or odd):
+                    break  # a longer join is no word either, unless symbols or doubles follow
+                if many:
+                    for joined in (plain, self.join("".join(tokens[i:j]).lower())) if odd else (plain,):
                         if joined in self.model.weights:
                             found, word = j, joined
                             break
