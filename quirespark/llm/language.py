@@ -128,10 +128,10 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     is the chosen language's estimated proportion of the words; mixture maps each selected language to
     its proportion. lang_pred is ``und`` with score 0 if text is null, empty or without letters, or if
     the model has no language. Ties go to the first name in order. Other columns pass through, except
-    that columns named like the new ones are replaced.
+    that columns named like the new ones, in any case, are replaced.
     """
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "mixture")]
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "mixture")]
     plain = docs.select(kept)
     schema = f"{plain._jdf.schema().toDDL()}, lang_pred string, score double, mixture map<string,double>"
     at = kept.index("text")

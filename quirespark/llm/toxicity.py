@@ -122,6 +122,8 @@ def decode(noisy: str, log_p: np.ndarray | list, spaces: bool = False, collapse:
 
 _EDGE = re.compile(r"^[^\w@$!|+(€£¡]+|[^\w]+$|^[|+(]+(?=\w)|_+$")
 _DOUBLE = re.compile(r"(.)\1")
+_DOUBLES = re.compile(r"(.)\1+")
+_CLOSING = ".,;:!?\"')"
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _PARTS = re.compile("[" + re.escape("".join(sorted(SEPARATORS))) + "]+").split
 
@@ -265,7 +267,26 @@ class _Scorer(dict):
         self.pieces = {f[i:j] for f in self.whole for i in range(len(f)) for j in range(i + 1, len(f) + 1)} - set(self.whole)
         self.heads = {f[:j] for f in self.whole for j in range(1, len(f) + 1)}
         self.join = lru_cache(100_000)(lambda x: decode(x, self.log_p))
+        self.read = lru_cache(100_000)(lambda x: restore(x, self.log_p) or x)
+        self.run = lru_cache(100_000)(lambda x: self.broken(x.split(" ")))
         self.part: dict[str, bool] = {}  # fragment() of tokens seen
+        self.single = {_DOUBLES.sub(r"\1", s) for s in self.starts}  # beginnings without repeated letters
+        self.telling = [pa.array(sorted(x), pa.large_string()) for x in (self.starts, self.pieces)]
+
+    def notable(self, tokens: pa.Array) -> np.ndarray:
+        """Which tokens need a closer look. The others are letters with at most marks behind, without repeated
+        letters, and neither begin like a word of the lexicon nor are a piece of one: no evidence and no fragment."""
+        low = pc.utf8_lower(tokens)
+        core = pc.utf8_rtrim(low, _CLOSING)
+        points = code_points("\n".join(core.to_pylist()) + "\n")
+        at = np.flatnonzero(points == 10)
+        twice = np.flatnonzero(points[1:] == points[:-1])
+        doubled = np.zeros(len(core), bool)
+        doubled[np.searchsorted(at, twice)] = True
+        plain = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False) & ~doubled
+        begins = pc.is_in(pc.utf8_slice_codeunits(core, 0, 4), self.telling[0])
+        piece = pc.or_(pc.is_in(core, self.telling[1]), pc.less_equal(pc.utf8_length(tokens), 1))
+        return ~plain | pc.or_(begins, piece).to_numpy(zero_copy_only=False)
 
     def word(self, w: str) -> float:
         if w[:4] not in self.starts:
@@ -274,7 +295,11 @@ class _Scorer(dict):
 
     def hit(self, w: str) -> tuple[str, float]:
         """A word and its evidence; one with doubled letters is looked up decoded and as it is."""
-        ways = [decode(w, self.log_p), w] if _DOUBLE.search(w) else [w]
+        ways = [w]
+        if _DOUBLE.search(w):
+            once = _DOUBLES.sub(r"\1", w)  # decoding only drops repeated letters
+            if any(once[:k] in self.single for k in range(1, 5)):
+                ways = [decode(w, self.log_p), w]
         return max(((x, self.word(x)) for x in ways), key=lambda x: x[1])
 
     def __missing__(self, token: str) -> list[tuple[str, float]]:
@@ -339,7 +364,7 @@ class _Scorer(dict):
         """The toxic words in a run of fragments: lexicon words made of whole tokens, from the left the longest first;
         single characters between them, three at least, are read as a run of their own."""
         out: list[tuple[str, float]] = []
-        read = [restore(t, self.log_p) or t for t in tokens]
+        read = [self.read(t) for t in tokens]
         singles: list[str] = []
 
         def flush() -> None:
@@ -387,10 +412,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     characters, and of pieces of lexicon words, are read together) and looked up, with its prefixes, in the lexicon; one that separators divide
     may be read in parts, which all count. The log odds are the prior, plus the
     evidence of each different word found, times 1 + ln(its occurrences), less the rate for each token.
-    Null, empty and wordless texts have the prior alone. Other columns pass through; one named score is replaced.
+    Null, empty and wordless texts have the prior alone. Other columns pass through; one named score, in any case, is replaced.
     """
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [c for c in docs.columns if c.lower() != "score"]
     plain = docs.select(kept)
     at = kept.index("text")
 
@@ -407,8 +432,17 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 if len(scorer) > 200_000:
                     scorer.clear()
                     scorer.part.clear()
-                hits = [scorer[x] for x in names]
-                toxic = np.fromiter(map(bool, hits), bool, len(names))
+                closer = np.flatnonzero(scorer.notable(coded.dictionary)).tolist()  # the others say nothing
+                hits: dict[int, list[tuple[str, float]]] = {}
+                part = np.zeros(len(names), bool)
+                for i in closer:
+                    if got := scorer[names[i]]:
+                        hits[i] = got
+                    if (known := scorer.part.get(names[i])) is None:
+                        known = scorer.part[names[i]] = scorer.fragment(names[i])
+                    part[i] = known
+                toxic = np.zeros(len(names), bool)
+                toxic[list(hits)] = True
                 codes = coded.indices.to_numpy()
                 owner = lambda i, ends=ends: np.searchsorted(ends, i, side="right") - 1
                 found: dict[int, dict[str, list[float]]] = defaultdict(dict)
@@ -420,17 +454,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
                 for i in np.flatnonzero(toxic[codes]):
                     for word, value in hits[codes[i]]:
                         note(int(owner(i)), word, value)
-                for x in names:
-                    if x not in scorer.part:
-                        scorer.part[x] = scorer.fragment(x)
-                piece = np.fromiter(map(scorer.part.__getitem__, names), bool, len(names))[codes]
-                edge = np.diff(np.concatenate(([0], piece.astype(np.int8), [0])))
-                for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-                    if j - i >= 2:
-                        own = owner(np.arange(i, j))
-                        for d in np.unique(own):
-                            for word, value in scorer.broken([names[c] for c in codes[i:j][own == d]]):
-                                note(int(d), word, value)
+                piece = part[codes]
+                first = np.zeros(len(piece) + 1, bool)  # where a text begins, and the end: runs do not go on there
+                first[ends] = True
+                begun = np.flatnonzero(piece & (first[:-1] | ~np.concatenate(([False], piece[:-1]))))
+                past = np.flatnonzero(piece & (first[1:] | ~np.concatenate((piece[1:], [False])))) + 1
+                long = past - begun >= 2
+                begun, past = begun[long], past[long]
+                for i, j, d in zip(begun.tolist(), past.tolist(), owner(begun).tolist(), strict=True):
+                    for word, value in scorer.run(" ".join(names[c] for c in codes[i:j])):
+                        note(d, word, value)
                 odds[a:b] -= model.rate * np.diff(ends)
                 for d, own in found.items():
                     odds[a + d] += sum(value * (1 + math.log(n)) for value, n in own.values())
