@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import json
 import os
-import unicodedata
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,9 +20,25 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+# How the word vocabulary file prepares texts. Only for files that do so are texts taken word by word.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: Characters on whose class, case and normal form all Unicode versions agree and that never compose with a neighbour:
+#: printable ASCII, letters and marks of two Latin blocks, and common punctuation.
+SURE = {*range(0x21, 0x7F), *range(0xA1, 0x180), *range(0x2010, 0x2028), 0x20AC} - {0xAD, 0x130, 0x149}
+
+
 class WordEncoder(dict):
-    """Little-endian uint32 ids of a white-space-free word, memoised by word and by the pieces into
-    which the tokenizer itself splits it. Both memos are emptied when they reach ``limit`` entries."""
+    """Little-endian uint32 ids of a word without blanks, memoised by word and by the pieces into which the
+    vocabulary's pattern splits it. Both memos are emptied when they reach ``limit`` entries.
+
+    A word of SURE characters only is split here; any other word goes to the tokenizer as it is, so its own Unicode
+    tables decide. A file that prepares texts in another way than NORMALIZER and PATTERN gets whole texts.
+    """
 
     def __init__(self, path: str, limit: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -30,23 +47,42 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        # Fixed value: the pattern of the vocabulary's own pre-tokenizer, after its lower-casing.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.model = self.tokenizer.model
+        plan = json.loads(self.tokenizer.to_str())
+        steps = (plan["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_word = (
+            plan["normalizer"] == NORMALIZER
+            and plan["post_processor"] is None
+            and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+            and steps[0] == {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+            and not steps[1]["add_prefix_space"]
+            and not steps[1]["use_regex"]
+        )
+        self.marks = [t["content"] for t in plan["added_tokens"]]
+        self.split = regex.compile(PATTERN).findall
+        self.unsure = re.compile("[^ \n" + re.escape("".join(map(chr, sorted(SURE)))) + "]").search
         self.pieces: dict[str, bytes] = {}
         self.limit = limit
 
     def direct(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def modelled(self, piece: str) -> bytes:
+        return np.asarray([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
+
     def __missing__(self, word: str) -> bytes:
-        out = b""
-        for piece in self.split(word):
-            got = self.pieces.get(piece)
-            if got is None:
-                if len(self.pieces) >= self.limit:
-                    self.pieces.clear()
-                got = self.pieces[piece] = self.direct(piece)
-            out += got
+        if self.unsure(word):
+            out = self.direct(word)
+        else:
+            out = b""
+            for piece in self.split(word.lower()):
+                got = self.pieces.get(piece)
+                if got is None:
+                    if len(self.pieces) >= self.limit:
+                        self.pieces.clear()
+                    # Byte-level letters of ASCII are the characters themselves, so the model can take them.
+                    got = self.pieces[piece] = self.modelled(piece) if piece.isascii() else self.direct(piece)
+                out += got
         if len(self) >= self.limit:
             self.clear()
         if len(word) < 40:
@@ -55,11 +91,11 @@ class WordEncoder(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids the tokenizer gives for the whole text, as bytes."""
-        if "<|" in text or "Σ" in text:  # added tokens; lower-casing that depends on context
+        if not self.by_word or any(m in text for m in self.marks):
             return self.direct(text)
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        return b"".join(map(self.__getitem__, text.lower().replace("\n", " ").split(" ")))
+        if not self.unsure(text):
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def encoder(path: str) -> WordEncoder:
