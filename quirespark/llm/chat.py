@@ -2,92 +2,131 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rotate_perspectives(turns: DataFrame, chunk: int = 1024) -> DataFrame:
+def escape(text: Column) -> Column:
+    """Text that cannot be taken for a header: a backslash goes between < and |, one more where some stand already.
+    Taking one backslash out of each such place gives the text back."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+
+
+def rotate_perspectives(turns: DataFrame, chunk: int = 1024, crowd: int = 4096) -> DataFrame:
     """Render each dialogue once for every participant, with that speaker as the assistant.
 
-    turns has conv_id, turn, role and text. Participants of a dialogue are its different roles other
-    than ``system``; a null or blank role speaks as ``unknown``. One row per dialogue, participant
-    (perspective) and turn: turn_index (from 0, by turn, role, text; null turns first), role_out
-    (``assistant`` for the perspective's own turns, ``system`` for system turns, else ``user``), name (the
-    speaker of a user turn, else null), rendered (the turn as text), mask (1 where the turn is trained
-    on), start and length (characters of the turn in the rendered dialogue). The concatenation of
-    rendered in order of turn_index is the dialogue; mask spans follow from start and length.
+    turns has conv_id, turn, role and text. Participants of a dialogue are its different roles, trimmed, other
+    than ``system`` in any case; names that differ by case are different people; a null or blank role speaks as
+    ``unknown``. One row per dialogue, participant (perspective) and turn: turn_index (from 0, by turn, null turns
+    first, then by md5 of role and text), role_out (``assistant`` for the perspective's own turns, ``system`` for
+    system turns, else ``user``), name (the speaker of a user turn, else null), rendered (header, content and end
+    mark), mask (1 if the turn is trained on), start and length (characters of the turn in the rendered dialogue),
+    content_start and content_length: the characters to train on where mask is 1, without header and end mark.
+    The concatenation of rendered in order of turn_index is the dialogue.
 
-    Null text is empty text. Repeated rows are turns of their own. A dialogue of system turns only has
+    Content is escaped (:func:`escape`), and in header names line ends, < > and | become _, so no text or role forges
+    a turn. Null text is empty text. Repeated rows are turns of their own. A dialogue of system turns only has
     no participant and no rows. Other columns are ignored. Rows stay turns: a dialogue is never gathered
     into one value, and running totals are taken first in chunks of turn numbers, then over chunks, so a
-    dialogue that holds much of the table is not one task.
+    dialogue that holds much of the table is not one task. A turn number with more than ``crowd`` rows is chunked by
+    md5 as well, and equal rows under it are counted first.
     """
-    role = F.coalesce(F.nullif(F.trim(F.lower("role")), F.lit("")), F.lit("unknown"))
-    said = turns.select("conv_id", "turn", role.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-    said = said.withColumn("part", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(2**62))))
+    trimmed = F.coalesce(F.nullif(F.trim("role"), F.lit("")), F.lit("unknown"))
+    speaker = F.when(F.lower(trimmed) == "system", "system").otherwise(trimmed)
+    said = turns.select("conv_id", "turn", speaker.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    said = said.withColumns(
+        {
+            "tie": F.md5(F.concat("speaker", F.lit("\n"), "text").cast("binary")),
+            "part": F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(2**62))),
+        }
+    )
+    crowded = said.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    crowded = crowded.select(F.col("conv_id").alias("cc"), F.col("turn").alias("ct"))
+    here = F.col("conv_id").eqNullSafe(F.col("cc")) & F.col("turn").eqNullSafe(F.col("ct"))
+    calm = said.join(crowded, here, "left_anti").withColumns({"copies": F.lit(1).cast("long"), "sub": F.lit("")})
+    dense = said.join(crowded, here, "left_semi").groupBy(*said.columns).agg(F.count("*").alias("copies"))
+    dense = dense.withColumn("sub", F.concat(F.lpad(F.pmod("turn", F.lit(chunk)).cast("string"), 9, "0"), F.substring("tie", 1, 3)))
+    # In a chunk with a crowded turn the calm turns keep their place by the same key.
+    calm = calm.join(
+        crowded.select(F.col("cc"), F.coalesce(F.floor(F.col("ct") / chunk), F.lit(-(2**62))).alias("cp")).distinct(),
+        F.col("conv_id").eqNullSafe(F.col("cc")) & (F.col("part") == F.col("cp")),
+        "left",
+    ).withColumn("sub", F.when(F.col("cp").isNull(), "").otherwise(F.lpad(F.pmod("turn", F.lit(chunk)).cast("string"), 9, "0")))
+    said = calm.select(*dense.columns).unionByName(dense).withColumn("sub", F.coalesce("sub", F.substring("tie", 1, 3)))
     said = said.withColumn("turn_key", F.struct(F.col("turn").isNotNull(), F.col("turn")))
     speakers = said.where("speaker <> 'system'").select("conv_id", "speaker").distinct().withColumnRenamed("speaker", "perspective")
 
     own = F.col("speaker") == F.col("perspective")
     role_out = F.when(F.col("speaker") == "system", "system").when(own, "assistant").otherwise("user")
     name = F.when(role_out == "user", F.col("speaker"))
-    head = F.concat(F.lit("<|"), role_out, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("|>\n"))
+    shown = F.concat(F.lit(" name="), F.regexp_replace(name, r"[\r\n<>|]", "_"))
+    head = F.concat(F.lit("<|"), role_out, F.coalesce(shown, F.lit("")), F.lit("|>\n"))
+    content = escape(F.col("text"))
     turn = said.alias("s").join(speakers.alias("p"), F.col("s.conv_id").eqNullSafe(F.col("p.conv_id"))).select(
-        "s.conv_id", "perspective", "turn_key", "part", "speaker", "text"
+        "s.conv_id", "perspective", "turn_key", "part", "sub", "tie", "speaker", "text", "copies"
     )
-    turn = turn.withColumns({"role_out": role_out, "name": name}).withColumn(
-        "rendered", F.concat(head, F.col("text"), F.lit("<|end|>\n"))
+    turn = turn.withColumns({"role_out": role_out, "name": name, "head": F.length(head).cast("long")}).withColumn(
+        "rendered", F.concat(head, content, F.lit("<|end|>\n"))
     ).withColumn("length", F.length("rendered").cast("long"))
 
-    in_part = Window.partitionBy("conv_id", "perspective", "part").orderBy("turn_key", "speaker", "text")
+    in_part = Window.partitionBy("conv_id", "perspective", "part", "sub").orderBy("turn_key", "tie", "speaker", "text")
     before = in_part.rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("length") * F.col("copies")
     local = turn.withColumns(
-        {"i": F.row_number().over(in_part) - 1, "c": F.coalesce(F.sum("length").over(before), F.lit(0))}
+        {"i": F.coalesce(F.sum("copies").over(before), F.lit(0)), "c": F.coalesce(F.sum(size).over(before), F.lit(0))}
     )
-    over_parts = Window.partitionBy("conv_id", "perspective").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = turn.groupBy("conv_id", "perspective", "part").agg(F.count("*").alias("n"), F.sum("length").alias("chars"))
+    over_parts = Window.partitionBy("conv_id", "perspective").orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    totals = turn.groupBy("conv_id", "perspective", "part", "sub").agg(F.sum("copies").alias("n"), F.sum(size).alias("chars"))
     totals = totals.select(
-        F.col("conv_id").alias("tc"), F.col("perspective").alias("tp"), F.col("part").alias("tt"),
+        F.col("conv_id").alias("tc"), F.col("perspective").alias("tp"), F.col("part").alias("tt"), F.col("sub").alias("ts"),
         F.coalesce(F.sum("n").over(over_parts), F.lit(0)).alias("n0"),
         F.coalesce(F.sum("chars").over(over_parts), F.lit(0)).alias("c0"),
     )
-    return local.join(
-        totals, F.col("conv_id").eqNullSafe(F.col("tc")) & (F.col("perspective") == F.col("tp")) & (F.col("part") == F.col("tt"))
-    ).select(
+    same = (F.col("part") == F.col("tt")) & (F.col("sub") == F.col("ts"))
+    placed = local.join(totals, F.col("conv_id").eqNullSafe(F.col("tc")) & (F.col("perspective") == F.col("tp")) & same)
+    start = F.col("c0") + F.col("c") + F.col("k") * F.col("length")
+    return placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select(
         "conv_id",
         "perspective",
-        (F.col("n0") + F.col("i")).cast("long").alias("turn_index"),
+        (F.col("n0") + F.col("i") + F.col("k")).cast("long").alias("turn_index"),
         "role_out",
         "name",
         "rendered",
         (F.col("role_out") == "assistant").cast("int").alias("mask"),
-        (F.col("c0") + F.col("c")).cast("long").alias("start"),
+        start.cast("long").alias("start"),
         "length",
+        (start + F.col("head")).cast("long").alias("content_start"),
+        (F.col("length") - F.col("head") - len("<|end|>\n")).cast("long").alias("content_length"),
     )
 
 
 #: The same rows from DuckDB; it states the rendering without chunks.
-ROTATION_SQL = """
+ROTATION_SQL = r"""
 WITH said AS (
-  SELECT conv_id, turn, coalesce(nullif(trim(lower(role)), ''), 'unknown') AS speaker, coalesce(text, '') AS text
-  FROM conversations
+  SELECT conv_id, turn, CASE WHEN lower(r) = 'system' THEN 'system' ELSE r END AS speaker, text
+  FROM (SELECT conv_id, turn, coalesce(nullif(trim(role), ''), 'unknown') AS r, coalesce(text, '') AS text FROM conversations)
 ), people AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'
 ), cast_turns AS (
-  SELECT s.conv_id, p.perspective, s.turn, s.speaker, s.text,
+  SELECT s.conv_id, p.perspective, s.turn, s.speaker, s.text, md5(s.speaker || chr(10) || s.text) AS tie,
     CASE WHEN s.speaker = 'system' THEN 'system' WHEN s.speaker = p.perspective THEN 'assistant' ELSE 'user' END AS role_out
   FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
-), rendered AS (
+), headed AS (
   SELECT *, CASE WHEN role_out = 'user' THEN speaker END AS name,
-    '<|' || role_out || CASE WHEN role_out = 'user' THEN ' name=' || speaker ELSE '' END || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered
+    '<|' || role_out || CASE WHEN role_out = 'user' THEN ' name=' || regexp_replace(speaker, '[\r\n<>|]', '_', 'g') ELSE '' END || '|>' || chr(10) AS head,
+    regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS content
   FROM cast_turns
+), rendered AS (
+  SELECT *, head || content || '<|end|>' || chr(10) AS rendered FROM headed
+), placed AS (
+  SELECT *, row_number() OVER w - 1 AS turn_index,
+    CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, tie, speaker, text
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM rendered
+  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, tie, speaker, text)
 )
-SELECT conv_id, perspective,
-  row_number() OVER w - 1 AS turn_index, role_out, name, rendered,
-  CAST(role_out = 'assistant' AS INTEGER) AS mask,
-  CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
-  CAST(length(rendered) AS BIGINT) AS length
-FROM rendered
-WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text)
+SELECT conv_id, perspective, turn_index, role_out, name, rendered, CAST(role_out = 'assistant' AS INTEGER) AS mask, start,
+  CAST(length(rendered) AS BIGINT) AS length, CAST(start + length(head) AS BIGINT) AS content_start,
+  CAST(length(content) AS BIGINT) AS content_length
+FROM placed
 """
