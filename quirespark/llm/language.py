@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._chars import code_points, letters, slices
-from ._common import fold, small_batches
+from ._common import fold, sliced
 
 BUCKETS = 1 << 16
 
@@ -48,11 +48,10 @@ def fit_language_model(docs: DataFrame, smoothing: float = 0.5) -> LanguageModel
     Each task adds up BUCKETS counters per language, so what is shuffled and what the driver gathers
     (BUCKETS x languages) does not grow with the input.
     """
-    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             langs = np.array(batch.column(1).to_pylist(), dtype=object)
             texts = batch.column(0).to_pylist()
             for lang in set(langs):
@@ -130,7 +129,6 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     the model has no language. Ties go to the first name in order. Other columns pass through, except
     that columns named like the new ones, in any case, are replaced.
     """
-    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "mixture")]
     plain = docs.select(kept)
     schema = f"{plain._jdf.schema().toDDL()}, lang_pred string, score double, mixture map<string,double>"
@@ -138,7 +136,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = model.names
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             pred: list[str] = ["und"] * len(texts)
             score = np.zeros(len(texts))

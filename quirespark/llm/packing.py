@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import small_batches
+from ._common import sliced
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long"
 
@@ -188,9 +188,6 @@ def pack_documents(
     fill its windows leaves under one window of padding per task. Null doc_ids and repeated rows are
     packed as they are; other columns are ignored; empty in, empty out.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -226,7 +223,7 @@ def pack_documents(
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padding"],
             )
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = enc.encode(text or "") + tail
                 n = len(ids) // 4

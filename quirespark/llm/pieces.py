@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, small_batches
+from ._common import materialize, sliced
 
 NONE = -(1 << 60)  # max-plus zero
 SPACE = "▁"
@@ -259,14 +259,13 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = 32_768) -> D
     (the longer last piece wins), whatever the cuts. Equal giant texts are encoded once. Null and empty
     texts give one row with no ids. Repeated rows stay; other columns are ignored; empty in, empty out.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     giant = F.coalesce(F.length("text") > chunk, F.lit(False))
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(model_path)
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 ids = _bytes_column([voc.encode(t or "") for t in batch.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
@@ -340,12 +339,13 @@ def piece_digests(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(model_path)
         pieces = pa.array([bytes([voc.byte_of[i]]) if i in voc.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(voc.names)], pa.large_binary())
-        for batch in batches:
+        for batch in sliced(batches):
             if not batch.num_rows:
                 continue
             ids, chunk = batch.column(2), batch.column(1).to_pylist()
-            offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
-            spelt = pieces.take(ids.values)
+            offsets, own_ids = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten()
+            values = own_ids.to_numpy()
+            spelt = pieces.take(own_ids)
             at = np.frombuffer(spelt.buffers()[1], dtype=np.int64)[offsets].tolist()
             whole, out = memoryview(spelt.buffers()[2] or b""), []
             for k in range(batch.num_rows):

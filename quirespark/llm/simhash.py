@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, small_batches
+from ._common import materialize, sliced
 from .components import connected_components
 
 U64 = np.uint64
@@ -43,15 +43,16 @@ _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
 def add_fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long; null, empty and blank texts get 0."""
-    small_batches(docs.sparkSession)
+    """(doc_id, digest, fp): fp is the fingerprint as a signed long; null, empty and blank texts get 0. digest names
+    the row by id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=U64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got.view(np.int64))], names=["doc_id", "digest", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", _row_key().alias("digest")).mapInArrow(run, f"doc_id {kind}, digest string, fp long")
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -219,6 +220,17 @@ def fingerprint_edges(fps: DataFrame, radius: int = 2, cap: int = 4096) -> DataF
     return ready.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(search, "a long, b long").distinct()
 
 
+def _classes(marked: DataFrame, radius: int) -> DataFrame:
+    """(fp, component, component_id) for each fingerprint: component is its smallest fingerprint in signed order."""
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    parts = connected_components(fingerprint_edges(nodes, radius))
+    named = nodes.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn(
+        "component", F.coalesce("component", "fp")
+    )
+    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return named.join(names, "component").select("fp", "component", "component_id")
+
+
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text).
 
@@ -228,14 +240,29 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
     its row and never names a component unless all ids of the component are null. Repeated rows are
     kept; other columns are ignored; empty in, empty out.
     """
-    marked = materialize(add_fingerprints(docs, words))
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = connected_components(fingerprint_edges(nodes, radius))
-    named = nodes.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
-    )
-    names = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(names, "component").select("fp", "component_id")
-    return marked.join(classes, "fp").select(
+    marked = materialize(add_fingerprints(docs, words).drop("digest"))
+    return marked.join(_classes(marked, radius).drop("component"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def _row_key() -> Column:
+    """Names a row by its id and its text, for a join in which neither has to be sent along."""
+    part = [F.coalesce(x, F.lit("null")) for x in (F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")))]
+    return F.concat_ws("#", *part)
+
+
+def keep_representatives(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
+    """One row of docs (doc_id, text, ...) for each component of :func:`simhash_components`, all columns kept.
+
+    The row of the smallest doc_id stays (null ids last), of several texts under that id the one of least md5, of rows that agree in
+    both the least in the other columns. Components are found by fingerprints, so two that share a doc_id
+    by chance each keep a row. Texts are sent once: keys of kept rows meet the rows, and rows that agree in the key
+    are already together. Empty in, empty out.
+    """
+    marked = materialize(add_fingerprints(docs, words))
+    best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest")))
+    kept = marked.join(_classes(marked, radius), "fp").groupBy("component").agg(best.alias("best"))
+    kept = materialize(kept.select(F.col("best.digest").alias("row_key")).distinct())
+    found = docs.withColumn("row_key", _row_key()).join(kept, "row_key", "left_semi")
+    return found.groupBy("row_key").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("row")).select("row.*")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._chars import code_points, latin, slices
-from ._common import fold, small_batches
+from ._common import fold, sliced
 
 # Characters that stand for letters in obfuscated words.
 LEET = {
@@ -44,11 +44,10 @@ class ToxicityModel:
 
 def char_counts(docs: DataFrame) -> np.ndarray:
     """Counts of letter trigrams (27 x 27 x 27) over the whole texts of all rows, added up in each task."""
-    small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(27**3, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts):
                 c = latin()[code_points("\x00".join(t or "" for t in texts[a:b]) + "\x00")].astype(np.int32)
@@ -228,7 +227,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 2000, strictne
     hash of doc_id); class rates and the
     character model are counted over all rows. strictness lowers the log odds of every text. Rows without label, doc_id or text teach nothing.
     """
-    spark = docs.sparkSession
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # Labels meet ids only, so no text is shuffled; then a bounded list of ids fetches the sample's texts.
     ids = docs.where(F.col("text").isNotNull() & (fold("doc_id", 4) != 2)).select("doc_id").distinct().join(known, "doc_id")
@@ -242,12 +240,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 2000, strictne
     toxic = (n.get(1, 0) + 0.5) / (sum(n.values()) + 5)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(t, int(y > 0)) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        rows = [(t, int(y > 0)) for b in sliced(batches) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         got, rate = fit_lexicon(rows)
         names, values = ["", *got], [rate, *got.values()]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.float64())], names=["f", "v"])
 
-    small_batches(spark)
     weights = {r["f"]: r["v"] for r in sample.select("text", "toxic").coalesce(1).mapInArrow(fit, "f string, v double").collect()}
     rate = weights.pop("", 0.0)
     log_p = char_model(char_counts(docs), {f: math.exp(v) for f, v in weights.items() if f[-1] != "*"})
@@ -414,14 +411,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     evidence of each different word found, times 1 + ln(its occurrences), less the rate for each token.
     Null, empty and wordless texts have the prior alone. Other columns pass through; one named score, in any case, is replaced.
     """
-    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() != "score"]
     plain = docs.select(kept)
     at = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             odds = np.full(len(texts), model.prior)
             for a, b in slices(texts):

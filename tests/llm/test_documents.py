@@ -1,3 +1,4 @@
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 from quirespark.llm import queries as Q
 from quirespark.llm.components import connected_components
 from quirespark.llm.language import fit_language_model, identify_languages
-from quirespark.llm.packing import differencing, pack_documents, windows_for
+from quirespark.llm.packing import WordEncoder, differencing, pack_documents, windows_for
 from quirespark.llm.sharding import place, shard_documents
-from quirespark.llm.simhash import GrayIndex, fingerprint, fingerprint_edges, gray_rank, simhash_components
-from quirespark.llm.toxicity import ToxicityModel, _Scorer, char_model, decode, fit_toxicity, restore, score_toxicity
+from quirespark.llm.simhash import GrayIndex, fingerprint, fingerprint_edges, gray_rank, keep_representatives, simhash_components
+from quirespark.llm.toxicity import COST, LEET, ToxicityModel, _Scorer, char_model, decode, fit_toxicity, restore, score_toxicity
 
 from .util import AWKWARD, awkward, empty, union_components
 
@@ -74,12 +75,59 @@ def test_sharding_hot_group_is_split(spark):
 
 def test_placement_balances_all_dimensions():
     need = np.random.default_rng(1).pareto(2, (2000, 3))
-    got = place(need, need.sum(axis=0) / 10, 10)
+    got = place(need / (need.sum(axis=0) / 10), np.ones((10, 3)))
     for k in range(3):
         load = np.bincount(got, weights=need[:, k])
         assert load.max() / load.mean() < 1.15
 
 
+def test_sharding_equals_plain_greedy(spark):
+    """One level: each group of equal texts, largest first, to the highest dot product with the free capacity."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join("w" * int(n) for n in rng.integers(1, 9, rng.integers(1, 40))) for _ in range(120)]
+    docs = [(i, texts[int(k)]) for i, k in enumerate(rng.integers(0, 120, 300))]
+    got = rows_of(shard_documents(spark.createDataFrame(docs, "doc_id long, text string"), 5))
+    groups = defaultdict(lambda: [0, 0, 0])
+    for _, t in docs:
+        for k, x in enumerate((len(t.encode()) + 8, t.count(" ") + 1, 1)):
+            groups[hashlib.md5(t.encode()).hexdigest()][k] += x
+    names = sorted(groups)
+    need = [[x / (sum(g[k] for g in groups.values()) / 5) for k, x in enumerate(groups[n])] for n in names]
+    free, want = [[1.0] * 3 for _ in range(5)], {}
+    for i in sorted(range(len(names)), key=lambda i: (-max(need[i]), i)):
+        dots = [sum(a * b for a, b in zip(f, need[i], strict=True)) for f in free]
+        best = max(range(5), key=lambda j: (round(dots[j], 12), -j))
+        want[names[i]] = best
+        free[best] = [a - b for a, b in zip(free[best], need[i], strict=True)]
+    text = dict(docs)
+    assert {hashlib.md5(text[r["doc_id"]].encode()).hexdigest(): r["shard"] for r in got} == want
+
+
+def test_sharding_levels(spark):
+    """Small blocks: several levels, each block packing its own groups; sizes stay near equal and groups together."""
+    rng = np.random.default_rng(6)
+    docs = [(i, f"text {i // 3} " + "word " * int(rng.pareto(1.5) * 10)) for i in range(6000)]
+    rows = rows_of(shard_documents(spark.createDataFrame(docs, "doc_id long, text string"), 4, grain=8, block=150))
+    check_shards(rows, docs, 4)
+    for what in ("size", "tokens"):
+        load = np.bincount([r["shard"] for r in rows], weights=[r[what] for r in rows])
+        assert load.max() / load.mean() < 1.03
+    count = np.bincount([r["shard"] for r in rows])
+    assert count.max() / count.mean() < 1.05
+    text, where = dict(docs), defaultdict(set)
+    for r in rows:
+        where[text[r["doc_id"]]].add(r["shard"])
+    assert all(len(s) == 1 for s in where.values())
+
+
+def test_sharding_repeated_ids_are_dealt(spark):
+    docs = [(7, "same text")] * 2000 + [(i, f"text {i}") for i in range(2000)]
+    rows = rows_of(shard_documents(spark.createDataFrame(docs, "doc_id long, text string"), 8, rows_per_slot_cell=50))
+    check_shards(rows, docs, 8)
+    size = np.bincount([r["shard"] for r in rows], weights=[r["size"] for r in rows])
+    assert size.max() / size.mean() < 1.05
+
+
 # 3 Toxicity
 
 
@@ -159,13 +207,72 @@ def test_toxicity_without_labels(spark):
     assert not model.weights and score_toxicity(awkward(spark), model).where("score >= 0.3").isEmpty()
 
 
-def test_viterbi_against_all_readings():
+def all_readings(noisy, log_p, collapse):
+    """Every way to read a short token, one character after another, with its score."""
+    paths = [((0, 0), 0.0, "")]
+    before = ""
+    for ch in noisy:
+        code = ord(ch) - 96 if "a" <= ch <= "z" else 0
+        options = [(code, ch, 0.0)] if code else [(ord(x) - 96, x, COST["leet"]) for x in LEET.get(ch, "")]
+        after = []
+        for (a, b), value, text in paths:
+            if not code:
+                after.append(((a, b), value + COST["drop"] * (1 if ch in LEET else 0.2), text))
+            for c, letter, cost in options:
+                repeated = collapse and b == c and (ch == before or not code)
+                if repeated:
+                    after.append(((a, b), value + COST["collapse"], text))
+                after.append(((b, c), value + cost + log_p[a][b][c] + COST["repeat"] * repeated, text + letter))
+        paths, before = after, ch
+    return [(v + (log_p[a][b][0] if b or not a else 0.0), t) for (a, b), v, t in paths]
+
+
+@pytest.mark.parametrize("collapse", [True, False])
+def test_viterbi_against_all_readings(collapse):
     words = {"idiot": 5.0, "stupid": 3.0, "table": 9.0, "little": 4.0}
     log_p = char_model(np.ones((27, 27, 27)), words, share=0.5)
-    assert decode("1d10t", log_p) == "idiot" and decode("$tup1d", log_p) == "stupid" and decode("l1ttle", log_p) == "little"
+    tokens = ["1d10t", "$tup1d", "l1ttle", "i.d.i.o.t", "iiddiot", "t@bbl3", "l!tt|e", "s-t-u-p", "6a6b", "1101", "aab1", "-1-", "stuu9!d"]
+    rng = np.random.default_rng(1)
+    tokens += ["".join(rng.choice(list("ialt01!$6.-s"), rng.integers(1, 8))) for _ in range(60)]
+    for token in tokens:
+        ways = all_readings(token, log_p, collapse)
+        best = max(v for v, _ in ways)
+        assert any(t == decode(token, log_p, collapse=collapse) and v == pytest.approx(best) for v, t in ways), token
+    assert decode("1d10t", log_p) == "idiot" and decode("$tup1d", log_p) == "stupid"
     assert restore("table,", log_p) == "table" and restore("2024", log_p) == ""
 
 
+def plain_odds(text, model):
+    """The score of a text of plain words, word by word."""
+    words = text.split()
+    seen = Counter()
+    value = {}
+    for w in words:
+        own = [model.weights.get(f, 0.0) for f in ([w] if len(w) >= 3 else []) + [w[:k] + "*" for k in (4, 5, 6, 7) if len(w) > k]]
+        if own and max(own) > 0:
+            seen[w] += 1
+            value[w] = max(own)
+    odds = model.prior - model.rate * len(words) + sum(value[w] * (1 + np.log(n)) for w, n in seen.items())
+    return 1 / (1 + np.exp(-odds))
+
+
+def test_toxicity_equals_plain_sum(spark):
+    flat = np.log(np.full((27, 27, 27), 1 / 27))
+    model = ToxicityModel({"idiot": 4.0, "moro*": 2.0, "moron": 3.0, "dumbest": 2.5}, flat, 0.01, -3.0)
+    rng = np.random.default_rng(2)
+    words = ["idiot", "moron", "moros", "morons", "dumbest", "cat", "with", "them", "people", "run", "idiotic"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 40))) for _ in range(50)]
+    assert scores(spark, model, texts) == pytest.approx([plain_odds(t, model) for t in texts])
+
+
+def test_many_tokens_keep_their_reading(spark):
+    """What a token says does not depend on how many others stand in its batch."""
+    model = toy_model(spark)
+    noise = " ".join(f"q{i}z" for i in range(320_000))
+    many, few = scores(spark, model, [f"1d10t {noise} 1d10t idiot", "1d10t " + "q1z " * 320_000 + "1d10t idiot"])
+    assert many == pytest.approx(few)
+
+
 # 4 Language
 
 
@@ -297,6 +404,27 @@ def test_packing_table(spark, sf_dir):
     assert check_packing(rows_of(Q.op6_packing(spark, sf_dir)), docs) < 0.03
 
 
+def test_ids_of_every_character():
+    """Next to letters, digits, marks, other scripts and combining accents, ids equal the tokenizer's own."""
+    enc = WordEncoder(WORDS)
+    assert enc.by_word
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 400):
+        own = " ".join(f"a{chr(c)}b {chr(c)}1 .{chr(c)}É 中{chr(c)} {chr(c)}\u0301 s{chr(c)}'s" for c in points[at : at + 400])
+        assert enc.encode(own) == enc.direct(own), hex(points[at])
+        enc.clear()
+
+
+def test_other_vocabularies_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = Q.tokenizer_file("byte_bpe_50k.json")
+    enc, tok = WordEncoder(path), Tokenizer.from_file(path)
+    assert not enc.by_word
+    for t in ("Two  words, it's 12.", "É\u0301 日本\n x"):
+        assert np.frombuffer(enc.encode(t), dtype="<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_awkward(spark):
     docs = [(i, x[1]) for i, x in enumerate(AWKWARD)]
     docs += [(20, "it's ΑΣ İstanbul <|endoftext|> été  x\x1cy 'Sdon't!!'s ²½"), (21, "naïve\tTab\r\nend"), (22, "日本語 text")]
@@ -321,6 +449,16 @@ def test_differencing():
 # Pipeline
 
 
+def test_representatives(spark):
+    """Ids that different texts share, null ids, repeated rows: one row for each component, found by brute force."""
+    texts = ["alpha beta gamma delta " * 5, "one two three four five " * 6, "", "red green blue"]
+    docs = [(1, texts[0], "a"), (1, texts[1], "b"), (1, texts[1], "a"), (2, texts[0], "c"), (None, texts[3], "n"), (None, texts[3], "m"), (5, None, "x"), (4, "", "y"), (4, "", "y"), (6, texts[1], None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumns({"fp": F.lit(1), "digest": F.lit(2)})
+    got = sorted((r["doc_id"], r["text"], r["source"]) for r in rows_of(keep_representatives(df)) if r["doc_id"])
+    assert got == sorted([(1, texts[0], "a"), (1, texts[1], "a"), (4, "", "y")])
+    assert keep_representatives(df).count() == 4 and keep_representatives(df).columns == df.columns
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as P
 
@@ -354,6 +492,28 @@ def test_stages_awkward(spark, sf_dir):
         assert docs.count() > 0
 
 
+def test_mixture_against_a_direct_search():
+    """Two languages: the proportion that EM finds is the best of a fine grid, and the set is the one of least penalised cost."""
+    from quirespark.llm.language import mixture
+
+    rng = np.random.default_rng(8)
+    grid = np.linspace(0, 1, 2001)
+    for share in (0.0, 0.3, 0.5, 0.9, 1.0):
+        n = 400
+        first = rng.random(n) < share
+        gap = rng.gamma(4, 2, n)
+        ll = np.stack([np.where(first, 0, -gap), np.where(first, -gap, 0)], axis=1).astype(np.float32)
+        got = mixture(ll, np.zeros(1, int), rounds=200)[0]
+        like = np.exp(ll.astype(float))
+        fit = np.array([np.log(like @ [t, 1 - t] + 1e-300).sum() for t in grid])
+        cost = {1: max(fit[0], fit[-1]) - 0.5 * np.log(n + 1), 2: fit.max() - np.log(n + 1)}
+        assert (got > 0).sum() == max(cost, key=cost.get)
+        if cost[2] > cost[1]:
+            assert abs(got[0] - grid[fit.argmax()]) < 0.02
+        else:
+            assert got.argmax() == (0 if fit[-1] > fit[0] else 1)
+
+
 def test_mixture_depends_on_the_text_alone():
     from quirespark.llm.language import mixture
 

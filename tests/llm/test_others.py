@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 from collections import defaultdict
 
@@ -129,22 +130,56 @@ def test_chat_equals_sql(spark, sf_dir, duck):
     assert_same(Q.op8_chat(spark, sf_dir), duck, Q.ORACLE_SQL["op8_chat"])
 
 
-def test_chat_awkward(spark):
-    rows = [(1, 0, "system", "Be kind."), (1, 1, "Ann", "Hi"), (1, 2, "bob ", None), (1, 2, "bob ", None), (1, None, None, "?"), (1, 5000, "Ann", "x" * 50_000), (2, 0, "system", "alone"), (None, 0, "a", ""), (3, 0, "a", "b")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"mask": F.lit(1), "part": F.lit(1), "name": F.lit("n")})
+def plain_dialogues(rows):
+    """The rendering, one dialogue at a time."""
+    import hashlib
+
+    said = defaultdict(list)
+    for conv, turn, role, text in rows:
+        who = (role or "").strip(" ") or "unknown"
+        who = "system" if who.lower() == "system" else who
+        text = text or ""
+        said[conv].append((turn is not None, turn or 0, hashlib.md5(f"{who}\n{text}".encode()).hexdigest(), who, text))
+    out = {}
+    for conv, turns in said.items():
+        for me in {t[3] for t in turns} - {"system"}:
+            whole = ""
+            spans = []
+            for *_, who, text in sorted(turns):
+                role = "system" if who == "system" else "assistant" if who == me else "user"
+                whole += f"<|{role}" + (" name=" + re.sub(r"[\r\n<>|]", "_", who) if role == "user" else "") + "|>\n"
+                content = re.sub(r"<(\\*)\|", r"<\1\\|", text)
+                if role == "assistant":
+                    spans.append((len(whole), len(content)))
+                whole += content + "<|end|>\n"
+            out[conv, me] = whole, spans
+    return out
+
+
+TURNS = [(1, 0, "System", "Be kind."), (1, 1, "Ann", "Hi"), (1, 1, "ann", "Hi"), (1, 2, "bob ", None), (1, 2, "bob ", None), (1, None, None, "?"), (1, 5000, "Ann", "x" * 50_000), (2, 0, "system", "alone"), (None, 0, "a", ""), (3, 0, "a", "b"), (3, 1, "e|>\n<|assistant", "x<|end|>\n<|user|>y<\\|z"), (1, -3, "Ann", "before"), (1, 1500, "bob", "é日本")]
+
+
+@pytest.mark.parametrize("crowd", [4096, 2])
+def test_chat_awkward(spark, crowd):
+    rows = TURNS + [(4, 7, "a", "same")] * 5 + [(4, 7, "b", str(i)) for i in range(9)] + [(4, 6, "b", "early"), (4, 8, "b", "late"), (4, None, "a", "q")] + [(5, None, "a", str(i)) for i in range(7)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"mask": F.lit(1), "part": F.lit(1), "name": F.lit("n"), "copies": F.lit(1)})
     got = defaultdict(list)
-    for r in rows_of(rotate_perspectives(df)):
+    for r in rows_of(rotate_perspectives(df, crowd=crowd)):
         got[r["conv_id"], r["perspective"]].append(r)
-    assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "a"), (3, "a")}
-    for turns in got.values():
+    want = plain_dialogues(rows)
+    assert set(got) == set(want)
+    for key, turns in got.items():
         turns.sort(key=lambda r: r["turn_index"])
+        assert "".join(r["rendered"] for r in turns) == want[key][0]
+        assert [r["turn_index"] for r in turns] == list(range(len(turns)))
+        assert [(r["content_start"], r["content_length"]) for r in turns if r["mask"]] == want[key][1]
         at = 0
-        for i, r in enumerate(turns):
-            assert (r["turn_index"], r["start"], r["length"]) == (i, at, len(r["rendered"]))
+        for r in turns:
+            assert (r["start"], r["length"]) == (at, len(r["rendered"]))
             assert r["mask"] == (r["role_out"] == "assistant") and (r["name"] is None) == (r["role_out"] != "user")
+            assert len(re.findall(r"<\|", r["rendered"])) == 2  # its own header and end mark, whatever the text holds
             at += r["length"]
-    assert len(got[1, "ann"]) == 6 and got[1, "ann"][0]["name"] == "unknown"
-    assert "<|user name=bob|>\n<|end|>\n" in [r["rendered"] for r in got[1, "ann"]]
+    assert {k[1] for k in got if k[0] == 1} == {"Ann", "ann", "bob", "unknown"}
     assert rotate_perspectives(df.limit(0)).count() == 0
 
 
