@@ -9,7 +9,7 @@ from quirespark.llm._common import materialize, table
 from quirespark.llm.language import fit_language_model, identify_languages, training_rows
 from quirespark.llm.packing import pack_documents
 from quirespark.llm.queries import tokenizer_file
-from quirespark.llm.simhash import simhash_components
+from quirespark.llm.simhash import keep_representatives
 from quirespark.llm.toxicity import fit_toxicity, score_toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,12 +29,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash component: the one of smallest doc_id. Of repeated rows of that
-    doc_id one stays; rows without doc_id stay."""
-    marked = simhash_components(docs)
-    kept = materialize(marked.where("doc_id = component_id").select("doc_id").distinct())
-    named = docs.select(*COLUMNS).where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*COLUMNS)
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    """Keep one document of each SimHash component: the one of smallest doc_id (null ids last), and one of its
+    repeated rows."""
+    return keep_representatives(docs.select(*COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
