@@ -2,127 +2,230 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Normalised licence sentences (lower case, words and single spaces) and their identifiers.
-SENTENCES = {
-    "licensed under the apache license version 2 0": "ApacheRef",
-    "this work is licensed under the apache license version 2 0": "ApacheRef",
-    "you may not use this file except in compliance with the license": "ApacheUse",
-    "you may obtain a copy of the license at": "ApacheCopy",
-    "released under the mit license": "MitRef",
-    "licensed under the mit license": "MitRef",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software": "MitGrant",
-    "the software is provided as is without warranty of any kind": "AsIs",
-    "this work is licensed under the gnu general public license version 3": "Gpl3Ref",
-    "licensed under the gnu general public license version 3": "Gpl3Ref",
-    "licensed under the gnu general public license version 2": "Gpl2Ref",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "GplGrant",
-    "either version 3 of the license or at your option any later version": "Gpl3Later",
-    "either version 2 of the license or at your option any later version": "Gpl2Later",
-    "licensed under cc by nc 4 0": "CcByNcRef",
-    "licensed under cc by 4 0": "CcByRef",
-    "licensed under cc by sa 4 0": "CcBySaRef",
-    "redistribution and use in source and binary forms with or without modification are permitted": "BsdGrant",
-    "neither the name of the copyright holder nor the names of its contributors may be used": "BsdNoName",
-    "all rights reserved": "AllRights",
-}
-
-#: Sentences of standard headers and texts as patterns over normalised words, and their identifiers.
-#: They may be wrapped, and other words may stand before and after them in a sentence.
-TEXTS = (
-    ("licensed under the apache license version 2 0 the license", "ApacheRef"),
-    ("you may not use this (?:file|work|software) except in compliance with the license", "ApacheUse"),
-    ("you may obtain a copy of the license at", "ApacheCopy"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "MitGrant"),
-    ("the software is provided as is without warranty of any kind express or implied", "AsIs"),
-    ("this (?:program|file|software|library) is free software you can redistribute it and or modify it under the terms of (?:version 3 of the gnu general public license|the gnu general public license as published by the free software foundation version 3)", "Gpl3Ref"),
-    ("this (?:program|file|software|library) is free software you can redistribute it and or modify it under the terms of (?:version 2 of the gnu general public license|the gnu general public license as published by the free software foundation version 2)", "Gpl2Ref"),
-    ("this (?:program|file|software|library) is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "GplGrant"),
-    ("either version 3 of the license or at your option any later version", "Gpl3Later"),
-    ("either version 2 of the license or at your option any later version", "Gpl2Later"),
-    ("licensed under (?:a|the) creative commons attribution non(?: )?commercial 4 0 international(?: public)? license", "CcByNcRef"),
-    ("licensed under (?:a|the) creative commons attribution share(?: )?alike 4 0 international(?: public)? license", "CcBySaRef"),
-    ("licensed under (?:a|the) creative commons attribution 4 0 international(?: public)? license", "CcByRef"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "BsdGrant"),
-    ("neither the names? of (?:[a-z0-9]+ ){1,12}nor the names of (?:its|their|the) contributors may be used to endorse or promote products", "BsdNoName"),
+# Sentences of licences, their headers and references, and the identifier of each. * stands for 1 to 12 words.
+SENTENCES = (
+    ("ApacheRef", "Licensed under the Apache License, Version 2.0"),
+    ("ApacheRef", "Released under the Apache License, Version 2.0"),
+    ("ApacheUse", "you may not use this file except in compliance with the License"),
+    ("ApacheUse", "you may not use this work except in compliance with the License"),
+    ("ApacheUse", "you may not use this software except in compliance with the License"),
+    ("ApacheCopy", "You may obtain a copy of the License at"),
+    ("ApacheBasis", 'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'),
+    ("ApacheSee", "See the License for the specific language governing permissions and limitations under the License"),
+    ("ApacheCopyright", "each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of"),
+    ("ApachePatent", "each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this section) patent license"),
+    ("ApacheNotices", "You must give any other recipients of the Work or Derivative Works a copy of this License"),
+    ("MitRef", "Released under the MIT License"),
+    ("MitRef", "Licensed under the MIT License"),
+    ("MitGrant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MitNotice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("AsIs", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND'),
+    ("NoClaim", "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY"),
+    ("BsdGrant", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("BsdSource", "Redistributions of source code must retain the above copyright notice"),
+    ("BsdBinary", "Redistributions in binary form must reproduce the above copyright notice"),
+    ("BsdNoName", "Neither the name of * nor the names of its contributors may be used"),
+    ("BsdNoName", "Neither the name of * nor the names of their contributors may be used"),
+    ("BsdNoName", "Neither the names of * nor the names of their contributors may be used"),
+    ("BsdAdvertising", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("Gpl3Ref", "licensed under the GNU General Public License, version 3"),
+    ("Gpl3Ref", "licensed under the GNU General Public License v3"),
+    ("Gpl2Ref", "licensed under the GNU General Public License, version 2"),
+    ("Gpl2Ref", "licensed under the GNU General Public License v2"),
+    *(
+        (i, f"This {what} is free software: you can redistribute it and/or modify it under the terms of {terms}")
+        for what in ("program", "file", "software", "library")
+        for i, terms in (
+            ("GplGrant", "the GNU General Public License as published by the Free Software Foundation"),
+            ("Gpl3Ref", "the GNU General Public License as published by the Free Software Foundation, version 3"),
+            ("Gpl3Ref", "version 3 of the GNU General Public License"),
+            ("Gpl2Ref", "the GNU General Public License as published by the Free Software Foundation, version 2"),
+            ("Gpl2Ref", "version 2 of the GNU General Public License"),
+        )
+    ),
+    ("Gpl3Later", "either version 3 of the License, or (at your option) any later version"),
+    ("Gpl2Later", "either version 2 of the License, or (at your option) any later version"),
+    ("Gpl3Title", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("Gpl2Title", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GnuVerbatim", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    ("Gpl3Preamble", "The GNU General Public License is a free, copyleft license for software and other kinds of works"),
+    ("Gpl2Preamble", "The licenses for most software are designed to take away your freedom to share and change it"),
+    ("LgplTitle", "GNU LESSER GENERAL PUBLIC LICENSE"),
+    ("MplRef", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("CcByNcRef", "licensed under CC BY-NC 4.0"),
+    ("CcBySaRef", "licensed under CC BY-SA 4.0"),
+    ("CcByRef", "licensed under CC BY 4.0"),
+    *(
+        (i, f"licensed under {a} Creative Commons {name} 4.0 International{public} License")
+        for a in ("a", "the")
+        for public in ("", " Public")
+        for i, name in (
+            ("CcByNcRef", "Attribution-NonCommercial"),
+            ("CcBySaRef", "Attribution-ShareAlike"),
+            ("CcByRef", "Attribution"),
+        )
+    ),
+    ("AllRights", "All rights reserved"),
 )
 
-#: Ordered rules. Each is a sequence of identifiers that must stand in this order, with any others between;
-#: the identifiers a rule matches are used up, so a later, looser rule does not report the same sentences.
+# Ordered rules. Each is a sequence of identifiers that must stand in this order, with any others between;
+# the identifiers a rule matches are used up, so a later, looser rule does not report the same sentences.
 RULES = (
+    ("Apache-2.0-text", ("ApacheCopyright", "ApachePatent")),
     ("Apache-2.0-header", ("ApacheRef", "ApacheUse", "ApacheCopy")),
     ("Apache-2.0", ("ApacheRef",)),
     ("MIT-full", ("MitGrant", "AsIs")),
     ("MIT", ("MitRef",)),
+    ("GPL-3.0-text", ("Gpl3Title", "Gpl3Preamble")),
+    ("GPL-2.0-text", ("Gpl2Title", "Gpl2Preamble")),
     ("GPL-3.0-or-later", ("GplGrant", "Gpl3Later")),
     ("GPL-2.0-or-later", ("GplGrant", "Gpl2Later")),
     ("GPL-3.0", ("Gpl3Ref",)),
     ("GPL-2.0", ("Gpl2Ref",)),
+    ("LGPL", ("LgplTitle",)),
+    ("MPL-2.0", ("MplRef",)),
     ("CC-BY-NC-4.0", ("CcByNcRef",)),
     ("CC-BY-SA-4.0", ("CcBySaRef",)),
     ("CC-BY-4.0", ("CcByRef",)),
+    ("BSD-4-Clause", ("BsdGrant", "BsdAdvertising", "BsdNoName")),
     ("BSD-3-Clause", ("BsdGrant", "BsdNoName")),
     ("BSD-2-Clause", ("BsdGrant",)),
     ("Proprietary", ("AllRights",)),
 )
 
-# A sentence ends at a line end, or at . ! ? ; before white space or the end.
-_ENDS = r"[.!?;]+(?:[ \t\r]+|$)|[\r\n]+|[.!?;]+[\r\n]"
-# Between words of a known sentence: a blank or one line end, in TEXTS also marks such as the ; in the GPL's grant.
-_WRAP = r"[ \n]"
-_GAP = r"[ \n|]+"
-_MARK = "(?i)licen|permission|warranty|gnu\\s+general|redistribution|version\\s+[23]|copyright|rights\\W+reserved"
+MOST_SENTENCES, MOST_RULES = 20_000, 5_000  # what the relations may hold: they become part of the plan
+
+
+def default_sentences(spark: SparkSession) -> DataFrame:
+    """(id, sentence): the sentences known without further input."""
+    return spark.createDataFrame(SENTENCES, "id string, sentence string")
+
+
+def default_rules(spark: SparkSession) -> DataFrame:
+    """(place, rule, ids): the rules known without further input; they are tried by place."""
+    return spark.createDataFrame([(n, r, list(ids)) for n, (r, ids) in enumerate(RULES)], "place int, rule string, ids array<string>")
+
+
+def normal(sentence: str) -> str:
+    """A sentence as it is compared: lower case, its words of a-z and 0-9 with single blanks; * stays."""
+    lowered = re.sub(r"(^|[^a-z0-9])([a-z])\.", r"\1\2 ", sentence.lower())
+    return re.sub(r"[^a-z0-9*]+", " ", lowered).strip()
+
 
+def _bounded(df: DataFrame, most: int) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most:,} sentences or rules")
+    return rows
 
-def sentence_ids(text: Column) -> Column:
+
+# Between the words of a sentence: a blank or one line end.
+_GAP = "[ \n]"
+_ANY = f"(?:[a-z0-9]+{_GAP}){{0,11}}[a-z0-9]+"
+
+
+def _tree(sentences: list[list[str]]) -> str:
+    """One pattern for all sentences, as a tree of their words; of sentences that begin alike the longest wins."""
+    branches: dict[str, list[list[str]]] = {}
+    for words in sentences:
+        branches.setdefault(words[0], []).append(words[1:])
+    out = []
+    for word in sorted(branches, key=lambda w: (w == "*", w)):
+        rest = [x for x in branches[word] if x]
+        deeper = f"{_GAP}{_tree(rest)}" if rest else ""
+        ends = len(rest) < len(branches[word])
+        if ends:
+            deeper = f"(?:{deeper})?(?![a-z0-9])" if rest else "(?![a-z0-9])"
+        out.append((_ANY if word == "*" else word) + deeper)
+    return out[0] if len(out) == 1 else f"(?:{'|'.join(out)})"
+
+
+def _anchors(sentences: list[str]) -> list[str]:
+    """Few words of which every sentence holds one at least: a text without any needs no closer look."""
+    left, out = set(sentences), []
+    while left:
+        words = sorted({w for s in left for w in s.split() if w != "*"})
+        out.append(max(words, key=lambda w: (sum(len(w) > 5 and w in s.split() for s in left), len(w), w)))
+        left = {s for s in left if out[-1] not in s.split()}
+    return out
+
+
+def sentence_ids(text: Column, sentences: list[tuple[str, str]]) -> Column:
     """The identifiers of a text's known sentences, in order (array<string>).
 
-    The text becomes words with single blanks, "\\n" at line ends and "|" at sentence ends. Known sentences, whole
-    ones of SENTENCES and those of TEXTS anywhere, each also over several lines, become "|#identifier|".
+    The text becomes lower-case words, with "|" where a sentence ends (. ! ? before white space, or a line without
+    words) and "\\n" at other line ends. A stop behind a single letter ends nothing. Known sentences are found from
+    the left, the longest first, between words, inside one sentence of the text, whatever its line ends, quotation
+    marks and comment signs.
     """
     swap = F.regexp_replace
-    words = swap(swap(F.translate(F.lower(text), "|#", "  "), r"[.!?;]+(?=[ \t\r\n]|$)", "|"), r"[^a-z0-9|\r\n]+", " ")
-    words = swap(swap(swap(words, r"\r\n?", "\n"), r" *\n *", "\n"), r" *\| *", "|")
-    for pattern, name in TEXTS:
-        words = swap(words, f"(?<![a-z0-9])(?:{pattern.replace(' ', _GAP)})(?![a-z0-9])", f"|#{name}|")
-    for name in dict.fromkeys(SENTENCES.values()):
-        own = "|".join(s.replace(" ", _WRAP) for s, i in SENTENCES.items() if i == name)
-        words = swap(words, rf"(?<![^|\n])(?: ?)(?:{own})(?= ?(?:[|\n]|$))", f"|#{name}|")
-    return F.transform(F.filter(F.split(words, r"[|\n]"), lambda s: s.startswith("#")), lambda s: F.substring(s, 2, 99))
+    words = swap(swap(F.lower(text), r"\r\n?", "\n"), r"(^|[^a-z0-9])([a-z])\.", "$1$2 ")
+    words = swap(swap(F.translate(words, "|", " "), r"[.!?]+(?=[ \t\n]|$)", "|"), r"[^a-z0-9|\n]+", " ")
+    words = swap(swap(swap(words, r" *\n *", "\n"), r"\n{2,}", "|"), r"[ \n]*\|[ \n]*", "|")
+    known: dict[str, str] = {}
+    for i, sentence in sentences:
+        known.setdefault(sentence, i)
+    found = F.regexp_extract_all(words, F.lit(f"(?<![a-z0-9]){_tree([s.split() for s in known])}"), F.lit(0))
+    plain = [x for s, i in known.items() if "*" not in s for x in (F.lit(s), F.lit(i))]
+    gaps = [("^" + s.replace("*", "(?:[a-z0-9]+ ){0,11}[a-z0-9]+") + "$", i) for s, i in known.items() if "*" in s]
+
+    def name(match: Column) -> Column:
+        flat = F.translate(match, "\n", " ")
+        return F.coalesce(*([F.create_map(*plain)[flat]] if plain else []), *[F.when(flat.rlike(p), i) for p, i in gaps])
 
+    return F.transform(found, name)
 
-def scan_licences(docs: DataFrame) -> DataFrame:
+
+def scan_licences(docs: DataFrame, sentences: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licences) for every row of docs (doc_id, text).
 
-    sentence_ids are the identifiers of known sentences in order, joined by blanks; licences are the names of the
-    rules that match them, in rule order, joined by blanks. Each rule is tried once on what earlier rules left over;
-    where a rule needs several identifiers, others may stand between. n_sentences counts the known sentences.
-    Null, empty and wordless texts have none: 0 and two empty strings. Repeated rows stay; no shuffle.
+    sentences (id, sentence) and rules (place, rule, ids) are relations of bounded size (MOST_SENTENCES, MOST_RULES;
+    an error beyond); by default those of this module. sentence_ids are the identifiers of known sentences in order,
+    joined by blanks; licences are the names of the rules that match them, in rule order, joined by blanks. Each rule
+    is tried once on what earlier rules left over; where a rule needs several identifiers, others may stand between.
+    n_sentences counts the known sentences. Null, empty and wordless texts have none: 0 and two empty strings.
+    Identifiers and names are words without blanks. Repeated rows stay; no shuffle.
     """
-    # Texts without any marking word need no splitting, however long they are.
-    found = F.when(F.col("text").rlike(_MARK), sentence_ids(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    out = docs.select("doc_id", F.coalesce(found, F.array().cast("array<string>")).alias("ids")).select(
+    spark = docs.sparkSession
+    listed = _bounded(default_sentences(spark) if sentences is None else sentences.select("id", "sentence"), MOST_SENTENCES)
+    known = [(r["id"], s) for r in listed if r["id"] and (s := normal(r["sentence"] or "")).strip("* ")]
+    chain = _bounded((default_rules(spark) if rules is None else rules).select("place", "rule", "ids"), MOST_RULES)
+    chain = [(r["rule"], tuple(r["ids"])) for r in sorted(chain, key=lambda r: (r["place"], r["rule"])) if r["ids"]]
+    none = F.array().cast("array<string>")
+    if known:
+        marked = F.col("text").rlike("(?i)" + "|".join(_anchors([s for _, s in known])))
+        found = F.when(marked, sentence_ids(F.col("text"), known)).otherwise(none)
+    else:
+        found = none
+    out = docs.select("doc_id", F.coalesce(found, none).alias("ids")).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_sentences"),
         F.array_join("ids", " ").alias("sentence_ids"),
         F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" ")).alias("left"),
         F.lit("").alias("licences"),
     )
-    return _apply_rules(out).select("doc_id", "n_sentences", "sentence_ids", "licences")
+    return (_apply_rules(out, chain) if chain else out).select("doc_id", "n_sentences", "sentence_ids", "licences")
 
 
 def _rule_pattern(ids: tuple[str, ...]) -> str:
     return "".join(f"(.*?) {i} " for i in ids) + "(.*)"
 
 
-def _apply_rules(df: DataFrame) -> DataFrame:
+def _apply_rules(df: DataFrame, chain: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
     """All rules in order as one fold over an array of rules, so the expression does not double with each."""
     rules = F.array(
         *[
-            F.struct(F.lit(name).alias("name"), F.lit("(?s)^" + _rule_pattern(ids) + "$").alias("pattern"), F.lit("".join(f"${i + 1}" for i in range(len(ids) + 1))).alias("rest"))
-            for name, ids in RULES
+            F.struct(
+                F.lit(name).alias("name"),
+                F.lit("(?s)^" + _rule_pattern(tuple(map(re.escape, ids))) + "$").alias("pattern"),
+                F.lit("".join(f"${i + 1}" for i in range(len(ids) + 1))).alias("rest"),
+            )
+            for name, ids in chain
         ]
     )
     start = F.struct(F.col("left").alias("left"), F.col("licences").alias("licences"))
@@ -142,10 +245,13 @@ def _apply_rules(df: DataFrame) -> DataFrame:
 
 
 def licences_sql() -> str:
-    """The same rows from DuckDB for sentences that fill one line or end at a mark; it does not know TEXTS or wrapped
-    sentences."""
-    ends = r"[.!?;]+(?:[ \t\r]+|$)|[\r\n]+|[.!?;]+[\r\n]"
-    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    """The same rows from DuckDB by another way: texts become rows of words, and sentences join them word list by word
+    list; of matches inside a longer one only the longer counts."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = []
+    for i, sentence in dict.fromkeys((i, normal(s)) for i, s in SENTENCES):
+        head, _, tail = (x.strip() for x in sentence.partition("*"))
+        rows.append(f"({quote(i)}, {quote(head)}, {len(head.split())}, {quote(tail)}, {len(tail.split())})")
     steps, last = [], "base"
     for n, (name, ids) in enumerate(RULES):
         pattern = "^" + _rule_pattern(ids) + "$"
@@ -156,16 +262,33 @@ def licences_sql() -> str:
             f"CASE WHEN regexp_matches(rest, '{pattern}', 's') THEN trim(licences || ' {name}') ELSE licences END AS licences FROM {last})"
         )
         last = f"r{n}"
-    return f"""
-WITH known(sentence, id) AS (VALUES {known}),
+    return rf"""
+WITH known(id, head, n_head, tail, n_tail) AS (VALUES {", ".join(rows)}),
+firsts AS (SELECT DISTINCT string_split(head, ' ')[1] AS word FROM known),
 numbered AS (SELECT row_number() OVER () AS row_id, doc_id, text FROM documents),
-split AS (
+plain AS (
+  SELECT row_id, regexp_replace(regexp_replace(lower(text), '\r\n?', chr(10), 'g'), '(^|[^a-z0-9])([a-z])\.', '\1\2 ', 'g') AS t FROM numbered
+), split AS (
   SELECT row_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos
-  FROM (SELECT row_id, regexp_split_to_array(text, '{ends}') AS parts FROM numbered)
+  FROM (SELECT row_id, regexp_split_to_array(t, '[.!?]+(?:[ \t\n]|$)|\n[^a-z0-9\n]*\n') AS parts FROM plain)
+), worded AS (
+  SELECT row_id, pos, string_split(trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM split
+), starts AS (
+  SELECT row_id, pos, w, i0 FROM (SELECT row_id, pos, w, unnest(range(1, len(w) + 1)) AS i0, unnest(w) AS word FROM worded)
+  WHERE word IN (SELECT word FROM firsts)
+), heads AS (
+  SELECT s.*, k.* FROM starts s JOIN known k ON string_split(k.head, ' ')[1] = s.w[s.i0] AND array_to_string(s.w[s.i0 : s.i0 + k.n_head - 1], ' ') = k.head
+), hits AS (
+  SELECT row_id, pos, i0, i0 + n_head AS past, id FROM heads WHERE n_tail = 0
+  UNION ALL
+  SELECT row_id, pos, i0, i0 + n_head + gap + n_tail, id FROM heads, range(1, 13) g(gap)
+  WHERE n_tail > 0 AND array_to_string(w[i0 + n_head + gap : i0 + n_head + gap + n_tail - 1], ' ') = tail
+), outer_hits AS (
+  SELECT DISTINCT * FROM hits h WHERE NOT EXISTS (
+    SELECT 1 FROM hits o WHERE o.row_id = h.row_id AND o.pos = h.pos AND o.i0 <= h.i0 AND o.past >= h.past AND o.past - o.i0 > h.past - h.i0)
 ), named AS (
-  SELECT s.row_id, string_agg(k.id, ' ' ORDER BY pos) AS sentence_ids, ' ' || string_agg(k.id, '  ' ORDER BY pos) || ' ' AS rest, count(*) AS n
-  FROM split s JOIN known k ON trim(regexp_replace(lower(s.part), '[^a-z0-9]+', ' ', 'g')) = k.sentence
-  GROUP BY s.row_id
+  SELECT row_id, string_agg(id, ' ' ORDER BY pos, i0) AS sentence_ids, ' ' || string_agg(id, '  ' ORDER BY pos, i0) || ' ' AS rest, count(*) AS n
+  FROM outer_hits GROUP BY row_id
 ), base AS (
   SELECT d.row_id, d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids, coalesce(rest, '  ') AS rest, '' AS licences
   FROM numbered d LEFT JOIN named n ON d.row_id = n.row_id

@@ -261,6 +261,22 @@ def test_licences_equal_sql(spark, sf_dir, duck):
     assert_same(Q.op10_licences(spark, sf_dir), duck, Q.ORACLE_SQL["op10_licences"])
 
 
+def test_licence_forms_equal_sql(spark, duck):
+    """Headers and whole texts, quoted, in comments, wrapped and among other words: the SQL finds the same."""
+    import duckdb
+
+    forms = []
+    for t in [*HEADERS.values(), *WHOLE.values()]:
+        forms += [t, "Some words first. " + t.replace("\n", " "), "\n".join("> " + x for x in t.split("\n")), "// " + t.replace("\n", "\r\n// "), t.upper(), "a b c " + t + " d e f", t + "\n\n" + HEADERS["MIT"]]
+    forms += [None, "", "e.g. version 2.0. All rights reserved.Licensed under the MIT License!", "neither the name of a b c d e f g h i j k l m nor the names of its contributors may be used"]
+    docs = [(i, t) for i, t in enumerate(forms)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", docs)
+    got = scan_licences(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert_same(got, con, Q.ORACLE_SQL["op10_licences"])
+
+
 def test_licences_rules(spark):
     apache = "Licensed under the Apache License, Version 2.0 (the \"License\").\nYou may not use this file except in compliance with the License.\nNoise here. You may obtain a copy of the License at\nhttp://x"
     cases = {
@@ -270,12 +286,25 @@ def test_licences_rules(spark):
         "This work is licensed under the GNU General Public License, version 3.\nReleased under the MIT License.": "MIT GPL-3.0",
         "We talk about the MIT License and permission.": "",
         "All rights reserved. All rights reserved.": "Proprietary",
+        apache: "Apache-2.0-header",
     }
     df = spark.createDataFrame([*cases.items(), (None, ""), ("", "")], "text string, want string").withColumn("doc_id", F.col("want")).withColumn("left", F.lit(1))
     assert all(r["licences"] == r["doc_id"] for r in scan_licences(df).collect())
     assert scan_licences(empty(spark)).count() == 0 and scan_licences(awkward(spark)).count() == len(AWKWARD)
-    got = scan_licences(spark.createDataFrame([(1, apache)], "doc_id long, text string")).first()
-    assert got["n_sentences"] >= 2
+
+
+def test_licence_relations(spark):
+    """Sentences and rules come as tables; rules go by place, not by order of rows."""
+    sentences = spark.createDataFrame([("Own", "May be used by * only"), ("Fee", "for a fee"), (None, "x"), ("Nil", " ")], "id string, sentence string")
+    rules = spark.createDataFrame([(2, "Any", ["Own"]), (1, "Paid", ["Own", "Fee"]), (0, "Void", [])], "place int, rule string, ids array<string>")
+    texts = ["May be used by\nour good members only, for a fee.", "may be used by us only", "may be used by only", "For a fee! May be used by us only"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["sentence_ids"], r["licences"]) for r in scan_licences(df, sentences, rules).collect()}
+    assert got == {0: ("Own Fee", "Paid"), 1: ("Own", "Any"), 2: ("", ""), 3: ("Fee Own", "Any")}
+    assert all(r["licences"] == "" for r in scan_licences(df, sentences.limit(0), rules.limit(0)).collect())
+    many = spark.range(20_001).select(F.concat(F.lit("i"), "id").alias("id"), F.concat(F.lit("word "), "id").alias("sentence"))
+    with pytest.raises(ValueError):
+        scan_licences(df, many)
 
 
 HEADERS = {
@@ -321,3 +350,107 @@ def test_licences_standard_texts(spark):
     assert got == {k: k for k in HEADERS}
     crlf = df.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\r\n")))
     assert all(r["licences"] == r["doc_id"] for r in scan_licences(crlf).collect())
+
+
+# Whole texts as they stand in repositories (long middle parts of the Apache and GNU licences left out between paragraphs).
+WHOLE = {
+    "MIT-full": """MIT License
+
+Copyright (c) 2024 Some Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+    "BSD-3-Clause": """Copyright (c) 2024, Some Author
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the University of Somewhere nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+""",
+    "Apache-2.0-text": """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   2. Grant of Copyright License. Subject to the terms and conditions of
+      this License, each Contributor hereby grants to You a perpetual,
+      worldwide, non-exclusive, no-charge, royalty-free, irrevocable
+      copyright license to reproduce, prepare Derivative Works of,
+      publicly display, publicly perform, sublicense, and distribute the
+      Work and such Derivative Works in Source or Object form.
+
+   3. Grant of Patent License. Subject to the terms and conditions of
+      this License, each Contributor hereby grants to You a perpetual,
+      worldwide, non-exclusive, no-charge, royalty-free, irrevocable
+      (except as stated in this section) patent license to make, have made,
+      use, offer to sell, sell, import, and otherwise transfer the Work.
+
+      (a) You must give any other recipients of the Work or
+          Derivative Works a copy of this License; and
+""",
+    "GPL-3.0-text": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+""",
+    "GPL-2.0-text": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 2, June 1991
+
+ Copyright (C) 1989, 1991 Free Software Foundation, Inc.,
+ 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The licenses for most software are designed to take away your
+freedom to share and change it.
+""",
+}
+
+
+def test_licences_whole_texts(spark):
+    df = spark.createDataFrame([(k, v) for k, v in WHOLE.items()], "doc_id string, text string")
+    got = {r["doc_id"]: r for r in scan_licences(df).collect()}
+    assert {k: r["licences"] for k, r in got.items()} == {k: k for k in WHOLE}
+    assert got["MIT-full"]["sentence_ids"] == "MitGrant MitNotice AsIs NoClaim"
+    assert got["BSD-3-Clause"]["sentence_ids"] == "BsdGrant BsdSource BsdBinary BsdNoName"
+    assert got["Apache-2.0-text"]["n_sentences"] == 3
