@@ -1,8 +1,14 @@
-"""SentencePiece encoding by best-path search, with giant texts cut and joined by a max-plus scan."""
+"""SentencePiece encoding as a best path, with giant texts cut and joined by a max-plus scan.
+
+A text's merging (BPE) segmentation is the one path through the lattice of pieces in which no two neighbours would
+have been merged otherwise: each neighbouring pair, encoded on its own, is that pair again. So a pair of neighbours
+weighs 0 if that holds and minus infinity if not, and exactly one path of a text weighs 0. Max-plus algebra over these
+two weights is kept as sets: a transfer matrix holds the pairs of boundary states that a path of weight 0 connects.
+"""
 
 from __future__ import annotations
 
-import math
+import pickle
 import re
 from collections.abc import Callable, Iterator
 
@@ -12,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, sliced
+from ._common import discard, materialize, sliced
 
-NONE = -(1 << 60)  # max-plus zero
 SPACE = "▁"
 _VOCABULARIES: dict[str, Vocabulary] = {}
 
+State = tuple[int, str]  # at a cut: characters since the last piece ended, and that piece ("" at a text's start)
+START = (0, "")
+
 
 class Memo(dict):
     """A cache of find(key) in two generations of ``size`` keys: what is asked for again outlives the older one."""
@@ -39,96 +47,141 @@ class Memo(dict):
 
 
 class Vocabulary:
-    """Pieces of a SentencePiece file with unigram scores, and best paths over them.
+    """Pieces of a SentencePiece file of the BPE kind, and its segmentations by paths over them.
 
-    Scores are whole numbers, so sums are exact and associative: -1e3 * ln(rank + 2), where rank is the
-    place of a piece in the file. A file of the BPE kind has merge ranks where a unigram file has log
-    probabilities; by Zipf's law the logarithm of the rank stands for them.
+    Files of other kinds, with own normalisation or with user-defined pieces are refused.
     """
 
     def __init__(self, path: str, limit: int = 200_000):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
+        model = proto.ModelProto()
+        with open(path, "rb") as f:
+            model.ParseFromString(f.read())
+        spec, norm = model.trainer_spec, model.normalizer_spec
+        kinds = {p.type for p in model.pieces}
+        if (
+            spec.model_type != 2 or not spec.byte_fallback or spec.treat_whitespace_as_suffix or norm.precompiled_charsmap
+            or not norm.add_dummy_prefix or norm.remove_extra_whitespaces or not norm.escape_whitespaces or not kinds <= {1, 2, 3, 6}
+        ):
+            raise ValueError("only BPE files with byte fallback and without normalisation are supported")
+        self.names = [p.piece for p in model.pieces]
         self.bytes = [b""] * 256
         self.byte_of: dict[int, int] = {}
-        self.score: dict[str, tuple[int, bytes]] = {}
-        for i, p in enumerate(self.names):
-            if model.is_byte(i):
-                self.byte_of[i] = int(p[3:5], 16)
-                self.bytes[int(p[3:5], 16)] = i.to_bytes(4, "little")
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.score[p] = (-round(1000 * math.log(len(self.score) + 2)), i.to_bytes(4, "little"))
-        self.unknown = min(s for s, _ in self.score.values()) - 10_000
-        self.longest = max(map(len, self.score))
-        self.inner = {c for p in self.score if len(p) > 1 for c in p}
-        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score):
+        self.rank: dict[str, float] = {}
+        self.id: dict[str, bytes] = {}
+        for i, p in enumerate(model.pieces):
+            if p.type == 6:
+                self.byte_of[i] = int(p.piece[3:5], 16)
+                self.bytes[int(p.piece[3:5], 16)] = i.to_bytes(4, "little")
+            elif p.type == 1:
+                self.rank[p.piece] = p.score
+                self.id[p.piece] = i.to_bytes(4, "little")
+        self.longest = max(map(len, self.rank))
+        self.halo = 2 * self.longest  # what a chunk must know of the text before it
+        self.inside = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
+        if any(x[1] == SPACE != x[0] for x in self.inside):
             raise ValueError("pieces that hold a blank after another character are not supported")
-        line = "" if "\n" in self.inner else "\n"
+        line = "" if any("\n" in x for x in self.inside) else "\n"
         self.units = re.compile(rf"{line}|{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" if line else rf"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
-        # A trie: each node holds its piece's score (None for what only begins one) and its children.
+        # A trie: each node holds whether it is a piece, and its children.
         self.trie: dict[str, list] = {}
-        for p, (v, _) in self.score.items():
+        for p in self.rank:
             at: dict[str, list] = self.trie
             for c in p:
-                node = at.setdefault(c, [None, {}])
+                node = at.setdefault(c, [False, {}])
                 at = node[1]
-            node[0] = v
+            node[0] = True
         self.memo = Memo(self.unit_ids, limit)
-        self.scores = Memo(lambda u: self.forward(u)[0][-1], limit)
-
-    # Best paths
-
-    def table(self, text: str, first: int, entry: list[int]) -> tuple[list[int], list[int]]:
-        """Best scores and last starts for each position of text; positions up to ``first`` are given by
-        ``entry`` (entry[s] for position first - s), and no piece may end at one of them. Of equal scores the
-        earliest start, so the longest last piece, wins."""
-        n, get, longest = len(text), self.score.get, self.longest
-        best, back = [NONE] * (n + 1), [-1] * (n + 1)
-        for s, v in enumerate(entry):
-            if 0 <= first - s:
-                best[first - s] = v
-        for e in range(first + 1, n + 1):
-            top, at = NONE, -1
-            for s in range(max(0, e - longest), e):
-                if best[s] > NONE:
-                    got = get(text[s:e])
-                    v = best[s] + (got[0] if got else self.unknown) if got or s == e - 1 else NONE
-                    if v > top:
-                        top, at = v, s
-            best[e], back[e] = top, at
-        return best, back
-
-    def forward(self, text: str) -> tuple[list[int], list[int]]:
-        """table(text, 0, [0]) from each start onward, as far as a piece can still go on; starts come in
-        order, so of equal scores the earliest start stays."""
-        n, trie, unknown = len(text), self.trie, self.unknown
-        best, back = [0] + [NONE] * n, [-1] * (n + 1)
+        # Whether two neighbours weigh 0; of "" and a piece, whether merging leaves that piece.
+        self.pair = Memo(lambda x: self.merge(x[0] + x[1]) == [y for y in x if y], 2 * limit)
+
+    # Paths
+
+    def merge(self, text: str) -> list[str]:
+        """Merging as defined: of neighbours that make up a piece the best ranked, from the left, until there are none."""
+        parts, get = list(text), self.rank.get
+        worst = -np.inf
+        while True:
+            top = worst
+            for i in range(len(parts) - 1):
+                v = get(parts[i] + parts[i + 1])
+                if v is not None and v > top:
+                    top, at = v, i
+            if top == worst:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def forward(self, text: str, before: str = "") -> list[str | None]:
+        """For each place after the start the last piece of the path of weight 0 that ends there, None if there is none.
+        ``before`` is the piece in front of the text. A path's pieces are those of merging its stretch, so there is
+        one path at most."""
+        n, trie, pair = len(text), self.trie, self.pair
+        last: list[str | None] = [before] + [None] * n
         for s in range(n):
-            base, at, e = best[s], trie, s
+            if (prev := last[s]) is None:
+                continue
+            at, e = trie, s
+            while e < n and (node := at.get(text[e])):
+                known, at = node
+                e += 1
+                if known and pair[prev, text[s:e]]:
+                    last[e] = text[s:e]
+            if text[s] not in self.rank and pair[prev, text[s]]:
+                last[s + 1] = text[s]
+        return last
+
+    def path(self, text: str) -> list[str]:
+        """The path of weight 0 through a whole stretch, longer pieces tried first. A place that leads nowhere is left for
+        good: only one piece can end there."""
+        n, trie, pair = len(text), self.trie, self.pair
+        out: list[str] = []
+        open_: list[list[int]] = []  # for each piece taken: the other ends it might have
+        dead: set[int] = set()
+        s, prev = 0, ""
+        while s < n:
+            at, e, ends = trie, s, []
+            if text[s] not in self.rank:
+                ends.append(s + 1)
             while e < n and (node := at.get(text[e])):
-                v, at = node
+                known, at = node
                 e += 1
-                if v is not None and base + v > best[e]:
-                    best[e], back[e] = base + v, s
-            if base + unknown > best[s + 1] and text[s] not in self.score:
-                best[s + 1], back[s + 1] = base + unknown, s
-        return best, back
-
-    def ids(self, text: str, back: list[int], start: int, end: int) -> bytes:
-        """The ids of the path that goes from start to end, as little-endian uint32."""
-        out: list[bytes] = []
-        while end > start:
-            s = back[end]
-            got = self.score.get(text[s:end])
-            out += [got[1]] if got else [self.bytes[b] for b in reversed(text[s:end].encode("utf-8", "replace"))]
-            end = s
-        return b"".join(reversed(out))
+                if known:
+                    ends.append(e)
+            while True:
+                while ends:
+                    e = ends.pop()
+                    if e not in dead and pair[prev, text[s:e]]:
+                        break
+                else:
+                    dead.add(s)
+                    s -= len(out.pop())
+                    prev = out[-1] if out else ""
+                    ends = open_.pop()
+                    continue
+                break
+            prev = text[s:e]
+            out.append(prev)
+            open_.append(ends)
+            s = e
+        return out
+
+    def piece_ids(self, pieces: list[str]) -> bytes:
+        """The ids of pieces as little-endian uint32; an unknown character has those of its bytes."""
+        get = self.id.get
+        return b"".join(get(p) or b"".join(self.bytes[b] for b in p.encode("utf-8", "replace")) for p in pieces)
+
+    def ids(self, last: list[str | None], end: int) -> bytes:
+        """The ids of the path that :func:`forward` found to ``end``."""
+        out: list[str] = []
+        while end > 0:
+            out.append(last[end])
+            end -= len(out[-1])
+        return self.piece_ids(out[::-1])
 
     def unit_ids(self, text: str) -> bytes:
         """The ids of a stretch between places that no piece can span."""
-        return self.ids(text, self.forward(text)[1], 0, len(text))
+        return self.piece_ids(self.path(text))
 
     def stretch(self, text: str) -> bytes:
         return b"".join(map(self.memo.__getitem__, self.units(text)))
@@ -151,69 +204,123 @@ class Vocabulary:
 
     # Chunks of giant texts. ``halo`` characters before the chunk are given along.
 
-    def hard(self, text: str, begin: int) -> list[int]:
-        """The first and last place after ``begin`` that no piece can span, if any."""
-        inner = self.inner
-        cut = lambda p: text[p] not in inner or text[p - 1] not in inner or (text[p] == SPACE and text[p - 1] != SPACE)
-        first = next((p for p in range(begin + 1, len(text)) if cut(p)), None)
-        return [] if first is None else [first, next(p for p in range(len(text) - 1, first - 1, -1) if cut(p))]
-
-    def transfer(self, text: str, halo: int) -> np.ndarray:
-        """T[s, t]: the best score from the piece boundary s characters before the chunk to the one t
-        characters before its end, over paths with no boundary between the former and the chunk."""
-        width, n = self.longest, len(text)
-        out = np.full((width, width), NONE, dtype=np.int64)
+    def hard(self, text: str, halo: int) -> list[int]:
+        """The first place in the chunk that no piece can span, and the last one that is not among its last
+        ``longest`` characters; none if there are no such two (which may be one). What stands before such a place does
+        not matter behind it."""
+        stop = len(text) - self.longest
+        first = next((p for p in range(halo + 1, stop + 1) if text[p - 1 : p + 1] not in self.inside), None)
+        if first is None:
+            return []
+        return [first, next(p for p in range(stop, first - 1, -1) if text[p - 1 : p + 1] not in self.inside)]
+
+    def starts(self, text: str, halo: int) -> list[State]:
+        """The states that the cut after ``halo`` characters may have: START before a text's first character, else each
+        piece or unknown character that ends fewer than ``longest`` characters before the cut."""
+        if not halo:
+            return [START]
+        ends = range(max(0, halo - self.longest) + 1, halo + 1)
+        return [(halo - e, text[s:e]) for e in ends for s in range(max(0, e - self.longest), e) if text[s:e] in self.rank or s == e - 1]
+
+    def sweep(self, text: str, halo: int, states: list[State]) -> list[dict[str, int]]:
+        """For each place: the last pieces of paths of weight 0, each with a bit for every state that leads there.
+        The first piece after a state ends behind the cut."""
+        n, trie = len(text), self.trie
+        alive: list[dict[str, int]] = [{} for _ in range(n + 1)]
+        for bit, (s, piece) in enumerate(states):
+            own = alive[halo - s]
+            own[piece] = own.get(piece, 0) | 1 << bit
+        for s in range(max(0, halo - self.longest), n):
+            if not alive[s]:
+                continue
+            at, e, found = trie, s, []
+            while e < n and (node := at.get(text[e])):
+                known, at = node
+                e += 1
+                if known:
+                    found.append(e)
+            if text[s] not in self.rank:
+                found.append(s + 1)
+            for e in found:
+                if e > halo:
+                    piece = text[s:e]
+                    bits = 0
+                    for prev, x in alive[s].items():
+                        if self.pair[prev, piece]:
+                            bits |= x
+                    if bits:
+                        alive[e][piece] = alive[e].get(piece, 0) | bits
+        return alive
+
+    def transfer(self, text: str, halo: int) -> Transfer:
+        """Which states at the chunk's end follow which at its start."""
+        n, states = len(text), self.starts(text, halo)
         ends = self.hard(text, halo)
-        stop = ends[0] if ends else n
-        for s in range(min(width, halo + 1)):
-            best, _ = self.table(text[:stop], halo, [NONE] * s + [0])
-            if ends:
-                out[s] = best[stop]
-            else:
-                for t in range(width):
-                    out[s, t] = best[n - t] if n - t > halo else NONE
-        if n - halo < width and not ends:
-            for s in range(width - (n - halo)):
-                out[s, s + n - halo] = max(out[s, s + n - halo], 0) if out[s, s + n - halo] > NONE else 0
+        alive = self.sweep(text[: ends[0]] if ends else text, halo, states)
         if ends:
-            middle = sum(map(self.scores.__getitem__, self.units(text[ends[0] : ends[1]])))
-            best, _ = self.table(text[ends[1] :], 0, [0])
-            tail = np.array([best[n - ends[1] - t] if n - ends[1] - t >= 0 else NONE for t in range(width)], dtype=np.int64)
-            out = np.maximum(out + middle + tail[None], NONE)
-            out[(out < NONE // 2)] = NONE
-        return out
-
-    def entries(self, text: str, halo: int, before: list[int]) -> list[int]:
-        """For each state t at the chunk's end: the state s at its start that the best path comes from."""
-        n = len(text)
+            bits = 0
+            for x in alive[ends[0]].values():
+                bits |= x
+            into = frozenset(s for i, s in enumerate(states) if bits >> i & 1)
+            tail = n - ends[1]
+            last = self.forward(text[ends[1] :])
+            out = frozenset((tail - e, p) for e, p in enumerate(last) if p is not None and tail - e < self.longest)
+            return Transfer(None, into, out)
+        table: dict[State, set[State]] = {}
+        for e in range(max(0, n - self.longest + 1), n + 1):
+            for piece, bits in alive[e].items():
+                for i, s in enumerate(states):
+                    if bits >> i & 1:
+                        table.setdefault(s, set()).add((n - e, piece))
+        return Transfer({s: frozenset(x) for s, x in table.items()})
+
+    def emit(self, text: str, halo: int, into: State, out: State) -> bytes:
+        """The ids of the chunk's pieces between its two boundary states."""
+        begin, end = halo - into[0], len(text) - out[0]
+        if end <= halo:
+            return b""
         ends = self.hard(text, halo)
-        stop = ends[0] if ends else n
-        best, back = self.table(text[:stop], halo, before)
-        out = []
-        for t in range(self.longest):
-            p = stop if ends else n - t
-            if p <= halo:
-                out.append(halo - p if p >= 0 else -1)
-                continue
-            while p > halo and p >= 0:
-                p = back[p] if best[p] > NONE else -1
-            out.append(halo - p if p >= 0 else -1)
-        return out
+        if not ends:
+            return self.ids(self.forward(text[begin:end], into[1]), end - begin)
+        ids = self.ids(self.forward(text[begin : ends[0]], into[1]), ends[0] - begin)
+        return ids + self.stretch(text[ends[0] : ends[1]]) + self.ids(self.forward(text[ends[1] : end]), end - ends[1])
 
-    def emit(self, text: str, halo: int, before: list[int], s: int, t: int) -> bytes:
-        """The chunk's ids: those of the pieces between its boundary states s and t."""
-        n = len(text)
-        ends = self.hard(text, halo)
-        stop = ends[0] if ends and ends[0] <= n - t else n - t
-        if stop <= halo:
-            return b""
-        _, back = self.table(text[:stop], halo, before)
-        out = self.ids(text, back, halo - s, stop)
-        if stop < n - t:
-            out += self.stretch(text[ends[0] : ends[1]])
-            _, back = self.table(text[ends[1] : n - t], 0, [0])
-            out += self.ids(text[ends[1] : n - t], back, 0, n - t - ends[1])
-        return out
+
+class Transfer:
+    """A max-plus matrix of weights 0 and minus infinity between boundary states: ``table`` maps a state to those it
+    connects with; if None, all of ``into`` connect with all of ``out`` (a chunk that a hard cut divides)."""
+
+    def __init__(self, table: dict[State, frozenset[State]] | None, into: frozenset[State] = frozenset(), out: frozenset[State] = frozenset()):
+        self.table, self.into, self.out = table, into, out
+
+    def ahead(self, states: frozenset[State]) -> frozenset[State]:
+        """The states behind the chunk that follow some of ``states``."""
+        if self.table is None:
+            return self.out if states & self.into else frozenset()
+        return frozenset().union(*(self.table.get(s, ()) for s in states))
+
+    def back(self, states: frozenset[State]) -> frozenset[State]:
+        """The states before the chunk from which some of ``states`` follow."""
+        if self.table is None:
+            return self.into if states & self.out else frozenset()
+        return frozenset(s for s, x in self.table.items() if x & states)
+
+    def __matmul__(self, other: Transfer) -> Transfer:
+        """Product; associative, so chunks may be combined in any grouping."""
+        if self.table is None:
+            return Transfer(None, self.into, other.ahead(self.out))
+        if other.table is None:
+            return Transfer(None, self.back(other.into), other.out)
+        return Transfer({s: y for s, x in self.table.items() if (y := other.ahead(x))})
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Transfer) and self.pairs() == other.pairs()
+
+    __hash__ = None
+
+    def pairs(self) -> set[tuple[State, State]]:
+        rows = {s: self.out for s in self.into} if self.table is None else self.table
+        return {(s, x) for s, out in rows.items() for x in out}
 
 
 def marked(text: str) -> str:
@@ -227,37 +334,52 @@ def vocabulary(path: str) -> Vocabulary:
     return _VOCABULARIES[path]
 
 
-def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product; associative, so chunks may be combined in any grouping."""
-    out = (a[:, :, None] + b[None]).max(axis=1)
-    out[out < NONE // 2] = NONE
-    return out
+def _bytes_column(parts: list[bytes]) -> pa.Array:
+    values = np.frombuffer(b"".join(parts), dtype="<u4").astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(p) // 4 for p in parts)]), pa.int32()), pa.array(values))
+
+
+def _product(rows: pd.DataFrame) -> pd.DataFrame:
+    """One block of chunks as one: the product of their matrices in order."""
+    rows = rows.sort_values("chunk")
+    whole = None
+    for m in rows["m"]:
+        whole = pickle.loads(m) if whole is None else whole @ pickle.loads(m)
+    return pd.DataFrame({"uid": rows["uid"].iloc[:1], "chunk": rows["block"].iloc[:1], "m": [pickle.dumps(whole)]})
 
 
-def prefixes(matrices: list[np.ndarray]) -> list[np.ndarray]:
-    """All products M1, M1 M2, ... by recursive doubling: log2(n) rounds of independent products."""
-    out, step = list(matrices), 1
-    while step < len(out):
-        out = [out[i] if i < step else plus(out[i - step], out[i]) for i in range(len(out))]
-        step *= 2
-    return out
+def _root(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For whole texts: START, and the states in which a piece ends where the text does."""
+    for df in frames:
+        ends = [frozenset(x for x in pickle.loads(m).ahead(frozenset({START})) if not x[0]) for m in df["m"]]
+        yield pd.DataFrame({"uid": df["uid"], "block": df["chunk"], "states": [pickle.dumps((frozenset({START}), e)) for e in ends]})
 
 
-def _bytes_column(parts: list[bytes]) -> pa.Array:
-    values = np.frombuffer(b"".join(parts), dtype="<u4").astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(p) // 4 for p in parts)]), pa.int32()), pa.array(values))
+def _spread(rows: pd.DataFrame) -> pd.DataFrame:
+    """From the states at the start and the end of a block, those at the start and the end of each of its chunks."""
+    rows = rows.sort_values("chunk")
+    matrices = [pickle.loads(m) for m in rows["m"]]
+    before, after = pickle.loads(rows["states"].iloc[0])
+    starts, ends = [before], [after]
+    for m in matrices[:-1]:
+        starts.append(m.ahead(starts[-1]))
+    for m in reversed(matrices[1:]):
+        ends.append(m.back(ends[-1]))
+    both = [pickle.dumps((s & m.back(e), e & m.ahead(s))) for s, m, e in zip(starts, matrices, reversed(ends), strict=True)]
+    return pd.DataFrame({"uid": rows["uid"], "chunk": rows["chunk"], "states": both})
 
 
-def encode_documents(docs: DataFrame, model_path: str, chunk: int = 32_768) -> DataFrame:
-    """(doc_id, chunk, ids) for every row of docs (doc_id, text): the best segmentation's ids in pieces
-    of text of about ``chunk`` characters, numbered from 0.
+def encode_documents(docs: DataFrame, model_path: str, chunk: int = 32_768, fan: int = 64) -> DataFrame:
+    """(doc_id, chunk, ids) for every row of docs (doc_id, text): the ids of the SentencePiece file's own library, in
+    pieces of text of about ``chunk`` characters, numbered from 0.
 
     Texts up to ``chunk`` characters are encoded whole where they are. A longer one is cut every ``chunk``
-    characters wherever that falls. Each part yields its transfer matrix between boundary states
-    (characters since the last piece boundary); the matrices of a text are combined by an associative scan;
-    then parts trace back on their own. So the result is that of one pass over the text, ties included
-    (the longer last piece wins), whatever the cuts. Equal giant texts are encoded once. Null and empty
-    texts give one row with no ids. Repeated rows stay; other columns are ignored; empty in, empty out.
+    characters wherever that falls. Each part yields its transfer matrix between boundary states; matrices are
+    multiplied in blocks of ``fan``, level by level, so that no task gathers a whole text; possible states go
+    down the same tree from a text's start and from its end, and leave one state for each cut; then parts trace
+    their ids on their own. So the result is that of one pass over the text, whatever the cuts. Equal giant texts are
+    encoded once. Null and empty texts give one row with no ids. Repeated rows stay; other columns are ignored; empty
+    in, empty out.
     """
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -277,7 +399,9 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = 32_768) -> D
 
     big = rows.where(giant).withColumn("uid", F.sha2("text", 256))
     whole = F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))
-    halo = 63  # at least the longest piece less one
+    halo = vocabulary(model_path).halo
+    if chunk < halo:
+        raise ValueError(f"a chunk must hold at least {halo} characters")
     parts = (
         big.groupBy("uid").agg(F.first("text").alias("text"))
         .select("uid", whole.alias("text"))
@@ -286,46 +410,39 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = 32_768) -> D
         .select("uid", "chunk", "halo", F.substr("text", F.col("chunk") * chunk - F.col("halo") + 1, F.col("halo") + chunk).alias("text"))
     )
     parts = materialize(parts.repartition("uid", "chunk"))
+    most = parts.agg(F.max("chunk")).first()[0]
+    if most is None:
+        return small
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voc = vocabulary(model_path)
         for df in frames:
-            got = [voc.transfer(t, h).ravel().tolist() for t, h in zip(df["text"], df["halo"], strict=True)]
+            got = [pickle.dumps(voc.transfer(t, h)) for t, h in zip(df["text"], df["halo"], strict=True)]
             yield pd.DataFrame({"uid": df["uid"], "chunk": df["chunk"], "m": got})
 
-    def scan(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("chunk")
-        width = math.isqrt(len(df["m"].iloc[0]))
-        done = prefixes([np.array(m, dtype=np.int64).reshape(width, width) for m in df["m"]])
-        start = [0, *[NONE] * (width - 1)]
-        return pd.DataFrame({"uid": df["uid"], "chunk": df["chunk"], "before": [start, *(d[0].tolist() for d in done[:-1])]})
-
-    def sources(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voc = vocabulary(model_path)
-        for df in frames:
-            got = [voc.entries(*x) for x in zip(df["text"], df["halo"], df["before"], strict=True)]
-            yield pd.DataFrame({"uid": df["uid"], "chunk": df["chunk"], "before": df["before"], "comes": got})
-
-    def chain(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("chunk")
-        t, states = 0, []
-        for comes in reversed(df["comes"].tolist()):
-            states.append((int(comes[t]), t))
-            t = int(comes[t])
-        states.reverse()
-        return pd.DataFrame({"uid": df["uid"], "chunk": df["chunk"], "before": df["before"], "s": [x for x, _ in states], "t": [y for _, y in states]})
-
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         voc = vocabulary(model_path)
         for df in frames:
-            got = [np.frombuffer(voc.emit(*x), dtype="<u4").astype(np.int32) for x in zip(df["text"], df["halo"], df["before"], df["s"], df["t"], strict=True)]
+            got = []
+            for text, before, states in zip(df["text"], df["halo"], df["states"], strict=True):
+                (into,), (out,) = pickle.loads(states)  # one path, so one state at each cut
+                got.append(np.frombuffer(voc.emit(text, before, into, out), dtype="<u4").astype(np.int32))
             yield pd.DataFrame({"uid": df["uid"], "chunk": df["chunk"], "ids": got})
 
-    where = ["uid", "chunk"]
-    scanned = parts.mapInPandas(matrices, "uid string, chunk int, m array<long>").groupBy("uid").applyInPandas(scan, "uid string, chunk int, before array<long>")
-    traced = parts.join(scanned, where).mapInPandas(sources, "uid string, chunk int, before array<long>, comes array<int>")
-    states = traced.groupBy("uid").applyInPandas(chain, "uid string, chunk int, before array<long>, s int, t int")
-    encoded = parts.join(states, where).mapInPandas(emit, "uid string, chunk int, ids array<int>")
+    block = F.floor(F.col("chunk") / fan).cast("int").alias("block")
+    tree = [materialize(parts.mapInPandas(matrices, "uid string, chunk int, m binary"))]
+    while most:
+        above = tree[-1].withColumn("block", block).groupBy("uid", "block").applyInPandas(_product, "uid string, chunk int, m binary")
+        tree.append(materialize(above))
+        most //= fan
+    states = tree[-1].mapInPandas(_root, "uid string, block int, states binary")
+    for level in reversed(tree[:-1]):
+        known = level.withColumn("block", block).join(states, ["uid", "block"])
+        states = materialize(known.groupBy("uid", "block").applyInPandas(_spread, "uid string, chunk int, states binary"))
+        states = states.withColumnRenamed("chunk", "block") if level is not tree[0] else states
+    for level in tree:
+        discard(level)
+    encoded = parts.join(states, ["uid", "chunk"]).mapInPandas(emit, "uid string, chunk int, ids array<int>")
     return small.unionByName(big.select("doc_id", "uid").join(encoded, "uid").select("doc_id", "chunk", "ids"))
 
 
