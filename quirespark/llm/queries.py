@@ -12,12 +12,13 @@ from ._common import fold, table
 from .chat import ROTATION_SQL, rotate_perspectives
 from .language import fit_language_model, identify_languages, training_rows
 from .licences import licences_sql, scan_licences
+from .neighbours import nearest_neighbours
 from .packing import pack_documents
 from .pieces import encode_documents, piece_digests
 from .sharding import shard_documents
 from .simhash import simhash_components
 from .toxicity import fit_toxicity, score_toxicity
-from .vectors import near_duplicate_vectors, nearest_neighbours
+from .vectors import near_duplicate_vectors
 
 
 @lru_cache

@@ -1,4 +1,4 @@
-"""Embedding near duplicates by a robust-pruned graph, and nearest neighbours by a projection forest."""
+"""Embedding near duplicates: robust-pruned graphs on overlapping shards, searched in bounded cells, with audited recall."""
 
 from __future__ import annotations
 
@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import discard, materialize
 from .components import connected_components
 from .simhash import forest
 
@@ -23,56 +22,122 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("v", v).where(F.col("embedding").isNotNull() & ~bad & some)
 
 
+def centres_of(unit: np.ndarray, k: int, seed: int = 7, rounds: int = 8) -> np.ndarray:
+    """k-means centres of unit vectors."""
+    centres = unit[np.random.default_rng(seed).choice(len(unit), k, replace=False)]
+    for _ in range(rounds if k > 1 else 0):
+        near = (unit @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, unit)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
+    return centres
+
+
+def homes(unit: np.ndarray, centres: np.ndarray, margin: float) -> np.ndarray:
+    """(vector, centre): whether the centre is the nearest, or the border to its region is within ``margin``."""
+    sims = unit @ centres.T
+    best = sims.argmax(axis=1)
+    apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 1e-12))[best]
+    out = sims.max(axis=1, keepdims=True) - sims <= margin * apart
+    out[np.arange(len(unit)), best] = True
+    return out
+
+
 def robust_prune(near: np.ndarray, sim: np.ndarray, unit: np.ndarray, alpha: float, degree: int) -> np.ndarray:
-    """Vamana's rule for one node: of its candidates, nearest first, keep one and drop those that are
-    ``alpha`` times nearer to it than to the node, until ``degree`` are kept."""
-    order = np.argsort(-sim, kind="stable")
-    near, dist = near[order], np.sqrt(np.maximum(0, 2 - 2 * sim[order]))
-    between = np.sqrt(np.maximum(0, 2 - 2 * (unit[near] @ unit[near].T)))
-    alive = np.ones(len(near), dtype=bool)
-    kept: list[int] = []
-    for c in range(len(near)):
-        if alive[c]:
-            kept.append(c)
-            if len(kept) == degree:
-                break
-            alive &= alpha * between[c] > dist
-    return near[kept]
+    """Vamana's rule for many nodes at once: of a node's candidates (a row of ``near``, -1 where empty, nearest first,
+    with their ``sim``) keep the nearest and drop those that are ``alpha`` times nearer to it than to the node; go on
+    until ``degree`` are kept. Returns which are kept."""
+    vec = unit[near]
+    between = np.sqrt(np.maximum(0, 2 - 2 * np.matmul(vec, vec.transpose(0, 2, 1)))) * alpha
+    dist = np.sqrt(np.maximum(0, 2 - 2 * sim))
+    alive = near >= 0
+    kept = np.zeros(near.shape, dtype=bool)
+    left = np.full(len(near), degree)
+    for c in range(near.shape[1]):
+        now = alive[:, c] & (left > 0)
+        kept[:, c] = now
+        left -= now
+        alive &= ~now[:, None] | (between[:, c] > dist)
+    return kept
+
+
+def padded(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Adjacency (node, width) of the edges i -> j, sorted by i; -1 where empty."""
+    count = np.bincount(i, minlength=n)
+    out = np.full((n, max(1, int(count.max(initial=0)))), -1, dtype=np.int64)
+    out[i, np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)] = j
+    return out
 
 
-def build_graph(unit: np.ndarray, degree: int = 16, candidates: int = 48, alpha: float = 1.2) -> list[np.ndarray]:
-    """Adjacency of one shard: each node's nearest candidates and some random ones, robust-pruned, with
-    edges back (pruned again where a list overflows). Similarities are made in blocks of rows."""
+def build_graph(unit: np.ndarray, degree: int = 16, candidates: int = 40, alpha: float = 1.2) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (i, j) of one shard: each node's nearest candidates and some random ones, robust-pruned, with edges
+    back, pruned again where a list overflows."""
     n = len(unit)
     rng = np.random.default_rng(n)
     width = min(candidates, n - 1)
-    out: list[np.ndarray] = []
-    back: list[list[int]] = [[] for _ in range(n)]
-    for at in range(0, n, 512):
-        sims = unit[at : at + 512] @ unit.T
-        sims[np.arange(len(sims)), at + np.arange(len(sims))] = -2
-        near = np.argpartition(-sims, width - 1, axis=1)[:, :width] if width else np.zeros((len(sims), 0), int)
-        for r in range(len(sims)):
-            pool = np.unique(np.append(near[r], rng.integers(0, n, 8)))
-            pool = pool[pool != at + r]
-            kept = robust_prune(pool, sims[r, pool], unit, alpha, degree)
-            out.append(kept)
-            for x in kept:
-                back[x].append(at + r)
-    for i in range(n):
-        both = np.unique(np.append(out[i], np.array(back[i], dtype=np.int64))).astype(np.int64)
-        out[i] = both if len(both) <= 2 * degree else robust_prune(both, unit[both] @ unit[i], unit, alpha, 2 * degree)
-    return out
+    if not width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def pruned(rows: np.ndarray, near: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        sim = np.where(near >= 0, np.einsum("nd,ncd->nc", unit[rows], unit[near]), -4.0)
+        order = np.argsort(-sim, axis=1, kind="stable")
+        near, sim = np.take_along_axis(near, order, 1), np.take_along_axis(sim, order, 1)
+        kept = robust_prune(near, sim, unit, alpha, most)
+        r, c = np.nonzero(kept)
+        return rows[r], near[r, c]
+
+    edges = []
+    for at in range(0, n, 256):
+        rows = np.arange(at, min(at + 256, n))
+        sims = unit[rows] @ unit.T
+        sims[np.arange(len(rows)), rows] = -2
+        near = np.argpartition(-sims, width - 1, axis=1)[:, :width]
+        far = rng.integers(0, n, (len(rows), 8))
+        far[(far == rows[:, None]) | (far[:, :, None] == near[:, None]).any(axis=2)] = -1
+        edges.append(pruned(rows, np.concatenate((near, far), axis=1), degree))
+    i, j = (np.concatenate(x) for x in zip(*edges, strict=True))
+    both = np.unique(np.concatenate((i * n + j, j * n + i)))
+    i, j = both // n, both % n
+    full = np.flatnonzero(np.bincount(i, minlength=n) > 2 * degree)
+    if len(full):
+        calm = ~np.isin(i, full)
+        again = [pruned(rows, padded(*_own(i, j, rows), len(rows)), 2 * degree) for rows in np.array_split(full, -(-len(full) // 64))]
+        i, j = (np.concatenate([x, *y]) for x, y in zip((i[calm], j[calm]), zip(*again, strict=True), strict=True))
+    return i, j
+
+
+def _own(i: np.ndarray, j: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own = np.isin(i, rows)
+    return np.searchsorted(rows, i[own]), j[own]
+
+
+def cell_graph(unit: np.ndarray, per_shard: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency and entry medoids of one cell: its vectors join their ``overlap`` nearest cluster shards, each shard
+    builds a graph, and the lists of a vector are united."""
+    n = len(unit)
+    k = max(1, -(-n // per_shard))
+    centres = centres_of(unit, min(k, n))
+    near = np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :overlap]
+    pairs, entries = [], []
+    for shard in range(len(centres)):
+        own = np.flatnonzero((near == shard).any(axis=1))
+        if len(own):
+            i, j = build_graph(unit[own])
+            pairs.append(own[i] * n + own[j])
+            entries.append(own[(unit[own] @ unit[own].sum(axis=0)).argmax()])
+    both = np.unique(np.concatenate(pairs))
+    return padded(both // n, both % n, n), np.unique(entries)
 
 
 def range_search(
-    unit: np.ndarray, adjacency: np.ndarray, entries: np.ndarray, queries: np.ndarray, least: float, beam: int = 24
+    unit: np.ndarray, adjacency: np.ndarray, entries: np.ndarray, queries: np.ndarray, least: float, beam: int = 12
 ) -> Iterator[tuple[int, np.ndarray]]:
     """For each query node (a row of ``unit``): the nodes found with cosine >= ``least``, itself included.
 
-    Greedy search with a beam from the entry medoids first; then all that is in range is expanded until
-    nothing new in range appears. Queries advance together in blocks; adjacency is (node, width), -1
-    where empty.
+    Greedy search with a beam from the entry medoids first; then all that is in range, the query's own node
+    included, is expanded until nothing new in range appears. Queries advance together in blocks; adjacency is
+    (node, width), -1 where empty.
     """
     n = len(unit)
     for at in range(0, len(queries), 256):
@@ -81,6 +146,7 @@ def range_search(
         sims = np.full((len(block), n), -3.0, dtype=np.float64)  # -3: not seen yet
         done = np.zeros((len(block), n), dtype=bool)
         sims[:, entries] = q @ unit[entries].T
+        sims[np.arange(len(block)), block] = 1.0
 
         def expand(rows: np.ndarray, nodes: np.ndarray, sims: np.ndarray = sims, done: np.ndarray = done, q: np.ndarray = q) -> None:
             done[rows, nodes] = True
@@ -116,29 +182,69 @@ def range_search(
             yield int(i), np.flatnonzero(sims[r] >= least)
 
 
-def fit_centres(vectors: DataFrame, per_shard: int, sample: int) -> dict[int, np.ndarray]:
-    """Cluster centres by label, about one for ``per_shard`` vectors, fitted on a bounded sample.
+def split_into_cells(vectors: DataFrame, cell: int, margin: float, fan: int = 32, sample: int = 4_000, task: int = 50_000) -> DataFrame:
+    """(node, weight, u, cell) from vectors (node, weight, u, grp): the groups, split until no cell holds more than ``cell``.
 
-    The sample has at most ``sample`` vectors in all, those of least hash, dealt to labels in proportion.
+    Cells above that bound are split again and again, each by at most ``fan`` centres fitted in one task on about ``sample`` of
+    its vectors (those of least hash); a vector joins each part whose border is within ``margin``. So centres number
+    as many as the data need, none of them passes through the driver, and a task assigns at most about ``task``
+    vectors of a cell. A cell of which one part would hold over 0.8 is too dense to split; its name ends in "!".
     """
-    counts = {r["label"]: r["n"] for r in vectors.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    total = max(1, sum(counts.values()))
-    rows = vectors.orderBy(F.xxhash64("node"), "node").limit(sample).select("label", "v").toPandas() if total else None
-    out: dict[int, np.ndarray] = {}
-    for label, n in counts.items():
-        own = np.array(rows[rows["label"] == label]["v"].tolist(), dtype=np.float64).reshape(-1, rows["v"].str.len().max() if len(rows) else 1)
-        k = max(1, min(-(-n // per_shard), len(own) // 4))
-        if not len(own):
-            continue
-        own /= np.linalg.norm(own, axis=1, keepdims=True)
-        centres = own[np.random.default_rng(7).choice(len(own), k, replace=False)]
-        for _ in range(8 if k > 1 else 0):
-            near = (own @ centres.T).argmax(axis=1)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, near, own)
-            size = np.linalg.norm(sums, axis=1, keepdims=True)
-            centres = np.where(size > 0, sums / np.maximum(size, 1e-12), centres)
-        out[label] = centres
+    rows = vectors.select("node", "weight", "u", F.col("grp").alias("cell"))
+    first = True
+    while True:
+        sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).where((F.col("n") > cell) & ~F.col("cell").endswith("!"))
+        sizes = materialize(sizes)
+        if sizes.isEmpty():
+            return rows
+        spread = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 30)) < F.lit(float(sample << 30)) / F.col("n")
+        large = rows.join(sizes, "cell")
+
+        def fit(df: pd.DataFrame) -> pd.DataFrame:
+            unit = np.array(df["u"].tolist(), dtype=np.float64)
+            n = int(df["n"].iloc[0])
+            k = max(2, min(fan, -(-2 * n // cell), len(unit) // 4))
+            centres = centres_of(unit, k) if len(unit) > 8 else unit[:1]
+            if homes(unit, centres, margin).mean(axis=0).max() > 0.8:
+                centres = centres[:1]
+            return pd.DataFrame({"cell": df["cell"].iloc[:1], "centres": [list(centres.ravel())], "n": [n]})
+
+        def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({"node": [], "weight": [], "u": [], "cell": []})
+            unit = np.array(left["u"].tolist(), dtype=np.float64)
+            centres = np.array(right["centres"].iloc[0], dtype=np.float64).reshape(-1, unit.shape[1])
+            i, c = np.nonzero(homes(unit, centres, margin))
+            names = [f"{left['cell'].iloc[0]}/{x}" for x in range(len(centres))] if len(centres) > 1 else [f"{left['cell'].iloc[0]}!"]
+            own = left.iloc[i]
+            return pd.DataFrame({"node": own["node"].to_numpy(), "weight": own["weight"].to_numpy(), "u": own["u"].to_numpy(), "cell": [names[x] for x in c]})
+
+        fitted = large.where(spread).groupBy("cell").applyInPandas(fit, "cell string, centres array<double>, n long")
+        lots = F.ceil(F.col("n") / task).cast("int")
+        dealt = large.withColumn("lot", F.pmod(F.xxhash64("node"), lots).cast("int")).groupBy("cell", "lot")
+        shown = fitted.withColumn("lot", F.explode(F.sequence(F.lit(0), lots - 1))).groupBy("cell", "lot")
+        parts = dealt.cogroup(shown).applyInPandas(assign, "node long, weight long, u array<double>, cell string")
+        after = materialize(rows.join(sizes, "cell", "left_anti").select("node", "weight", "u", "cell").unionByName(parts))
+        if not first:
+            discard(rows)
+        rows, first = after, False
+
+
+def _report(node: np.ndarray, count: np.ndarray, edges: list[tuple[int, int]]) -> pd.DataFrame:
+    some = count > 0
+    a = [*node[some].tolist(), *(int(node[i]) for i, _ in edges)]
+    b = pd.array([*[None] * int(some.sum()), *(int(node[j]) for _, j in edges)], dtype="Int64")
+    return pd.DataFrame({"a": a, "b": b, "links": [*count[some].tolist(), *[0] * len(edges)]})
+
+
+def _earlier(cells: list, here: str) -> np.ndarray:
+    """(vector, cell) bitmap of memberships in cells before ``here``."""
+    lists = [[x for x in c if x < here] if c is not None else [] for c in cells]
+    names = {x: k for k, x in enumerate(sorted({x for c in lists for x in c}))}
+    out = np.zeros((len(cells), max(1, len(names))), dtype=bool)
+    for i, c in enumerate(lists):
+        for x in c:
+            out[i, names[x]] = True
     return out
 
 
@@ -148,136 +254,46 @@ def embedding_links(
     per_shard: int = 500,
     overlap: int = 2,
     cell: int = 6_000,
-    sample: int = 20_000,
-) -> tuple[DataFrame, DataFrame]:
-    """(node, links) and (a, b): counts of links and edges that connect what links connect.
-
-    vectors has node (long), label, v (array<double>) and weight (copies of that vector), all different
-    within a label. Each vector joins the ``overlap`` nearest cluster shards of its label; each shard
-    builds a robust-pruned graph; a vector's lists from its shards are united. Clusters of a label are
-    grouped into search cells of about ``cell`` vectors, in which each member searches the united graph
-    from the medoids. A pair is counted in the first cell that both have, so nothing counts twice. A
-    cell above 2 * ``cell`` vectors (one dense ball) is dealt by hash into parts, and each pair of parts
-    is a task that compares exactly in blocks.
+    margin: float = 0.06,
+    beam: int = 12,
+) -> DataFrame:
+    """(a, b, links): rows with null b count the links of a; the others are edges that connect what links connect.
+
+    vectors has node (long), grp (string), u (unit array<double>) and weight (copies of that vector), all different within a
+    group. Groups are split into overlapping cells of at most ``cell`` vectors (:func:`split_into_cells`). In each
+    cell, one task, vectors join their ``overlap`` nearest cluster shards; each shard builds a robust-pruned graph; lists
+    are united; each member searches the united graph by range from the medoids. A pair is counted in the first cell
+    that both have, so nothing counts twice. A cell too dense to split is dealt by hash into parts, and each pair of parts
+    is a task that compares exactly in blocks: there, links themselves grow with the square of the cell.
     """
-    spark = vectors.sparkSession
-    centres = fit_centres(vectors, per_shard, sample)
-    group: dict[int, np.ndarray] = {}
-    for label, c in centres.items():
-        k = max(1, -(-len(c) * per_shard // cell))
-        # Neighbouring clusters together: split the centres by their first principal direction, again and again.
-        parts = [np.arange(len(c))]
-        while len(parts) < k and max(map(len, parts)) > 1:
-            parts.sort(key=len)
-            x = parts.pop()
-            m = c[x] - c[x].mean(axis=0)
-            side = m @ np.linalg.svd(m, full_matrices=False)[2][0]
-            o = x[np.argsort(side, kind="stable")]
-            parts += [o[: len(o) // 2], o[len(o) // 2 :]]
-        group[label] = np.zeros(len(c), dtype=np.int32)
-        for g, x in enumerate(parts):
-            group[label][x] = g
-
-    names = ["node", "label", "weight", "u", "shards", "homes", "cells"]  # homes: the cell of each shard
-
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            pieces = []
-            for label, own in df.groupby("label", sort=False):
-                c = centres.get(label)
-                v = np.array(own["v"].tolist(), dtype=np.float64)
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
-                if c is None:
-                    near = homes = np.zeros((len(own), 1), dtype=np.int64)
-                else:
-                    near = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :overlap]
-                    homes = group[label][near]
-                cells = [sorted(set(x)) for x in homes.tolist()]
-                pieces.append(own.assign(u=list(v), shards=list(near.astype(np.int32)), homes=list(homes.astype(np.int32)), cells=cells)[names])
-            yield pd.concat(pieces) if pieces else pd.DataFrame(columns=names)
-
-    label_type = vectors.schema["label"].dataType.simpleString()
-    routed = materialize(
-        vectors.select("node", "label", "weight", "v").mapInPandas(
-            assign, f"node long, label {label_type}, weight long, u array<double>, shards array<int>, homes array<int>, cells array<int>"
-        )
-    )
-
-    def build(df: pd.DataFrame) -> pd.DataFrame:
-        ids = df["node"].to_numpy()
-        unit = np.array(df["u"].tolist(), dtype=np.float64)
-        lists = build_graph(unit)
-        medoid = int((unit @ unit.sum(axis=0)).argmax())
-        return pd.DataFrame({"node": ids, "near": [ids[x] for x in lists], "medoid": np.arange(len(ids)) == medoid})
-
-    cell_sizes = {
-        (r["label"], r["cell"]): r["n"]
-        for r in routed.select("label", F.explode("cells").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("n")).collect()
-    }  # one row for about each ``cell`` vectors of the sample's clusters: at most sample / 4 rows
-    dense = [(label, c, -(-n // cell)) for (label, c), n in cell_sizes.items() if n > 2 * cell]
-    crowd = spark.createDataFrame(dense, f"label {label_type}, cell int, parts int")
-    members = routed.select("node", "label", "weight", "u", "cells", "shards", F.explode("cells").alias("cell")).join(
-        F.broadcast(crowd), ["label", "cell"], "left"
-    )
-    # Only shards of cells that are searched get a graph, so no shard is larger than a calm cell.
-    shards = (
-        routed.select("node", "label", "u", F.explode(F.arrays_zip("shards", "homes")).alias("s"))
-        .select("node", "label", "u", F.col("s.shards").alias("shard"), F.col("s.homes").alias("cell"))
-        .join(F.broadcast(crowd.select("label", "cell")), ["label", "cell"], "left_anti")
-    )
-    lists = (
-        shards.groupBy("label", "shard")
-        .applyInPandas(build, "node long, near array<long>, medoid boolean")
-        .groupBy("node")
-        .agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("medoid").alias("medoid"))
-    )
-    out = "a long, b long, links long"  # b null: a count for a; else an edge
-
-    def report(node: np.ndarray, count: np.ndarray, edges: list[tuple[int, int]]) -> pd.DataFrame:
-        some = count > 0
-        a = [*node[some].tolist(), *(int(node[i]) for i, _ in edges)]
-        b = pd.array([*[None] * int(some.sum()), *(int(node[j]) for _, j in edges)], dtype="Int64")
-        return pd.DataFrame({"a": a, "b": b, "links": [*count[some].tolist(), *[0] * len(edges)]})
-
-    def first_cell(cells: list, here: int) -> np.ndarray:
-        """(n, cells) bitmap of memberships before ``here``."""
-        names = sorted({x for c in cells for x in c if x < here})
-        out = np.zeros((len(cells), max(1, len(names))), dtype=bool)
-        for i, c in enumerate(cells):
-            for x in c:
-                if x < here:
-                    out[i, names.index(x)] = True
-        return out
+    placed = split_into_cells(vectors, cell, margin)
+    shared = placed.groupBy("node").agg(F.collect_set("cell").alias("cells")).where(F.size("cells") > 1)
+    placed = placed.join(shared, "node", "left")
+    out = "a long, b long, links long"
 
     def search(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("node", kind="stable")
         node, weight = df["node"].to_numpy(), df["weight"].to_numpy()
         unit = np.array(df["u"].tolist(), dtype=np.float64)
-        place = {x: i for i, x in enumerate(node.tolist())}
-        rows = [[place[x] for x in near if x in place] for near in df["near"]]
-        adjacency = np.full((len(rows), max(1, max(map(len, rows)))), -1, dtype=np.int64)
-        for i, x in enumerate(rows):
-            adjacency[i, : len(x)] = x
-        entries = np.flatnonzero(df["medoid"].to_numpy())
-        entries = entries if len(entries) else np.zeros(1, dtype=np.int64)
-        earlier = first_cell(df["cells"].tolist(), int(df["cell"].iloc[0]))
+        adjacency, entries = cell_graph(unit, per_shard, overlap)
+        earlier = _earlier(df["cells"].tolist(), df["cell"].iloc[0])
         count = np.zeros(len(node), dtype=np.int64)
         edge_i: list[np.ndarray] = []
         edge_j: list[np.ndarray] = []
-        for i, found in range_search(unit, adjacency, entries, np.arange(len(node)), least - 1e-9):
+        for i, found in range_search(unit, adjacency, entries, np.arange(len(node)), least - 1e-9, beam):
             found = found[(unit[found] @ unit[i] >= least) & (found != i)]
             new = found[~(earlier[found] & earlier[i]).any(axis=1)]
             count[i] += weight[new].sum()
             edge_i.append(np.full(len(found), i))
             edge_j.append(found)
         links = forest(np.concatenate(edge_i), np.concatenate(edge_j), len(node)) if edge_i else []
-        return report(node, count, links)
+        return _report(node, count, links)
 
     def exact(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("node", kind="stable")
         node, weight, part = df["node"].to_numpy(), df["weight"].to_numpy(), df["part"].to_numpy()
         unit = np.array(df["u"].tolist(), dtype=np.float64)
-        earlier = first_cell(df["cells"].tolist(), int(df["cell"].iloc[0]))
+        earlier = _earlier(df["cells"].tolist(), df["cell"].iloc[0])
         pa_, pb_ = (int(x) for x in df["pair"].iloc[0].split(","))
         rows, columns = np.flatnonzero(part == pa_), np.flatnonzero(part == pb_)
         count = np.zeros(len(node), dtype=np.int64)
@@ -295,43 +311,77 @@ def embedding_links(
                 np.add.at(count, y[new], weight[x[new]])
             for i, j in forest(np.append(x, root), np.append(y, np.arange(len(root))), len(node)):
                 root[j] = i
-        return report(node, count, forest(root, np.arange(len(root)), len(node)))
+        return _report(node, count, forest(root, np.arange(len(root)), len(node)))
 
-    calm = members.where("parts is null").join(lists, "node").groupBy("label", "cell").applyInPandas(search, out)
+    calm = placed.where(~F.col("cell").endswith("!")).groupBy("cell").applyInPandas(search, out)
+    dense = placed.where(F.col("cell").endswith("!"))
+    sizes = dense.groupBy("cell").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda p: F.concat_ws(",", F.least(p, F.col("part")).cast("string"), F.greatest(p, F.col("part")).cast("string")),
     )
     crowded = (
-        members.where("parts is not null").withColumn("part", part).withColumn("pair", F.explode(pairs))
-        .groupBy("label", "cell", "pair")
+        dense.join(sizes, "cell").withColumn("part", part).withColumn("pair", F.explode(pairs))
+        .groupBy("cell", "pair")
         .applyInPandas(exact, out)
     )
-    both = materialize(calm.unionByName(crowded) if dense else calm)
-    counts = both.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    return counts, both.where("b is not null").select("a", "b")
+    return materialize(calm.unionByName(crowded))
 
 
-def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, **search: int) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label).
+def audit(classes: DataFrame, counts: DataFrame, least: float, bound: int = 512) -> tuple[int, int]:
+    """(links found, links there are) of at most ``bound`` vectors, those of least hash: their exact links are counted in
+    one pass of blocked products over all vectors."""
+    drawn = classes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(bound).select("node", "grp", "u").toPandas()
+    asked = {g: (own["node"].to_numpy(), np.array(own["u"].tolist(), dtype=np.float64)) for g, own in drawn.groupby("grp")}
 
-    Vectors link if their labels are equal and their cosine in double precision is at least ``least``.
-    Equal vectors of a label are searched as one and counted as many: copies link with each other and
-    share all links. Rows with null label, or a vector that is null, zero or has null or non-finite
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, int] = {}
+        for df in frames:
+            for g, own in df.groupby("grp", sort=False):
+                if g in asked:
+                    node, unit = asked[g]
+                    hit = np.array(own["u"].tolist(), dtype=np.float64) @ unit.T >= least
+                    hit &= own["node"].to_numpy()[:, None] != node
+                    for x, n in zip(node.tolist(), (hit * own["weight"].to_numpy()[:, None]).sum(axis=0).tolist(), strict=True):
+                        total[x] = total.get(x, 0) + n
+        yield pd.DataFrame({"node": list(total), "links": list(total.values())})
+
+    there = classes.select("node", "grp", "weight", "u").mapInPandas(count, "node long, links long").agg(F.sum("links")).first()[0]
+    found = counts.where(F.col("node").isin(drawn["node"].tolist())).agg(F.sum("links")).first()[0] if len(drawn) else 0
+    return int(found or 0), int(there or 0)
+
+
+def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, recall: float = 0.97, rounds: int = 3, **search: float) -> DataFrame:
+    """(vec_id, n_links, component_id, kept, audited_recall) for every row of vectors (vec_id, embedding, label).
+
+    Vectors link if their labels are equal, their lengths too, and their cosine in double precision is at least
+    ``least``; every link found is verified so. Equal vectors of a label are searched as one and counted as many: copies
+    link with each other and share all links. The search is audited on a bounded sample (:func:`audit`); below ``recall``
+    it is repeated with wider margins and beams, at most ``rounds`` times in all, and the last audit is reported.
+    Rows with null label, or a vector that is null, zero or has null or non-finite
     components, have no links and are their own component; so is a row with a null vec_id, which is not
-    searched. Repeated ids are rows of their own. Vectors of other lengths than a label's most frequent
-    one link with nothing. Empty in, empty out; other columns are ignored.
+    searched. Repeated ids are rows of their own. Empty in, empty out; other columns are ignored.
     """
     rows = vectors.select("vec_id", "embedding", "label")
     good = usable(rows).where("label is not null and vec_id is not null")
     classes = good.groupBy("label", "v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
-    classes = materialize(classes.withColumn("node", F.xxhash64("label", "v")))
-    width = classes.groupBy("label", F.size("v").alias("d")).agg(F.count("*").alias("n"))
-    width = width.groupBy("label").agg(F.max_by("d", F.struct("n", "d")).alias("d"))
-    even = classes.join(width, "label").where(F.size("v") == F.col("d")).drop("d")
-    counts, edges = embedding_links(even, least, **search)
-    parts = connected_components(edges)
+    grp = F.concat_ws("#", F.col("label").cast("string"), F.size("v").cast("string"))
+    # Numbers given to rows of a written table stay theirs.
+    classes = materialize(classes.withColumns({"node": F.monotonically_increasing_id(), "grp": grp}))
+    # Divided by the largest component first, so that squares neither overflow nor vanish.
+    classes = classes.withColumn("u", F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs))))
+    classes = classes.withColumn("u", F.transform("u", lambda x: x / F.sqrt(F.aggregate("u", F.lit(0.0), lambda a, y: a + y * y))))
+    margin, beam = search.pop("margin", 0.06), int(search.pop("beam", 12))
+    for turn in range(rounds):
+        both = embedding_links(classes, least, margin=margin, beam=beam, **search)
+        counts = both.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+        found, there = audit(classes, counts, least)
+        if found >= recall * there or turn == rounds - 1:
+            break
+        margin, beam = margin * 2, beam * 3
+        discard(both)
+    parts = connected_components(both.where("b is not null").select("a", "b"))
     named = classes.join(counts, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = named.join(names, "component").select(
@@ -344,144 +394,5 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, **search: in
         F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
         F.when(F.col("vec_id").isNull(), F.col("vec_id")).otherwise(F.coalesce("component_id", "vec_id")).alias("component_id"),
         F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"),
+        F.lit(found / there if there else 1.0).alias("audited_recall"),
     )
-
-
-class Forest:
-    """Random-projection trees: complete binary trees whose nodes split at the sample's median."""
-
-    def __init__(self, sample: np.ndarray, trees: int, depth: int, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.trees, self.depth, self.width = trees, depth, sample.shape[1]
-        self.planes, self.cuts = [], []
-        for _ in range(trees):
-            node = np.zeros(len(sample), dtype=np.int64)
-            planes, cuts = [], []
-            for d in range(depth):
-                w = rng.normal(size=(1 << d, self.width))
-                w /= np.linalg.norm(w, axis=1, keepdims=True)
-                p = np.einsum("ij,ij->i", sample, w[node])
-                cut = np.zeros(1 << d)
-                order = np.lexsort((p, node))
-                begins = np.searchsorted(node[order], np.arange((1 << d) + 1))
-                for j in range(1 << d):
-                    own = p[order[begins[j] : begins[j + 1]]]
-                    cut[j] = np.median(own) if len(own) else 0.0
-                node = node * 2 + (p > cut[node])
-                planes.append(w)
-                cuts.append(cut)
-            self.planes.append(planes)
-            self.cuts.append(cuts)
-
-    def leaves(self, x: np.ndarray) -> np.ndarray:
-        """(vector, tree) -> leaf."""
-        out = np.zeros((len(x), self.trees), dtype=np.int64)
-        for t in range(self.trees):
-            node = np.zeros(len(x), dtype=np.int64)
-            for w, cut in zip(self.planes[t], self.cuts[t], strict=True):
-                node = node * 2 + (np.einsum("ij,ij->i", x, w[node]) > cut[node])
-            out[:, t] = node
-        return out
-
-    def visit(self, q: np.ndarray, number: int, sizes: dict[tuple[int, int], int], least: int) -> list[tuple[int, int]]:
-        """The (tree, leaf) that a shared priority queue over all trees pops first for one query: nearest
-        first by the sum of squared distances to the planes crossed, whatever the tree. It goes on past
-        ``number`` leaves until those of one tree hold ``least`` vectors (sizes), or no leaf is left."""
-        import heapq
-
-        margins = [[w @ q - cut for w, cut in zip(self.planes[t], self.cuts[t], strict=True)] for t in range(self.trees)]
-        queue = [(0.0, t, 0, 0) for t in range(self.trees)]
-        out: list[tuple[int, int]] = []
-        held = [0] * self.trees
-        while queue and (len(out) < number or max(held) < least):
-            cost, t, d, node = heapq.heappop(queue)
-            while d < self.depth:
-                m = float(margins[t][d][node])
-                heapq.heappush(queue, (cost + m * m, t, d + 1, node * 2 + (m <= 0)))
-                d, node = d + 1, node * 2 + (m > 0)
-            if (t, node) in sizes:
-                out.append((t, node))
-                held[t] += sizes[t, node]
-        return out
-
-
-def nearest_neighbours(
-    vectors: DataFrame,
-    queries: DataFrame,
-    k: int = 10,
-    trees: int = 4,
-    leaf: int = 400,
-    search_share: float = 0.3,
-    sample: int = 20_000,
-    leaf_cap: int = 20_000,
-) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows of vectors found for each row of queries.
-
-    Both have vec_id and embedding; the score is the Euclidean distance in double precision and a
-    query's own id is no candidate. The trees' planes are fitted on at most ``sample`` vectors (those of
-    least hash); all vectors are indexed. A query visits the share ``search_share`` of all leaves, taken
-    from one priority queue over all trees; leaf candidates are ranked exactly. Vectors without
-    structure need a share this large for a recall of 0.9; clustered ones need far less.
-
-    Of equal vectors only the k + 1 of least id can be answers, so only those are indexed; a leaf above
-    ``leaf_cap`` rows is dealt into parts that are searched by one task each. Vectors that are null, zero
-    or have null or non-finite components, null ids, and vectors of another length than most take no
-    part. Ties go to the smaller id; a repeated row is a candidate once. Empty in, empty out.
-    """
-    spark = vectors.sparkSession
-    good = usable(vectors.select("vec_id", "embedding")).where("vec_id is not null").select("vec_id", "v")
-    widths = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    width = widths[0]["d"] if widths else 1
-    total = widths[0]["n"] if widths else 0
-    good = good.where(F.size("v") == width)
-    asked = usable(queries.select("vec_id", "embedding")).where("vec_id is not null").select("vec_id", "v").where(F.size("v") == width)
-    by_copy = Window.partitionBy("v").orderBy("vec_id")
-    first = good.distinct().withColumn("copy", F.row_number().over(by_copy)).where(F.col("copy") <= k + 1).drop("copy")
-    drawn = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
-    x = np.array(drawn["v"].tolist(), dtype=np.float64).reshape(-1, width)
-    depth = max(5, min(int(np.log2(max(1, total / leaf))), int(np.log2(max(2, len(x) / 8))), 16)) if len(x) else 5
-    trees_of = Forest(x if len(x) else np.zeros((1, width)), trees, depth)
-    visits = max(1, round(search_share * trees * (1 << depth)))
-
-    def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            if len(df):
-                at = trees_of.leaves(np.array(df["v"].tolist(), dtype=np.float64))
-                yield pd.DataFrame({"vec_id": np.repeat(df["vec_id"].to_numpy(), trees), "v": np.repeat(df["v"].to_numpy(), trees), "tree": np.tile(np.arange(trees), len(df)), "leaf": at.ravel()})
-
-    indexed = materialize(first.mapInPandas(index, "vec_id long, v array<double>, tree int, leaf int"))
-    sizes = {(r["tree"], r["leaf"]): r["n"] for r in indexed.groupBy("tree", "leaf").agg(F.count("*").alias("n")).collect()}
-    large = {key: -(-n // leaf_cap) for key, n in sizes.items() if n > leaf_cap}  # sizes: a row for each leaf at most
-
-    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            for q, v in zip(df["vec_id"], df["v"], strict=True):
-                rows = [(t, j, p) for t, j in trees_of.visit(np.asarray(v, dtype=np.float64), visits, sizes, k + 1) for p in range(large.get((t, j), 1))]
-                yield pd.DataFrame({"vec_id": q, "v": [v] * len(rows), "tree": [r[0] for r in rows], "leaf": [r[1] for r in rows], "part": [r[2] for r in rows]})
-
-    parts = spark.createDataFrame([(t, j, n) for (t, j), n in large.items()], "tree int, leaf int, parts int")
-    held = indexed.join(F.broadcast(parts), ["tree", "leaf"], "left").withColumn(
-        "part", F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("int")
-    ).select("tree", "leaf", "part", "vec_id", "v")
-    routed = asked.repartition(spark.sparkContext.defaultParallelism).mapInPandas(route, "vec_id long, v array<double>, tree int, leaf int, part int")
-    key = ("tree", "leaf", "part")
-
-    def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        ids = left["vec_id"].to_numpy()
-        base = np.array(left["v"].tolist(), dtype=np.float64)
-        out = []
-        for q, v in zip(right["vec_id"], right["v"], strict=True):
-            d = np.sqrt(((base - np.asarray(v, dtype=np.float64)) ** 2).sum(axis=1))
-            d[ids == q] = np.inf
-            near = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
-            near = np.flatnonzero(d <= d[near].max()) if len(d) > k else near
-            near = near[np.lexsort((ids[near], d[near]))][:k]
-            near = near[np.isfinite(d[near])]
-            out.append(pd.DataFrame({"query_id": q, "vec_id": ids[near], "score": d[near]}))
-        return pd.concat(out)
-
-    found = held.groupBy(*key).cogroup(routed.groupBy(*key)).applyInPandas(rank, "query_id long, vec_id long, score double").distinct()
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

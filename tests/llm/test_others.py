@@ -11,7 +11,8 @@ from quirespark.llm import queries as Q
 from quirespark.llm.chat import rotate_perspectives
 from quirespark.llm.licences import scan_licences
 from quirespark.llm.pieces import START, Vocabulary, decode_documents, encode_documents, marked
-from quirespark.llm.vectors import near_duplicate_vectors, nearest_neighbours
+from quirespark.llm.neighbours import Forest, nearest_neighbours
+from quirespark.llm.vectors import near_duplicate_vectors, split_into_cells, usable
 
 from ..compare import assert_same
 from .util import AWKWARD, awkward, empty, union_components
@@ -54,10 +55,10 @@ def balls(seed=0):
     return rows + [(n, None, 0), (n + 1, [0.0] * 16, 0), (n + 2, [float("nan")] * 16, 0), (n + 3, rows[0][1], None), (n + 4, [None, *rows[0][1][1:]], 0), (n + 5, [float("inf")] * 16, 1), (None, rows[0][1], 0), (n + 6, [1.0, 2.0], 0)]
 
 
-@pytest.mark.parametrize("cell", [6000, 60])
+@pytest.mark.parametrize("cell", [6000, 60, 25])
 def test_near_duplicate_vectors(spark, cell):
     rows = balls()
-    df = spark.createDataFrame(rows, VECTORS).withColumns({"node": F.lit(1), "v": F.lit(2)})
+    df = spark.createDataFrame(rows, VECTORS).withColumns({"node": F.lit(1), "v": F.lit(2), "grp": F.lit(3)})
     got = {r["vec_id"]: r for r in rows_of(near_duplicate_vectors(df, per_shard=40, cell=cell))}
     links, count = plain_links(rows)
     assert len(got) == len(rows)
@@ -68,9 +69,44 @@ def test_near_duplicate_vectors(spark, cell):
     comp = union_components([r[0] for r in rows if r[0] is not None], links)
     assert sum(got[i]["component_id"] == c for i, c in comp.items()) >= 0.97 * len(comp)
     assert all(r["kept"] == (i is None or r["component_id"] == i) for i, r in got.items())
+    audited = {r["audited_recall"] for r in got.values()}
+    assert len(audited) == 1 and 0.97 <= min(audited) <= 1
     assert near_duplicate_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_vectors_of_other_lengths_link(spark):
+    """Under one label, vectors of its less frequent lengths are searched among their own length."""
+    rows = [(i, [float(i), 1.0, -2.0], 0) for i in range(9)] + [(20, [1.0, 0.01], 0), (21, [1.0, 0.02], 0), (22, [0.0, 1.0], 0), (23, [2.0, 0.02], 1), (24, [1e300, 1e298], 0), (25, [1e-300, 1e-302], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    links, count = plain_links([(i, [x / max(map(abs, v)) for x in v], lab) for i, v, lab in rows])
+    got = {r["vec_id"]: r for r in rows_of(near_duplicate_vectors(df))}
+    assert {i: got[i]["n_links"] for i, _, _ in rows} == {r[0]: count[k] for k, r in enumerate(rows)}
+    assert got[21]["component_id"] == got[24]["component_id"] == 20 and got[23]["n_links"] == 0
+    near = defaultdict(list)
+    for r in rows_of(nearest_neighbours(df, df, k=2)):
+        near[r["query_id"]].append(r["vec_id"])
+    assert set(near[22]) == {20, 21, 23, 24, 25} & set(near[22]) and len(near[22]) == 2 and set(near[3]) == {2, 4}
+
+
+def test_dense_ball_is_whole(spark):
+    """Vectors so near to each other that no split separates them: all pairs still count."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (np.eye(8)[0] + rng.normal(size=8) * 0.01).tolist(), 0) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = rows_of(near_duplicate_vectors(df, cell=40))
+    assert all(r["n_links"] == 149 and r["component_id"] == 0 and r["audited_recall"] == 1 for r in got)
+
+
+def test_cells_are_bounded_and_whole(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30, 16))[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 16)) * 0.2
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, 1, v.tolist(), "g") for i, v in enumerate(u)], "node long, weight long, u array<double>, grp string")
+    got = rows_of(split_into_cells(df, cell=200, margin=0.02, fan=4, sample=500, task=300).groupBy("cell").agg(F.count("*").alias("n"), F.collect_set("node").alias("nodes")))
+    assert max(r["n"] for r in got) <= 200 and len(got) > 15 and not any(r["cell"].endswith("!") for r in got)
+    assert set().union(*(r["nodes"] for r in got)) == set(range(3000))
+
+
 def test_vector_recall_on_table(spark):
     import pyarrow.dataset as ds
 
@@ -107,14 +143,17 @@ def test_nearest_awkward(spark):
     rows = balls(1)
     df = spark.createDataFrame(rows, VECTORS)
     got = defaultdict(list)
-    for r in rows_of(nearest_neighbours(df, df.where("vec_id % 25 = 0"), k=5, leaf_cap=50)):
-        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    for r in rows_of(nearest_neighbours(df, df.where("vec_id % 25 = 0"), k=5, leaf=20, task=50)):
+        got[r["query_id"]].append((r["rank"], r["score"], r["vec_id"]))
     good = {i: np.array(v) for i, v, _ in rows if i is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)}
     hits = total = 0
     for q in (i for i in good if i % 25 == 0):
-        best = sorted((float(np.linalg.norm(good[q] - v)), i) for i, v in good.items() if i != q)[:5]
-        assert [i for _, i in sorted(got[q])] == [i for _, i in got[q]] or len(got[q]) == 5
-        hits += sum(any(abs(s - b) < 1e-6 for b, _ in best) for s, _ in got[q])
+        best = sorted((float(np.sqrt(((good[q] - v) ** 2).sum())), i) for i, v in good.items() if i != q)[:5]
+        mine = sorted(got[q])
+        assert [x[0] for x in mine] == [1, 2, 3, 4, 5]
+        assert [x[1:] for x in mine] == sorted(x[1:] for x in mine)
+        assert all(s == pytest.approx(float(np.sqrt(((good[q] - good[i]) ** 2).sum())), abs=1e-12) for _, s, i in mine)
+        hits += sum(any(abs(s - b) < 1e-6 for b, _ in best) for _, s, _ in mine)
         total += 5
     assert hits / total > 0.9 and set(got) == {i for i in good if i % 25 == 0}
     few = df.where("vec_id < 3")
@@ -123,6 +162,33 @@ def test_nearest_awkward(spark):
     assert nearest_neighbours(none, none).count() == 0
 
 
+def test_nearest_prunes_clustered_vectors(spark):
+    """In clustered vectors a query scans less than a fifth of the table for a recall over 0.9, all trees counted."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(200, 32)) * 3
+    x = (centres[rng.integers(0, 200, 12_000)] + rng.normal(size=(12_000, 32)) * 0.6).astype(np.float32).astype(float)
+    planted = Forest(x, 4, 6)
+    number = planted.calibrate(x, 10, 0.94)
+    at = planted.leaves(x)
+    sizes = [np.bincount(at[:, t], minlength=64) for t in range(4)]
+    scanned = [sum(sizes[t][j] for t, j in zip_first(planted.order(q), number)) for q in x[:50]]
+    assert np.mean(scanned) / len(x) < 0.2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in rows_of(nearest_neighbours(df, df.where("vec_id % 100 = 0"))):
+        got[r["query_id"]].add(r["vec_id"])
+    right = 0
+    for q in range(0, len(x), 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        right += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert right / (10 * len(got)) > 0.9
+
+
+def zip_first(order, number):
+    return [x for x, _ in zip(order, range(number), strict=False)]
+
+
 # 8 Chat
 
 
