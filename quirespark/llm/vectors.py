@@ -367,11 +367,12 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, recall: floa
     good = usable(rows).where("label is not null and vec_id is not null")
     classes = good.groupBy("label", "v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
     grp = F.concat_ws("#", F.col("label").cast("string"), F.size("v").cast("string"))
+    by = lambda v, x: F.zip_with(v, F.array_repeat(x, F.size(v)), lambda a, b: a / b)  # noqa: E731 (x is made once)
+    # Divided by the largest component first, so that squares neither overflow nor vanish.
+    classes = classes.withColumn("u", by(F.col("v"), F.array_max(F.transform("v", F.abs))))
+    classes = classes.withColumn("u", by(F.col("u"), F.sqrt(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x))))
     # Numbers given to rows of a written table stay theirs.
     classes = materialize(classes.withColumns({"node": F.monotonically_increasing_id(), "grp": grp}))
-    # Divided by the largest component first, so that squares neither overflow nor vanish.
-    classes = classes.withColumn("u", F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs))))
-    classes = classes.withColumn("u", F.transform("u", lambda x: x / F.sqrt(F.aggregate("u", F.lit(0.0), lambda a, y: a + y * y))))
     margin, beam = search.pop("margin", 0.06), int(search.pop("beam", 12))
     for turn in range(rounds):
         both = embedding_links(classes, least, margin=margin, beam=beam, **search)
