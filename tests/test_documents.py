@@ -60,7 +60,7 @@ def test_broken_lines_keep_every_character(n, target):
 
 def test_equation_forms():
     assert M.equation("a & = b", [], "(1)", 1, False) == "\\begin{equation}\na = b\\tag{(1)}\n\\end{equation}\n"
-    assert "SourceFitDisplayMath" in M.equation("x" * 100, [], "", 3, False)
+    assert r"\resizebox{\linewidth}{!}{$\displaystyle xxx" in M.equation("x" * 100, [], "", 3, False)
     assert "&\\quad + c" in M.equation(r"\frac{a}{b} = " + "x" * 80 + r" \\ + c", [], "", 3, False)
     assert M.equation("", [], "1", 1, False) == ""
 
