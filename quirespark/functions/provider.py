@@ -21,8 +21,30 @@ def next_step(locked: Column, exhausted: Column, status: Column) -> Column:
     )
 
 
+#: Language codes that a web translator spells otherwise.
+CODES = {"zh-CN": "zh-cn", "zh-TW": "zh-tw"}
+
+
 def target_code(language: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(language, F.lit(""))))
+    """A language's code: that of CODES, else the language in lower case."""
+    plain = F.trim(F.coalesce(language, F.lit("")))
+    out = F.lower(plain)
+    for name, code in CODES.items():
+        out = F.when(plain == name, code).otherwise(out)
+    return out
+
+
+def answer_translations(answer: Column, count: Column) -> Column:
+    """The translations (array<string>) of a JSON answer; null unless it holds exactly ``count`` strings."""
+    got = F.from_json(answer, "translations array<string>")["translations"]
+    return F.when((F.size(got) == count) & ~F.exists(got, lambda t: t.isNull()), got)
+
+
+def answer_text(answer: Column) -> Column:
+    """The text parts of a nested JSON answer's first candidate, joined; empty if there are none."""
+    got = F.from_json(answer, "candidates array<struct<content: struct<parts: array<struct<text: string>>>>>")["candidates"]
+    texts = F.filter(F.transform(F.get(got, F.lit(0))["content"]["parts"], lambda p: p["text"]), lambda t: t.isNotNull())
+    return F.coalesce(F.array_join(texts, ""), F.lit(""))
 
 
 def glossary_lines(terms: Column) -> Column:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Single characters and their TeX escapes.
 TEX_ESCAPES = {
     "\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}",
     "~": r"\textasciitilde{}", "^": r"\textasciicircum{}",
 }
+#: Lower-case letters that case folding changes further.
+FOLDS = {"ß": "ss", "ς": "σ", "ſ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 #: Substrings (lower case) of messages that stand for a passing fault.
 TRANSIENT = (
     "transient_gemini_error:", "transient_google_translate_error:", "cloud translation api http 429",
@@ -35,13 +41,39 @@ def any_of(text: Column, marks: tuple[str, ...]) -> Column:
     return out
 
 
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Canonical composition, by Arrow batch: Spark has no expression for it. Nulls stay null."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def composed(text: Column) -> Column:
+    """NFC of a text; texts of Latin-1 and common punctuation only are so already and take no normalisation."""
+    return F.when(text.rlike("[^\\x{00}-\\x{FF}\\x{2010}-\\x{2027}]"), nfc(text)).otherwise(text)
+
+
+def printable(text: Column) -> Column:
+    """NFC without control, format, private or unassigned characters, but for line ends and tabs."""
+    return F.regexp_replace(composed(text), r"[\p{C}&&[^\n\t]]", "")
+
+
 def clean_prose(text: Column) -> Column:
     """Line ends, tabs and no-break spaces to blanks; other control characters and soft hyphens dropped;
-    blanks collapsed; ends kept."""
+    blanks collapsed; ends kept. Text is taken as composed; :func:`composed` makes it so."""
     spaced = F.regexp_replace(text, r"[\n\t\r\x{A0}]", " ")
     return F.regexp_replace(F.regexp_replace(spaced, r"\p{C}", ""), r" +", " ")
 
 
+def sanitised(text: Column) -> Column:
+    """A provider's text as it is kept: composed, clean, without white space at its ends; null is empty."""
+    return F.regexp_replace(clean_prose(composed(F.coalesce(text, F.lit("")))), r"(?U)^\s+|\s+$", "")
+
+
+def shortened(error: Column, message: Column, stage: Column) -> tuple[Column, Column, Column]:
+    """An error's last 6000 characters, a message's first 500, a stage's first 80: what a job row holds of them."""
+    return F.right(error, F.lit(6000)), F.left(message, F.lit(500)), F.left(stage, F.lit(80))
+
+
 def letters(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
 
@@ -63,21 +95,38 @@ def ends_sentence(text: Column) -> Column:
 
 
 def context_text(kind: Column, text: Column) -> Column:
-    """What a neighbour sees of a block: its text, or a mark with the start of an equation."""
-    return F.when(kind == "equation", F.concat(F.lit("[DISPLAY EQUATION: "), F.left(text, F.lit(260)), F.lit("]"))).otherwise(text)
+    """What a neighbour sees of a block: its trimmed text, or a mark with the start of an equation, if it has a formula."""
+    flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    shown = F.when(flat == "", "[DISPLAY EQUATION]").otherwise(F.concat(F.lit("[DISPLAY EQUATION: "), F.left(flat, F.lit(260)), F.lit("]")))
+    return F.when(kind == "equation", shown).otherwise(flat)
+
+
+def folded(text: Column) -> Column:
+    """Case folding for comparison: lower case, with the letters of FOLDS spelt out."""
+    out = F.lower(text)
+    for letter, spelt in FOLDS.items():
+        out = F.replace(out, F.lit(letter), F.lit(spelt))
+    return out
 
 
 def signature(kind: Column, text: Column) -> Column:
-    """Case-folded words with single blanks; empty for equations, figures and tables."""
-    folded = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    plain = F.trim(F.regexp_replace(F.regexp_replace(folded, r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
+    """Case-folded words with single blanks, then without marks; empty for equations, figures and tables. Blanks beside
+    a mark that goes stay, so two may follow each other."""
+    flat = F.trim(F.regexp_replace(folded(text), r"(?U)\s+", " "))
+    plain = F.trim(F.regexp_replace(flat, r"[^\p{L}\p{N}_\s]", ""))
     return F.when(kind.isin("equation", "figure", "table"), "").otherwise(plain)
 
 
 def escape_tex(text: Column) -> Column:
-    """All characters mapped in one pass, so no escape is escaped again."""
-    table = F.create_map(*[F.lit(x) for kv in TEX_ESCAPES.items() for x in kv])
-    return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    """All characters mapped at once: those whose escape holds special characters become noncharacters first, so no
+    escape is escaped again."""
+    long = [c for c, e in TEX_ESCAPES.items() if len(e) > 2]
+    marks = [chr(0xFDD0 + i) for i in range(len(long))]
+    short = "".join("\\" + c for c, e in TEX_ESCAPES.items() if len(e) == 2)
+    out = F.regexp_replace(F.translate(text, "".join(long), "".join(marks)), f"([{short}])", r"\\$1")
+    for c, mark in zip(long, marks, strict=True):
+        out = F.replace(out, F.lit(mark), F.lit(TEX_ESCAPES[c]))
+    return out
 
 
 def strip_list_marker(text: Column) -> Column:
@@ -127,6 +176,11 @@ def placeholders(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(\[\[MATH_[0-9]+\]\])"))
 
 
+def implausible(source: Column, out: Column) -> Column:
+    """Whether an output of ``out`` characters is too long for a source of ``source``."""
+    return (source >= 3) & (out > F.greatest(2.4 * source, source + 12))
+
+
 def retry_delay(text: Column, default: float = 60.0) -> Column:
     patterns = (r"(?i)retry\s+in\s+([0-9]+(?:\.[0-9]+)?)s", r'(?i)"retryDelay"\s*:\s*"([0-9]+(?:\.[0-9]+)?)s"', r'(?i)"retry_after"\s*:\s*([0-9]+(?:\.[0-9]+)?)')
     found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")).cast("double") for p in patterns]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import formula as M
 from ..functions import text as X
+from .providers import Identity, Provider, translate
 
 
 def checked(items: DataFrame, language: str = "en") -> DataFrame:
@@ -31,24 +35,91 @@ def dedup_exact(blocks: DataFrame, least: int = 18) -> DataFrame:
     return blocks.groupBy("doc_id", "page", key.alias("sig")).agg(F.min("pos").alias("pos"), F.count("*").alias("copies")).select("doc_id", "page", "pos", "copies")
 
 
-def dedup_similar(blocks: DataFrame, ratio: float = 0.92, least: int = 18) -> DataFrame:
-    """Greedy removal of similar blocks within a page: a block joins the first kept one with a difflib
-    ratio of at least ``ratio``; the longer text stays at the place of the first. A page is one group."""
+def error_rows(items: DataFrame) -> DataFrame:
+    """The faults of each result, a row for each: none, one (an empty result has no other) or two (placeholders that
+    differ as multisets, then marks of the formula transport)."""
+    a, b = F.sort_array(X.placeholders(F.col("source"))), F.sort_array(X.placeholders(F.col("translated")))
+    listed = lambda x: F.concat(F.lit("["), F.array_join(F.transform(x, lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", "), F.lit("]"))
+    out = F.coalesce("translated", F.lit(""))
+    changed = F.concat(F.lit("placeholders changed expected="), listed(a), F.lit(" actual="), listed(b))
+    marks = M.bare_command(out) | out.contains("\\math{")
+    found = F.when(out == "", F.array(F.lit("empty translation"))).otherwise(
+        F.filter(F.array(F.when(a != b, changed), F.when(marks, "internal math transport marker")), lambda x: x.isNotNull())
+    )
+    return items.select("doc_id", "pos", "item_id", F.explode(found).alias("error"))
+
+
+def merged(items: DataFrame, stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Results (doc_id, pos, translated) of all items: fresh ones win over stored ones; null where neither has any."""
+    keys = ["doc_id", "pos"]
+    new = fresh.select(*keys, F.col("translated").alias("new"))
+    old = stored.select(*keys, F.col("translated").alias("old"))
+    return items.join(new, keys, "left").join(old, keys, "left").withColumn("translated", F.coalesce("new", "old")).drop("new", "old")
+
+
+def resumed(items: DataFrame, stored: DataFrame, providers: Sequence[Provider] = (Identity(),), language: str = "en") -> DataFrame:
+    """(doc_id, pos, translated, again) of all items (doc_id, pos, item_id, source): a stored result that still passes
+    stays; all others go to the providers again; what comes back is merged, new before old. ``again``: the item was made anew."""
+    keys = ["doc_id", "pos"]
+    held = checked(items.join(stored.select(*keys, "translated"), keys), language)
+    good = held.where("reason is null").select(*keys, "translated")
+    fresh = translate(pending(items, good), providers).where("reason is null").select(*keys, "translated")
+    out = merged(items, good, fresh).join(good.select(*keys, F.lit(True).alias("kept")), keys, "left")
+    return out.select(*keys, "translated", F.col("kept").isNull().alias("again"))
+
+
+def missing(results: DataFrame, k: int = 12) -> DataFrame:
+    """The first k items of each document without a result: none for a document that is complete."""
+    left = results.where("translated is null or translated = ''")
+    return left.groupBy("doc_id").agg(F.array_join(F.slice(F.array_sort(F.collect_list("item_id")), 1, k), ",").alias("missing"))
+
+
+def same_pages(got: DataFrame, expected: DataFrame) -> DataFrame:
+    """(doc_id, whole): whether a document's rows in both tables (doc_id, page) lie on the same pages."""
+    a = got.select("doc_id", "page").distinct().withColumn("in_got", F.lit(True))
+    b = expected.select("doc_id", "page").distinct().withColumn("in_expected", F.lit(True))
+    both = a.join(b, ["doc_id", "page"], "full")
+    return both.groupBy("doc_id").agg(F.bool_and(F.col("in_got").isNotNull() & F.col("in_expected").isNotNull()).alias("whole"))
+
+
+_DEDUP = "doc_id long, page int, pos int, text_of int"
+
+
+def dedup_similar(blocks: DataFrame, ratio: float = 0.92, least: int = 18, shared: float = 0.28, inside: int = 30) -> DataFrame:
+    """(doc_id, page, pos, text_of): the blocks kept of each page, and the block whose content stands there.
+
+    In order, a block whose signature has ``least`` characters joins the first kept block with the same signature, or
+    with a box that shares ``shared`` of the smaller of both and a similar text: a difflib ratio (the later block's
+    signature first) of at least ``ratio``, or one signature within the other if both have ``inside`` characters. Of the
+    two, an anchored block's content stays (column anchored, if there is one), else the longer text's, else the
+    first's. A page is one group.
+    """
     from difflib import SequenceMatcher
 
     import pandas as pd
 
+    def alike(a: str, b: str) -> bool:
+        held = min(len(a), len(b)) >= inside and (a in b or b in a)
+        return held or SequenceMatcher(None, a, b).ratio() >= ratio
+
+    def over(p, q) -> bool:
+        size = lambda x: max(0.0, (x.x1 - x.x0) * (x.y1 - x.y0))
+        area = max(0.0, min(p.x1, q.x1) - max(p.x0, q.x0)) * max(0.0, min(p.y1, q.y1) - max(p.y0, q.y0))
+        return area / max(1.0, min(size(p), size(q))) >= shared
+
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for pos, sig in df.sort_values("pos")[["pos", "sig"]].itertuples(index=False):
-            match = None
-            if len(sig) >= least:
-                match = next((k for k in kept if len(k[1]) >= least and (k[1] == sig or SequenceMatcher(None, k[1], sig).ratio() >= ratio)), None)
+        kept: list[list] = []  # place, content
+        for row in df.sort_values("pos").itertuples(index=False):
+            fits = lambda k, row=row: len(k[1].sig) >= least and (k[1].sig == row.sig or (over(row, k[1]) and alike(row.sig, k[1].sig)))
+            match = next(filter(fits, kept), None) if len(row.sig) >= least else None
             if match is None:
-                kept.append([pos, sig, pos])
-            elif len(sig) > len(match[1]):
-                match[1], match[2] = sig, pos
-        return pd.DataFrame({"doc_id": df["doc_id"].iloc[0], "page": df["page"].iloc[0], "pos": [k[0] for k in kept], "text_of": [k[2] for k in kept]})
+                kept.append([row.pos, row])
+            elif (row.anchored, len(row.sig)) > (match[1].anchored, len(match[1].sig)):
+                match[1] = row
+        n = len(kept)
+        return pd.DataFrame({"doc_id": [df["doc_id"].iloc[0]] * n, "page": [df["page"].iloc[0]] * n, "pos": [k[0] for k in kept], "text_of": [k[1].pos for k in kept]})
 
+    anchored = F.col("anchored") if "anchored" in blocks.columns else F.lit(False)
     sig = X.signature(F.col("kind"), F.col("text"))
-    return blocks.select("doc_id", "page", "pos", sig.alias("sig")).groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, pos int, text_of int")
+    rows = blocks.select("doc_id", "page", F.col("pos").cast("int").alias("pos"), sig.alias("sig"), anchored.alias("anchored"), "x0", "y0", "x1", "y1")
+    return rows.groupBy("doc_id", "page").applyInPandas(run, _DEDUP)

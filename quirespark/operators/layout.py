@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import markup as K
 from ..functions import text as X
 
 PAGE = ("doc_id", "page")
@@ -59,16 +60,6 @@ def top_text(blocks: DataFrame, hints: DataFrame, k: int = 4) -> DataFrame:
     return scored(blocks, hints).groupBy("doc_id", "pos").agg(F.array_join(F.transform(ranked, lambda x: x["t"]), " ").alias("texts"))
 
 
-def weight_by_area(blocks: DataFrame, hints: DataFrame) -> DataFrame:
-    """bold, normal or mixed, by the area-weighted share of bold hints (areas clamped to 1..50000)."""
-    w = F.greatest(F.lit(1.0), F.least(F.lit(50_000.0), F.col("shared")))
-    bold = F.col("font").contains("Bold").cast("double")
-    ratio = F.bround(F.sum(w * bold) / F.sum(w), 6)
-    return scored(blocks, hints).groupBy("doc_id", "pos").agg(ratio.alias("bold_ratio")).withColumn(
-        "weight", F.when(F.col("bold_ratio") >= 0.62, "bold").when(F.col("bold_ratio") <= 0.18, "normal").otherwise("mixed")
-    )
-
-
 def font_mode(hints: DataFrame) -> DataFrame:
     """Each document's font of most characters; the first seen wins ties."""
     by = hints.groupBy("doc_id", "font").agg(F.sum(F.length("text")).alias("n"), F.min("hint_ord").alias("o"))
@@ -125,26 +116,90 @@ def runs(blocks: DataFrame, value: Column) -> DataFrame:
     return v.groupBy("doc_id", "run").agg(F.first("v").alias("value"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n"))
 
 
-def insert_by_geometry(blocks: DataFrame, extra: DataFrame, columns: int = 2) -> DataFrame:
+def insert_by_geometry(blocks: DataFrame, extra: DataFrame, columns: int | DataFrame = 2) -> DataFrame:
     """Place on its page of every block (origin 0) and of every extra row (origin 1) that reading order lacks.
 
     Extra rows come in order of their number. Each goes before the first block of its column that starts
     lower, else after the last one of its column, else to the end; full-width rows and pages of one column
-    take all blocks as theirs. Rows inserted count as blocks for those after them. A page is one group, folded in the JVM.
+    take all blocks as theirs. ``columns`` is a number for all pages, or a table (doc_id, page, columns); pages that it
+    lacks have one. Rows inserted count as blocks for those after them. A page is one group, folded in the JVM.
     """
-    side = G.column_of(F.col("x0"), F.col("x1"), F.lit(columns))
-    row = lambda o, n: F.struct(F.lit(o).alias("origin"), F.col(n).cast("long").alias("num"), side.alias("side"), F.col("y0").cast("double").alias("y0"))
+    row = lambda o, n: F.struct(F.lit(o).alias("origin"), F.col(n).cast("long").alias("num"), *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0")])
     every = blocks.select(*PAGE, row(0, "pos").alias("r")).unionByName(extra.select(*PAGE, row(1, "hint_ord").alias("r")))
+    pages = every.groupBy(*PAGE).agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    if isinstance(columns, DataFrame):
+        pages = pages.join(columns.select(*PAGE, "columns"), list(PAGE), "left").withColumn("columns", F.coalesce("columns", F.lit(1)))
+    else:
+        pages = pages.withColumn("columns", F.lit(columns))
+    sided = F.transform("rs", lambda r: r.withField("side", G.column_of(r["x0"], r["x1"], F.col("columns"))))
+    pages = pages.withColumn("rs", sided)
 
     def put(page: Column, new: Column) -> Column:
-        own = lambda r: F.lit(columns <= 1) | (new["side"] == "full") | (r["side"] == new["side"])
+        own = lambda r: (F.col("columns") <= 1) | (new["side"] == "full") | (r["side"] == new["side"])
         lower = F.array_position(F.transform(page, lambda r: own(r) & (r["y0"] > new["y0"])), F.lit(True))
         from_end = F.array_position(F.reverse(F.transform(page, own)), F.lit(True))
         n = F.size(page)
         before = F.when(lower > 0, lower - 1).when(from_end > 0, n + 1 - from_end).otherwise(n).cast("int")
         return F.concat(F.slice(page, F.lit(1), before), F.array(new), F.slice(page, before + 1, n))
 
-    pages = every.groupBy(*PAGE).agg(F.array_sort(F.collect_list("r")).alias("rs"))
     part = lambda o: F.filter("rs", lambda r: r["origin"] == o)
     placed = pages.select(*PAGE, F.posexplode(F.aggregate(part(1), part(0), put)).alias("place", "r"))
     return placed.select(*PAGE, "place", "r.origin", "r.num")
+
+
+def measured_style(blocks: DataFrame, hints: DataFrame) -> DataFrame:
+    """(doc_id, page, pos, style, size, family, em) of each block that hints overlap.
+
+    style is bold, italic or normal where area-weighted shares of bold and italic characters say so (areas clamped to
+    1..50000), null between; size (5 to 36) and family are those of the best hint; em is the first-line indent of a
+    paragraph, by its best hint whose layout tells one. One spatial join.
+    """
+    near = overlapping(blocks, hints)
+    box = lambda t: G.area(*(F.col(f"{t}.{c}") for c in ("x0", "y0", "x1", "y1")))
+    shared = G.overlap("b", "h")
+    fit = shared / F.greatest(F.lit(1.0), box("b")) + shared / F.greatest(F.lit(1.0), box("h"))
+    rows = near.select(
+        *[F.col(f"b.{c}").alias(c) for c in (*PAGE, "pos", "kind")], "h.hint_ord", "h.font", "h.size", "h.bold_ratio", "h.italic_ratio", "h.em",
+        F.greatest(F.lit(1.0), F.least(F.lit(50_000.0), shared)).alias("w"), fit.alias("fit"),
+    )
+    told = (F.col("em") >= 0.32) | (F.col("em") <= 0.16)
+    best = F.struct("fit", (-F.col("hint_ord")).alias("o"))
+    got = rows.groupBy(*PAGE, "pos", "kind").agg(
+        F.bround(F.sum(F.col("w") * F.col("bold_ratio")) / F.sum("w"), 6).alias("bold"),
+        F.bround(F.sum(F.col("w") * F.col("italic_ratio")) / F.sum("w"), 6).alias("italic"),
+        F.max_by(F.struct("font", "size"), best).alias("m"),
+        F.max_by("em", F.when(told, best)).alias("em"),
+    )
+    prose = ~F.col("kind").isin("equation", "figure", "table", "footer")
+    style = F.when(F.col("bold") >= 0.62, "bold").when(F.col("italic") >= 0.62, "italic").when((F.col("bold") <= 0.18) & (F.col("italic") <= 0.18), "normal")
+    decision = F.when(F.col("em") >= 0.32, "yes").when(F.col("em") <= 0.16, "no")
+    return got.select(
+        *PAGE, "pos", F.when(prose, style).alias("style"), F.when(prose & F.col("m.size").between(5.0, 36.0), F.bround("m.size", 2)).alias("size"),
+        F.when(prose, K.family(F.col("m.font"))).alias("family"), F.when(F.col("kind") == "paragraph", G.paragraph_indent(decision, F.col("em"))).alias("em"),
+    )
+
+
+def figure_sources(visuals: DataFrame, images: DataFrame) -> DataFrame:
+    """(doc_id, page, image, coverage, image_coverage, source) of each visual (with chars and drawings) that images overlap:
+    the image that covers most of it, then the one most covered, then the first; and what the visual is taken from."""
+    best = scored(visuals, images).groupBy("doc_id", "page", "pos").agg(
+        F.max_by(
+            F.struct(F.col("hint_ord").alias("image"), F.bround("of_block", 6).alias("coverage"), F.bround("of_hint", 6).alias("image_coverage")),
+            F.struct(F.bround("of_block", 6).alias("a"), F.bround("of_hint", 6).alias("b"), (-F.col("hint_ord")).alias("c")),
+        ).alias("m")
+    )
+    full = best.join(visuals.select("doc_id", "pos", "chars", "drawings"), ["doc_id", "pos"])
+    return full.select("doc_id", "page", "m.image", "m.coverage", "m.image_coverage", G.figure_source(F.col("m.coverage"), F.col("chars"), F.col("drawings")).alias("source"))
+
+
+def pair_gap(hints: DataFrame) -> DataFrame:
+    """Each page's gap between two columns of long narrow hints, kept between 5 and 200 (else null)."""
+    long = (F.length("text") >= 40) & (F.col("x1") - F.col("x0") < 600)
+    gap = F.min(F.when(long & (F.col("x0") > 350), F.col("x0"))) - F.max(F.when(long & (F.col("x0") < 350), F.col("x1")))
+    return hints.groupBy(*PAGE).agg(gap.alias("gap")).withColumn("gap", F.when((F.col("gap") > 5) & (F.col("gap") < 200), F.col("gap")))
+
+
+def majority(values: Column, choices: tuple[int, ...] = (1, 2, 3)) -> Column:
+    """The choice seen most often; the first of them on a tie, and if none is seen."""
+    counts = [F.struct(F.count_if(values == c).alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("c")) for i, c in enumerate(choices)]
+    return F.greatest(*counts)["c"]

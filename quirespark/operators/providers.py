@@ -52,10 +52,10 @@ def batches(texts: Sequence[str], max_items: int, max_chars: int) -> Iterator[li
         yield held
 
 
-def run_chain(texts: list[str], providers: Sequence[Provider], max_items: int = 10, max_chars: int = 4200) -> list[tuple]:
+def run_chain(texts: list[str], providers: Sequence[Provider], max_items: int = 10, max_chars: int = 4200, singly: bool = False) -> list[tuple]:
     """(provider, result, calls its batches took, reason) for each text. A provider gets what those before it
     could not do; a batch with a fault is halved until the bad text stands alone, so n texts take at most
-    2n - 1 calls of a provider. What no provider can do keeps its source and the last reason."""
+    2n - 1 calls of a provider; with ``singly`` its texts are asked for one by one at once. What no provider can do keeps its source and the last reason."""
     out: list[tuple] = [(None, t, 0, "none") for t in texts]
     left = list(range(len(texts)))
     for provider in providers:
@@ -77,8 +77,8 @@ def run_chain(texts: list[str], providers: Sequence[Provider], max_items: int =
                 for i, g in zip(batch, got, strict=True):
                     out[i] = (name, g, out[i][2], None)
             elif len(batch) > 1 and not down:
-                half = len(batch) // 2
-                stack += [batch[half:], batch[:half]]
+                cut = 1 if singly else len(batch) // 2
+                stack += [batch[k : k + cut] for k in range(0, len(batch), cut)][::-1] if singly else [batch[cut:], batch[:cut]]
             else:
                 failed += batch
                 for i in batch:

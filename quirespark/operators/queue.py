@@ -56,17 +56,34 @@ def latest(events: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def running_progress(events: DataFrame, key: str = "user_id") -> DataFrame:
-    """Progress that never falls, clamped to 0..100."""
+    """Progress that never falls: whole percent (the fraction is cut off), clamped to 0..100, with the message's first 500
+    characters."""
     w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    percent = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("value")))
-    return events.select(key, "event_id", "ts", F.max(percent).over(w).alias("progress"))
+    percent = F.greatest(F.lit(0), F.least(F.lit(100), F.col("value").cast("int")))
+    return events.select(key, "event_id", "ts", F.max(percent).over(w).alias("progress"), F.left("message", F.lit(500)).alias("message"))
 
 
 def progress_changes(events: DataFrame, key: str = "user_id") -> DataFrame:
-    """Rows whose progress differs from the one before."""
+    """Rows whose progress or message differs from the one before."""
     w = Window.partitionBy(key).orderBy("ts", "event_id")
-    marked = running_progress(events, key).withColumn("before", F.lag("progress").over(w))
-    return marked.where(~F.col("progress").eqNullSafe(F.col("before"))).drop("before")
+    marked = running_progress(events, key).withColumns({"p": F.lag("progress").over(w), "m": F.lag("message").over(w)})
+    return marked.where(~(F.col("progress").eqNullSafe(F.col("p")) & F.col("message").eqNullSafe(F.col("m")))).drop("p", "m")
+
+
+def oldest_queued(jobs: DataFrame, limit: int = 10) -> DataFrame:
+    """The oldest queued jobs; a limit outside 1..10 is moved into it."""
+    return jobs.where("status = 'queued'").orderBy("created_at", "job_id").limit(max(1, min(10, limit)))
+
+
+def insertable(results: tuple[str, ...]) -> Column:
+    """Whether a row (job_id, user_id, path, progress, attempts) may be inserted: its path is owner/job/original.pdf, no
+    progress is made, attempts are within 0..8, and all ``results`` columns are null."""
+    owner = F.col("user_id").cast("string")
+    whole = F.concat_ws("/", owner, F.col("job_id").cast("string"), F.lit("original.pdf"))
+    out = (F.element_at(F.split("path", "/"), 1) == owner) & (F.col("path") == whole) & (F.col("progress") == 0) & F.col("attempts").between(0, 8)
+    for c in results:
+        out = out & F.col(c).isNull()
+    return out
 
 
 def sessions(events: DataFrame, gap: str = "6 hours", key: str = "user_id") -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formula as M
+from ..functions import geometry as G
+from ..functions import glyphs
 from ..functions import markup as K
 from ..functions import text as X
-from . import layout
+from . import integrity, layout
 
 KEY = ["doc_id", "page"]
 
@@ -92,48 +94,81 @@ def previews(blocks: DataFrame, hints: DataFrame, chars: int = 15_000) -> DataFr
     return both.select("doc_id", F.left(text, F.lit(chars)).alias("preview"))
 
 
+def measured(hints: DataFrame) -> DataFrame:
+    """hints with bold_ratio, italic_ratio and em; where they are not measured, the font's name tells, and no indent."""
+    font = F.lower("font")
+    plain = {"bold_ratio": X.any_of(font, K.BOLD).cast("double"), "italic_ratio": X.any_of(font, K.ITALIC).cast("double"), "em": F.lit(None).cast("double")}
+    return hints.withColumns({c: v for c, v in plain.items() if c not in hints.columns})
+
+
+def anchored(blocks: DataFrame, prose: DataFrame) -> DataFrame:
+    """blocks with ``source``, the text of the one prose hint that matches a plain block, if it has at least 8 letters and
+    1.08 times the block's; null for others, for visuals and footers, and where formulas stand in the text."""
+    strong = layout.unique_match(blocks, prose).join(prose.select("doc_id", "hint_ord", F.trim("text").alias("source")), ["doc_id", "hint_ord"])
+    held = blocks.join(strong.select("doc_id", "pos", "source"), ["doc_id", "pos"], "left")
+    plain = ~F.col("kind").isin("equation", "figure", "table", "footer") & ~F.col("text").rlike(r"\[\[MATH_\d+\]\]|[§\\\\$]math\{")
+    enough = X.letters(F.col("source")) >= F.greatest(F.lit(8), F.floor(X.letters(F.col("text")) * 1.08))
+    return held.withColumn("source", F.when(plain & enough, F.col("source")))
+
+
 def stabilised(blocks: DataFrame, hints: DataFrame) -> DataFrame:
     """Blocks of each page after recovery, with ``origin`` block, source (its text is the measured one) or recovered.
 
-    Plain prose takes the text of its one strong hint; prose hints that no block covers come in at their place;
-    of equal long texts on a page the anchored one stays, else the longer, else the first; weight, font and size come from the
-    layout; list markers go. Each step is a join or a group on (doc_id, page), so a page is the unit of work.
+    In order: words that begin with a misread section sign are mended from the texts of the four largest overlaps; plain
+    prose takes the text of its one strong hint; prose hints that no block covers come in at their place, by the
+    page's own columns; similar texts of a page are one; style, size, family and indent come from the layout; list
+    markers go; blocks that are not full width flow in the page's columns. Each step is a join or a group on (doc_id,
+    page), so a page is the unit of work.
     """
+    hints = measured(hints)
     prose = hints.where(X.prose_candidate(F.col("text"), F.col("font"), F.col("y0")))
-    anchors = layout.unique_match(blocks, prose).join(prose.select("doc_id", "hint_ord", F.col("text").alias("source")), ["doc_id", "hint_ord"]).drop("hint_ord")
-    plain = F.col("kind").isin("paragraph", "abstract", "section", "subsection", "list_item")
-    held = blocks.join(anchors, ["doc_id", "pos"], "left").withColumn("anchored", plain & F.col("source").isNotNull())
-    held = held.withColumn("text", F.when(F.col("anchored"), F.col("source")).otherwise(F.col("text")))
+    near = layout.top_text(blocks.where(F.col("text").contains("§")), hints)
+    held = blocks.join(near, ["doc_id", "pos"], "left")
+    visual = F.col("kind").isin("equation", "figure", "table")
+    held = held.withColumn("text", F.when(visual, F.col("text")).otherwise(glyphs.repaired(F.col("text"), F.col("texts")))).drop("texts")
+    held = anchored(held, prose)
+    held = held.withColumn("text", F.coalesce("source", "text"))
     lost = heading_kinds(hints).join(layout.uncovered(prose, blocks).select("doc_id", "hint_ord"), ["doc_id", "hint_ord"], "left_semi")
+    columns = column_hint(hints)
     box = ["x0", "y0", "x1", "y1"]
-    own = held.select(*KEY, F.lit(0).alias("origin"), F.col("pos").cast("long").alias("num"), "kind", "text", "anchored", *box)
-    new = lost.select(*KEY, F.lit(1).alias("origin"), F.col("hint_ord").cast("long").alias("num"), "kind", "text", F.lit(True).alias("anchored"), *box)
-    place = layout.insert_by_geometry(blocks, lost)
-    every = own.unionByName(new).join(place, [*KEY, "origin", "num"])
-    sig = X.signature(F.col("kind"), F.col("text"))
-    key = F.when(F.length(sig) >= 18, sig).otherwise(F.concat(F.lit("#"), F.col("place").cast("string")))
-    best = F.min_by(F.struct("origin", "num", "kind", "text", "anchored", *box), F.struct(~F.col("anchored"), -F.length("text"), "place"))
-    kept = every.groupBy(*KEY, key.alias("sig")).agg(F.min("place").alias("pos"), best.alias("b")).select(*KEY, "pos", "b.*")
-    return _with_style(kept, hints)
-
-
-def _with_style(kept: DataFrame, hints: DataFrame) -> DataFrame:
-    """Font, size and weight of each block from the hints that overlap it, in one spatial join."""
-    a = F.col("shared")
-    w = F.greatest(F.lit(1.0), F.least(F.lit(50_000.0), a))
-    ratio = F.sum(w * F.col("font").contains("Bold").cast("double")) / F.sum(w)
-    fit = F.struct((F.col("of_block") + F.col("of_hint")).alias("s"), (-F.col("hint_ord")).alias("o"))
-    style = layout.scored(kept, hints).groupBy(*KEY, "pos").agg(F.bround(ratio, 6).alias("bold"), F.max_by(F.struct("font", "size"), fit).alias("m"))
-    out = kept.join(style, [*KEY, "pos"], "left")
-    weight = F.when(F.col("bold") >= 0.62, "bold").when(F.col("bold") <= 0.18, "normal").when(F.col("bold").isNotNull(), "mixed")
+    none = F.lit(None).cast("string")
+    own = held.select(*KEY, F.lit(0).alias("origin"), F.col("pos").cast("long").alias("num"), "kind", "text", F.col("source").isNotNull().alias("anchored"), none.alias("style"), *box)
+    given = G.style_of(F.col("bold_ratio"), F.col("italic_ratio"))
+    new = lost.select(*KEY, F.lit(1).alias("origin"), F.col("hint_ord").cast("long").alias("num"), "kind", "text", F.lit(True).alias("anchored"), given.alias("style"), *box)
+    place = layout.insert_by_geometry(blocks, lost, columns)
+    every = own.unionByName(new).join(place, [*KEY, "origin", "num"]).withColumnRenamed("place", "pos").withColumn("pos", F.col("pos").cast("int"))
+    kept = integrity.dedup_similar(every).withColumnRenamed("pos", "place")
+    kept = kept.join(every.withColumnRenamed("pos", "text_of"), [*KEY, "text_of"]).drop("text_of").withColumnRenamed("place", "pos")
+    return _with_style(kept, hints, columns)
+
+
+def restabilised(saved: DataFrame, blocks: DataFrame, hints: DataFrame, pages: DataFrame) -> DataFrame:
+    """Stabilised blocks with some pages (doc_id, page) made anew from their blocks and hints; the others stay as saved."""
+    keys = pages.select(*KEY).distinct()
+    part = lambda df: df.join(keys, KEY, "left_semi")
+    return saved.join(keys, KEY, "left_anti").unionByName(stabilised(part(blocks), part(hints)).select(saved.columns))
+
+
+def _with_style(kept: DataFrame, hints: DataFrame, columns: DataFrame) -> DataFrame:
+    look = layout.measured_style(kept.drop("style"), hints).withColumnRenamed("style", "look")
+    out = kept.join(look, [*KEY, "pos"], "left").join(columns, KEY, "left")
+    n = F.coalesce("columns", F.lit(1))
     return out.select(
         *KEY, F.col("pos").alias("place"), "kind",
         F.when(F.col("kind") == "list_item", X.strip_list_marker(F.col("text"))).otherwise(F.col("text")).alias("text"),
         F.when(F.col("origin") == 1, "recovered").when(F.col("anchored"), "source").otherwise("block").alias("origin"),
-        F.col("m.font").alias("font"), F.col("m.size").alias("size"), weight.alias("weight"),
+        F.coalesce("look", "style", F.lit("normal")).alias("style"), "size", "family", "em",
+        F.when(G.column_of(F.col("x0"), F.col("x1"), n) == "full", 1).otherwise(n).alias("flow_columns"),
     )
 
 
+def blank_lines(formula: Column, lines: Column) -> Column:
+    """An equation's formula: its own, or its hinted lines joined by blanks if it has none. The hints go."""
+    own = F.trim(F.coalesce(formula, F.lit("")))
+    hinted = F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), " ")
+    return F.when(own != "", own).otherwise(F.coalesce(hinted, F.lit("")))
+
+
 def coverage(stable: DataFrame, hints: DataFrame, least: int = 120, warn: float = 0.70) -> DataFrame:
     """Letters of each page's prose before and after, and whether too few are left."""
     source = hints.where(X.prose_candidate(F.col("text"), F.col("font"), F.col("y0"))).groupBy(*KEY).agg(F.sum(X.letters(F.col("text"))).alias("source_letters"))

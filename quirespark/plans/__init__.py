@@ -1,5 +1,5 @@
 """Queries over the driver's tables."""
 
-from . import catalog, documents
+from . import catalog, documents, rules
 
-__all__ = ["catalog", "documents"]
+__all__ = ["catalog", "documents", "rules"]

@@ -7,10 +7,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import glyphs
+from ..functions import markup as K
 from ..functions import protect as P
 from ..functions import tex as T
 from ..functions import text as X
-from ..operators import batching, integrity, layout, providers, queue
+from ..operators import batching, integrity, layout, providers, queue, stabilise
 from ..sources import entities as E
 from .registry import QUERIES, SQL, register
 
@@ -24,7 +26,10 @@ MATH = (
     f"({MATH_N} >= 5 AND {MATH_N} / greatest(1, length({COMPACT})) >= 0.075) OR ({MATH_N} >= 3 AND {LETTERS.format(COMPACT)} <= 45)"
     f" OR (regexp_matches({COMPACT}, '[=∫∑]') AND {MATH_N} >= 2 AND {LETTERS.format(COMPACT)} <= 90)))))"
 )
-SIG = r"""CASE WHEN kind IN ('equation', 'figure', 'table') THEN '' ELSE trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) END"""
+FOLD = "lower({0})"
+for _letter, _spelt in X.FOLDS.items():
+    FOLD = f"replace({FOLD}, '{_letter}', '{_spelt}')"
+SIG = rf"""CASE WHEN kind IN ('equation', 'figure', 'table') THEN '' ELSE trim(regexp_replace(trim(regexp_replace({FOLD.format('text')}, '\s+', ' ', 'g')), '[^\p{{L}}\p{{N}}_\s]', '', 'g')) END"""
 BH = """bh AS (
   SELECT b.doc_id, b.page, b.pos, h.hint_ord, h.text AS hint_text, h.font, h.size,
     greatest(0.0::DOUBLE, least(b.x1, h.x1) - greatest(b.x0, h.x0)) * greatest(0.0::DOUBLE, least(b.y1, h.y1) - greatest(b.y0, h.y0)) AS shared,
@@ -113,7 +118,7 @@ def stale_clients(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("SELECT job_id FROM jobs WHERE status = 'queued' ORDER BY created_at, job_id LIMIT 10", E.JOBS_SQL)
 def queue_pending(spark: SparkSession, sf: str) -> DataFrame:
-    return E.jobs(spark, sf).where("status = 'queued'").orderBy("created_at", "job_id").limit(10).select("job_id")
+    return queue.oldest_queued(E.jobs(spark, sf), limit=50).select("job_id")
 
 
 @register("SELECT job_id, user_id, status FROM jobs WHERE job_id = 7", E.JOBS_SQL)
@@ -157,14 +162,17 @@ def owner_filter(spark: SparkSession, sf: str) -> DataFrame:
     return E.jobs(spark, sf).where("user_id = 42").select("job_id", "user_id")
 
 
-@register("""SELECT job_id, string_split(path, '/')[1] = CAST(user_id AS VARCHAR) AND path = user_id || '/' || job_id || '/original.pdf' AND progress = 0 AND attempts BETWEEN 0 AND 8 AS valid
-  FROM (SELECT *, CASE WHEN job_id % 3 = 0 THEN 0 ELSE user_id END || '/' || job_id || '/original.pdf' AS path FROM jobs)""", E.JOBS_SQL)
+@register("""SELECT job_id, string_split(path, '/')[1] = CAST(user_id AS VARCHAR) AND path = user_id || '/' || job_id || '/original.pdf' AND progress = 0 AND attempts BETWEEN 0 AND 8
+    AND result_path IS NULL AND pages IS NULL AND started_at IS NULL AND error IS NULL AS valid
+  FROM (SELECT *, CASE WHEN job_id % 3 = 0 THEN 0 ELSE user_id END || '/' || job_id || '/original.pdf' AS path, CASE WHEN job_id % 13 = 0 THEN 'r' END AS result_path,
+    CASE WHEN job_id % 17 = 0 THEN 3 END AS pages, CASE WHEN job_id % 19 = 0 THEN created_at END AS started_at, CASE WHEN job_id % 23 = 0 THEN 'e' END AS error FROM jobs)""", E.JOBS_SQL)
 def insert_shape_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a row may be inserted: its path is the owner's, nothing is done yet, and no result is given."""
     owner = F.when(F.col("job_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")).cast("string")
     j = E.jobs(spark, sf).withColumn("path", F.concat_ws("/", owner, F.col("job_id").cast("string"), F.lit("original.pdf")))
-    whole = F.concat_ws("/", F.col("user_id").cast("string"), F.col("job_id").cast("string"), F.lit("original.pdf"))
-    valid = (F.element_at(F.split("path", "/"), 1) == F.col("user_id").cast("string")) & (F.col("path") == whole) & (F.col("progress") == 0) & F.col("attempts").between(0, 8)
-    return j.select("job_id", valid.alias("valid"))
+    part = lambda n, v: F.when(F.col("job_id") % n == 0, v)
+    j = j.withColumns({"result_path": part(13, F.lit("r")), "pages": part(17, F.lit(3)), "started_at": part(19, F.col("created_at")), "error": part(23, F.lit("e"))})
+    return j.select("job_id", queue.insertable(("result_path", "pages", "started_at", "error")).alias("valid"))
 
 
 @register("""SELECT job_id, CASE WHEN trim(message) = '' THEN 'waiting' WHEN regexp_matches(lower(trim(message)), 'worker|runner|workflow|vault|token')
@@ -175,18 +183,18 @@ def message_masking(spark: SparkSession, sf: str) -> DataFrame:
     return E.jobs(spark, sf).select("job_id", shown.alias("shown"))
 
 
-@register("""SELECT user_id, event_id, ts, max(greatest(0.0::DOUBLE, least(100.0::DOUBLE, value))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS progress FROM heartbeats""", E.HEARTBEATS_SQL)
+@register("""SELECT user_id, event_id, ts, max(greatest(0, least(100, CAST(trunc(value) AS INTEGER)))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS progress, message FROM heartbeats""", E.HEARTBEATS_SQL)
 def progress_running_max(spark: SparkSession, sf: str) -> DataFrame:
     return queue.running_progress(E.heartbeats(spark, sf))
 
 
-@register("""SELECT user_id, event_id, ts, progress FROM (SELECT *, lag(progress) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM (
-  SELECT user_id, event_id, ts, max(greatest(0.0::DOUBLE, least(100.0::DOUBLE, value))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS progress FROM heartbeats)) WHERE progress IS DISTINCT FROM b""", E.HEARTBEATS_SQL)
+@register("""SELECT user_id, event_id, ts, progress, message FROM (SELECT *, lag(progress) OVER w AS b, lag(message) OVER w AS m FROM (
+  SELECT user_id, event_id, ts, max(greatest(0, least(100, CAST(trunc(value) AS INTEGER)))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS progress, message FROM heartbeats) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE progress IS DISTINCT FROM b OR message IS DISTINCT FROM m""", E.HEARTBEATS_SQL)
 def progress_change_only(spark: SparkSession, sf: str) -> DataFrame:
     return queue.progress_changes(E.heartbeats(spark, sf))
 
 
-@register("SELECT user_id, ts, event_id, action, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM heartbeats) WHERE r = 1", E.HEARTBEATS_SQL)
+@register("SELECT user_id, ts, event_id, action, value, message FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM heartbeats) WHERE r = 1", E.HEARTBEATS_SQL)
 def latest_job_state(spark: SparkSession, sf: str) -> DataFrame:
     return queue.latest(E.heartbeats(spark, sf), "user_id", "ts", "event_id")
 
@@ -230,10 +238,20 @@ def overlap_top4_text(spark: SparkSession, sf: str) -> DataFrame:
     return layout.top_text(E.blocks(spark, sf), E.hints(spark, sf))
 
 
-@register("""SELECT doc_id, pos, bold_ratio, CASE WHEN bold_ratio >= 0.62 THEN 'bold' WHEN bold_ratio <= 0.18 THEN 'normal' ELSE 'mixed' END AS weight FROM (
-  SELECT doc_id, pos, round_even(sum(greatest(1.0::DOUBLE, least(50000.0::DOUBLE, shared)) * CASE WHEN contains(font, 'Bold') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) / sum(greatest(1.0::DOUBLE, least(50000.0::DOUBLE, shared))), 6) AS bold_ratio FROM bh GROUP BY doc_id, pos)""", E.BLOCKS_SQL, E.HINTS_SQL, BH)
-def font_weight_by_area(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.weight_by_area(E.blocks(spark, sf), E.hints(spark, sf))
+_FIT = "shared / block_area + shared / hint_area"
+
+
+@register(f"""SELECT g.doc_id, g.page, g.pos, CASE WHEN kind NOT IN ('equation', 'figure', 'table', 'footer') THEN CASE WHEN bold >= 0.62 THEN 'bold' WHEN italic >= 0.62 THEN 'italic' WHEN bold <= 0.18 AND italic <= 0.18 THEN 'normal' END END AS style,
+  CASE WHEN kind NOT IN ('equation', 'figure', 'table', 'footer') AND m.size BETWEEN 5 AND 36 THEN round_even(m.size, 2) END AS size,
+  CASE WHEN kind NOT IN ('equation', 'figure', 'table', 'footer') THEN CASE WHEN contains(lower(m.font), 'arial') THEN 'sans' ELSE 'serif' END END AS family,
+  CASE WHEN kind = 'paragraph' THEN CASE WHEN t.em >= 0.32 THEN round_even(greatest(0.45::DOUBLE, least(1.8::DOUBLE, t.em)), 2) WHEN t.em <= 0.16 THEN 0.0::DOUBLE END END AS em
+  FROM (SELECT doc_id, page, pos, round_even(sum(w * bold_ratio) / sum(w), 6) AS bold, round_even(sum(w * italic_ratio) / sum(w), 6) AS italic FROM wide GROUP BY doc_id, page, pos) g
+  JOIN blocks b ON b.doc_id = g.doc_id AND b.pos = g.pos
+  JOIN (SELECT * FROM wide QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY {_FIT} DESC, hint_ord) = 1) m ON m.doc_id = g.doc_id AND m.pos = g.pos
+  LEFT JOIN (SELECT * FROM wide WHERE em >= 0.32 OR em <= 0.16 QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY {_FIT} DESC, hint_ord) = 1) t ON t.doc_id = g.doc_id AND t.pos = g.pos""",
+  E.BLOCKS_SQL, E.HINTS_SQL, BH, """wide AS (SELECT bh.*, h.bold_ratio, h.italic_ratio, h.em, greatest(1.0::DOUBLE, least(50000.0::DOUBLE, shared)) AS w FROM bh JOIN hints h ON h.doc_id = bh.doc_id AND h.hint_ord = bh.hint_ord)""")
+def measured_style(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.measured_style(E.blocks(spark, sf), E.hints(spark, sf))
 
 
 @register("""SELECT doc_id, font FROM (SELECT doc_id, font, row_number() OVER (PARTITION BY doc_id ORDER BY sum(length(text)) DESC, min(hint_ord)) AS r FROM hints GROUP BY doc_id, font) WHERE r = 1""", E.BLOCKS_SQL, E.HINTS_SQL)
@@ -255,7 +273,8 @@ def body_median_weighted(spark: SparkSession, sf: str) -> DataFrame:
     return layout.body_size(E.hints(spark, sf))
 
 
-_SEEN = "CASE WHEN kind = 'equation' THEN '[DISPLAY EQUATION: ' || left(text, 260) || ']' ELSE text END"
+_TRIMMED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+_SEEN = f"CASE WHEN kind <> 'equation' THEN {_TRIMMED} WHEN {_TRIMMED} = '' THEN '[DISPLAY EQUATION]' ELSE '[DISPLAY EQUATION: ' || left({_TRIMMED}, 260) || ']' END"
 
 
 @register(rf"""SELECT doc_id, pos, coalesce(right(p.t, 260), '') AS previous_context, coalesce(left(n.t, 260), '') AS next_context,
@@ -393,21 +412,29 @@ def quota_error_classes(spark: SparkSession, sf: str) -> DataFrame:
 @register("""SELECT doc_id, max(w) AS width, CAST(sum(n) AS BIGINT) AS n_cells FROM (SELECT doc_id, pos, list_sum([greatest(1, length(c) % 4) FOR c IN string_split(text, ' ')]) AS w, len(string_split(text, ' ')) AS n FROM blocks WHERE kind = 'table') GROUP BY doc_id""", E.BLOCKS_SQL)
 def table_widths(spark: SparkSession, sf: str) -> DataFrame:
     cells = F.split("text", " ", -1)
-    width = F.aggregate(cells, F.lit(0).cast("long"), lambda a, c: a + F.greatest(F.lit(1), F.length(c) % 4))
-    rows = E.blocks(spark, sf).where("kind = 'table'").select("doc_id", width.alias("w"), F.size(cells).alias("n"))
+    row = F.struct(F.transform(cells, lambda c: F.struct((F.length(c) % 4).alias("colspan"))).alias("cells"))
+    rows = E.blocks(spark, sf).where("kind = 'table'").select("doc_id", K.table_width(F.array(row)).alias("w"), F.size(cells).alias("n"))
     return rows.groupBy("doc_id").agg(F.max("w").alias("width"), F.sum("n").alias("n_cells"))
 
 
-@register(r"""sw AS (SELECT doc_id, w, length(w) AS n, substr(w, 2) AS tail FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM blocks WHERE pos % 5 <> 4) WHERE length(w) > 3)
-  SELECT b.doc_id, b.tail, min(s.w) AS repaired FROM (SELECT DISTINCT doc_id, tail FROM sw WHERE n > 5) b JOIN sw s ON b.doc_id = s.doc_id AND b.tail = s.tail GROUP BY b.doc_id, b.tail HAVING count(*) = 1""", E.BLOCKS_SQL)
+_LOST = r"regexp_replace(text, '(^| )\p{L}(\p{L}{4,})', '\1§\2', 'g')"
+_RESERVED = ", ".join(f"'{w}'" for w in glyphs.RESERVED)
+
+
+@register()
 def glyph_repair(spark: SparkSession, sf: str) -> DataFrame:
-    """Words whose first letter was lost, restored where the source has exactly one occurrence that fits."""
-    words = E.blocks(spark, sf).where("pos % 5 <> 4").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("w")).where(F.length("w") > 3)
-    s = words.select("doc_id", "w", F.substr("w", F.lit(2)).alias("tail"))
-    return s.groupBy("doc_id", "tail").agg(F.count("*").alias("n"), F.min("w").alias("repaired")).where((F.col("n") == 1) & (F.length("repaired") > 5)).drop("n")
+    """Words whose first letter was read as a section sign, restored where the source has exactly one word that fits."""
+    lost = F.regexp_replace("text", r"(^| )\p{L}(\p{L}{4,})", "$1§$2")
+    return E.blocks(spark, sf).select("doc_id", "pos", glyphs.repaired(lost, F.col("text")).alias("repaired"))
 
 
-SQL["glyph_repair"] = SQL["glyph_repair"].replace(") sw AS (", "), sw AS (", 1)
+SQL["glyph_repair"] = rf"""WITH {E.BLOCKS_SQL}, t AS (SELECT doc_id, pos, string_split({_LOST}, '§') AS p, regexp_extract_all(text, '\p{{L}}+') AS w FROM blocks),
+  parts AS (SELECT doc_id, pos, unnest(p[2:]) AS x, generate_subscripts(p[2:], 1) AS k, w, [{FOLD.format('substr(y, 2)')} FOR y IN w] AS tails FROM t),
+  tailed AS (SELECT *, regexp_extract(x, '^\p{{L}}+') AS tail FROM parts),
+  found AS (SELECT *, list_position(tails, {FOLD.format('tail')}) AS first FROM tailed),
+  mended AS (SELECT doc_id, pos, string_agg(CASE WHEN tail <> '' AND first > 0 AND first = len(tails) + 1 - list_position(list_reverse(tails), {FOLD.format('tail')})
+    AND {FOLD.format('tail')} NOT IN ({_RESERVED}) AND length(w[first]) = length(tail) + 1 THEN w[first] || substr(x, length(tail) + 1) ELSE '§' || x END, '' ORDER BY k) AS rest FROM found GROUP BY doc_id, pos)
+  SELECT doc_id, pos, p[1] || coalesce(rest, '') AS repaired FROM t LEFT JOIN mended USING (doc_id, pos)"""
 
 
 @register("""SELECT doc_id, count(*) AS n_front FROM blocks b WHERE pos < (SELECT coalesce(min(pos) FILTER (kind NOT IN ('title', 'author', 'affiliation', 'metadata')), 1000000) FROM blocks c WHERE c.doc_id = b.doc_id) GROUP BY doc_id""", E.BLOCKS_SQL)
@@ -440,13 +467,11 @@ def brace_balance(spark: SparkSession, sf: str) -> DataFrame:
     return E.blocks(spark, sf).select("doc_id", "pos", T.brace_error(math).alias("problem"))
 
 
-@register(r"""SELECT doc_id, pos, CASE WHEN contains(text, ' of ') THEN 2 * n + 1 ELSE 1 END - CASE WHEN text LIKE '% of ' THEN 1 ELSE 0 END AS n_parts,
-  CASE WHEN contains(text, ' of ') THEN n ELSE 0 END AS n_math FROM (SELECT *, len(string_split(text, ' of ')) - 1 AS n FROM blocks) WHERE NOT starts_with(text, ' of ') AND NOT contains(text, ' of of ')""", E.BLOCKS_SQL)
+@register(r"""SELECT doc_id, pos, len(list_filter(p, lambda x: x <> '')) + len(p) - 1 + CASE WHEN text = '' THEN 1 ELSE 0 END AS n_parts, len(p) - 1 AS n_math FROM (SELECT doc_id, pos, text, string_split(text, ' of ') AS p FROM blocks)""", E.BLOCKS_SQL)
 def leaked_math_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Parts of prose in which each ' of ' is replaced by a math wrapper within another."""
-    b = E.blocks(spark, sf).where("not startswith(text, ' of ') and not contains(text, ' of of ')")
     parts = T.split_wrapped(F.replace("text", F.lit(" of "), F.lit("§math{$math{x_{1}}}")))
-    n = b.select("doc_id", "pos", parts.alias("p"))
+    n = E.blocks(spark, sf).select("doc_id", "pos", parts.alias("p"))
     return n.select("doc_id", "pos", F.size("p").cast("long").alias("n_parts"), F.size(F.filter("p", lambda x: x["kind"] == "math")).cast("long").alias("n_math"))
 
 
@@ -465,8 +490,8 @@ def provider_identity(spark: SparkSession, sf: str) -> DataFrame:
 @register()
 def geometry_insertion(spark: SparkSession, sf: str) -> DataFrame:
     """Measured hints that no block covers, put into their page's order."""
-    kept = E.blocks(spark, sf).where("pos % 3 <> 1")
-    return layout.insert_by_geometry(kept, layout.uncovered(E.hints(spark, sf), kept))
+    b, h = E.blocks(spark, sf), E.hints(spark, sf)
+    return layout.insert_by_geometry(b, layout.uncovered(h, b), stabilise.column_hint(h))
 
 
 @register("""o AS (SELECT user_id, event_id, at_ms, CASE WHEN event_id % 7 = 0 THEN at_ms + 9000 END AS free_ms, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, event_id) AS i
@@ -483,21 +508,19 @@ def rate_slots(spark: SparkSession, sf: str) -> DataFrame:
 SQL["rate_slots"] = "WITH RECURSIVE " + SQL["rate_slots"]
 
 
-@register("""SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1,
-  CASE WHEN count(*) FILTER (pos % 2 = 1) > 0 AND count(*) FILTER (pos % 2 = 0) > 0 THEN greatest(0.0::DOUBLE, min(x0) FILTER (pos % 2 = 1) - max(x1) FILTER (pos % 2 = 0)) END AS gap FROM blocks GROUP BY doc_id, page""", E.BLOCKS_SQL)
+@register("""SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
+  FROM blocks WHERE x1 > x0 AND y1 > y0 GROUP BY doc_id, page""", E.BLOCKS_SQL)
 def page_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    """Union of a page's boxes and the gap between its columns (null where one is empty)."""
-    odd = F.col("pos") % 2 == 1
-    right, left = F.min(F.when(odd, F.col("x0"))), F.max(F.when(~odd, F.col("x1")))
-    gap = F.when((right - left).isNotNull(), F.greatest(F.lit(0.0), right - left))
-    return E.blocks(spark, sf).groupBy("doc_id", "page").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), gap.alias("gap"))
+    """Union of a page's boxes that have an area."""
+    some = E.blocks(spark, sf).where("x1 > x0 and y1 > y0")
+    return some.groupBy("doc_id", "page").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-@register("SELECT doc_id, sha256(text) AS source_sha256, length(text) >= 3 AND 2 * length(text) > greatest(2.4 * length(text), length(text) + 12) AS implausible FROM documents WHERE text IS NOT NULL")
+@register("SELECT doc_id, sha256(text) AS source_sha256, length(text) >= 3 AND length(text) * (doc_id % 4 + 1) > greatest(2.4 * length(text), length(text) + 12) AS implausible FROM documents WHERE text IS NOT NULL")
 def source_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    """Hash of each source, and whether an output twice as long would be implausible."""
-    n = F.length("text")
-    return E.read(spark, sf, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("source_sha256"), ((n >= 3) & (2 * n > F.greatest(2.4 * n, n + 12))).alias("implausible"))
+    """Hash of each source, and whether an output of one to four times its length is implausible."""
+    n, out = F.length("text"), F.length(F.repeat("text", (F.col("doc_id") % 4 + 1).cast("int")))
+    return E.read(spark, sf, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("source_sha256"), X.implausible(n, out).alias("implausible"))
 
 
 GLOSSARY = ("the", "ther", "ing", "of", "der")

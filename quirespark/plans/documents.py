@@ -9,9 +9,9 @@ from ..functions import formula as M
 from ..functions import markup as K
 from ..functions import provider as V
 from ..functions import text as X
-from ..operators import stabilise
+from ..operators import integrity, stabilise
 from ..sources import entities as E
-from .catalog import LETTERS
+from .catalog import FOOTER, LETTERS, MATH
 from .registry import register
 
 CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(replace({0}, chr(173), ''), '[\n\t\r\x{{A0}}]', ' ', 'g'), '\p{{C}}', '', 'g'), ' +', ' ', 'g'))"
@@ -70,10 +70,16 @@ def undefined_command_repair(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("doc_id", "pos", "command", M.repaired(F.col("formula"), F.col("command")).alias("repaired"))
 
 
-@register(r"""SELECT doc_id, pos, length(regexp_replace(t, '\\[A-Za-z]+', 'x', 'g')) AS width FROM (SELECT doc_id, pos, '\alpha' || repeat('x', CAST(pos % 7 AS INTEGER)) || ' ' || pos AS t FROM blocks)""", E.BLOCKS_SQL)
+_TERMS = r"'\mathrm{' || replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' ', '}\alpha_{') || '}'"
+
+
+@register(rf"""SELECT doc_id, pos, 1 * length(regexp_replace(text, '[^A-Za-z ]', '', 'g')) + length(regexp_replace(text, '[^ ]', '', 'g')) AS width,
+  length({_TERMS}) <= floor(70 * 0.92::DOUBLE) OR length(regexp_replace(text, '[^A-Za-z ]', '', 'g')) + length(regexp_replace(text, '[^ ]', '', 'g')) <= floor(70 * 0.6::DOUBLE) AS single FROM blocks""", E.BLOCKS_SQL)
 def formula_width(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.concat(F.lit("\\mathrm{\\alpha"), F.repeat(F.lit("x"), (F.col("pos") % 7).cast("int")), F.lit("}  "), F.col("pos").cast("string"))
-    return E.blocks(spark, sf).select("doc_id", "pos", M.visual_widths(t).alias("width"))
+    """Visible widths of formulas whose terms are the words of a block, and whether they stay on one line."""
+    plain = F.regexp_replace("text", "[^A-Za-z ]", "")
+    t = F.concat(F.lit("\\mathrm{"), F.replace(plain, F.lit(" "), F.lit("}\\alpha_{")), F.lit("}"))
+    return E.blocks(spark, sf).select("doc_id", "pos", M.visual_widths(t).alias("width"), M.stays_single(t, F.lit(70)).alias("single"))
 
 
 @register(rf"""SELECT doc_id, pos, len(p) - 1 AS n_math, trim(regexp_replace(array_to_string([{CLEAN.format("'|' || p[i] || '|'")}[2:-2] || CASE WHEN i < len(p) THEN ' [[MATH_' || (i - 1) || ']], ' ELSE '' END FOR i IN range(1, len(p) + 1)], ''), ' +', ' ', 'g')) AS source
@@ -153,15 +159,10 @@ _FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 
 @register(rf"""SELECT doc_id, hint_ord, CASE WHEN page = 0 AND y0 < 260 AND size >= body * 1.55 AND n <= 240 THEN 'title' WHEN size >= body * 1.18 AND n <= 180 THEN 'section' ELSE 'paragraph' END AS kind
-  FROM (SELECT *, length({_FLAT}) AS n, median(size) OVER (PARTITION BY doc_id, page) AS body FROM hints)""", E.BLOCKS_SQL, E.HINTS_SQL)
+  FROM (SELECT *, length({_FLAT}) AS n, coalesce(median(size) FILTER (NOT {FOOTER} AND NOT {MATH} AND {LETTERS.format('text')} >= 8) OVER (PARTITION BY doc_id, page), 10.0::DOUBLE) AS body FROM hints)""", E.BLOCKS_SQL, E.HINTS_SQL)
 def heading_kinds_by_size(spark: SparkSession, sf: str) -> DataFrame:
-    """Kinds by size where every hint counts as prose."""
-    h = E.hints(spark, sf)
-    as_prose = h.withColumns({"kept": F.col("text"), "text": F.lit("plain words of prose"), "font": F.lit("Times")})
-    flat = F.length(F.trim(F.regexp_replace("kept", r"\s+", " ")))
-    sized = as_prose.withColumn("text", F.rpad(F.lit("plain words of prose "), F.greatest(F.lit(21), flat), "x"))
-    low = stabilise.heading_kinds(sized.withColumn("y0", F.least(F.col("y0"), F.lit(900.0))))
-    return low.select("doc_id", "hint_ord", "kind")
+    """Kinds of measured texts by their size against the page's prose."""
+    return stabilise.heading_kinds(E.hints(spark, sf)).select("doc_id", "hint_ord", "kind")
 
 
 @register(f"""o AS (SELECT doc_id, page, x0, row_number() OVER (PARTITION BY doc_id, page ORDER BY x0) AS i FROM hints WHERE {LETTERS.format('text')} >= 60),
@@ -212,45 +213,48 @@ def largest_near_centre(spark: SparkSession, sf: str) -> DataFrame:
     return E.hints(spark, sf).groupBy("doc_id", "page").agg(F.min_by("hint_ord", order).alias("hint_ord"))
 
 
-@register("""SELECT doc_id, list_sort(list(DISTINCT page)) = range(0, max(page) + 1) AS whole FROM blocks WHERE NOT (page = 1 AND doc_id % 3 = 0) GROUP BY doc_id""", E.BLOCKS_SQL)
+@register("""SELECT coalesce(b.doc_id, h.doc_id) AS doc_id, bool_and(b.page IS NOT NULL AND h.page IS NOT NULL) AS whole
+  FROM (SELECT DISTINCT doc_id, page FROM blocks WHERE NOT (page = 1 AND doc_id % 3 = 0)) b FULL JOIN (SELECT DISTINCT doc_id, page FROM hints) h ON b.doc_id = h.doc_id AND b.page = h.page GROUP BY 1""", E.BLOCKS_SQL, E.HINTS_SQL)
 def page_sets_equal(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether a document's pages run from the first without a gap."""
-    got = E.blocks(spark, sf).where("not (page = 1 and doc_id % 3 = 0)").groupBy("doc_id").agg(F.count_distinct("page").alias("n"), F.max("page").alias("last"))
-    return got.select("doc_id", (F.col("n") == F.col("last") + 1).alias("whole"))
+    """Whether the pages that a document has blocks on are those that it was measured on."""
+    got = E.blocks(spark, sf).where("not (page = 1 and doc_id % 3 = 0)")
+    return integrity.same_pages(got, E.hints(spark, sf))
 
 
 @register()
 def stabilised_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return stabilise.stabilised(E.blocks(spark, sf).where("pos % 3 <> 1"), E.hints(spark, sf))
+    return stabilise.stabilised(E.blocks(spark, sf), E.hints(spark, sf))
 
 
 @register()
 def stabilised_coverage(spark: SparkSession, sf: str) -> DataFrame:
     h = E.hints(spark, sf)
-    return stabilise.coverage(stabilise.stabilised(E.blocks(spark, sf).where("pos % 3 <> 1"), h), h)
+    return stabilise.coverage(stabilise.stabilised(E.blocks(spark, sf), h), h)
 
 
 # Messages and records
 
 
-@register("""SELECT job_id, CASE WHEN job_id % 3 = 0 THEN NULL ELSE 'a' || job_id || '|b' END AS translations FROM jobs""", E.JOBS_SQL)
+@register("""SELECT doc_id, pos, CASE WHEN pos % 3 > 0 THEN text || '|' || kind || CASE WHEN pos % 3 = 2 THEN '|' ELSE '' END END AS translations FROM blocks""", E.BLOCKS_SQL)
 def response_translations(spark: SparkSession, sf: str) -> DataFrame:
-    """Translations of a JSON answer; null unless it holds exactly as many as were asked for."""
-    n = F.col("job_id").cast("string")
-    answer = F.when(F.col("job_id") % 3 == 0, '{"translations": ["only one"]}').otherwise(F.concat(F.lit('{"translations": ["a'), n, F.lit('", "b"]}')))
-    got = F.from_json(answer, "translations array<string>")["translations"]
-    return E.jobs(spark, sf).select("job_id", F.when(F.size(got) == 2, F.array_join(got, "|")).alias("translations"))
+    """Translations of a JSON answer made from a block; null unless it holds exactly as many as were asked for."""
+    k = F.col("pos") % 3
+    texts = F.when(k == 2, F.array("text", "kind", F.lit(""))).otherwise(F.array("text", "kind"))
+    answer = F.to_json(F.struct(texts.alias("translations")))
+    asked = F.when(k == 0, 3).when(k == 1, 2).otherwise(3)
+    return E.blocks(spark, sf).select("doc_id", "pos", F.array_join(V.answer_translations(answer, asked), "|").alias("translations"))
 
 
-@register("""SELECT job_id, CASE job_id % 3 WHEN 0 THEN 'x' || job_id || 'y' WHEN 1 THEN 'z' ELSE '' END AS text FROM jobs""", E.JOBS_SQL)
+@register("""SELECT doc_id, pos, CASE pos % 3 WHEN 0 THEN text || kind WHEN 1 THEN text ELSE '' END AS text FROM blocks""", E.BLOCKS_SQL)
 def response_text_parts(spark: SparkSession, sf: str) -> DataFrame:
     """The text parts of a nested answer's first candidate, joined."""
-    n, r = F.col("job_id").cast("string"), F.col("job_id") % 3
-    parts = F.when(r == 0, F.concat(F.lit('{"text": "x'), n, F.lit('"}, {"other": 1}, {"text": "y"}'))).when(r == 1, '{"text": "z"}').otherwise("")
-    answer = F.concat(F.lit('{"candidates": [{"content": {"parts": ['), parts, F.lit("]}}]}"))
-    got = F.from_json(answer, "candidates array<struct<content: struct<parts: array<struct<text: string>>>>>")["candidates"]
-    texts = F.filter(F.transform(F.get(got, F.lit(0))["content"]["parts"], lambda p: p["text"]), lambda t: t.isNotNull())
-    return E.jobs(spark, sf).select("job_id", F.array_join(texts, "").alias("text"))
+    k = F.col("pos") % 3
+    parts = lambda *names: F.array(*[F.struct((F.col(n) if n else F.lit(None).cast("string")).alias("text"), F.lit(1).alias("other")) for n in names])
+    chosen = F.when(k == 0, parts("text", None, "kind")).when(k == 1, parts("text")).otherwise(parts(None))
+    first = F.struct(F.struct(chosen.alias("parts")).alias("content"))
+    second = F.struct(F.struct(parts("kind").alias("parts")).alias("content"))
+    answer = F.to_json(F.struct(F.array(first, second).alias("candidates")))
+    return E.blocks(spark, sf).select("doc_id", "pos", V.answer_text(answer).alias("text"))
 
 
 @register("""SELECT job_id, '{"ref":"main","inputs":{"job_id":"' || job_id || '"}}' AS payload FROM jobs""", E.JOBS_SQL)
@@ -291,21 +295,6 @@ def sticky_lock(spark: SparkSession, sf: str) -> DataFrame:
     return E.heartbeats(spark, sf).select("user_id", "event_id", F.max(F.col("action") == "disconnect").over(w).alias("locked"))
 
 
-_NEXT = {"heartbeat": ("heartbeat", "disconnect", "resume"), "disconnect": ("resume",), "resume": ("heartbeat", "disconnect")}
-
-
-@register("""SELECT user_id, count(*) FILTER (b IS NOT NULL AND NOT CASE b WHEN 'heartbeat' THEN true WHEN 'disconnect' THEN action = 'resume' ELSE action <> 'resume' END) AS invalid
-  FROM (SELECT *, lag(action) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM heartbeats) GROUP BY user_id""", E.HEARTBEATS_SQL)
-def lifecycle_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    """Steps of each client that its previous state does not allow."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    allowed = F.lit(False)
-    for state, following in _NEXT.items():
-        allowed = allowed | ((F.col("b") == state) & F.col("action").isin(*following))
-    h = E.heartbeats(spark, sf).withColumn("b", F.lag("action").over(w))
-    return h.groupBy("user_id").agg(F.count_if(F.col("b").isNotNull() & ~allowed).alias("invalid"))
-
-
 @register("""SELECT doc_id, array_to_string(list_sort(list(item_id) FILTER (translated = ''))[1:8], ',') AS missing FROM items GROUP BY doc_id HAVING count(*) FILTER (translated = '') > 0""", E.BLOCKS_SQL, E.ITEMS_SQL)
 def missing_report(spark: SparkSession, sf: str) -> DataFrame:
     """The first eight items of a document without a result."""

@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 VERSION = 1
 SCHEMA = "doc_id long, version int, source_sha256 string, language string, saved_at timestamp, stage string, state string"
 
 
-def save(states: DataFrame, folder: str, stage: str, language: str, source: str = "text") -> None:
-    """Write (doc_id, ``source``, state) as the checkpoints of a stage, in place of that stage's earlier ones."""
+#: The largest checkpoint stored, in bytes, packed.
+LARGEST = 50 * 1024 * 1024
+
+
+@F.pandas_udf(LongType())
+def packed_size(state: pd.Series) -> pd.Series:
+    """Bytes of a state when it is packed as it is stored; 0 for null."""
+    return state.map(lambda s: 0 if s is None else len(gzip.compress(s.encode(), 6)))
+
+
+def save(states: DataFrame, folder: str, stage: str, language: str, source: str = "text", largest: int = LARGEST) -> None:
+    """Write (doc_id, ``source``, state) as the checkpoints of a stage, in place of that stage's earlier ones. A state that
+    packs to more than ``largest`` bytes is an error, and nothing is written."""
+    # Only states that could be too large when packed are packed to see.
+    big = states.where(F.octet_length("state") > largest).where(packed_size("state") > largest)
+    if not big.isEmpty():
+        raise ValueError(f"a checkpoint above {largest:,} bytes: document {big.first()['doc_id']}")
     rows = states.select(
         "doc_id", F.lit(VERSION).alias("version"), F.sha2(source, 256).alias("source_sha256"), F.lit(language).alias("language"),
         F.current_timestamp().alias("saved_at"), F.lit(stage).alias("stage"), "state",

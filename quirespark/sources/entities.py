@@ -69,6 +69,9 @@ def hints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text",
         F.element_at(F.array(*map(F.lit, ("Times", "Arial-Bold", "CMMI10", "Times-Italic"))), ((F.col("doc_id") + F.col("pos")) % 4 + 1).cast("int")).alias("font"),
         (F.lit(7.0) + (F.col("pos") * 7 + F.col("doc_id")) % 9).alias("size"),
+        (((F.col("doc_id") + F.col("pos") * 3) % 11) / 10.0).alias("bold_ratio"),
+        (((F.col("doc_id") * 3 + F.col("pos")) % 11) / 10.0).alias("italic_ratio"),
+        (((F.col("doc_id") * 5 + F.col("pos") * 7) % 13 - 3) / 5.0).alias("em"),
         (F.col("x0") + F.col("dx")).alias("x0"),
         y0.alias("y0"),
         (F.col("x1") + F.col("dx")).alias("x1"),
@@ -80,6 +83,8 @@ HINTS_SQL = """hints AS (
   SELECT doc_id, page, pos * 2 + h AS hint_ord, text,
     ['Times', 'Arial-Bold', 'CMMI10', 'Times-Italic'][CAST((doc_id + pos) % 4 AS INTEGER) + 1] AS font,
     7.0::DOUBLE + (pos * 7 + doc_id) % 9 AS size,
+    ((doc_id + pos * 3) % 11) / 10.0::DOUBLE AS bold_ratio, ((doc_id * 3 + pos) % 11) / 10.0::DOUBLE AS italic_ratio,
+    ((doc_id * 5 + pos * 7) % 13 - 3) / 5.0::DOUBLE AS em,
     x0 + dx AS x0, y0 + dy + h * (90.0::DOUBLE / n) AS y0, x1 + dx AS x1, y0 + dy + h * (90.0::DOUBLE / n) + 90.0::DOUBLE / n AS y1
   FROM (
     SELECT *, (doc_id * 13 + pos * 29) % 37 - 18 AS dx,
@@ -143,11 +148,13 @@ RESPONSES_SQL = """responses AS (
 def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Client signals from events."""
     action = F.when(F.col("event_type") == "error", "disconnect").when(F.col("event_type") == "signup", "resume").otherwise("heartbeat")
-    return read(spark, sf_dir, "events").select("event_id", "user_id", "ts", action.alias("action"), F.col("value"))
+    return read(spark, sf_dir, "events").select(
+        "event_id", "user_id", "ts", action.alias("action"), F.col("value"), F.concat_ws(" ", F.lit("step"), (F.col("event_id") % 3).cast("string")).alias("message")
+    )
 
 
 HEARTBEATS_SQL = """heartbeats AS (
-  SELECT event_id, user_id, ts, CASE event_type WHEN 'error' THEN 'disconnect' WHEN 'signup' THEN 'resume' ELSE 'heartbeat' END AS action, value
+  SELECT event_id, user_id, ts, CASE event_type WHEN 'error' THEN 'disconnect' WHEN 'signup' THEN 'resume' ELSE 'heartbeat' END AS action, value, 'step ' || event_id % 3 AS message
   FROM events
 )"""
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from ..operators import queue
 
@@ -27,11 +31,43 @@ def unique_stream(events: DataFrame, key: str = "event_id", late: str = "10 minu
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def dispatch_tick(jobs: DataFrame, as_of: str, out: str, limit: int = 3):
-    """A foreachBatch function: at each tick, append the oldest recoverable jobs to a table."""
+DISPATCH = "job_id long, at timestamp, tick long"
+
+
+def with_dispatches(jobs: DataFrame, log: DataFrame) -> DataFrame:
+    """jobs with the attempts and the last dispatch that a log (job_id, at, tick) adds to their own."""
+    made = log.groupBy("job_id").agg(F.count("*").alias("made"), F.max("at").alias("at"))
+    own = jobs.schema["last_dispatch"].dataType
+    return jobs.join(made, "job_id", "left").withColumns(
+        {
+            "attempts": F.col("attempts") + F.coalesce("made", F.lit(0)),
+            "last_dispatch": F.greatest("last_dispatch", F.col("at").cast(own)),
+            "progress": F.when(F.col("made") > 0, F.greatest("progress", F.lit(2))).otherwise(F.col("progress")),
+        }
+    ).drop("made", "at")
+
+
+def dispatch_tick(jobs: DataFrame, moments: Callable[[int], str], log: str, limit: int = 3, live: int = 45) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: at each tick the oldest jobs that may be dispatched, by their own state and the dispatches
+    logged so far, are logged in turn, so attempts rise, a job rests for its cooldown and stops at its cap. Each tick has a
+    folder of its own: one that runs again, with the same moment, writes the same rows in place of its first ones."""
+    spark = jobs.sparkSession
 
     def tick(batch: DataFrame, number: int) -> None:
-        got = queue.recoverable(jobs, as_of, limit).withColumn("tick", F.lit(number))
-        got.write.mode("append").parquet(out)
+        held = [f"{log}/tick={n}" for n in range(number)]
+        before = spark.read.schema("job_id long, at timestamp").parquet(*held).withColumn("tick", F.lit(0).cast("long")) if held else spark.createDataFrame([], DISPATCH)
+        at = moments(number)
+        due = queue.recoverable(with_dispatches(jobs, before), at, limit, live)
+        due.select("job_id", F.lit(at).cast("timestamp").alias("at")).write.mode("overwrite").parquet(f"{log}/tick={number}")
 
     return tick
+
+
+def half_minutes(stream: DataFrame, seconds: int = 30) -> DataStreamWriter:
+    """A writer of a stream that ticks every ``seconds``."""
+    return stream.writeStream.trigger(processingTime=f"{seconds} seconds")
+
+
+def now_text() -> str:
+    """The moment, in UTC, as an ISO text with its offset."""
+    return datetime.now(timezone.utc).isoformat()

@@ -103,7 +103,7 @@ def test_anchored_recovered_and_deduplicated(spark):
     )
     rows = sorted(stabilise.stabilised(blocks, hints).collect(), key=lambda r: r.place)
     assert [(r.text, r.origin) for r in rows] == [(full, "source"), ("a paragraph that was lost entirely", "recovered"), ("an item", "block")]
-    assert rows[0].weight == "bold" and rows[1].weight == "normal" and rows[2].weight is None
+    assert [r.style for r in rows] == ["bold", "normal", "normal"] and [r["size"] for r in rows] == [10.0, 10.0, None]
     assert not stabilise.coverage(stabilise.stabilised(blocks, hints), hints).first().low
 
 

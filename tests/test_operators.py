@@ -142,8 +142,58 @@ def test_protection_round_trip(spark):
     assert {r.f for r in rows if r.t is not None} == {"leftover"}
 
 
+BOXED = "doc_id long, page int, pos int, kind string, text string, x0 double, y0 double, x1 double, y1 double, anchored boolean"
+
+
+def plain_dedup(rows, ratio=0.92):
+    """The blocks kept of one page, one after another."""
+    import re
+    from difflib import SequenceMatcher
+
+    def sig(r):
+        if r[3] in ("equation", "figure", "table"):
+            return ""
+        return re.sub(r"[^\w\s]", "", " ".join(r[4].casefold().split())).strip()
+
+    def shared(p, q):
+        w, h = min(p[7], q[7]) - max(p[5], q[5]), min(p[8], q[8]) - max(p[6], q[6])
+        small = min((x[7] - x[5]) * (x[8] - x[6]) for x in (p, q))
+        return max(0, w) * max(0, h) / max(1, small)
+
+    kept = []
+    for r in sorted(rows, key=lambda r: r[2]):
+        a, hit = sig(r), None
+        for k in kept if len(a) >= 18 else ():
+            b = sig(k[1])
+            if len(b) >= 18 and (a == b or (shared(r, k[1]) >= 0.28 and (SequenceMatcher(None, a, b).ratio() >= ratio or (min(len(a), len(b)) >= 30 and (a in b or b in a))))):
+                hit = k
+                break
+        if hit is None:
+            kept.append([r[2], r])
+        elif (r[9] and not hit[1][9]) or (r[9] == hit[1][9] and len(a) > len(sig(hit[1]))):
+            hit[1] = r
+    return [(k[0], k[1][2]) for k in kept]
+
+
 def test_similar_blocks_join_the_first(spark):
-    rows = [(1, 0, 0, "paragraph", "the quick brown fox jumps over it"), (1, 0, 1, "paragraph", "The quick brown fox jumps over it all!"), (1, 0, 2, "paragraph", "short"), (1, 0, 3, "paragraph", "short"), (1, 1, 8, "paragraph", "the quick brown fox jumps over it")]
-    df = spark.createDataFrame(rows, "doc_id long, page int, pos int, kind string, text string")
-    got = sorted((r.page, r.pos, r.text_of) for r in integrity.dedup_similar(df).collect())
-    assert got == [(0, 0, 1), (0, 2, 2), (0, 3, 3), (1, 8, 8)]
+    fox, more = "the quick brown fox jumps over it", "The quick brown fox jumps over it all!"
+    near, far = (0.0, 0.0, 100.0, 100.0), (500.0, 500.0, 600.0, 600.0)
+    rows = [(1, 0, 0, "paragraph", fox, *near, False), (1, 0, 1, "paragraph", more, *near, False), (1, 0, 2, "paragraph", "short", *near, False), (1, 0, 3, "paragraph", "short", *near, False)]
+    rows += [(1, 1, 8, "paragraph", fox, *near, False), (1, 1, 9, "paragraph", more, *far, False), (1, 1, 10, "table", fox, *near, False), (1, 1, 11, "paragraph", fox.upper(), *far, True)]
+    rows += [(1, 2, 20, "paragraph", "words before " + fox + " and a long tail of many other words behind", *near, True), (1, 2, 21, "paragraph", fox, *near, False)]
+    got = sorted((r.page, r.pos, r.text_of) for r in integrity.dedup_similar(spark.createDataFrame(rows, BOXED)).collect())
+    assert got == [(0, 0, 1), (0, 2, 2), (0, 3, 3), (1, 8, 11), (1, 9, 9), (1, 10, 10), (2, 20, 20)]
+
+
+def test_similar_blocks_equal_the_plain_loop(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    base = ["some words that stand on a page of text", "other words of another paragraph, longer than it", "a third text that is like none of the others"]
+    for n in range(300):
+        text = rng.choice(base)
+        text = text if rng.random() < 0.4 else text + rng.choice([" x", " and more of it", "!"]) if rng.random() < 0.6 else text[: rng.randint(3, 40)]
+        x, y = rng.choice([0, 40, 300]), rng.choice([0, 30, 400])
+        rows.append((1, n % 12, n, rng.choice(["paragraph", "section", "table"]), text, float(x), float(y), x + 100.0, y + 80.0, rng.random() < 0.3))
+    got = sorted((r.page, r.pos, r.text_of) for r in integrity.dedup_similar(spark.createDataFrame(rows, BOXED)).collect())
+    assert got == sorted((p, *k) for p in range(12) for k in plain_dedup([r for r in rows if r[1] == p]))

@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from quirespark.operators import queue
 from quirespark.sources import entities as E
 from quirespark.streaming import jobs as S
@@ -37,11 +39,35 @@ def test_each_event_once(spark, tmp_path):
     assert sorted(r[0] for r in got) == [1, 2, 3]
 
 
-def test_dispatch_ticks_append_the_oldest(spark, sf_dir, tmp_path):
-    write(spark, tmp_path / "in", [[(1, 1, 0)]])
-    jobs, out = E.jobs(spark, sf_dir), str(tmp_path / "out")
-    ticks = S.heartbeat_stream(spark, str(tmp_path / "in"))
-    q = ticks.writeStream.foreachBatch(S.dispatch_tick(jobs, E.AS_OF, out)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+def test_three_ticks_raise_attempts(spark, sf_dir, tmp_path):
+    """Each tick sees the dispatches of the ticks before: no job twice within its cooldown, as in the whole-table form."""
+    from quirespark.operators import lifecycle
+    from quirespark.plans.rules import TICKS
+
+    write(spark, tmp_path / "in", [[(1, 1, 0)], [(2, 1, 1)], [(3, 1, 2)]])
+    jobs, log, live = E.jobs(spark, sf_dir), str(tmp_path / "log"), 20 * 86_400
+    ticks = S.heartbeat_stream(spark, str(tmp_path / "in"), 1)
+    tick = S.dispatch_tick(jobs, TICKS.__getitem__, log, live=live)
+    q = ticks.writeStream.foreachBatch(tick).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    want = queue.recoverable(jobs, E.AS_OF, 3).count()
-    assert spark.read.parquet(out).count() == want
+    held = spark.read.parquet(log)
+    made = {n: {r.job_id for r in held.where(F.col("tick") == n).collect()} for n in range(3)}
+    assert [len(x) for x in made.values()] == [3, 3, 3] and not made[0] & made[1] and not made[1] & made[2]
+    want = jobs
+    for at in TICKS:
+        want = lifecycle.dispatched(want, at, live=live)
+    cols = ["job_id", "attempts", "last_dispatch", "progress"]
+    got = S.with_dispatches(jobs, held)
+    assert sorted(map(tuple, got.select(cols).collect()), key=str) == sorted(map(tuple, want.select(cols).collect()), key=str)
+    before = {tuple(r) for r in held.collect()}
+    tick(None, 2)  # a tick that runs again changes nothing
+    assert {tuple(r) for r in spark.read.parquet(log).collect()} == before
+
+
+def test_ticks_come_every_half_minute(spark, tmp_path):
+    write(spark, tmp_path / "in", [[(1, 1, 0)]])
+    q = S.half_minutes(S.heartbeat_stream(spark, str(tmp_path / "in"))).format("memory").queryName("ticked").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    assert spark.table("ticked").count() == 1
+    q.stop()
+    assert S.now_text().endswith("+00:00")
