@@ -67,9 +67,9 @@ class GrayIndex:
     """Fingerprints in Gray order under nodes that hold the bits all their members share.
 
     A node is (mask, value): the shared bits and what they are. Neighbours in Gray order share long
-    patterns, so masks stay wide for several levels. A search carries the differences from a query's
-    own node down; a pair of nodes whose shared bits already differ in more than ``radius`` places is
-    dropped with all below it.
+    patterns, so masks stay wide for several levels. A search goes down by pairs of nodes and carries
+    their differences along: each level adds those in the bits that become shared there, and a pair that differs in
+    more than ``radius`` places is dropped with all below it.
     """
 
     def __init__(self, fps: np.ndarray, fanout: int = 16):
@@ -88,19 +88,24 @@ class GrayIndex:
     def pairs(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions (i < j in Gray order) of all pairs at most ``radius`` bits apart."""
         a = b = np.zeros(1, dtype=np.int64)
+        known = np.zeros(1, dtype=U64)  # the bits that the two nodes of a pair both share: those already compared
+        apart = np.zeros(1, dtype=np.int64)  # in how many of them they differ
         for mask, value in self.levels[-2::-1]:
-            a, b = self._children(a, b, len(mask))
-            near = np.bitwise_count((value[a] ^ value[b]) & mask[a] & mask[b]) <= radius
-            a, b = a[near], b[near]
+            a, b, above = self._children(a, b, len(mask))
+            both = mask[a] & mask[b]
+            apart = apart[above] + np.bitwise_count((value[a] ^ value[b]) & both & ~known[above])
+            near = apart <= radius
+            a, b, known, apart = a[near], b[near], both[near], apart[near]
         keep = a < b
         return a[keep], b[keep]
 
-    def _children(self, a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def _children(self, a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of children of pairs of nodes, each once, and the pair above each."""
         f = np.arange(self.fanout)
         x = (a[:, None] * self.fanout + f)[:, :, None]
         y = (b[:, None] * self.fanout + f)[:, None, :]
         ok = (x < n) & (y < n) & (x <= y)
-        return np.broadcast_to(x, ok.shape)[ok], np.broadcast_to(y, ok.shape)[ok]
+        return np.broadcast_to(x, ok.shape)[ok], np.broadcast_to(y, ok.shape)[ok], np.nonzero(ok)[0]
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
