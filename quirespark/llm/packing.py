@@ -27,6 +27,10 @@ NORMALIZER = {
 }
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: The letters that byte-level vocabularies write for bytes: visible ones are themselves, the others follow from 256 on.
+_VISIBLE = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
+LETTER_OF_BYTE = {b: 0x100 + n for n, b in enumerate(sorted(set(range(0x100)) - set(_VISIBLE)))}
+
 #: Characters on whose class, case and normal form all Unicode versions agree and that never compose with a neighbour:
 #: printable ASCII, letters and marks of two Latin blocks, and common punctuation.
 SURE = {*range(0x21, 0x7F), *range(0xA1, 0x180), *range(0x2010, 0x2028), 0x20AC} - {0xAD, 0x130, 0x149}
@@ -48,6 +52,7 @@ class WordEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         plan = json.loads(self.tokenizer.to_str())
         steps = (plan["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.by_word = (
@@ -68,7 +73,9 @@ class WordEncoder(dict):
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def modelled(self, piece: str) -> bytes:
-        return np.asarray([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
+        """The ids of a piece from the model itself, which reads bytes as letters."""
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(LETTER_OF_BYTE)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(spelt)])
 
     def __missing__(self, word: str) -> bytes:
         if self.unsure(word):
@@ -80,8 +87,7 @@ class WordEncoder(dict):
                 if got is None:
                     if len(self.pieces) >= self.limit:
                         self.pieces.clear()
-                    # Byte-level letters of ASCII are the characters themselves, so the model can take them.
-                    got = self.pieces[piece] = self.modelled(piece) if piece.isascii() else self.direct(piece)
+                    got = self.pieces[piece] = self.modelled(piece)
                 out += got
         if len(self) >= self.limit:
             self.clear()
