@@ -52,7 +52,7 @@ class Vocabulary:
     Files of other kinds, with own normalisation or with user-defined pieces are refused.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 150_000):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -94,7 +94,7 @@ class Vocabulary:
             node[0] = True
         self.memo = Memo(self.unit_ids, limit)
         # Whether two neighbours weigh 0; of "" and a piece, whether merging leaves that piece.
-        self.pair = Memo(lambda x: self.merge(x[0] + x[1]) == [y for y in x if y], 2 * limit)
+        self.pair = Memo(lambda x: self.merge(x[0] + x[1]) == [y for y in x if y], limit)
 
     # Paths
 
@@ -134,36 +134,26 @@ class Vocabulary:
     def path(self, text: str) -> list[str]:
         """The path of weight 0 through a whole stretch, longer pieces tried first. A place that leads nowhere is left for
         good: only one piece can end there."""
-        n, trie, pair = len(text), self.trie, self.pair
+        n, longest, rank, pair = len(text), self.longest, self.rank, self.pair
         out: list[str] = []
-        open_: list[list[int]] = []  # for each piece taken: the other ends it might have
         dead: set[int] = set()
         s, prev = 0, ""
+        e = min(n, longest)
         while s < n:
-            at, e, ends = trie, s, []
-            if text[s] not in self.rank:
-                ends.append(s + 1)
-            while e < n and (node := at.get(text[e])):
-                known, at = node
-                e += 1
-                if known:
-                    ends.append(e)
-            while True:
-                while ends:
-                    e = ends.pop()
-                    if e not in dead and pair[prev, text[s:e]]:
-                        break
-                else:
-                    dead.add(s)
-                    s -= len(out.pop())
-                    prev = out[-1] if out else ""
-                    ends = open_.pop()
-                    continue
-                break
-            prev = text[s:e]
-            out.append(prev)
-            open_.append(ends)
-            s = e
+            while e > s:
+                piece = text[s:e]
+                if (piece in rank or e == s + 1) and pair[prev, piece] and e not in dead:
+                    break
+                e -= 1
+            else:  # nothing leads on from here: the piece before ends elsewhere
+                dead.add(s)
+                e = s - 1
+                s -= len(out.pop())
+                prev = out[-1] if out else ""
+                continue
+            out.append(piece)
+            s, prev = e, piece
+            e = min(n, s + longest)
         return out
 
     def piece_ids(self, pieces: list[str]) -> bytes:
