@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import materialize
+
 
 def escape(text: Column) -> Column:
     """Text that cannot be taken for a header: a backslash goes between < and |, one more where some stand already.
@@ -12,6 +14,9 @@ def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
+END = "<|end|>\n"
+
+
 def rotate_perspectives(turns: DataFrame, chunk: int = 1024, crowd: int = 4096) -> DataFrame:
     """Render each dialogue once for every participant, with that speaker as the assistant.
 
@@ -34,72 +39,69 @@ def rotate_perspectives(turns: DataFrame, chunk: int = 1024, crowd: int = 4096)
     trimmed = F.coalesce(F.nullif(F.trim("role"), F.lit("")), F.lit("unknown"))
     speaker = F.when(F.lower(trimmed) == "system", "system").otherwise(trimmed)
     said = turns.select("conv_id", "turn", speaker.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-    said = said.withColumns(
-        {
-            "tie": F.md5(F.concat("speaker", F.lit("\n"), "text").cast("binary")),
-            "part": F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(2**62))),
-        }
-    )
-    crowded = said.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
-    crowded = crowded.select(F.col("conv_id").alias("cc"), F.col("turn").alias("ct"))
-    here = F.col("conv_id").eqNullSafe(F.col("cc")) & F.col("turn").eqNullSafe(F.col("ct"))
-    calm = said.join(crowded, here, "left_anti").withColumns({"copies": F.lit(1).cast("long"), "sub": F.lit("")})
-    dense = said.join(crowded, here, "left_semi").groupBy(*said.columns).agg(F.count("*").alias("copies"))
-    dense = dense.withColumn("sub", F.concat(F.lpad(F.pmod("turn", F.lit(chunk)).cast("string"), 9, "0"), F.substring("tie", 1, 3)))
-    # In a chunk with a crowded turn the calm turns keep their place by the same key.
-    calm = calm.join(
-        crowded.select(F.col("cc"), F.coalesce(F.floor(F.col("ct") / chunk), F.lit(-(2**62))).alias("cp")).distinct(),
-        F.col("conv_id").eqNullSafe(F.col("cc")) & (F.col("part") == F.col("cp")),
-        "left",
-    ).withColumn("sub", F.when(F.col("cp").isNull(), "").otherwise(F.lpad(F.pmod("turn", F.lit(chunk)).cast("string"), 9, "0")))
-    said = calm.select(*dense.columns).unionByName(dense).withColumn("sub", F.coalesce("sub", F.substring("tie", 1, 3)))
-    said = said.withColumn("turn_key", F.struct(F.col("turn").isNotNull(), F.col("turn")))
-    speakers = said.where("speaker <> 'system'").select("conv_id", "speaker").distinct().withColumnRenamed("speaker", "perspective")
+    kind = turns.schema["conv_id"].dataType
+    # A dialogue's key without nulls, so that joins and windows share one partitioning.
+    key = ["c", "c_null"]
+    said = said.withColumns({"c": F.coalesce("conv_id", F.lit("0").cast(kind)), "c_null": F.col("conv_id").isNull()})
+    chunk_no = lambda turn: F.coalesce(F.floor(F.col(turn) / chunk), F.lit(-(2**62)))
+    said = said.withColumns({"tie": F.md5(F.concat("speaker", F.lit("\n"), "text").cast("binary")), "part": chunk_no("turn")})
+    said = said.withColumns({"copies": F.lit(1).cast("long"), "sub": F.lit("")})
+    crowded = materialize(said.groupBy(*key, "turn").agg(F.count("*").alias("n")).where(F.col("n") > crowd).drop("n"))
+    if not crowded.isEmpty():
+        said = _thinned(said, crowded, key, chunk)
 
+    said = said.withColumn("turn_key", F.struct(F.col("turn").isNotNull(), F.col("turn"))).drop("conv_id", "turn")
+    speakers = said.where("speaker <> 'system'").select(*key, F.col("speaker").alias("perspective")).distinct()
     own = F.col("speaker") == F.col("perspective")
     role_out = F.when(F.col("speaker") == "system", "system").when(own, "assistant").otherwise("user")
     name = F.when(role_out == "user", F.col("speaker"))
     shown = F.concat(F.lit(" name="), F.regexp_replace(name, r"[\r\n<>|]", "_"))
     head = F.concat(F.lit("<|"), role_out, F.coalesce(shown, F.lit("")), F.lit("|>\n"))
     content = escape(F.col("text"))
-    turn = said.alias("s").join(speakers.alias("p"), F.col("s.conv_id").eqNullSafe(F.col("p.conv_id"))).select(
-        "s.conv_id", "perspective", "turn_key", "part", "sub", "tie", "speaker", "text", "copies"
-    )
-    turn = turn.withColumns({"role_out": role_out, "name": name, "head": F.length(head).cast("long")}).withColumn(
-        "rendered", F.concat(head, content, F.lit("<|end|>\n"))
-    ).withColumn("length", F.length("rendered").cast("long"))
+    turn = said.join(speakers, key)
+    length = (F.length(head) + F.length(content) + len(END)).cast("long")
 
-    in_part = Window.partitionBy("conv_id", "perspective", "part", "sub").orderBy("turn_key", "tie", "speaker", "text")
-    before = in_part.rowsBetween(Window.unboundedPreceding, -1)
+    places = [*key, "perspective", "part", "sub"]
+    before = Window.partitionBy(*places).orderBy("turn_key", "tie").rowsBetween(Window.unboundedPreceding, -1)
     size = F.col("length") * F.col("copies")
-    local = turn.withColumns(
-        {"i": F.coalesce(F.sum("copies").over(before), F.lit(0)), "c": F.coalesce(F.sum(size).over(before), F.lit(0))}
-    )
-    over_parts = Window.partitionBy("conv_id", "perspective").orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    totals = turn.groupBy("conv_id", "perspective", "part", "sub").agg(F.sum("copies").alias("n"), F.sum(size).alias("chars"))
-    totals = totals.select(
-        F.col("conv_id").alias("tc"), F.col("perspective").alias("tp"), F.col("part").alias("tt"), F.col("sub").alias("ts"),
-        F.coalesce(F.sum("n").over(over_parts), F.lit(0)).alias("n0"),
-        F.coalesce(F.sum("chars").over(over_parts), F.lit(0)).alias("c0"),
-    )
-    same = (F.col("part") == F.col("tt")) & (F.col("sub") == F.col("ts"))
-    placed = local.join(totals, F.col("conv_id").eqNullSafe(F.col("tc")) & (F.col("perspective") == F.col("tp")) & same)
-    start = F.col("c0") + F.col("c") + F.col("k") * F.col("length")
-    return placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).select(
-        "conv_id",
+    sized = turn.withColumn("length", length)
+    local = sized.withColumns({"i": F.coalesce(F.sum("copies").over(before), F.lit(0)), "c_at": F.coalesce(F.sum(size).over(before), F.lit(0))})
+    over_parts = Window.partitionBy(*key, "perspective").orderBy("part", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sized.groupBy(*places).agg(F.sum("copies").alias("n"), F.sum(size).alias("chars"))
+    totals = totals.select(*places, F.coalesce(F.sum("n").over(over_parts), F.lit(0)).alias("n0"), F.coalesce(F.sum("chars").over(over_parts), F.lit(0)).alias("c0"))
+    placed = local.join(totals, places)
+    start = F.col("c0") + F.col("c_at") + F.col("k") * F.col("length")
+    if not crowded.isEmpty():
+        placed = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    else:
+        placed = placed.withColumn("k", F.lit(0))
+    return placed.select(
+        F.when(~F.col("c_null"), F.col("c")).alias("conv_id"),
         "perspective",
         (F.col("n0") + F.col("i") + F.col("k")).cast("long").alias("turn_index"),
-        "role_out",
-        "name",
-        "rendered",
-        (F.col("role_out") == "assistant").cast("int").alias("mask"),
+        role_out.alias("role_out"),
+        name.alias("name"),
+        F.concat(head, content, F.lit(END)).alias("rendered"),
+        own.cast("int").alias("mask"),
         start.cast("long").alias("start"),
         "length",
-        (start + F.col("head")).cast("long").alias("content_start"),
-        (F.col("length") - F.col("head") - len("<|end|>\n")).cast("long").alias("content_length"),
+        (start + F.length(head)).cast("long").alias("content_start"),
+        F.length(content).cast("long").alias("content_length"),
     )
 
 
+def _thinned(said: DataFrame, crowded: DataFrame, key: list[str], chunk: int) -> DataFrame:
+    """Turns of crowded numbers counted if equal, and chunked by md5; their neighbours keep their place by the same key."""
+    at = [F.col(f"s.{c}") == F.col(f"x.{c}") for c in key] + [F.col("s.turn").eqNullSafe(F.col("x.turn"))]
+    number = F.coalesce(F.lpad(F.pmod("turn", F.lit(chunk)).cast("string"), 9, "0"), F.lit(""))
+    calm = said.alias("s").join(crowded.alias("x"), at, "left_anti")
+    dense = said.alias("s").join(crowded.alias("x"), at, "left_semi").drop("copies").groupBy(*[c for c in said.columns if c != "copies"])
+    dense = dense.agg(F.count("*").alias("copies")).withColumn("sub", F.concat(number, F.substring("tie", 1, 3)))
+    chunks = crowded.select(*key, F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(2**62))).alias("part"), F.lit(True).alias("near")).distinct()
+    calm = calm.join(chunks, [*key, "part"], "left").withColumn("sub", F.when(F.col("near"), number).otherwise("")).drop("near")
+    return calm.select(*said.columns).unionByName(dense.select(*said.columns))
+
+
 #: The same rows from DuckDB; it states the rendering without chunks.
 ROTATION_SQL = r"""
 WITH said AS (
