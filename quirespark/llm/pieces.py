@@ -52,7 +52,7 @@ class Vocabulary:
     Files of other kinds, with own normalisation or with user-defined pieces are refused.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -134,26 +134,35 @@ class Vocabulary:
     def path(self, text: str) -> list[str]:
         """The path of weight 0 through a whole stretch, longer pieces tried first. A place that leads nowhere is left for
         good: only one piece can end there."""
-        n, longest, rank, pair = len(text), self.longest, self.rank, self.pair
+        n, trie, pair, rank = len(text), self.trie, self.pair, self.rank
         out: list[str] = []
+        others: list[list[int]] = []  # for each piece taken: where else it might end
         dead: set[int] = set()
         s, prev = 0, ""
-        e = min(n, longest)
         while s < n:
-            while e > s:
-                piece = text[s:e]
-                if (piece in rank or e == s + 1) and pair[prev, piece] and e not in dead:
-                    break
-                e -= 1
-            else:  # nothing leads on from here: the piece before ends elsewhere
-                dead.add(s)
-                e = s - 1
-                s -= len(out.pop())
-                prev = out[-1] if out else ""
-                continue
-            out.append(piece)
-            s, prev = e, piece
-            e = min(n, s + longest)
+            at, e, ends = trie, s, []
+            if text[s] not in rank:
+                ends.append(s + 1)
+            while e < n and (node := at.get(text[e])):
+                known, at = node
+                e += 1
+                if known:
+                    ends.append(e)
+            while True:
+                while ends:
+                    e = ends.pop()
+                    if e not in dead and pair[prev, text[s:e]]:
+                        break
+                else:  # nothing leads on from here: the piece before ends elsewhere
+                    dead.add(s)
+                    s -= len(out.pop())
+                    prev, ends = (out[-1] if out else ""), others.pop()
+                    continue
+                break
+            prev = text[s:e]
+            out.append(prev)
+            others.append(ends)
+            s = e
         return out
 
     def piece_ids(self, pieces: list[str]) -> bytes:
@@ -404,23 +413,23 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = 32_768, fan:
     if most is None:
         return small
 
-    def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(model_path)
-        for df in frames:
-            got = [pickle.dumps(voc.transfer(t, h)) for t, h in zip(df["text"], df["halo"], strict=True)]
-            yield pd.DataFrame({"uid": df["uid"], "chunk": df["chunk"], "m": got})
+        for batch in sliced(batches, 32):
+            got = [pickle.dumps(voc.transfer(t, h)) for t, h in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], names=["uid", "chunk", "m"])
 
-    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(model_path)
-        for df in frames:
+        for batch in sliced(batches, 32):
             got = []
-            for text, before, states in zip(df["text"], df["halo"], df["states"], strict=True):
+            for text, before, states in zip(*(batch.column(k).to_pylist() for k in (3, 2, 4)), strict=True):
                 (into,), (out,) = pickle.loads(states)  # one path, so one state at each cut
-                got.append(np.frombuffer(voc.emit(text, before, into, out), dtype="<u4").astype(np.int32))
-            yield pd.DataFrame({"uid": df["uid"], "chunk": df["chunk"], "ids": got})
+                got.append(voc.emit(text, before, into, out))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _bytes_column(got)], names=["uid", "chunk", "ids"])
 
     block = F.floor(F.col("chunk") / fan).cast("int").alias("block")
-    tree = [materialize(parts.mapInPandas(matrices, "uid string, chunk int, m binary"))]
+    tree = [materialize(parts.select("uid", "chunk", "halo", "text").mapInArrow(matrices, "uid string, chunk int, m binary"))]
     while most:
         above = tree[-1].withColumn("block", block).groupBy("uid", "block").applyInPandas(_product, "uid string, chunk int, m binary")
         tree.append(materialize(above))
@@ -432,7 +441,7 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = 32_768, fan:
         states = states.withColumnRenamed("chunk", "block") if level is not tree[0] else states
     for level in tree:
         discard(level)
-    encoded = parts.join(states, ["uid", "chunk"]).mapInPandas(emit, "uid string, chunk int, ids array<int>")
+    encoded = parts.join(states, ["uid", "chunk"]).select("uid", "chunk", "halo", "text", "states").mapInArrow(emit, "uid string, chunk int, ids array<int>")
     return small.unionByName(big.select("doc_id", "uid").join(encoded, "uid").select("doc_id", "chunk", "ids"))
 
 
