@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,7 +53,7 @@ class Vocabulary:
     Files of other kinds, with own normalisation or with user-defined pieces are refused.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -92,6 +93,8 @@ class Vocabulary:
                 node = at.setdefault(c, [False, {}])
                 at = node[1]
             node[0] = True
+        spelt = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.names)]
+        self.spelling = pa.array(spelt, pa.large_binary())
         self.memo = Memo(self.unit_ids, limit)
         # Whether two neighbours weigh 0; of "" and a piece, whether merging leaves that piece.
         self.pair = Memo(lambda x: self.merge(x[0] + x[1]) == [y for y in x if y], limit)
@@ -368,8 +371,8 @@ def _spread(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"uid": rows["uid"], "chunk": rows["chunk"], "states": both})
 
 
-def encode_documents(docs: DataFrame, model_path: str, chunk: int = 32_768, fan: int = 64) -> DataFrame:
-    """(doc_id, chunk, ids) for every row of docs (doc_id, text): the ids of the SentencePiece file's own library, in
+def encode_documents(docs: DataFrame, model_path: str, chunk: int = 32_768, fan: int = 64, digests: bool = False) -> DataFrame:
+    """(doc_id, chunk, ids), or (doc_id, chunk, *DIGESTS) if only ``digests`` of the ids are wanted, for every row of docs (doc_id, text): the ids of the SentencePiece file's own library, in
     pieces of text of about ``chunk`` characters, numbered from 0.
 
     Texts up to ``chunk`` characters are encoded whole where they are. A longer one is cut every ``chunk``
@@ -387,14 +390,17 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = 32_768, fan:
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(model_path)
         for batch in sliced(batches):
-            if batch.num_rows:
-                ids = _bytes_column([voc.encode(t or "") for t in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.zeros(batch.num_rows, np.int32)), ids], names=["doc_id", "chunk", "ids"]
-                )
+            ids = [voc.encode(t or "") for t in batch.column(1).to_pylist()]
+            yield told(voc, batch.column(0), pa.array(np.zeros(batch.num_rows, np.int32)), ids, "doc_id")
 
-    schema = f"doc_id {kind}, chunk int, ids array<int>"
-    small = rows.where(~giant).mapInArrow(direct, schema)
+    def told(voc: Vocabulary, key: pa.Array, number: pa.Array, parts: list[bytes], name: str) -> pa.RecordBatch:
+        ids = _bytes_column(parts)
+        columns = _digests(voc, number.to_pylist(), ids) if digests else [ids]
+        return pa.RecordBatch.from_arrays([key, number, *columns], names=[name, "chunk", *outputs])
+
+    outputs = list(DIGESTS) if digests else ["ids"]
+    schema = ", ".join(f"{c} long" for c in DIGESTS) if digests else "ids array<int>"
+    small = rows.where(~giant).mapInArrow(direct, f"doc_id {kind}, chunk int, {schema}")
 
     big = rows.where(giant).withColumn("uid", F.sha2("text", 256))
     whole = F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))
@@ -426,7 +432,7 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = 32_768, fan:
             for text, before, states in zip(*(batch.column(k).to_pylist() for k in (3, 2, 4)), strict=True):
                 (into,), (out,) = pickle.loads(states)  # one path, so one state at each cut
                 got.append(voc.emit(text, before, into, out))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _bytes_column(got)], names=["uid", "chunk", "ids"])
+            yield told(voc, batch.column(0), batch.column(1), got, "uid")
 
     block = F.floor(F.col("chunk") / fan).cast("int").alias("block")
     tree = [materialize(parts.select("uid", "chunk", "halo", "text").mapInArrow(matrices, "uid string, chunk int, m binary"))]
@@ -441,38 +447,38 @@ def encode_documents(docs: DataFrame, model_path: str, chunk: int = 32_768, fan:
         states = states.withColumnRenamed("chunk", "block") if level is not tree[0] else states
     for level in tree:
         discard(level)
-    encoded = parts.join(states, ["uid", "chunk"]).select("uid", "chunk", "halo", "text", "states").mapInArrow(emit, "uid string, chunk int, ids array<int>")
-    return small.unionByName(big.select("doc_id", "uid").join(encoded, "uid").select("doc_id", "chunk", "ids"))
+    encoded = parts.join(states, ["uid", "chunk"]).select("uid", "chunk", "halo", "text", "states").mapInArrow(emit, f"uid string, chunk int, {schema}")
+    return small.unionByName(big.select("doc_id", "uid").join(encoded, "uid").select("doc_id", "chunk", *outputs))
 
 
-def piece_digests(encoded: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, chunk, n_ids, ids_crc32, decoded_bytes, decoded_crc32) of encode_documents' rows.
+DIGESTS = ("n_ids", "ids_crc32", "decoded_bytes", "decoded_crc32")
 
-    decoded is the text of the chunk's ids (UTF-8); the blank put before each text is taken off chunk 0.
-    """
-    import zlib
+
+def _digests(voc: Vocabulary, chunks: list[int], ids: pa.Array) -> list[pa.Array]:
+    """DIGESTS of lists of ids: their number and crc32 (little-endian uint32), and length and crc32 of the text they spell
+    (UTF-8); the blank put before each text is taken off chunk 0."""
+    offsets, own = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten()
+    values, spelt = own.to_numpy(), voc.spelling.take(own)
+    at = np.frombuffer(spelt.buffers()[1], dtype=np.int64)[offsets].tolist()
+    whole, out = memoryview(spelt.buffers()[2] or b""), []
+    for k, chunk in enumerate(chunks):
+        mine = values[offsets[k] : offsets[k + 1]]
+        text = whole[at[k] : at[k + 1]][1 if chunk == 0 else 0 :]
+        out.append((len(mine), zlib.crc32(mine.astype("<u4").tobytes()), len(text), zlib.crc32(text)))
+    return [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+
+
+def piece_digests(encoded: DataFrame, model_path: str) -> DataFrame:
+    """(doc_id, chunk) and DIGESTS of encode_documents' rows; encode_documents itself gives them too, in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(model_path)
-        pieces = pa.array([bytes([voc.byte_of[i]]) if i in voc.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(voc.names)], pa.large_binary())
         for batch in sliced(batches):
-            if not batch.num_rows:
-                continue
-            ids, chunk = batch.column(2), batch.column(1).to_pylist()
-            offsets, own_ids = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten()
-            values = own_ids.to_numpy()
-            spelt = pieces.take(own_ids)
-            at = np.frombuffer(spelt.buffers()[1], dtype=np.int64)[offsets].tolist()
-            whole, out = memoryview(spelt.buffers()[2] or b""), []
-            for k in range(batch.num_rows):
-                own = values[offsets[k] : offsets[k + 1]]
-                text = whole[at[k] : at[k + 1]][1 if chunk[k] == 0 else 0 :]
-                out.append((len(own), zlib.crc32(own.astype("<u4").tobytes()), len(text), zlib.crc32(text)))
-            columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "chunk", "n_ids", "ids_crc32", "decoded_bytes", "decoded_crc32"])
+            columns = _digests(voc, batch.column(1).to_pylist(), batch.column(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "chunk", *DIGESTS])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "chunk", "ids").mapInArrow(run, f"doc_id {kind}, chunk int, n_ids long, ids_crc32 long, decoded_bytes long, decoded_crc32 long")
+    return encoded.select("doc_id", "chunk", "ids").mapInArrow(run, f"doc_id {kind}, chunk int, " + ", ".join(f"{c} long" for c in DIGESTS))
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:

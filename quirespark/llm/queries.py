@@ -14,7 +14,7 @@ from .language import fit_language_model, identify_languages, training_rows
 from .licences import licences_sql, scan_licences
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
-from .pieces import encode_documents, piece_digests
+from .pieces import encode_documents
 from .sharding import shard_documents
 from .simhash import simhash_components
 from .toxicity import fit_toxicity, score_toxicity
@@ -72,8 +72,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_file("piece_bpe_32k.model")
-    return piece_digests(encode_documents(table(spark, sf_dir, "documents"), path), path)
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), digests=True)
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quirespark.llm import queries as Q
 from quirespark.llm.chat import rotate_perspectives
 from quirespark.llm.licences import scan_licences
-from quirespark.llm.pieces import START, Vocabulary, decode_documents, encode_documents, marked
+from quirespark.llm.pieces import START, Vocabulary, decode_documents, encode_documents, marked, piece_digests
 from quirespark.llm.neighbours import Forest, nearest_neighbours
 from quirespark.llm.vectors import near_duplicate_vectors, split_into_cells, usable
 
@@ -328,7 +328,9 @@ def test_max_plus_is_associative(voc):
 def test_pieces_awkward(spark, voc):
     rows = encode_documents(awkward(spark), PIECES).collect()
     assert {r["doc_id"] for r in rows} == {x[0] for x in AWKWARD}
-    got = rows_of(Q.piece_digests(encode_documents(awkward(spark), PIECES), PIECES))
+    got = rows_of(encode_documents(awkward(spark), PIECES, digests=True))
+    again = rows_of(piece_digests(encode_documents(awkward(spark), PIECES), PIECES))
+    assert sorted(map(str, got)) == sorted(map(str, again))
     by = defaultdict(int)
     for r in got:
         by[r["doc_id"]] += r["decoded_bytes"]
