@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,27 @@ def materialize(df: DataFrame) -> DataFrame:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._quire_path = path
+    if scopes := getattr(_SCOPES, "open", None):
+        scopes[-1].append(out)
+    return out
+
+
+_SCOPES = threading.local()  # tables written in settled() calls that are still running in this thread
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, materialized; the tables it wrote on the way are deleted."""
+    scopes = _SCOPES.open = getattr(_SCOPES, "open", [])
+    scopes.append([])
+    out = None
+    try:
+        out = materialize(make())
+    finally:
+        for df in scopes.pop():
+            if df is not out:
+                discard(df)
+    if scopes:
+        scopes[-1].append(out)
     return out
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, sliced
+from ._common import materialize, settled, sliced
 from .components import connected_components
 
 U64 = np.uint64
@@ -228,7 +228,7 @@ def fingerprint_edges(fps: DataFrame, radius: int = 2, cap: int = 4096) -> DataF
 def _classes(marked: DataFrame, radius: int) -> DataFrame:
     """(fp, component, component_id) for each fingerprint: component is its smallest fingerprint in signed order."""
     nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = connected_components(fingerprint_edges(nodes, radius))
+    parts = settled(lambda: connected_components(fingerprint_edges(nodes, radius)))
     named = nodes.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp")
     )

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize
+from ._common import discard, materialize, settled
 from .components import connected_components
 from .simhash import forest
 
@@ -382,7 +382,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, recall: floa
             break
         margin, beam = margin * 2, beam * 3
         discard(both)
-    parts = connected_components(both.where("b is not null").select("a", "b"))
+    parts = settled(lambda: connected_components(both.where("b is not null").select("a", "b")))
     named = classes.join(counts, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = named.join(names, "component").select(
