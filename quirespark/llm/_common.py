@@ -82,6 +82,13 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Smaller Arrow batches for a job over texts, so that executors hold less outside their heap; a setting other than
+    Spark's default is left alone. For the jobs (queries, stages) that own their session: operators change no setting."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def fold(key: str, mod: int):
     """crc32 of an id's decimal text modulo mod: the deterministic split into folds."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(mod))

@@ -8,7 +8,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fold, table
+from ._common import fold, small_batches
+from ._common import table as read
 from .chat import ROTATION_SQL, rotate_perspectives
 from .language import fit_language_model, identify_languages, training_rows
 from .licences import licences_sql, scan_licences
@@ -21,6 +22,13 @@ from .toxicity import fit_toxicity, score_toxicity
 from .vectors import near_duplicate_vectors
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a job over texts."""
+    if name == "documents":
+        small_batches(spark)
+    return read(spark, sf_dir, name)
+
+
 @lru_cache
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
