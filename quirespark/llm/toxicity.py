@@ -181,42 +181,46 @@ def fit_lexicon(
     rate. Occurrences are counted as distinct contexts (the word and its neighbour on either side): the many
     copies of one text are one context, so what they happen to contain is no evidence.
     """
-    texts: Counter[str] = Counter()
-    for text, label in sample:
-        if label:
-            texts.update(list(dict.fromkeys(f for w in _WORDS(text.lower()) for f in features(w))))
-    contexts: dict[str, list[set[int]]] = {f: [set(), set()] for f, n in texts.items() if n >= texts_least}
-    every = [array("q"), array("q")]
-
     def occurrences(text: str) -> Iterator[tuple[str, int]]:
         words = ["", *_WORDS(text.lower()), ""]
         for left, w, right in zip(words, words[1:], words[2:], strict=False):
             yield w, hash((left, w, right))
 
+    texts: Counter[str] = Counter()
+    every = [array("q"), array("q")]
+    for text, label in sample:
+        every[label > 0].extend(h for _, h in occurrences(text))
+        if label:
+            texts.update(list(dict.fromkeys(f for w in _WORDS(text.lower()) for f in features(w))))
+    n_clean, n_toxic = (len(np.unique(np.asarray(x))) for x in every)
+    del every
+    ratio = n_clean / max(1, n_toxic)
+
+    toxic: dict[str, set[int]] = {f: set() for f, n in texts.items() if n >= texts_least}
     for text, label in sample:
         if label:
             for w, h in occurrences(text):
-                every[1].append(h)
                 for f in features(w):
-                    if f in contexts:
-                        contexts[f][1].add(h)
-    contexts = {f: v for f, v in contexts.items() if len(v[1]) >= least}
+                    if f in toxic:
+                        toxic[f].add(h)
+    # A feature of more clean contexts than this has too little evidence, so no more of them are kept.
+    most = {f: share * ratio * len(x) / math.exp(floor) * (1 + 1e-9) for f, x in toxic.items() if len(x) >= least}
+    clean: dict[str, set[int]] = {f: set() for f, n in most.items() if n >= 1}
     for text, label in sample:
         if not label:
             for w, h in occurrences(text):
-                every[0].append(h)
                 for f in features(w):
-                    if f in contexts:
-                        contexts[f][0].add(h)
-    n_clean, n_toxic = (len(np.unique(np.asarray(x))) for x in every)
-    ratio = n_clean / max(1, n_toxic)
+                    if (seen := clean.get(f)) is not None:
+                        seen.add(h)
+                        if len(seen) + 1 > most[f]:
+                            del clean[f]
     out: dict[str, float] = {}
     covered: set[int] = set()
-    for f, (clean, toxic) in contexts.items():
-        evidence = math.log(max(share * ratio * len(toxic) / (len(clean) + 1), 1e-9))
+    for f, seen in clean.items():
+        evidence = math.log(max(share * ratio * len(toxic[f]) / (len(seen) + 1), 1e-9))
         if evidence >= floor:
             out[f] = evidence
-            covered |= toxic
+            covered |= toxic[f]
     return out, share * len(covered) / max(1, n_toxic)
 
 
