@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -137,27 +138,28 @@ def equation_number(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(text), r"^\(\s*([^()]*)\s*\)$", "$1"))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
+
+
 def is_footer(text: Column, y0: Column) -> Column:
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return (flat == "") | F.lower(flat).rlike(r"^(page\s*)?[0-9]+$") | ((y0 >= 955) & (F.length(flat) <= 140))
+    return let(flat, lambda t: (t == "") | F.lower(t).rlike(r"^(page\s*)?[0-9]+$") | ((y0 >= 955) & (F.length(t) <= 140)))
 
 
 def likely_math(text: Column, font: Column) -> Column:
-    compact = F.regexp_replace(text, r"\s", "")
-    n = F.length(compact) - F.length(F.translate(compact, MATH_CHARS, ""))
-    abc = letters(compact)
-    return (text != "") & (
-        F.lower(font).rlike("|".join(MATH_FONTS))
-        | ((compact != "") & (
-            ((n >= 5) & (n / F.greatest(F.lit(1), F.length(compact)) >= 0.075))
-            | ((n >= 3) & (abc <= 45))
-            | (compact.rlike("[=∫∑]") & (n >= 2) & (abc <= 90))
-        ))
-    )
+    named = F.lower(font).rlike("|".join(MATH_FONTS))
+    signs = lambda c: F.length(c) - F.length(F.translate(c, MATH_CHARS, ""))
+    few = lambda c, n: let(letters(c), lambda abc: ((n >= 3) & (abc <= 45)) | (c.rlike("[=∫∑]") & (abc <= 90)))
+    many = lambda c, n: (n >= 5) & (n / F.greatest(F.lit(1), F.length(c)) >= 0.075)
+    found = let(F.regexp_replace(text, r"\s", ""), lambda c: let(signs(c), lambda n: many(c, n) | F.when(n >= 2, few(c, n)).otherwise(False)))
+    return (text != "") & F.when(named, True).otherwise(found)
 
 
 def prose_candidate(text: Column, font: Column, y0: Column) -> Column:
-    return ~is_footer(text, y0) & ~likely_math(text, font) & (letters(text) >= 8)
+    """No footer, not likely mathematics, and eight letters at least."""
+    return text.rlike(r"(?:\p{L}\P{L}*+){8}") & ~is_footer(text, y0) & ~likely_math(text, font)
 
 
 def quality_reason(source: Column, out: Column, language: str) -> Column:

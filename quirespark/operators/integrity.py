@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import formula as M
 from ..functions import text as X
@@ -82,44 +85,62 @@ def same_pages(got: DataFrame, expected: DataFrame) -> DataFrame:
     return both.groupBy("doc_id").agg(F.bool_and(F.col("in_got").isNotNull() & F.col("in_expected").isNotNull()).alias("whole"))
 
 
-_DEDUP = "doc_id long, page int, pos int, text_of int"
 
 
-def dedup_similar(blocks: DataFrame, ratio: float = 0.92, least: int = 18, shared: float = 0.28, inside: int = 30) -> DataFrame:
-    """(doc_id, page, pos, text_of): the blocks kept of each page, and the block whose content stands there.
+def dedup_similar(blocks: DataFrame, ratio: float = 0.92, least: int = 18, shared: float = 0.28, inside: int = 30, content: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, page, pos, text_of, *content): the blocks kept of each page, and the block whose content stands there.
 
     In order, a block whose signature has ``least`` characters joins the first kept block with the same signature, or
     with a box that shares ``shared`` of the smaller of both and a similar text: a difflib ratio (the later block's
     signature first) of at least ``ratio``, or one signature within the other if both have ``inside`` characters. Of the
     two, an anchored block's content stays (column anchored, if there is one), else the longer text's, else the
-    first's. A page is one group.
+    first's; its columns ``content`` come along. A page is one group.
     """
     from difflib import SequenceMatcher
 
-    import pandas as pd
-
     def alike(a: str, b: str) -> bool:
-        held = min(len(a), len(b)) >= inside and (a in b or b in a)
-        return held or SequenceMatcher(None, a, b).ratio() >= ratio
-
-    def over(p, q) -> bool:
-        size = lambda x: max(0.0, (x.x1 - x.x0) * (x.y1 - x.y0))
-        area = max(0.0, min(p.x1, q.x1) - max(p.x0, q.x0)) * max(0.0, min(p.y1, q.y1) - max(p.y0, q.y0))
+        if min(len(a), len(b)) >= inside and (a in b or b in a):
+            return True
+        m = SequenceMatcher(None, a, b)
+        return m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio  # bounds from above first
+
+    def over(p: dict, q: dict) -> bool:
+        if any(x[c] is None for x in (p, q) for c in ("x0", "y0", "x1", "y1")):
+            return False
+        size = lambda x: max(0.0, (x["x1"] - x["x0"]) * (x["y1"] - x["y0"]))
+        area = max(0.0, min(p["x1"], q["x1"]) - max(p["x0"], q["x0"])) * max(0.0, min(p["y1"], q["y1"]) - max(p["y0"], q["y0"]))
         return area / max(1.0, min(size(p), size(q))) >= shared
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
+    def page(rows: list[dict]) -> list[dict]:
         kept: list[list] = []  # place, content
-        for row in df.sort_values("pos").itertuples(index=False):
-            fits = lambda k, row=row: len(k[1].sig) >= least and (k[1].sig == row.sig or (over(row, k[1]) and alike(row.sig, k[1].sig)))
-            match = next(filter(fits, kept), None) if len(row.sig) >= least else None
+        for row in rows:
+            fits = lambda k, row=row: len(k[1]["sig"]) >= least and (k[1]["sig"] == row["sig"] or (over(row, k[1]) and alike(row["sig"], k[1]["sig"])))
+            match = next(filter(fits, kept), None) if len(row["sig"]) >= least else None
             if match is None:
-                kept.append([row.pos, row])
-            elif (row.anchored, len(row.sig)) > (match[1].anchored, len(match[1].sig)):
+                kept.append([row["pos"], row])
+            elif (row["anchored"], len(row["sig"])) > (match[1]["anchored"], len(match[1]["sig"])):
                 match[1] = row
-        n = len(kept)
-        return pd.DataFrame({"doc_id": [df["doc_id"].iloc[0]] * n, "page": [df["page"].iloc[0]] * n, "pos": [k[0] for k in kept], "text_of": [k[1].pos for k in kept]})
+        return [{"doc_id": r["doc_id"], "page": r["page"], "pos": at, "text_of": r["pos"], **{c: r[f"of_{c}"] for c in content}} for at, r in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []  # the rows of the page that may go on in the next batch
+        for batch in batches:
+            done: list[dict] = []
+            for row in batch.to_pylist():
+                if held and (held[0]["doc_id"], held[0]["page"]) != (row["doc_id"], row["page"]):
+                    done += page(held)
+                    held = []
+                held.append(row)
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist(page(held), schema)
 
     anchored = F.col("anchored") if "anchored" in blocks.columns else F.lit(False)
     sig = X.signature(F.col("kind"), F.col("text"))
-    rows = blocks.select("doc_id", "page", F.col("pos").cast("int").alias("pos"), sig.alias("sig"), anchored.alias("anchored"), "x0", "y0", "x1", "y1")
-    return rows.groupBy("doc_id", "page").applyInPandas(run, _DEDUP)
+    rows = blocks.select("doc_id", "page", F.col("pos").cast("int").alias("pos"), sig.alias("sig"), anchored.alias("anchored"), "x0", "y0", "x1", "y1", *[F.col(c).alias(f"of_{c}") for c in content])
+    kinds = dict(blocks.dtypes)
+    names = ", ".join([f"doc_id {kinds['doc_id']}, page {kinds['page']}, pos int, text_of int", *(f"{c} {kinds[c]}" for c in content)])
+    schema = to_arrow_schema(StructType.fromDDL(names))
+    ordered = rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "pos")
+    return ordered.mapInArrow(run, names)

@@ -137,9 +137,13 @@ def stabilised(blocks: DataFrame, hints: DataFrame) -> DataFrame:
     new = lost.select(*KEY, F.lit(1).alias("origin"), F.col("hint_ord").cast("long").alias("num"), "kind", "text", F.lit(True).alias("anchored"), given.alias("style"), *box)
     place = layout.insert_by_geometry(blocks, lost, columns)
     every = own.unionByName(new).join(place, [*KEY, "origin", "num"]).withColumnRenamed("place", "pos").withColumn("pos", F.col("pos").cast("int"))
-    kept = integrity.dedup_similar(every).withColumnRenamed("pos", "place")
-    kept = kept.join(every.withColumnRenamed("pos", "text_of"), [*KEY, "text_of"]).drop("text_of").withColumnRenamed("place", "pos")
-    return _with_style(kept, hints, columns)
+    # Looks follow from boxes alone, so they are found before texts are compared, and come along.
+    mark = (F.col("num") * 2 + F.col("origin")).alias("pos")
+    looks = layout.measured_style(own.unionByName(new).select(*KEY, mark, "kind", *box), hints)
+    looks = looks.withColumnRenamed("pos", "mark").withColumnRenamed("style", "look")
+    every = every.withColumn("mark", F.col("num") * 2 + F.col("origin")).join(looks, [*KEY, "mark"], "left")
+    kept = integrity.dedup_similar(every, content=("origin", "kind", "text", "anchored", "style", "look", "size", "family", "em", *box)).drop("text_of")
+    return _flowing(kept, columns)
 
 
 def restabilised(saved: DataFrame, blocks: DataFrame, hints: DataFrame, pages: DataFrame) -> DataFrame:
@@ -149,9 +153,8 @@ def restabilised(saved: DataFrame, blocks: DataFrame, hints: DataFrame, pages: D
     return saved.join(keys, KEY, "left_anti").unionByName(stabilised(part(blocks), part(hints)).select(saved.columns))
 
 
-def _with_style(kept: DataFrame, hints: DataFrame, columns: DataFrame) -> DataFrame:
-    look = layout.measured_style(kept.drop("style"), hints).withColumnRenamed("style", "look")
-    out = kept.join(look, [*KEY, "pos"], "left").join(columns, KEY, "left")
+def _flowing(kept: DataFrame, columns: DataFrame) -> DataFrame:
+    out = kept.join(columns, KEY, "left")
     n = F.coalesce("columns", F.lit(1))
     return out.select(
         *KEY, F.col("pos").alias("place"), "kind",
