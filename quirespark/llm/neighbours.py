@@ -89,13 +89,15 @@ class Forest:
                 held[leaf[0]] += sizes[leaf]
         return out
 
-    def calibrate(self, sample: np.ndarray, k: int, recall: float, asked: int = 100) -> int:
-        """The number of leaves to visit with which a query of the sample finds the share ``recall`` of its k nearest
-        in the sample: few where vectors are clustered, many where they have no structure."""
+    def calibrate(self, sample: np.ndarray, k: int, recall: float, asked: int = 200, queries: np.ndarray | None = None) -> int:
+        """The number of leaves to visit with which a query finds the share ``recall`` of its k nearest in the sample: few
+        where vectors are clustered, many where they have no structure. Queries (places in the sample) should have had no
+        part in fitting the planes."""
         at = self.leaves(sample)
         squares = (sample**2).sum(axis=1)
         need: list[int] = []
-        for q in np.random.default_rng(5).permutation(len(sample))[:asked]:
+        places = np.arange(len(sample)) if queries is None else queries
+        for q in np.random.default_rng(5).permutation(places)[:asked]:
             d = squares - 2 * sample @ sample[q]
             d[q] = np.inf
             near = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
@@ -169,8 +171,10 @@ def _search(good: DataFrame, asked: DataFrame, total: int, width: int, k: int, t
     x = np.unique(x, axis=0)
     depth = max(0, min(int(np.log2(max(1, total / leaf))), int(np.log2(max(1, len(x) / 8)))))
     by = scaled(x)
-    planted = Forest(x / by, trees, depth)
-    number = planted.calibrate(x / by, k, recall)
+    x = np.random.default_rng(9).permutation(x)
+    fitted = len(x) - len(x) // 4  # the planes see these only; the others ask
+    planted = Forest(x[:fitted] / by, trees, depth)
+    number = planted.calibrate(x / by, k, recall, queries=np.arange(fitted, len(x)) if fitted < len(x) else None)
     shift = max(0, depth - max(0, int(np.ceil(np.log2(max(1, total / task))))))  # leaves >> shift: units of about ``task`` rows
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,7 +235,7 @@ def nearest_neighbours(
     k: int = 10,
     trees: int = 4,
     leaf: int = 100,
-    recall: float = 0.94,
+    recall: float = 0.95,
     sample: int = 20_000,
     task: int = 8_000,
 ) -> DataFrame:
