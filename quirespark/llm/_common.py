@@ -75,6 +75,26 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df, written, with a column ``name``: each row's place from 1 in that order over all rows (any order among rows that
+    agree in it). Rows are sorted by range over all tasks; a count for each partition, not a window over everything, adds up to
+    places. The counts are as many as the sort's partitions."""
+    spark = df.sparkSession
+    out = materialize(df.sort(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = sorted((r["p"], r["n"]) for r in out.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    starts, before = [], 0
+    for p, n in counts:
+        starts.append((p, before))
+        before += n
+    offsets = spark.createDataFrame(starts, "_p long, _before long")
+    ahead = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    placed = out.join(F.broadcast(offsets), part == F.col("_p")).withColumn(name, ahead).drop("_p", "_before", "_at")
+    placed._quire_path = out._quire_path
+    placed._quire_rows = before
+    return placed
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``, so that a task holds few texts as Python strings at a time."""
     for batch in batches:
