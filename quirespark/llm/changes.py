@@ -24,8 +24,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ._common import discard, materialize, ranked, shared_folder
 
 COLUMNS = ("change_id", "client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance")
-FED = "change_id long, client_id long, n long, day long, op string, city string, balance double, clock long, batch int"
-MADE = "change_id long, client_id long, n long, status string, batch int, missed long, city string, balance double, op string"
+_CHANGE = "n long, change_id long, day long, op string, city string, balance double"
+_RESULT = "change_id long, client_id long, n long, status string, batch int, missed long, city string, balance double, op string"
+#: Narrow rows with one struct: each client's rows come and go as a batch of their own, at a cost for every column. A clock row has no change.
+FED = f"client_id long, clock long, change struct<{_CHANGE}>, batch int"  # the folder's column comes last
+MADE = f"made struct<{_RESULT}>"
 _KINDS = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
 
 
@@ -60,22 +63,23 @@ class Applier(StatefulProcessor):
                 batch = r.batch
                 if r.clock is not None:
                     yield from one.jump(r.clock - self.patience, batch)
-            if r.n is None:  # a clock row
+            if r.change is None:  # a clock row
                 continue
-            row = (r.change_id, r.day, r.op, r.city, r.balance, batch)
-            if r.n < one.next:
-                yield one.rejected(r.n, row)
+            n, *row = r.change.values()
+            row = (*row, batch)
+            if n < one.next:
+                yield one.rejected(n, row)
                 continue
-            if (other := fresh.get(r.n)) is not None:
+            if (other := fresh.get(n)) is not None:
                 row, other = sorted((row, other), key=_order)
-                yield one.rejected(r.n, other)
-            fresh[r.n] = row
+                yield one.rejected(n, other)
+            fresh[n] = row
             if len(fresh) >= self.at_once:
                 yield from one.hold(fresh)
                 fresh = {}
         yield from one.admit(fresh, batch)
         if batch == self.last_batch and one.last:
-            yield Row(change_id=None, client_id=key[0], n=one.last, status="last", batch=batch, missed=0, city=None, balance=None, op=one.op)
+            yield _made(change_id=None, client_id=key[0], n=one.last, status="last", batch=batch, missed=0, city=None, balance=None, op=one.op)
         if (after := one.state()) != before:
             self.now.update(after)
 
@@ -94,7 +98,7 @@ class Client:
         return (self.next, self.city, self.balance, self.n_held, self.earliest, self.last, self.op)
 
     def rejected(self, n: int, row: tuple) -> Row:
-        return Row(change_id=row[0], client_id=self.client_id, n=n, status="rejected", batch=row[5], missed=0, city=None, balance=None, op=row[2])
+        return _made(change_id=row[0], client_id=self.client_id, n=n, status="rejected", batch=row[5], missed=0, city=None, balance=None, op=row[2])
 
     def applied(self, row: tuple, batch: int, missed: int = 0) -> Row:
         """Apply the row whose number is next."""
@@ -108,7 +112,7 @@ class Client:
             self.balance = self.balance if balance is None else balance
         self.last, self.op, n = self.next, op, self.next
         self.next += 1
-        return Row(change_id=row[0], client_id=self.client_id, n=n, status="applied", batch=batch, missed=missed, city=self.city, balance=self.balance, op=op)
+        return _made(change_id=row[0], client_id=self.client_id, n=n, status="applied", batch=batch, missed=missed, city=self.city, balance=self.balance, op=op)
 
     def pop(self, batch: int, missed: int = 0) -> Iterator[Row]:
         """Apply held rows for as long as numbers follow one another."""
@@ -179,6 +183,10 @@ class Client:
             self.earliest = FOREVER
 
 
+def _made(**result: object) -> Row:
+    return Row(made=result)
+
+
 def _order(row: tuple) -> tuple:
     """By day, then change_id; rows that agree in both go by what they hold, nulls first."""
     return tuple((x is not None, x) if x is not None else (False,) for x in (row[1], row[0], row[2], row[3], row[4]))
@@ -238,11 +246,12 @@ def apply_changes(
     for b, at in clocks.items():
         if at is not None:
             clock = F.when(F.col("batch") == b, F.lit(at).cast("long")).otherwise(clock)
+    change = F.struct(*(F.col(part.split()[0]) for part in _CHANGE.split(", ")))
     ticks = (
         rows.groupBy("client_id").agg(F.min("batch").alias("since"))
         .select("client_id", F.explode(F.sequence(F.col("since") + 1, F.lit(batches + 1))).alias("batch"))
     )
-    fed = rows.unionByName(ticks, allowMissingColumns=True).withColumn("clock", clock)
+    fed = rows.select("client_id", "batch", change.alias("change")).unionByName(ticks, allowMissingColumns=True).withColumn("clock", clock)
     folder = f"{shared_folder(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
     fed.hint("rebalance", "batch").write.partitionBy("batch").parquet(f"{folder}/cut")
     discard(numbered)
@@ -283,8 +292,8 @@ def _streamed(spark: SparkSession, folder: str, batches: int, patience: int) ->
     for part in ("cut", "fed", "state"):
         fs.delete(hadoop(f"{folder}/{part}"), True)
     if not fs.exists(hadoop(f"{folder}/made")):
-        return spark.createDataFrame([], MADE)
-    return spark.read.schema(MADE).parquet(f"{folder}/made")
+        return spark.createDataFrame([], _RESULT)
+    return spark.read.schema(MADE).parquet(f"{folder}/made").select("made.*")
 
 
 class _state_settings:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ._common import fold, small_batches
 from ._common import table as read
+from .changes import apply_changes
 from .chat import ROTATION_SQL, rotate_perspectives
 from .language import fit_language_model, identify_languages, training_rows
 from .licences import licences_sql, scan_licences
@@ -87,6 +88,12 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op13_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = apply_changes(table(spark, sf_dir, "client_changes"), batches=10, origin=19723, span=160, patience=8)
+    cents = F.floor(100 * F.col("balance") + 0.5).cast("long").alias("cents")
+    return made.select("change_id", "client_id", "status", "batch", "missed", "city", cents, "current")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,7 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_embedding_dedup, op3_toxicity, op4_language, op5_simhash,
-        op6_packing, op7_nearest, op8_chat, op9_pieces, op10_licences, pipeline,
+        op6_packing, op7_nearest, op8_chat, op9_pieces, op10_licences, op13_changes, pipeline,
     )
 }
 
