@@ -297,11 +297,15 @@ def _streamed(spark: SparkSession, folder: str, batches: int, patience: int) ->
 
 
 class _state_settings:
-    """The state store that transformWithState needs, for as long as the query runs; a session's own choice stays."""
+    """The state store that transformWithState needs, for as long as the query runs. Each start runs one batch, so stores are closed
+    as they commit, take no disk ahead of need, and count no rows (a look-up for each write)."""
 
     WANTED = {
         "spark.sql.streaming.stateStore.providerClass": ROCKS,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     }
 
     def __init__(self, spark: SparkSession) -> None:
