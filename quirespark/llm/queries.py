@@ -14,6 +14,7 @@ from .changes import apply_changes
 from .chat import ROTATION_SQL, rotate_perspectives
 from .language import fit_language_model, identify_languages, training_rows
 from .licences import licences_sql, scan_licences
+from .mixing import mix_sources, mixing_sql
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
 from .pieces import encode_documents
@@ -88,6 +89,11 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), percent=150, cap=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op13_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = apply_changes(table(spark, sf_dir, "client_changes"), batches=10, origin=19723, span=160, patience=8)
     cents = F.floor(100 * F.col("balance") + 0.5).cast("long").alias("cents")
@@ -104,8 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_embedding_dedup, op3_toxicity, op4_language, op5_simhash,
-        op6_packing, op7_nearest, op8_chat, op9_pieces, op10_licences, op13_changes, pipeline,
+        op6_packing, op7_nearest, op8_chat, op9_pieces, op10_licences, op12_mixing, op13_changes, pipeline,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_chat": ROTATION_SQL, "op10_licences": licences_sql()}
+ORACLE_SQL: dict[str, str] = {"op8_chat": ROTATION_SQL, "op10_licences": licences_sql(), "op12_mixing": mixing_sql()}
