@@ -38,7 +38,7 @@ def _struct(text: str) -> T.StructType:
 
 
 _HELD = "change_id long, day long, op string, city string, balance double, batch int"
-_NOW = "next long, city string, balance double, held long, earliest long, last long, op string"
+_NOW = "next long, city string, balance double, held long, earliest long, op string"
 FOREVER = 1 << 40  # a clock that every held row's patience has run out by
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -55,7 +55,7 @@ class Applier(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         before = self.now.get()
-        one = Client(key[0], self.held, before or (1, None, None, 0, FOREVER, 0, None))
+        one = Client(key[0], self.held, before or (1, None, None, 0, FOREVER, None))
         fresh: dict[int, tuple] = {}
         batch = None
         for r in rows:
@@ -78,8 +78,8 @@ class Applier(StatefulProcessor):
                 yield from one.hold(fresh)
                 fresh = {}
         yield from one.admit(fresh, batch)
-        if batch == self.last_batch and one.last:
-            yield _made(change_id=None, client_id=key[0], n=one.last, status="last", batch=batch, missed=0, city=None, balance=None, op=one.op)
+        if batch == self.last_batch and one.next > 1:  # the number before next is the last that was applied
+            yield _made(change_id=None, client_id=key[0], n=one.next - 1, status="last", batch=batch, missed=0, city=None, balance=None, op=one.op)
         if (after := one.state()) != before:
             self.now.update(after)
 
@@ -92,10 +92,10 @@ class Client:
 
     def __init__(self, client_id: int | None, held: object, now: tuple) -> None:
         self.client_id, self.map = client_id, held
-        self.next, self.city, self.balance, self.n_held, self.earliest, self.last, self.op = now
+        self.next, self.city, self.balance, self.n_held, self.earliest, self.op = now
 
     def state(self) -> tuple:
-        return (self.next, self.city, self.balance, self.n_held, self.earliest, self.last, self.op)
+        return (self.next, self.city, self.balance, self.n_held, self.earliest, self.op)
 
     def rejected(self, n: int, row: tuple) -> Row:
         return _made(change_id=row[0], client_id=self.client_id, n=n, status="rejected", batch=row[5], missed=0, city=None, balance=None, op=row[2])
@@ -110,7 +110,7 @@ class Client:
         elif op == "U":
             self.city = self.city if city is None else city
             self.balance = self.balance if balance is None else balance
-        self.last, self.op, n = self.next, op, self.next
+        self.op, n = op, self.next
         self.next += 1
         return _made(change_id=row[0], client_id=self.client_id, n=n, status="applied", batch=batch, missed=missed, city=self.city, balance=self.balance, op=op)
 

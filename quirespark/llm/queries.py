@@ -18,6 +18,7 @@ from .mixing import mix_sources, mixing_sql
 from .neighbours import nearest_neighbours
 from .packing import pack_documents
 from .pieces import encode_documents
+from .resampling import resample_to_target, resampling_sql
 from .sharding import shard_documents
 from .simhash import simhash_components
 from .toxicity import fit_toxicity, score_toxicity
@@ -89,6 +90,11 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resample_to_target(docs, target, least=1, most=1, buckets=10_000, percent=10, min_words=20, seed=2024)
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), percent=150, cap=2)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -110,8 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_embedding_dedup, op3_toxicity, op4_language, op5_simhash,
-        op6_packing, op7_nearest, op8_chat, op9_pieces, op10_licences, op12_mixing, op13_changes, pipeline,
+        op6_packing, op7_nearest, op8_chat, op9_pieces, op10_licences, op11_resampling, op12_mixing, op13_changes, pipeline,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_chat": ROTATION_SQL, "op10_licences": licences_sql(), "op12_mixing": mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op8_chat": ROTATION_SQL, "op10_licences": licences_sql(), "op11_resampling": resampling_sql(), "op12_mixing": mixing_sql()}
