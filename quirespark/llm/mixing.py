@@ -80,7 +80,7 @@ def _with_copies(drawn: DataFrame, rates: DataFrame) -> DataFrame:
         joined = drawn.join(F.broadcast(rates), same)
     else:
         salted = drawn.withColumn("_salt", F.col("_u") % SALTS)
-        spread = rates.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        spread = rates.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = salted.join(spread.hint("merge"), same & (F.col("_salt") == F.col("_other")))
     extra = F.col("_u") < (F.col("_rate") - F.floor("_rate")) * F.lit(float(1 << 32))
     return joined.withColumn("_copies", (F.floor("_rate") + extra.cast("int")).cast("int"))

@@ -13,22 +13,22 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize, ranked, sliced
+from ._common import discard, materialize, ranked, settled, sliced
 
 #: Words: runs of digits, small ASCII letters and anything beyond ASCII, once A-Z are small.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-BLOCK_CHARS = 2_000_000
-BLOCK_DOCS = 1000
-_DOC = pa.struct(
-    [("at", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("grams", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]
-)
+BLOCK_CHARS = 4_000_000
+BLOCK_DOCS = 2000
+_INTS = pa.list_(pa.int32())
+_DOC = pa.struct([("at", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_features", pa.int64()), ("grams", _INTS), ("counts", _INTS)])
 _BLOCK = pa.schema(
-    [("part", pa.int32()), ("number", pa.int32()), ("words", pa.list_(pa.string())), ("grams", pa.list_(pa.list_(pa.int32()))), ("totals", pa.list_(pa.int64())), ("docs", pa.list_(_DOC))]
+    [("part", pa.int32()), ("number", pa.int32()), ("words", pa.list_(pa.string())), ("grams", pa.list_(_INTS)), ("totals", pa.list_(pa.int64())), ("docs", pa.list_(_DOC))]
 )
 _BLOCK_DDL = (
     "part int, number int, words array<string>, grams array<array<int>>, totals array<long>, "
@@ -37,33 +37,50 @@ _BLOCK_DDL = (
 
 
 class _Block:
+    """Places of words and n-grams in one block's lists, and what its documents count. Single words need no list of n-grams:
+    their places are those of the words."""
+
     def __init__(self, least: int, most: int) -> None:
         self.least, self.most = least, most
         self.words: dict[str, int] = {}
         self.grams: dict[tuple, int] = {}
-        self.totals: list[int] = []
-        self.docs: list[tuple] = []
+        self.docs: list[tuple] = []  # (doc_id, words, features, distinct features)
+        self.ids: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
         self.chars = 0
 
     def add(self, doc_id: int | None, text: str | None) -> None:
-        """Count one document; ``setdefault`` with the list's length gives a new word or tuple the next place."""
+        """Count one document; ``setdefault`` with the list's length gives a new word or n-gram the next place."""
         found = WORD.findall((text or "").translate(_SMALL))
-        words, grams = self.words, self.grams
-        places = [words.setdefault(w, len(words)) for w in found]
-        counts: Counter = Counter()
-        for n in range(self.least, self.most + 1):
-            counts.update(zip(*(places[i:] for i in range(n)), strict=False))
-        ids = [grams.setdefault(g, len(grams)) for g in counts]
-        self.totals.extend([0] * (len(grams) - len(self.totals)))
-        for g, n in zip(ids, counts.values(), strict=True):
-            self.totals[g] += n
-        self.docs.append((len(self.docs), doc_id, len(found), sum(counts.values()), ids, list(counts.values())))
+        words = self.words
+        if self.most == 1:
+            counts, known = Counter(found), words
+        else:
+            counts, known = Counter(), self.grams
+            places = [words.setdefault(w, len(words)) for w in found]
+            for n in range(self.least, self.most + 1):
+                counts.update(zip(*(places[i:] for i in range(n)), strict=False))
+        self.ids.append(np.fromiter((known.setdefault(g, len(known)) for g in counts), np.int32, len(counts)))
+        self.counts.append(np.fromiter(counts.values(), np.int32, len(counts)))
+        self.docs.append((doc_id, len(found), int(self.counts[-1].sum()), len(counts)))
         self.chars += len(text or "")
 
-    def row(self, part: int, number: int) -> dict:
-        names = [f.name for f in _DOC]
-        docs = [dict(zip(names, d, strict=True)) for d in self.docs]
-        return {"part": part, "number": number, "words": list(self.words), "grams": [list(g) for g in self.grams], "totals": self.totals, "docs": docs}
+    def batch(self, part: int, number: int) -> pa.RecordBatch:
+        ids, counts = np.concatenate(self.ids), np.concatenate(self.counts)
+        n_known = len(self.words if self.most == 1 else self.grams)
+        totals = np.bincount(ids, counts, n_known).astype(np.int64)
+        doc_ids, n_words, n_features, n_distinct = zip(*self.docs, strict=True)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(n_distinct)]), pa.int32())
+        docs = pa.StructArray.from_arrays(
+            [
+                pa.array(range(len(self.docs)), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_features, pa.int64()),
+                pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.ListArray.from_arrays(offsets, pa.array(counts)),
+            ],
+            fields=list(_DOC),
+        )
+        grams = pa.array([list(g) for g in self.grams], _INTS)
+        lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (pa.array(self.words, pa.string()), grams, pa.array(totals), docs)]
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), *lists], schema=_BLOCK)
 
 
 def _blocks(docs: DataFrame, least: int, most: int) -> DataFrame:
@@ -76,11 +93,11 @@ def _blocks(docs: DataFrame, least: int, most: int) -> DataFrame:
         for batch in sliced(batches, 100):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if block.docs and (len(block.docs) >= BLOCK_DOCS or block.chars + len(text or "") > BLOCK_CHARS):
-                    yield pa.RecordBatch.from_pylist([block.row(part, number)], schema=_BLOCK)
+                    yield block.batch(part, number)
                     number, block = number + 1, _Block(least, most)
                 block.add(doc_id, text)
         if block.docs:
-            yield pa.RecordBatch.from_pylist([block.row(part, number)], schema=_BLOCK)
+            yield block.batch(part, number)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, _BLOCK_DDL)
 
@@ -91,35 +108,52 @@ def _gathered(rows: DataFrame, value: str, name: str) -> DataFrame:
     return rows.groupBy("block").agg(F.transform(pairs, lambda x: x[value]).alias(name))
 
 
-def count_features(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(block, places' buckets) and, for each distinct tuple once, its bucket: ``blocks`` has side, block, words, grams, totals.
+def _hash(feature: str, buckets: int) -> Column:
+    return F.pmod(F.crc32(F.col(feature).cast("binary")), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _sums() -> list[Column]:
+    """Counts of the documents and of the target."""
+    return [F.sum(F.when(F.col("side") == side, F.col("total")).otherwise(0)).alias(name) for side, name in ((0, "s"), (1, "t"))]
+
 
-    Returns (block, place, tuple, side, total, bucket), written.
+def count_features(blocks: DataFrame, least: int, most: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """What (side, block, words, grams, totals) holds: (side, block, place, bucket) of each block's distinct n-grams, and
+    (bucket, s, t), the counts on either side, at most ``buckets`` rows.
+
+    Distinct words get integers. A tuple of one word is that word's row of the dictionary, so its bytes are hashed there; longer
+    tuples are told apart by their integers, spelled from the dictionary and hashed once each, and joined back by integers.
     """
-    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    dictionary = materialize(words.select("word").distinct().withColumn("id", F.monotonically_increasing_id()))
-    ids = _gathered(words.join(dictionary, "word").select("block", "place", "id"), "id", "ids")
-    tuples = blocks.join(ids, "block").select(
-        "side", "block", F.posexplode(F.arrays_zip(F.transform("grams", lambda g: F.transform(g, lambda i: F.get("ids", i))).alias("tuple"), "totals")).alias("place", "x")
-    ).select("side", "block", "place", F.col("x.tuple").alias("tuple"), F.col("x.totals").alias("total"))
-    tuples = materialize(tuples)
-    distinct = materialize(tuples.select("tuple").distinct().withColumn("gram", F.monotonically_increasing_id()))
+    words = blocks.select("side", "block", F.posexplode(F.arrays_zip("words", "totals") if most == 1 else F.arrays_zip("words")).alias("place", "x"))
+    words = words.select("side", "block", "place", "x.*").withColumnRenamed("words", "word").withColumnRenamed("totals", "total")
+    known = words.groupBy("word").agg(*(_sums() if most == 1 else [F.count("*").alias("n")]))
+    dictionary = materialize(known.select("*", F.monotonically_increasing_id().alias("id"), _hash("word", buckets)))
+    if most == 1:
+        placed = words.join(dictionary.select("word", "id", "bucket"), "word").select("side", "block", "place", "bucket")
+        return placed, materialize(dictionary.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")))
+    ids = _gathered(words.join(dictionary.select("word", "id"), "word").select("block", "place", "id"), "id", "ids")
+    as_ids = F.transform("grams", lambda g: F.transform(g, lambda i: F.get("ids", i))).alias("tuple")
+    tuples = blocks.join(ids, "block").select("side", "block", F.posexplode(F.arrays_zip(as_ids, "totals")).alias("place", "x"))
+    tuples = materialize(tuples.select("side", "block", "place", F.col("x.tuple").alias("tuple"), F.col("x.totals").alias("total")))
+    distinct = materialize(tuples.groupBy("tuple").agg(*_sums()).withColumn("gram", F.monotonically_increasing_id()))
     spelled = (
         distinct.select("gram", F.posexplode("tuple").alias("place", "id"))
-        .join(dictionary, "id")
+        .join(dictionary.select("id", "word"), "id")
         .groupBy("gram")
         .agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"])).alias("feature"))
     )
-    bucket = F.pmod(F.crc32(F.col("feature").cast("binary")), F.lit(buckets)).cast("int")
-    hashed = distinct.join(spelled.select("gram", bucket.alias("bucket")), "gram").select("tuple", "bucket")
-    out = materialize(tuples.join(hashed, "tuple"))
-    for used in (dictionary, tuples, distinct):
-        discard(used)
-    return out
+    hashed = materialize(distinct.join(spelled.select("gram", _hash("feature", buckets)), "gram"))
+    placed = tuples.join(hashed.select("tuple", "bucket"), "tuple").select("side", "block", "place", "bucket")
+    return placed, materialize(hashed.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")))
 
 
 def importance_weights(docs: DataFrame, target: DataFrame, least: int = 1, most: int = 1, buckets: int = 10_000) -> DataFrame:
-    """(row, doc_id, n_words, n_features, weight) of every document, written; ``row`` tells repeated rows apart.
+    """:func:`_importance_weights`, with the tables written on the way deleted."""
+    return settled(lambda: _importance_weights(docs, target, least, most, buckets))
+
+
+def _importance_weights(docs: DataFrame, target: DataFrame, least: int, most: int, buckets: int) -> DataFrame:
+    """(row, doc_id, n_words, n_features, weight) of every document; ``row`` tells repeated rows apart.
 
     Features are all runs of ``least`` to ``most`` words, joined by a space, with repeats; a feature's bucket is the crc32 of its
     UTF-8 bytes modulo ``buckets``. A bucket with s of the documents' S features and t of the target's T gains
@@ -130,12 +164,7 @@ def importance_weights(docs: DataFrame, target: DataFrame, least: int = 1, most:
     theirs = _blocks(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), least, most).withColumn("side", F.lit(1))
     block = F.shiftleft(F.col("part").cast("long"), 32) + F.shiftleft(F.col("number").cast("long"), 1) + F.col("side")
     blocks = materialize(ours.unionByName(theirs).withColumn("block", block))
-    features = count_features(blocks, buckets)
-    per = features.groupBy("bucket").agg(
-        F.sum(F.when(F.col("side") == 0, F.col("total")).otherwise(0)).alias("s"),
-        F.sum(F.when(F.col("side") == 1, F.col("total")).otherwise(0)).alias("t"),
-    )
-    per = materialize(per)
+    features, per = count_features(blocks, least, most, buckets)
     sums = per.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     ratio = ((F.col("t") + 1) * F.lit(float(sums.s + buckets))) / ((F.col("s") + 1) * F.lit(float(sums.t + buckets)))
     gains = per.select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
@@ -148,10 +177,7 @@ def importance_weights(docs: DataFrame, target: DataFrame, least: int = 1, most:
         F.struct("block", d["at"].alias("at")).alias("row"), d["doc_id"].alias("doc_id"), d["n_words"].alias("n_words"),
         d["n_features"].alias("n_features"), weight(d).alias("weight"),
     ))
-    out = materialize(priced.select(F.inline(rows)))
-    for used in (blocks, features, per):
-        discard(used)
-    return out
+    return priced.select(F.inline(rows))
 
 
 def resample_to_target(
