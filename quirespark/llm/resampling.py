@@ -118,7 +118,7 @@ def _sums() -> list[Column]:
 
 
 def count_features(blocks: DataFrame, least: int, most: int, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """What (side, block, words, grams, totals) holds: (side, block, place, bucket) of each block's distinct n-grams, and
+    """What (side, block, words, grams, totals) holds: (block, place, bucket) of each block's distinct n-grams, and
     (bucket, s, t), the counts on either side, at most ``buckets`` rows.
 
     Distinct words get integers. A tuple of one word is that word's row of the dictionary, so its bytes are hashed there; longer
@@ -129,7 +129,7 @@ def count_features(blocks: DataFrame, least: int, most: int, buckets: int) -> tu
     known = words.groupBy("word").agg(*(_sums() if most == 1 else [F.count("*").alias("n")]))
     dictionary = materialize(known.select("*", F.monotonically_increasing_id().alias("id"), _hash("word", buckets)))
     if most == 1:
-        placed = words.join(dictionary.select("word", "id", "bucket"), "word").select("side", "block", "place", "bucket")
+        placed = words.drop("side", "total").join(dictionary.select("word", "bucket"), "word").select("block", "place", "bucket")
         return placed, materialize(dictionary.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")))
     ids = _gathered(words.join(dictionary.select("word", "id"), "word").select("block", "place", "id"), "id", "ids")
     as_ids = F.transform("grams", lambda g: F.transform(g, lambda i: F.get("ids", i))).alias("tuple")
@@ -143,7 +143,7 @@ def count_features(blocks: DataFrame, least: int, most: int, buckets: int) -> tu
         .agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"])).alias("feature"))
     )
     hashed = materialize(distinct.join(spelled.select("gram", _hash("feature", buckets)), "gram"))
-    placed = tuples.join(hashed.select("tuple", "bucket"), "tuple").select("side", "block", "place", "bucket")
+    placed = tuples.join(hashed.select("tuple", "bucket"), "tuple").select("block", "place", "bucket")
     return placed, materialize(hashed.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")))
 
 
@@ -168,8 +168,11 @@ def _importance_weights(docs: DataFrame, target: DataFrame, least: int, most: in
     sums = per.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     ratio = ((F.col("t") + 1) * F.lit(float(sums.s + buckets))) / ((F.col("s") + 1) * F.lit(float(sums.t + buckets)))
     gains = per.select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
-    back = features.where("side = 0").join(F.broadcast(gains), "bucket").select("block", "place", "gain")
-    priced = blocks.where("side = 0").select("block", "docs").join(_gathered(back, "gain", "gains"), "block", "left")
+    # A place and its gain, either within 32 bits, go back as one number that sorts by place.
+    both = F.shiftleft(F.col("place").cast("long"), 32) + F.col("gain") + (1 << 31)
+    back = features.where("block % 2 = 0").join(F.broadcast(gains), "bucket").groupBy("block").agg(F.sort_array(F.collect_list(both)).alias("both"))
+    gained = back.select("block", F.transform("both", lambda x: x.bitwiseAND((1 << 32) - 1) - (1 << 31)).alias("gains"))
+    priced = blocks.where("side = 0").select("block", "docs").join(gained, "block", "left")
     weight = lambda d: F.aggregate(
         F.zip_with(d["grams"], d["counts"], lambda g, n: F.get("gains", g) * n), F.lit(0).cast("long"), lambda a, x: a + x
     )
