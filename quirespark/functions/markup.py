@@ -40,7 +40,7 @@ def rendered(text: Column, formulas: Column) -> Column:
     """Escaped text with its formulas in place; null where a placeholder has no formula."""
     clean = X.clean_prose(text)
     found = F.regexp_extract_all(clean, F.lit(f"({PLACEHOLDER})"), F.lit(0))
-    gaps = F.transform(F.split(clean, PLACEHOLDER, -1), X.escape_tex)
+    gaps = F.transform(F.split(clean, PLACEHOLDER, -1), X.escape_printable)
     inline = F.transform(found, lambda p: F.concat(F.lit("\\("), F.try_element_at(formulas, p), F.lit("\\)")))
     return F.when(~F.exists(inline, lambda x: x.isNull()), _joined(gaps, inline))
 

@@ -118,9 +118,19 @@ def signature(kind: Column, text: Column) -> Column:
     return F.when(kind.isin("equation", "figure", "table"), "").otherwise(plain)
 
 
+def blank(text: Column) -> Column:
+    """Whether a text is null, empty or white space."""
+    return F.coalesce(text, F.lit("")).rlike(r"(?U)^\s*$")
+
+
 def escape_tex(text: Column) -> Column:
-    """All characters mapped at once: those whose escape holds special characters become noncharacters first, so no
-    escape is escaped again."""
+    """The printable text, escaped."""
+    return escape_printable(printable(text))
+
+
+def escape_printable(text: Column) -> Column:
+    """All special characters mapped at once: those whose escape holds special characters become noncharacters first (a
+    printable text has none), so no escape is escaped again."""
     long = [c for c, e in TEX_ESCAPES.items() if len(e) > 2]
     marks = [chr(0xFDD0 + i) for i in range(len(long))]
     short = "".join("\\" + c for c, e in TEX_ESCAPES.items() if len(e) == 2)
@@ -189,6 +199,11 @@ def retry_delay(text: Column, default: float = 60.0) -> Column:
     return F.greatest(F.lit(1.0), F.coalesce(*found, F.lit(default)))
 
 
+def passing_fault(message: Column) -> Column:
+    """Whether a message tells of a fault that may pass, so that its job is tried again: quotas by the day among them."""
+    return any_of(F.lower(F.coalesce(message, F.lit(""))), TRANSIENT)
+
+
 def error_class(message: Column) -> Column:
     low = F.lower(message)
     return (

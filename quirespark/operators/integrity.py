@@ -16,14 +16,10 @@ from .providers import Identity, Provider, translate
 
 
 def checked(items: DataFrame, language: str = "en") -> DataFrame:
-    """One reason for each item: placeholders first (as multisets), then quality; null if good."""
-    a, b = X.placeholders(F.col("source")), X.placeholders(F.col("translated"))
-    broken = F.sort_array(a) != F.sort_array(b)
-    reason = F.when(F.col("translated") == "", "empty").when(broken, "placeholders")
-    quality = X.quality_reason(F.col("source"), F.col("translated"), language)
-    return items.withColumns(
-        {"reason": F.coalesce(reason, quality), "missing": F.array_join(F.sort_array(F.array_except(a, b)), ","), "extra": F.array_join(F.sort_array(F.array_except(b, a)), ",")}
-    )
+    """One reason for each item: empty (also null and blank), then placeholders (as multisets), then quality; null if good."""
+    both = F.struct(F.sort_array(X.placeholders(F.col("source"))).alias("a"), F.sort_array(X.placeholders(F.col("translated"))).alias("b"))
+    reason = F.when(X.blank(F.col("translated")), "empty").when(X.let(both, lambda p: p["a"] != p["b"]), "placeholders")
+    return items.withColumn("reason", F.coalesce(reason, X.quality_reason(F.col("source"), F.col("translated"), language)))
 
 
 def pending(items: DataFrame, done: DataFrame) -> DataFrame:
@@ -45,7 +41,7 @@ def error_rows(items: DataFrame) -> DataFrame:
     listed = lambda x: F.concat(F.lit("["), F.array_join(F.transform(x, lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", "), F.lit("]"))
     out = F.coalesce("translated", F.lit(""))
     changed = F.concat(F.lit("placeholders changed expected="), listed(a), F.lit(" actual="), listed(b))
-    marks = M.bare_command(out) | out.contains("\\math{")
+    marks = M.transport_mark(out) | out.contains("\\math{")
     found = F.when(out == "", F.array(F.lit("empty translation"))).otherwise(
         F.filter(F.array(F.when(a != b, changed), F.when(marks, "internal math transport marker")), lambda x: x.isNotNull())
     )
@@ -73,7 +69,7 @@ def resumed(items: DataFrame, stored: DataFrame, providers: Sequence[Provider] =
 
 def missing(results: DataFrame, k: int = 12) -> DataFrame:
     """The first k items of each document without a result: none for a document that is complete."""
-    left = results.where("translated is null or translated = ''")
+    left = results.where(X.blank(F.col("translated")))
     return left.groupBy("doc_id").agg(F.array_join(F.slice(F.array_sort(F.collect_list("item_id")), 1, k), ",").alias("missing"))
 
 

@@ -47,7 +47,6 @@ def step(state: Column, event: Column, silent: int = 45) -> Column:
     back = _now(
         state, status=F.lit("queued"), active=F.lit(True), heartbeat_at=ts, paused_at=none, started_at=none, finished_at=none, error=none, last_dispatch=none
     )
-    passing = X.error_class(event["message"]) == "transient"
     again = _now(state, status=F.lit("queued"), error=none, started_at=none, finished_at=none)
     failed = _now(state, status=F.lit("failed"), error=F.right(event["message"], F.lit(6000)), finished_at=ts)
     return (
@@ -57,7 +56,7 @@ def step(state: Column, event: Column, silent: int = 45) -> Column:
         .when(action == "disconnect", _now(state, active=F.lit(False)))
         .when((action == "poll") & is_("processing") & gone, _now(state, status=F.lit("paused"), active=F.lit(False), paused_at=ts, started_at=none, finished_at=none, error=none))
         .when((action == "done") & is_("processing"), _now(state, status=F.lit("done"), progress=F.lit(100), finished_at=ts, error=none))
-        .when((action == "error") & is_("processing"), F.when(F.coalesce(passing, F.lit(False)), again).otherwise(failed))
+        .when((action == "error") & is_("processing"), F.when(X.passing_fault(event["message"]), again).otherwise(failed))
         .otherwise(state)
     )
 
@@ -73,6 +72,23 @@ def current_states(events: DataFrame, key: str = "job_id", silent: int = 45) ->
     return by.select(key, F.aggregate("log", start, lambda s, e: step(s, e, silent)).alias("s")).select(key, "s.*")
 
 
+def silences(events: DataFrame, until: str, key: str = "job_id", silent: int = 45) -> DataFrame:
+    """A poll for each sign of life (the first event, heartbeats, resumes) that no other follows for ``silent`` seconds, a
+    millisecond after them and not after ``until``: the moments at which a watcher would find the client gone."""
+    w = Window.partitionBy(key).orderBy("ts", "event_id")
+    lives = events.withColumn("first", F.row_number().over(w) == 1).where(F.col("first") | F.col("action").isin("heartbeat", "resume"))
+    due = F.col("ts") + F.expr(f"INTERVAL {silent} SECONDS") + F.expr("INTERVAL 0.001 SECONDS")
+    polls = lives.withColumns({"due": due, "next": F.lead("ts").over(w)}).where("(next is null or next > due - interval 0.001 seconds)")
+    polls = polls.where(F.col("due") <= F.lit(until).cast("timestamp"))
+    return polls.select(key, F.col("due").alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit("poll").alias("action"), F.lit(None).cast("string").alias("message"))
+
+
+def watched_states(events: DataFrame, until: str, key: str = "job_id", silent: int = 45) -> DataFrame:
+    """The state of each job at ``until``, if whoever is silent for ``silent`` seconds is paused then."""
+    own = events.select(key, F.col("ts").cast("timestamp").alias("ts"), "event_id", "action", "message").where(F.col("ts") <= F.lit(until).cast("timestamp"))
+    return current_states(own.unionByName(silences(own, until, key, silent)), key, silent)
+
+
 def dispatched(jobs: DataFrame, as_of: str, per_tick: int = 3, live: int = 45) -> DataFrame:
     """All jobs after one tick: the oldest ``per_tick`` that may be dispatched have one attempt more, the tick as their last
     dispatch and a progress of 2 at least. Only their ids, a bounded table, meet the jobs."""

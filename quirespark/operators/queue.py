@@ -31,7 +31,11 @@ def stale(jobs: DataFrame, as_of: str, seconds: int = 45) -> DataFrame:
 def merge_responses(jobs: DataFrame, responses: DataFrame) -> DataFrame:
     """Jobs with the effect of dispatch responses on queued ones: message class and progress."""
     seen = responses.where("status_code is not null or error_msg is not null")
-    joined = jobs.join(seen, (jobs.job_id == seen.request_id) & (jobs.status == "queued"), "left")
+    return response_effects(jobs.join(seen, (jobs.job_id == seen.request_id) & (jobs.status == "queued"), "left"))
+
+
+def response_effects(joined: DataFrame) -> DataFrame:
+    """What a response (null columns: none) does to its job. Tables and streams share this."""
     code = F.col("status_code")
     ok = code.isin(200, 204)
     outcome = (
@@ -57,9 +61,10 @@ def latest(events: DataFrame, key: str, *order: str) -> DataFrame:
 
 def running_progress(events: DataFrame, key: str = "user_id") -> DataFrame:
     """Progress that never falls: whole percent (the fraction is cut off), clamped to 0..100, with the message's first 500
-    characters."""
+    characters. What is no number counts as 0; null stays out."""
     w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    percent = F.greatest(F.lit(0), F.least(F.lit(100), F.col("value").cast("int")))
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.nanvl(F.col("value"), F.lit(0.0))))
+    percent = F.when(F.col("value").isNotNull(), clamped).cast("int")
     return events.select(key, "event_id", "ts", F.max(percent).over(w).alias("progress"), F.left("message", F.lit(500)).alias("message"))
 
 

@@ -183,9 +183,12 @@ def message_masking(spark: SparkSession, sf: str) -> DataFrame:
     return E.jobs(spark, sf).select("job_id", shown.alias("shown"))
 
 
-@register("""SELECT user_id, event_id, ts, max(greatest(0, least(100, CAST(trunc(value) AS INTEGER)))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS progress, message FROM heartbeats""", E.HEARTBEATS_SQL)
+@register("""SELECT user_id, event_id, ts, max(CAST(trunc(CASE WHEN isnan(v) THEN 0 ELSE greatest(0, least(100, v)) END) AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS progress, message
+  FROM (SELECT *, CASE WHEN event_id % 101 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 103 = 0 THEN 1e12::DOUBLE WHEN event_id % 107 = 0 THEN '-Infinity'::DOUBLE ELSE value END AS v FROM heartbeats)""", E.HEARTBEATS_SQL)
 def progress_running_max(spark: SparkSession, sf: str) -> DataFrame:
-    return queue.running_progress(E.heartbeats(spark, sf))
+    n = F.col("event_id")
+    odd = F.when(n % 101 == 0, float("nan")).when(n % 103 == 0, 1e12).when(n % 107 == 0, float("-inf")).otherwise(F.col("value"))
+    return queue.running_progress(E.heartbeats(spark, sf).withColumn("value", odd))
 
 
 @register("""SELECT user_id, event_id, ts, progress, message FROM (SELECT *, lag(progress) OVER w AS b, lag(message) OVER w AS m FROM (
@@ -361,7 +364,7 @@ def span_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PH = r"regexp_extract_all({0}, '\[\[MATH_[0-9]+\]\]')"
-_REASON = rf"""CASE WHEN translated = '' THEN 'empty' WHEN list_sort({_PH.format('source')}) <> list_sort({_PH.format('translated')}) THEN 'placeholders'
+_REASON = rf"""CASE WHEN trim(coalesce(translated, '')) = '' THEN 'empty' WHEN list_sort({_PH.format('source')}) <> list_sort({_PH.format('translated')}) THEN 'placeholders'
   WHEN contains(translated, '§math{{') THEN 'marker' END"""
 
 

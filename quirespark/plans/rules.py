@@ -21,14 +21,16 @@ SILENT = 28_800  # seconds without a heartbeat after which the synthetic clients
 #: Events of jobs from the event table: one job for each user.
 JOB_EVENTS_SQL = """job_events AS (
   SELECT user_id AS job_id, ts, event_id, CASE WHEN event_type = 'signup' THEN 'resume' ELSE ['dispatch', 'start', 'heartbeat', 'poll', 'done', 'error', 'disconnect', 'start'][CAST(event_id % 8 AS INTEGER) + 1] END AS action,
-    CASE WHEN event_id % 3 = 0 THEN 'RESOURCE_EXHAUSTED: try later' ELSE 'disk full ' || event_id END AS message FROM events
+    CASE WHEN event_id % 3 = 0 THEN 'RESOURCE_EXHAUSTED: try later' WHEN event_id % 3 = 1 AND event_id % 2 = 0 THEN '429 RESOURCE_EXHAUSTED: Quota exceeded for metric GenerateRequestsPerDay' ELSE 'disk full ' || event_id END AS message FROM events
 )"""
 
 
 def job_events(spark: SparkSession, sf: str) -> DataFrame:
     names = F.array(*map(F.lit, ("dispatch", "start", "heartbeat", "poll", "done", "error", "disconnect", "start")))
     action = F.when(F.col("event_type") == "signup", "resume").otherwise(F.element_at(names, (F.col("event_id") % 8 + 1).cast("int")))
-    message = F.when(F.col("event_id") % 3 == 0, "RESOURCE_EXHAUSTED: try later").otherwise(F.concat(F.lit("disk full "), F.col("event_id").cast("string")))
+    daily = "429 RESOURCE_EXHAUSTED: Quota exceeded for metric GenerateRequestsPerDay"
+    passing = F.when(F.col("event_id") % 3 == 0, "RESOURCE_EXHAUSTED: try later").when((F.col("event_id") % 3 == 1) & (F.col("event_id") % 2 == 0), daily)
+    message = passing.otherwise(F.concat(F.lit("disk full "), F.col("event_id").cast("string")))
     e = E.read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return e.select(F.col("user_id").alias("job_id"), "ts", "event_id", action.alias("action"), message.alias("message"))
 
@@ -128,10 +130,10 @@ def stage_percent(spark: SparkSession, sf: str) -> DataFrame:
 
 _PH = r"list_sort(regexp_extract_all({0}, '\[\[MATH_[0-9]+\]\]'))"
 _LIST = "'[' || array_to_string(['''' || x || '''' FOR x IN {0}], ', ') || ']'"
-_MARKS = f"(regexp_matches(translated, '§({'|'.join(M.COMMANDS)})([^A-Za-z]|$)') OR contains(translated, '\\math{{'))"
+_MARKS = f"(regexp_matches(translated, '§({'|'.join(M.MARKS)})([^A-Za-z0-9_]|$)') OR contains(translated, '\\math{{'))"
 
 
-@register(f"""SELECT doc_id, pos, item_id, unnest(list_filter(CASE WHEN translated = '' THEN ['empty translation'] ELSE [CASE WHEN a <> b THEN 'placeholders changed expected=' || {_LIST.format('a')} || ' actual=' || {_LIST.format('b')} END,
+@register(f"""SELECT doc_id, pos, item_id, unnest(list_filter(CASE WHEN coalesce(translated, '') = '' THEN ['empty translation'] ELSE [CASE WHEN a <> b THEN 'placeholders changed expected=' || {_LIST.format('a')} || ' actual=' || {_LIST.format('b')} END,
     CASE WHEN {_MARKS} THEN 'internal math transport marker' END] END, lambda x: x IS NOT NULL)) AS error
   FROM (SELECT *, {_PH.format('source')} AS a, {_PH.format('translated')} AS b FROM items)""", E.BLOCKS_SQL, E.ITEMS_SQL)
 def translation_errors(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,7 +166,7 @@ def korean_quality(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.checked(korean(spark, sf), "ko").select("doc_id", "pos", "reason")
 
 
-_BAD = f"(translated = '' OR {_PH.format('source')} <> {_PH.format('translated')} OR contains(translated, '§math{{'))"
+_BAD = f"(trim(coalesce(translated, '')) = '' OR {_PH.format('source')} <> {_PH.format('translated')} OR contains(translated, '§math{{'))"
 
 
 @register(f"""SELECT doc_id, pos, CASE WHEN NOT {_BAD} THEN translated ELSE source END AS translated, {_BAD} AS again FROM items""", E.BLOCKS_SQL, E.ITEMS_SQL)
@@ -174,7 +176,7 @@ def resumed_translation(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.resumed(items.drop("translated"), items.select("doc_id", "pos", "translated"))
 
 
-@register("""SELECT doc_id, array_to_string(list_sort(list(item_id))[1:12], ',') AS missing FROM items WHERE translated = '' GROUP BY doc_id""", E.BLOCKS_SQL, E.ITEMS_SQL)
+@register("""SELECT doc_id, array_to_string(list_sort(list(item_id))[1:12], ',') AS missing FROM items WHERE trim(coalesce(translated, '')) = '' GROUP BY doc_id""", E.BLOCKS_SQL, E.ITEMS_SQL)
 def completeness(spark: SparkSession, sf: str) -> DataFrame:
     """The first twelve items without a result, of documents that are not complete."""
     return integrity.missing(E.items(spark, sf))

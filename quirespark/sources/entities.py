@@ -175,6 +175,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 19 == 0, F.replace(source, F.lit("[[MATH_0]]"), F.lit("[[MATH_7]]")))
         .when(k % 23 == 0, F.lit(""))
         .when(k % 29 == 0, F.concat(source, F.lit(" §math{x}")))
+        .when(k % 31 == 0, F.lit("   "))
+        .when(k % 37 == 0, F.lit(None))
+        .when(k % 41 == 0, F.concat(source, F.lit(" §times §alpha_1")))
         .otherwise(source)
     )
     item_id = F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_b"), F.col("ord").cast("string"))
@@ -184,7 +187,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 ITEMS_SQL = """items AS (
   SELECT doc_id, pos, 'p' || page || '_b' || ord AS item_id, kind, source,
     CASE WHEN k % 13 = 0 THEN replace(source, '[[MATH_1]]', '') WHEN k % 17 = 0 THEN replace(source, '[[MATH_0]]', '[[MATH_0]] [[MATH_0]]')
-      WHEN k % 19 = 0 THEN replace(source, '[[MATH_0]]', '[[MATH_7]]') WHEN k % 23 = 0 THEN '' WHEN k % 29 = 0 THEN source || ' §math{x}' ELSE source END AS translated
+      WHEN k % 19 = 0 THEN replace(source, '[[MATH_0]]', '[[MATH_7]]') WHEN k % 23 = 0 THEN '' WHEN k % 29 = 0 THEN source || ' §math{x}'
+      WHEN k % 31 = 0 THEN '   ' WHEN k % 37 = 0 THEN NULL WHEN k % 41 = 0 THEN source || ' §times §alpha_1' ELSE source END AS translated
   FROM (
     SELECT *, doc_id * 5 + pos AS k, CASE WHEN (doc_id + ord) % 4 = 0 AND len(w) > 4
       THEN array_to_string(w[1:3] || ['[[MATH_0]]'] || w[4:5] || ['[[MATH_1]]'] || w[6:], ' ') ELSE text END AS source
