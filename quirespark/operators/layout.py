@@ -116,15 +116,17 @@ def runs(blocks: DataFrame, value: Column) -> DataFrame:
     return v.groupBy("doc_id", "run").agg(F.first("v").alias("value"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n"))
 
 
-def insert_by_geometry(blocks: DataFrame, extra: DataFrame, columns: int | DataFrame = 2) -> DataFrame:
+def insert_by_geometry(blocks: DataFrame, extra: DataFrame, columns: int | DataFrame = 2, share: float | None = None) -> DataFrame:
     """Place on its page of every block (origin 0) and of every extra row (origin 1) that reading order lacks.
 
     Extra rows come in order of their number. Each goes before the first block of its column that starts
     lower, else after the last one of its column, else to the end; full-width rows and pages of one column
     take all blocks as theirs. ``columns`` is a number for all pages, or a table (doc_id, page, columns); pages that it
-    lacks have one. Rows inserted count as blocks for those after them. A page is one group, folded in the JVM.
+    lacks have one. Rows inserted count as blocks for those after them. With ``share``, a row that one inserted before it
+    covers (that share of its area, or its centre) stays out. A page is one group, folded in the JVM.
     """
-    row = lambda o, n: F.struct(F.lit(o).alias("origin"), F.col(n).cast("long").alias("num"), *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0")])
+    box = ("x0", "x1", "y0") if share is None else ("x0", "x1", "y0", "y1")
+    row = lambda o, n: F.struct(F.lit(o).alias("origin"), F.col(n).cast("long").alias("num"), *[F.col(c).cast("double").alias(c) for c in box])
     every = blocks.select(*PAGE, row(0, "pos").alias("r")).unionByName(extra.select(*PAGE, row(1, "hint_ord").alias("r")))
     pages = every.groupBy(*PAGE).agg(F.array_sort(F.collect_list("r")).alias("rs"))
     if isinstance(columns, DataFrame):
@@ -140,7 +142,13 @@ def insert_by_geometry(blocks: DataFrame, extra: DataFrame, columns: int | DataF
         from_end = F.array_position(F.reverse(F.transform(page, own)), F.lit(True))
         n = F.size(page)
         before = F.when(lower > 0, lower - 1).when(from_end > 0, n + 1 - from_end).otherwise(n).cast("int")
-        return F.concat(F.slice(page, F.lit(1), before), F.array(new), F.slice(page, before + 1, n))
+        put_in = F.concat(F.slice(page, F.lit(1), before), F.array(new), F.slice(page, before + 1, n))
+        return put_in if share is None else F.when(F.exists(page, lambda r: (r["origin"] == 1) & covers(r, new)), page).otherwise(put_in)
+
+    def covers(r: Column, new: Column) -> Column:
+        w, h = F.least(r["x1"], new["x1"]) - F.greatest(r["x0"], new["x0"]), F.least(r["y1"], new["y1"]) - F.greatest(r["y0"], new["y0"])
+        centre = ((new["x0"] + new["x1"]) / 2).between(r["x0"], r["x1"]) & ((new["y0"] + new["y1"]) / 2).between(r["y0"], r["y1"])
+        return (F.greatest(F.lit(0.0), w) * F.greatest(F.lit(0.0), h) >= share * G.area(*(new[c] for c in ("x0", "y0", "x1", "y1")))) | centre
 
     part = lambda o: F.filter("rs", lambda r: r["origin"] == o)
     placed = pages.select(*PAGE, F.posexplode(F.aggregate(part(1), part(0), put)).alias("place", "r"))

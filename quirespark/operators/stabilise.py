@@ -115,9 +115,10 @@ def stabilised(blocks: DataFrame, hints: DataFrame) -> DataFrame:
     """Blocks of each page after recovery, with ``origin`` block, source (its text is the measured one) or recovered.
 
     In order: words that begin with a misread section sign are mended from the texts of the four largest overlaps; plain
-    prose takes the text of its one strong hint; prose hints that no block covers come in at their place, by the
-    page's own columns; similar texts of a page are one; style, size, family and indent come from the layout; list
-    markers go; blocks that are not full width flow in the page's columns. Each step is a join or a group on (doc_id,
+    prose takes the text of its one strong hint; prose hints that neither a block nor a hint that came in before covers come in
+    at their place, by the page's own columns; similar texts of a page are one; style, size, family and indent come from the
+    layout; list markers go; blocks that are not full width flow in the page's columns if no block of the page flows yet
+    (recovered ones do; others by the column flow_columns, if blocks have one). Each step is a join or a group on (doc_id,
     page), so a page is the unit of work.
     """
     hints = measured(hints)
@@ -132,17 +133,18 @@ def stabilised(blocks: DataFrame, hints: DataFrame) -> DataFrame:
     columns = column_hint(hints)
     box = ["x0", "y0", "x1", "y1"]
     none = F.lit(None).cast("string")
-    own = held.select(*KEY, F.lit(0).alias("origin"), F.col("pos").cast("long").alias("num"), "kind", "text", F.col("source").isNotNull().alias("anchored"), none.alias("style"), *box)
+    flow = F.coalesce(F.col("flow_columns").cast("int"), F.lit(1)) if "flow_columns" in blocks.columns else F.lit(1)
+    own = held.select(*KEY, flow.alias("flow"), F.lit(0).alias("origin"), F.col("pos").cast("long").alias("num"), "kind", "text", F.col("source").isNotNull().alias("anchored"), none.alias("style"), *box)
     given = G.style_of(F.col("bold_ratio"), F.col("italic_ratio"))
-    new = lost.select(*KEY, F.lit(1).alias("origin"), F.col("hint_ord").cast("long").alias("num"), "kind", "text", F.lit(True).alias("anchored"), given.alias("style"), *box)
-    place = layout.insert_by_geometry(blocks, lost, columns)
+    new = lost.select(*KEY, F.lit(None).cast("int").alias("flow"), F.lit(1).alias("origin"), F.col("hint_ord").cast("long").alias("num"), "kind", "text", F.lit(True).alias("anchored"), given.alias("style"), *box)
+    place = layout.insert_by_geometry(blocks, lost, columns, share=0.42)
     every = own.unionByName(new).join(place, [*KEY, "origin", "num"]).withColumnRenamed("place", "pos").withColumn("pos", F.col("pos").cast("int"))
     # Looks follow from boxes alone, so they are found before texts are compared, and come along.
     mark = (F.col("num") * 2 + F.col("origin")).alias("pos")
     looks = layout.measured_style(own.unionByName(new).select(*KEY, mark, "kind", *box), hints)
     looks = looks.withColumnRenamed("pos", "mark").withColumnRenamed("style", "look")
     every = every.withColumn("mark", F.col("num") * 2 + F.col("origin")).join(looks, [*KEY, "mark"], "left")
-    kept = integrity.dedup_similar(every, content=("origin", "kind", "text", "anchored", "style", "look", "size", "family", "em", *box)).drop("text_of")
+    kept = integrity.dedup_similar(every, content=("origin", "flow", "kind", "text", "anchored", "style", "look", "size", "family", "em", *box)).drop("text_of")
     return _flowing(kept, columns)
 
 
@@ -154,14 +156,16 @@ def restabilised(saved: DataFrame, blocks: DataFrame, hints: DataFrame, pages: D
 
 
 def _flowing(kept: DataFrame, columns: DataFrame) -> DataFrame:
-    out = kept.join(columns, KEY, "left")
     n = F.coalesce("columns", F.lit(1))
+    # A recovered block has the page's columns from the start; where any block flows, the others stay as they are.
+    own = F.when(F.col("origin") == 1, n).otherwise(F.coalesce("flow", F.lit(1)))
+    out = kept.join(columns, KEY, "left").withColumn("own_flow", own).withColumn("flows", F.max("own_flow").over(Window.partitionBy(*KEY)) > 1)
     return out.select(
         *KEY, F.col("pos").alias("place"), "kind",
         F.when(F.col("kind") == "list_item", X.strip_list_marker(F.col("text"))).otherwise(F.col("text")).alias("text"),
         F.when(F.col("origin") == 1, "recovered").when(F.col("anchored"), "source").otherwise("block").alias("origin"),
         F.coalesce("look", "style", F.lit("normal")).alias("style"), "size", "family", "em",
-        F.when(G.column_of(F.col("x0"), F.col("x1"), n) == "full", 1).otherwise(n).alias("flow_columns"),
+        F.when(F.col("flows") | (G.column_of(F.col("x0"), F.col("x1"), n) == "full"), F.col("own_flow")).otherwise(n).alias("flow_columns"),
     )
 
 

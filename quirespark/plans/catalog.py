@@ -490,6 +490,34 @@ def provider_identity(spark: SparkSession, sf: str) -> DataFrame:
     return providers.translate(E.items(spark, sf), [providers.Identity()]).drop("calls", "reason")
 
 
+def _crowded(spark: SparkSession, sf: str) -> DataFrame:
+    """Hints, and for every third one a second, larger and a little lower, that comes just after it."""
+    h = E.hints(spark, sf).withColumn("hint_ord", F.col("hint_ord") * 2)
+    again = h.where("(doc_id + hint_ord) % 3 = 0").withColumns({"hint_ord": F.col("hint_ord") + 1, "x0": F.col("x0") - 20, "y0": F.col("y0") + 12, "x1": F.col("x1") + 30, "y1": F.col("y1") + 45})
+    return h.unionByName(again)
+
+
+@register("""crowded AS (SELECT doc_id, page, hint_ord * 2 AS hint_ord, text, x0, y0, x1, y1 FROM hints UNION ALL
+    SELECT doc_id, page, hint_ord * 2 + 1, text, x0 - 20, y0 + 12, x1 + 30, y1 + 45 FROM hints WHERE (doc_id + hint_ord * 2) % 3 = 0),
+  lost AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY hint_ord) AS i FROM crowded h WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE b.doc_id = h.doc_id AND b.page = h.page AND (
+    greatest(0.0::DOUBLE, least(b.x1, h.x1) - greatest(b.x0, h.x0)) * greatest(0.0::DOUBLE, least(b.y1, h.y1) - greatest(b.y0, h.y0)) >= 0.42 * ((h.x1 - h.x0) * (h.y1 - h.y0))
+    OR ((h.x0 + h.x1) / 2 BETWEEN b.x0 AND b.x1 AND (h.y0 + h.y1) / 2 BETWEEN b.y0 AND b.y1)))),
+  fold AS (SELECT doc_id, page, 1::BIGINT AS i, [hint_ord] AS inside, [{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}] AS boxes FROM lost WHERE i = 1 UNION ALL
+    SELECT f.doc_id, f.page, l.i, CASE WHEN hit THEN inside ELSE list_append(inside, hint_ord) END, CASE WHEN hit THEN boxes ELSE list_append(boxes, {'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}) END
+    FROM fold f JOIN lost l ON l.doc_id = f.doc_id AND l.page = f.page AND l.i = f.i + 1, LATERAL (SELECT len(list_filter(f.boxes, lambda b:
+      greatest(0.0::DOUBLE, least(b.x1, l.x1) - greatest(b.x0, l.x0)) * greatest(0.0::DOUBLE, least(b.y1, l.y1) - greatest(b.y0, l.y0)) >= 0.42 * ((l.x1 - l.x0) * (l.y1 - l.y0))
+      OR ((l.x0 + l.x1) / 2 BETWEEN b.x0 AND b.x1 AND (l.y0 + l.y1) / 2 BETWEEN b.y0 AND b.y1))) > 0 AS hit) t)
+  SELECT doc_id, page, unnest(inside) AS hint_ord FROM (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY i DESC) = 1)""", E.BLOCKS_SQL, E.HINTS_SQL)
+def sequential_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    """Hints that come in one after another: each that no block covers, and none that came in before it."""
+    b, h = E.blocks(spark, sf), _crowded(spark, sf)
+    placed = layout.insert_by_geometry(b, layout.uncovered(h, b), stabilise.column_hint(h), share=0.42)
+    return placed.where("origin = 1").select("doc_id", "page", F.col("num").alias("hint_ord"))
+
+
+SQL["sequential_recovery"] = SQL["sequential_recovery"].replace(") crowded AS (", "), crowded AS (", 1)
+
+
 @register()
 def geometry_insertion(spark: SparkSession, sf: str) -> DataFrame:
     """Measured hints that no block covers, put into their page's order."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,8 @@ def packed_size(state: pd.Series) -> pd.Series:
 
 
 def save(states: DataFrame, folder: str, stage: str, language: str, source: str = "text", largest: int = LARGEST) -> None:
-    """Write (doc_id, ``source``, state) as the checkpoints of a stage, in place of that stage's earlier ones. A state that
-    packs to more than ``largest`` bytes is an error, and nothing is written."""
+    """Write (doc_id, ``source``, state) as the checkpoints of a stage, in place of the same documents' earlier ones; those of
+    other documents stay. A state that packs to more than ``largest`` bytes is an error, and nothing is written."""
     # Only states that could be too large when packed are packed to see.
     big = states.where(F.octet_length("state") > largest).where(packed_size("state") > largest)
     if not big.isEmpty():
@@ -34,17 +35,78 @@ def save(states: DataFrame, folder: str, stage: str, language: str, source: str
         "doc_id", F.lit(VERSION).alias("version"), F.sha2(source, 256).alias("source_sha256"), F.lit(language).alias("language"),
         F.current_timestamp().alias("saved_at"), F.lit(stage).alias("stage"), "state",
     )
-    rows.write.mode("overwrite").option("compression", "gzip").json(f"{folder.rstrip('/')}/{language}/{stage}")
+    _commit(rows, _folder(folder, language, stage), None)
+
+
+def _folder(folder: str, language: str, stage: str) -> str:
+    return f"{folder.rstrip('/')}/{language}/{stage}"
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and what makes paths of it."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def generations(spark: SparkSession, at: str) -> list[int]:
+    """Numbers of the generations that stand in a folder."""
+    fs, path = _files(spark, at)
+    if not fs.exists(path(at)):
+        return []
+    names = (f.getPath().getName() for f in fs.listStatus(path(at)))
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("gen="))
+
+
+def _commit(rows: DataFrame, at: str, instead_of: list[int] | None) -> None:
+    """Write rows beside a folder's generations and let them in by one rename: a job that is killed, or a task that runs twice,
+    leaves no part of them to be read. ``instead_of``: generations that they replace."""
+    spark = rows.sparkSession
+    fs, path = _files(spark, at)
+    making = f"{at}/_making-{uuid.uuid4().hex}"
+    try:
+        rows.write.option("compression", "gzip").json(making)
+        number = max(generations(spark, at), default=0) + 1
+        while not fs.rename(path(making), path(f"{at}/gen={number}")):  # another writer took it
+            if not fs.exists(path(f"{at}/gen={number}")):
+                raise OSError(f"{making} could not be moved to gen={number}")
+            number += 1
+    finally:
+        if fs.exists(path(making)):
+            fs.delete(path(making), True)
+    for n in instead_of or ():
+        fs.delete(path(f"{at}/gen={n}"), True)
+
+
+def _latest(spark: SparkSession, at: str, numbers: list[int]) -> DataFrame:
+    """Each document's checkpoint of its last generation: a combinable maximum, no sort."""
+    held = spark.read.option("basePath", at).schema(SCHEMA + ", gen int").json([f"{at}/gen={n}" for n in numbers])
+    rest = [c.split()[0] for c in SCHEMA.split(", ") if not c.startswith("doc_id")]
+    return held.groupBy("doc_id").agg(F.max_by(F.struct(*rest), F.struct("gen", "saved_at")).alias("m")).select("doc_id", "m.*")
+
+
+def compact(spark: SparkSession, folder: str, stage: str, language: str) -> int:
+    """Make one generation of all of a stage's; how many there were."""
+    at = _folder(folder, language, stage)
+    numbers = generations(spark, at)
+    if len(numbers) > 1:
+        _commit(_latest(spark, at, numbers), at, numbers)
+    return len(numbers)
 
 
 def load(docs: DataFrame, folder: str, stage: str, language: str, source: str = "text") -> DataFrame:
-    """docs with the state to go on from: null unless version, language and the source's hash still agree."""
-    held = docs.sparkSession.read.schema(SCHEMA).json(f"{folder.rstrip('/')}/{language}/{stage}")
+    """docs with the state to go on from: null unless version, language and the source's hash of the document's last checkpoint
+    still agree."""
+    spark, at = docs.sparkSession, _folder(folder, language, stage)
+    numbers = generations(spark, at)
+    if not numbers:
+        return docs.withColumn("state", F.lit(None).cast("string"))
+    held = _latest(spark, at, numbers)
     good = held.where((F.col("version") == VERSION) & (F.col("language") == language)).select("doc_id", F.col("source_sha256").alias("_sha"), "state")
     return docs.withColumn("_sha", F.sha2(source, 256)).join(good, ["doc_id", "_sha"], "left").drop("_sha")
 
 
 def delete(spark: SparkSession, folder: str, stage: str, language: str) -> bool:
     """Remove a stage's checkpoints; False if there were none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{language}/{stage}")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    at = _folder(folder, language, stage)
+    fs, path = _files(spark, at)
+    return fs.delete(path(at), True)

@@ -64,6 +64,27 @@ def test_three_ticks_raise_attempts(spark, sf_dir, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(log).collect()} == before
 
 
+def test_snapshots_keep_what_a_tick_reads_the_same(spark, tmp_path):
+    """Ticks with a snapshot every three equal ticks over the whole log; a tick that runs again changes nothing."""
+    at = lambda n: str(T0 + timedelta(seconds=46 * n))
+    jobs = spark.createDataFrame(
+        [(i, "queued", True, T0 + timedelta(days=1), T0 - timedelta(days=1, seconds=-i), 0, None, 0) for i in range(7)],
+        "job_id long, status string, active boolean, heartbeat_at timestamp, created_at timestamp, attempts int, last_dispatch timestamp, progress int",
+    )
+    few, whole = (S.dispatch_tick(jobs, at, str(tmp_path / name), 3, every=every) for name, every in (("few", 3), ("whole", 1000)))
+    for n in range(14):
+        few(None, n)
+        whole(None, n)
+        if n % 3 == 0:
+            few(None, n)  # replayed
+        assert len(S.held_before(spark, str(tmp_path / "few"), n, 3).inputFiles()) <= 8 * 4
+    cols = ["job_id", "attempts", "last_dispatch"]
+    left, right = (S.with_dispatches(jobs, S.held_before(spark, str(tmp_path / name), 14, every)).select(cols) for name, every in (("few", 3), ("whole", 1000)))
+    assert sorted(map(tuple, left.collect())) == sorted(map(tuple, right.collect())) and left.agg(F.sum("attempts")).first()[0] == 42
+    kept = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "few").glob("tick=*"))
+    assert kept == [9, 10, 11, 12, 13] and len(list((tmp_path / "few" / "_counted").glob("before=*"))) == 2
+
+
 def test_ticks_come_every_half_minute(spark, tmp_path):
     write(spark, tmp_path / "in", [[(1, 1, 0)]])
     q = S.half_minutes(S.heartbeat_stream(spark, str(tmp_path / "in"))).format("memory").queryName("ticked").option("checkpointLocation", str(tmp_path / "c")).start()
