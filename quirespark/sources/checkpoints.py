@@ -93,15 +93,22 @@ def compact(spark: SparkSession, folder: str, stage: str, language: str) -> int:
     return len(numbers)
 
 
+def latest(spark: SparkSession, folder: str, stage: str, language: str) -> DataFrame | None:
+    """Each document's last checkpoint of a stage, if it is of this version and language; None for a stage without any."""
+    at = _folder(folder, language, stage)
+    numbers = generations(spark, at)
+    if not numbers:
+        return None
+    return _latest(spark, at, numbers).where((F.col("version") == VERSION) & (F.col("language") == language))
+
+
 def load(docs: DataFrame, folder: str, stage: str, language: str, source: str = "text") -> DataFrame:
     """docs with the state to go on from: null unless version, language and the source's hash of the document's last checkpoint
     still agree."""
-    spark, at = docs.sparkSession, _folder(folder, language, stage)
-    numbers = generations(spark, at)
-    if not numbers:
+    held = latest(docs.sparkSession, folder, stage, language)
+    if held is None:
         return docs.withColumn("state", F.lit(None).cast("string"))
-    held = _latest(spark, at, numbers)
-    good = held.where((F.col("version") == VERSION) & (F.col("language") == language)).select("doc_id", F.col("source_sha256").alias("_sha"), "state")
+    good = held.select("doc_id", F.col("source_sha256").alias("_sha"), "state")
     return docs.withColumn("_sha", F.sha2(source, 256)).join(good, ["doc_id", "_sha"], "left").drop("_sha")
 
 
