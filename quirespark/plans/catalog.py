@@ -12,7 +12,7 @@ from ..functions import markup as K
 from ..functions import protect as P
 from ..functions import tex as T
 from ..functions import text as X
-from ..operators import batching, integrity, layout, providers, queue, stabilise
+from ..operators import batching, glossary, integrity, layout, providers, queue, stabilise
 from ..sources import entities as E
 from .registry import QUERIES, SQL, register
 
@@ -565,6 +565,23 @@ def term_protection(spark: SparkSession, sf: str) -> DataFrame:
     return E.items(spark, sf).select("doc_id", "pos", P.protected(source, GLOSSARY).alias("safe"), F.size(P.held(source, GLOSSARY)).cast("long").alias("n_kept"))
 
 
+_BRANDS = r"""terms AS (SELECT DISTINCT p_brand AS glossary_id, left(w, 3) AS term FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part)
+    UNION SELECT DISTINCT p_brand, left(w, 2) FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part)),
+  patterns AS (SELECT glossary_id, string_agg(term, '|' ORDER BY length(term) DESC, term) AS p FROM terms GROUP BY glossary_id),
+  found AS (SELECT i.doc_id, i.pos, regexp_extract_all(source, '\[\[MATH_[0-9]+\]\]' || coalesce('|' || p, '')) AS f, string_split_regex(source, '\[\[MATH_[0-9]+\]\]' || coalesce('|' || p, '')) AS g
+    FROM items i LEFT JOIN patterns ON glossary_id = 'Brand#' || (1 + doc_id % 5) || (1 + pos % 5))"""
+
+
+@register("""SELECT doc_id, pos, array_to_string([g[i] || CASE WHEN i <= len(f) THEN 'QZKEEP' || (i - 1) || 'ZQ' ELSE '' END FOR i IN range(1, len(g) + 1)], '') AS safe, array_to_string(f, '|') AS kept FROM found""", E.BLOCKS_SQL, E.ITEMS_SQL, _BRANDS)
+def glossary_protection(spark: SparkSession, sf: str) -> DataFrame:
+    """Each text's placeholders and the terms of its own glossary, a brand's parts, exchanged for tokens."""
+    words = E.read(spark, sf, "part").select(F.col("p_brand").alias("glossary_id"), F.explode(F.split("p_name", " ")).alias("w"))
+    terms = words.select("glossary_id", F.explode(F.array(F.left("w", F.lit(3)), F.left("w", F.lit(2)))).alias("term"))
+    own = F.concat(F.lit("Brand#"), (1 + F.col("doc_id") % 5).cast("string"), (1 + F.col("pos") % 5).cast("string"))
+    made = glossary.protected_by(E.items(spark, sf).withColumn("glossary_id", own), terms)
+    return made.select("doc_id", "pos", "safe", F.array_join("kept", "|").alias("kept"))
+
+
 @register("""SELECT doc_id, pos, CASE WHEN pos % 3 = 2 THEN 'unknown' WHEN pos % 3 = 1 AND len(f) > 0 THEN 'missing' END AS reason,
   CASE WHEN pos % 3 = 0 OR (pos % 3 = 1 AND len(f) = 0) THEN source END AS restored FROM kept""", E.BLOCKS_SQL, E.ITEMS_SQL, _KEPT_SQL)
 def term_restoration(spark: SparkSession, sf: str) -> DataFrame:
