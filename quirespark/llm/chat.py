@@ -32,8 +32,8 @@ def rotate_perspectives(turns: DataFrame, chunk: int = 1024, crowd: int = 4096)
     Content is escaped (:func:`escape`), and in header names line ends, < > and | become _, so no text or role forges
     a turn. Null text is empty text. Repeated rows are turns of their own. A dialogue of system turns only has
     no participant and no rows. Other columns are ignored. Rows stay turns: a dialogue is never gathered
-    into one value, and running totals are taken first in chunks of turn numbers, then over chunks, so a
-    dialogue that holds much of the table is not one task. A turn number with more than ``crowd`` rows is chunked by
+    into one value, and running totals are taken first in chunks of turn numbers, then over chunks, and
+    turns meet participants by chunk, so a dialogue that holds much of the table is not one task. A turn number with more than ``crowd`` rows is chunked by
     md5 as well, and equal rows under it are counted first.
     """
     trimmed = F.coalesce(F.nullif(F.trim("role"), F.lit("")), F.lit("unknown"))
@@ -58,7 +58,9 @@ def rotate_perspectives(turns: DataFrame, chunk: int = 1024, crowd: int = 4096)
     shown = F.concat(F.lit(" name="), F.regexp_replace(name, r"[\r\n<>|]", "_"))
     head = F.concat(F.lit("<|"), role_out, F.coalesce(shown, F.lit("")), F.lit("|>\n"))
     content = escape(F.col("text"))
-    turn = said.join(speakers, key)
+    # By dialogue and chunk: so the windows' rows are dealt by both, and no task has a whole dialogue.
+    present = said.select(*key, "part").distinct().join(speakers, key)
+    turn = said.join(present, [*key, "part"])
     length = (F.length(head) + F.length(content) + len(END)).cast("long")
 
     places = [*key, "perspective", "part", "sub"]
