@@ -120,6 +120,7 @@ def decode(noisy: str, log_p: np.ndarray | list, spaces: bool = False, collapse:
 
 
 _EDGE = re.compile(r"^[^\w@$!|+(€£¡]+|[^\w]+$|^[|+(]+(?=\w)|_+$")
+_OUTSIDE = re.compile(r"^[^\w@$!|+(€£¡]+|[^\w@$!|+(€£¡]+$|_+$")  # marks at the ends that stand for no letter
 _DOUBLE = re.compile(r"(.)\1")
 _DOUBLES = re.compile(r"(.)\1+")
 _CLOSING = ".,;:!?\"')"
@@ -148,14 +149,19 @@ def restore(token: str, log_p: np.ndarray | list) -> str:
 
 def readings(token: str, log_p: np.ndarray | list) -> list[list[str]]:
     """The ways to read one token without white space, each a list of words: as it is if it has letters only; else
-    decoded as a whole, the words between separators, each decoded if it holds symbols, and all its runs of letters.
-    A token without any letter is a number or a mark, and has none."""
-    core = token.lower() if token.isalpha() else _EDGE.sub("", token.lower())
-    if core.isalpha():
-        return [[core]]
+    decoded with every sign at its ends that may stand for a letter (the lattice drops those that do not), with and without
+    repeated letters; its plain core; the words between separators, each decoded if it holds symbols, and all its runs of
+    letters. A token without any letter is a number or a mark, and has none."""
+    if token.isalpha():
+        return [[token.lower()]]
+    whole = _OUTSIDE.sub("", token.lower())
+    core = _EDGE.sub("", whole)
     if not any(c.isalpha() for c in core):
         return []
-    out = [[decode(core, log_p)]]
+    ways = [whole] if core.isalpha() or core == whole else [whole, core]
+    out = [[decode(x, log_p, collapse=c)] for x in ways if not x.isalpha() for c in ((True, False) if _DOUBLE.search(x) else (True,))]
+    if core.isalpha():
+        return [*out, [core]]
     for parts in (_PARTS(core), _WORDS(core)):
         if len(parts) > 1:
             out.append([x if x.isalpha() else decode(x, log_p) for x in parts if any(c.isalpha() for c in x)])

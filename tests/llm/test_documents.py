@@ -524,3 +524,16 @@ def test_mixture_depends_on_the_text_alone():
     together = mixture(words, begins)
     alone = np.concatenate([mixture(words[b : b + n], np.zeros(1, int)) for b, n in zip(begins, counts, strict=True)])
     assert ((together > 0) == (alone > 0)).all() and np.abs(together - alone).max() < 1e-5
+
+
+def test_signs_at_the_ends_of_a_token_are_read_as_letters():
+    import numpy as np
+
+    from quirespark.llm.toxicity import ToxicityModel, _Scorer, char_model
+
+    words = {w: 3.0 for w in ("nazi", "ass", "shit", "moral", "idiot")}
+    scorer = _Scorer(ToxicityModel(words, char_model(np.ones((27, 27, 27)), words)))
+    found = {"naz!": "nazi", "a$$": "ass", "sh!+": "shit", "shi+": "shit", "mora|": "moral", "mora!": "moral", "idio+": "idiot", "|diot": "idiot", "@ss": "ass", "(idio+)": "idiot", '"naz!",': "nazi"}
+    assert {t: [w for w, _ in scorer[t]] for t in found} == {t: [w] for t, w in found.items()}
+    for clean in ("wow!", "100$", "C++", "(see", "!", "$", "a+b", "(c)", "yes!!!", "$5", "so|so"):
+        assert scorer[clean] == [], clean
