@@ -63,6 +63,24 @@ SQL["job_lifecycle"] = f"""WITH RECURSIVE {JOB_EVENTS_SQL}, o AS (SELECT *, row_
         WHEN o.action = 'error' AND s.status = 'processing' THEN CASE WHEN contains(lower(o.message), 'resource_exhausted') THEN 'again' ELSE 'fail' END ELSE 'none' END AS k) t)
   SELECT job_id, status, active, attempts, last_dispatch, progress, paused_at, started_at, finished_at, error FROM s QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY i DESC) = 1"""
 
+#: The moment up to which clients are watched.
+WATCHED = "2024-01-20 00:00:00"
+
+
+@register()
+def watched_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    """Each job's state if whoever is silent for 45 seconds is paused then: the whole-table twin of the keyed stream."""
+    return lifecycle.watched_states(job_events(spark, sf), WATCHED).drop("heartbeat_at")
+
+
+_POLLS = f"""own AS (SELECT * FROM job_events WHERE ts <= TIMESTAMP '{WATCHED}'),
+  polls AS (SELECT job_id, ts + INTERVAL 45 SECOND + INTERVAL 1 MILLISECOND AS ts, -1 AS event_id, 'poll' AS action, NULL AS message FROM (
+    SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS next FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS r FROM own) WHERE r = 1 OR action IN ('heartbeat', 'resume'))
+    WHERE (next IS NULL OR next > ts + INTERVAL 45 SECOND) AND ts + INTERVAL 45 SECOND + INTERVAL 1 MILLISECOND <= TIMESTAMP '{WATCHED}'),
+  watched AS (SELECT * FROM own UNION ALL SELECT * FROM polls)"""
+SQL["watched_lifecycle"] = SQL["job_lifecycle"].replace(", o AS (", f", {_POLLS}, o AS (", 1).replace("FROM job_events), \n", "FROM watched),\n").replace(
+    "AS i FROM job_events)", "AS i FROM watched)", 1).replace(f"INTERVAL {SILENT} SECOND", "INTERVAL 45 SECOND")
+
 TICKS = ("1998-06-15 00:00:00", "1998-06-15 00:00:30", "1998-06-15 00:01:00")
 
 
