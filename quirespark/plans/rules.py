@@ -78,8 +78,10 @@ _POLLS = f"""own AS (SELECT * FROM job_events WHERE ts <= TIMESTAMP '{WATCHED}')
     SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS next FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS r FROM own) WHERE r = 1 OR action IN ('heartbeat', 'resume'))
     WHERE (next IS NULL OR next > ts + INTERVAL 45 SECOND) AND ts + INTERVAL 45 SECOND + INTERVAL 1 MILLISECOND <= TIMESTAMP '{WATCHED}'),
   watched AS (SELECT * FROM own UNION ALL SELECT * FROM polls)"""
-SQL["watched_lifecycle"] = SQL["job_lifecycle"].replace(", o AS (", f", {_POLLS}, o AS (", 1).replace("FROM job_events), \n", "FROM watched),\n").replace(
-    "AS i FROM job_events)", "AS i FROM watched)", 1).replace(f"INTERVAL {SILENT} SECOND", "INTERVAL 45 SECOND")
+SQL["watched_lifecycle"] = (
+    SQL["job_lifecycle"].replace(", o AS (", f", {_POLLS}, o AS (", 1).replace("AS i FROM job_events)", "AS i FROM watched)", 1)
+    .replace(f"INTERVAL {SILENT} SECOND", "INTERVAL 45 SECOND")
+)
 
 TICKS = ("1998-06-15 00:00:00", "1998-06-15 00:00:30", "1998-06-15 00:01:00")
 
