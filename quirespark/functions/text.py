@@ -65,6 +65,15 @@ def clean_prose(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(spaced, r"\p{C}", ""), r" +", " ")
 
 
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(text: Column) -> Column:
+    """A text without white space at its ends, in one pass over them."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 def sanitised(text: Column) -> Column:
     """A provider's text as it is kept: composed, clean, without white space at its ends; null is empty."""
     return F.regexp_replace(clean_prose(composed(F.coalesce(text, F.lit("")))), r"(?U)^\s+|\s+$", "")
@@ -97,7 +106,7 @@ def ends_sentence(text: Column) -> Column:
 
 def context_text(kind: Column, text: Column) -> Column:
     """What a neighbour sees of a block: its trimmed text, or a mark with the start of an equation, if it has a formula."""
-    flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    flat = stripped(F.coalesce(text, F.lit("")))
     shown = F.when(flat == "", "[DISPLAY EQUATION]").otherwise(F.concat(F.lit("[DISPLAY EQUATION: "), F.left(flat, F.lit(260)), F.lit("]")))
     return F.when(kind == "equation", shown).otherwise(flat)
 
