@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, settled, sliced
+from ._common import materialize, ranked, settled, sliced
 from .components import connected_components
 
 U64 = np.uint64
@@ -72,6 +72,8 @@ class GrayIndex:
     more than ``radius`` places is dropped with all below it.
     """
 
+    STEP = 2048  # pairs of nodes taken down together: at most 2048 * fanout^2 pairs are held at a time
+
     def __init__(self, fps: np.ndarray, fanout: int = 16):
         self.order = np.argsort(gray_rank(fps), kind="stable")
         self.fps = fps[self.order]
@@ -87,27 +89,67 @@ class GrayIndex:
 
     def pairs(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions (i < j in Gray order) of all pairs at most ``radius`` bits apart."""
-        a = b = np.zeros(1, dtype=np.int64)
-        known = np.zeros(1, dtype=U64)  # the bits that the two nodes of a pair both share: those already compared
-        apart = np.zeros(1, dtype=np.int64)  # in how many of them they differ
-        for mask, value in self.levels[-2::-1]:
-            a, b, above = self._children(a, b, len(mask))
-            both = mask[a] & mask[b]
-            apart = apart[above] + np.bitwise_count((value[a] ^ value[b]) & both & ~known[above])
-            near = apart <= radius
-            a, b, known, apart = a[near], b[near], both[near], apart[near]
-        keep = a < b
-        return a[keep], b[keep]
-
-    def _children(self, a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of children of pairs of nodes, each once, and the pair above each."""
+        found = [*self.near(self, radius), (np.zeros(0, dtype=np.int64),) * 2]
+        return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+    def near(self, other: GrayIndex, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (i here, j in ``other``; i < j if that is this index) of all pairs at most ``radius`` bits apart, in parts."""
+        height = max(len(self.levels), len(other.levels)) - 1
+        mine, theirs = (x.levels + [x.levels[-1]] * (height + 1 - len(x.levels)) for x in (self, other))
+        zero = np.zeros(1, dtype=np.int64)
+        todo = [(height, zero, zero, *_apart(mine[-1], theirs[-1], zero, zero, np.zeros(1, dtype=U64), zero))]
+        if todo[0][-1][0] > radius:
+            return
+        while todo:
+            # known: the bits that the two nodes of a pair both share, those already compared; apart: in how many of them they differ
+            level, a, b, known, apart = todo.pop()
+            if level == 0:
+                ok = a < b if other is self else slice(None)
+                yield a[ok], b[ok]
+                continue
+            level -= 1
+            a, b, above = self._children(a, b, len(mine[level][0]), len(theirs[level][0]), other is self)
+            known, apart = _apart(mine[level], theirs[level], a, b, known[above], apart[above])
+            ok = np.flatnonzero(apart <= radius)
+            for at in range(0, len(ok), self.STEP):
+                part = ok[at : at + self.STEP]
+                todo.append((level, a[part], b[part], known[part], apart[part]))
+
+    def links(self, other: GrayIndex, radius: int, at_once: int = 1 << 20) -> list[tuple[int, int]]:
+        """Pairs of codes that connect what all pairs within ``radius`` connect: a spanning forest of the links."""
+        both, shift = (self.fps, 0) if other is self else (np.concatenate([self.fps, other.fps]), len(self.fps))
+        held, n = [], 0
+        for i, j in self.near(other, radius):
+            held.append((i, j + shift))
+            n += len(i)
+            if n > at_once:
+                held = forest(*_ends(held), len(both))
+                n = len(held)
+        return [(both[x], both[y]) for x, y in forest(*_ends(held), len(both))]
+
+    def _children(self, a: np.ndarray, b: np.ndarray, n: int, m: int, once: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of children of pairs of nodes (each once, within one index), and the pair above each."""
         f = np.arange(self.fanout)
         x = (a[:, None] * self.fanout + f)[:, :, None]
         y = (b[:, None] * self.fanout + f)[:, None, :]
-        ok = (x < n) & (y < n) & (x <= y)
+        ok = (x < n) & (y < m)
+        if once:
+            ok &= x <= y
         return np.broadcast_to(x, ok.shape)[ok], np.broadcast_to(y, ok.shape)[ok], np.nonzero(ok)[0]
 
 
+def _apart(mine: tuple, theirs: tuple, a: np.ndarray, b: np.ndarray, known: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits shared by both nodes of each pair, and the differences so far with those in bits not compared before."""
+    both = mine[0][a] & theirs[0][b]
+    return both, apart + np.bitwise_count((mine[1][a] ^ theirs[1][b]) & both & ~known)
+
+
+def _ends(links: list) -> tuple[np.ndarray, np.ndarray]:
+    """The two sides of links, given as pairs of numbers or of arrays."""
+    none = np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate([none, *(np.atleast_1d(x[k]) for x in links)]) for k in (0, 1))
+
+
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     """Edges (root, node) that connect what the links (i, j) connect."""
     root = np.arange(n)
@@ -124,105 +166,97 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
     return list(zip(root[at].tolist(), at.tolist(), strict=True))
 
 
-def _band_keys(n_parts: int, radius: int) -> list[int]:
-    """Masks of the bits that some bands together hold: any two codes within ``radius`` bits agree
-    on all bits of one mask at least."""
-    from itertools import combinations
-
-    edges = [64 * k // n_parts for k in range(n_parts + 1)]
-    bands = [((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1) for k in range(n_parts)]
-    return [sum(x) for x in combinations(bands, n_parts - radius)]
-
-
-def _split_mask(mask: int, radius: int) -> list[int]:
-    """Wider masks: the free bits are dealt into radius + 1 runs, each of which is added in turn."""
-    free = [b for b in range(64) if not mask >> b & 1]
-    n = radius + 1
-    runs = [free[len(free) * k // n : len(free) * (k + 1) // n] for k in range(n)]
-    return [mask | sum(1 << b for b in r) for r in runs]
-
+def _gray_order(df: DataFrame) -> DataFrame:
+    """df with ``rank``: the place of fp in the reflected Gray sequence, as a signed long of the same order."""
+    out = df.withColumn("rank", F.col("fp"))
+    for s in (1, 2, 4, 8, 16, 32):
+        out = out.withColumn("rank", F.col("rank").bitwiseXOR(F.shiftrightunsigned("rank", s)))
+    return out.withColumn("rank", F.col("rank").bitwiseXOR(F.lit(-(1 << 63))))
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
 
+def gray_levels(fps: DataFrame, size: int = 1024, fanout: int = 16) -> list[DataFrame]:
+    """The upper nodes of one index over all different fingerprints (column fp), lowest level first, each a written table.
 
-def fingerprint_edges(fps: DataFrame, radius: int = 2, cap: int = 4096) -> DataFrame:
+    Codes are sorted by Gray rank over all tasks and cut into groups of ``size``, so groups are even however codes lie.
+    A level holds (node, parent, mask, value): the bits that all codes below a node share, and what they are; the lowest
+    also ``codes``, its group's. ``fanout`` neighbours have one parent; the last level is one node. No rows, no levels.
+    """
+    placed = ranked(_gray_order(fps.select("fp")), ["rank"], "place")
+    count = -(-placed._quire_rows // size)
+    ones, zeros = F.bit_and("value").alias("ones"), F.bit_and(F.col("mask").bitwiseAND(F.bitwise_not("value"))).alias("zeros")
+    below = placed.select(F.expr(f"(place - 1) div {size}").alias("node"), F.lit(-1).cast("long").alias("mask"), F.col("fp").alias("value"))
+    levels = []
+    while count:
+        more = [] if levels else [F.collect_list("value").alias("codes")]
+        nodes = below.groupBy("node").agg(ones, zeros, *more).select(
+            "node", F.expr(f"node div {fanout}").alias("parent"), F.col("ones").bitwiseOR(F.col("zeros")).alias("mask"),
+            F.col("ones").alias("value"), *(["codes"] if more else []),
+        )
+        levels.append(materialize(nodes))
+        below = levels[-1].select(F.col("parent").alias("node"), "mask", "value")
+        count = 0 if count == 1 else -(-count // fanout)
+    return levels
+
+
+def near_groups(levels: list[DataFrame], radius: int) -> DataFrame:
+    """(a, b, known, apart, mask, value): pairs a <= b of lowest nodes that the levels above cannot tell apart, with the bits both
+    share, in how many they differ (``radius`` at most), and a's own bits.
+
+    From the top, each pair of nodes is replaced by the pairs of their children: two joins by parent a level. Differences
+    accumulate: a level adds those in the bits that became shared there, and a pair beyond ``radius`` goes with all below.
+    """
+    spark = levels[0].sparkSession
+    pairs = spark.createDataFrame([(0, 0, 0, 0)], "a long, b long, known long, apart int")
+    for nodes in levels[::-1]:
+        x = nodes.select(F.col("parent").alias("a"), F.col("node").alias("x"), "mask", "value")
+        y = nodes.select(F.col("parent").alias("b"), F.col("node").alias("y"), F.col("mask").alias("mask_y"), F.col("value").alias("value_y"))
+        both = F.col("mask").bitwiseAND(F.col("mask_y"))
+        new = F.col("value").bitwiseXOR(F.col("value_y")).bitwiseAND(both).bitwiseAND(F.bitwise_not("known"))
+        pairs = (
+            pairs.select("a", "b", "known", "apart").join(x, "a").join(y, "b").where("x <= y")
+            .select(F.col("x").alias("a"), F.col("y").alias("b"), both.alias("known"), (F.col("apart") + F.bit_count(new)).alias("apart"), "mask", "value")
+            .where(F.col("apart") <= radius)
+        )
+    return pairs
+
+
+def fingerprint_edges(fps: DataFrame, radius: int = 2, size: int = 1024) -> DataFrame:
     """(a, b): links that connect all different fingerprints (column fp) at most ``radius`` bits apart.
 
-    A code goes to one bucket for each choice of bands that a pair within ``radius`` must share, so no
-    pair is lost. A bucket over ``cap`` codes is dealt again by the same argument over the bits not yet
-    fixed, so that every bucket is bounded in the end: codes are different, and once all but 12 bits
-    are fixed none can hold more than 4,096. Buckets are searched as they stream by, each with an index
-    of its own; of its links a spanning forest goes on.
+    One Gray-ordered index over all codes decides: its upper nodes, in tables, prune pairs of groups (:func:`near_groups`);
+    what is left of a pair, the codes of b that a's shared bits allow, meets a's codes in a task, where the search goes on
+    through the lower nodes of both. Every group holds ``size`` codes at most, so a task's work on a pair is bounded; of
+    its links a spanning forest goes on. Pruning is by bits known to differ, so no link is lost.
     """
     spark = fps.sparkSession
-    masks = {_signed(m): m for m in _band_keys(radius + 2, radius)}
-    rows = fps.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask"))
-    rows = rows.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("key"), "fp")
-    ready = None
-    while rows is not None:
-        rows = materialize(rows)
-        large = rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("mask", "key")
-        large = materialize(large)
-        if large.isEmpty():
-            ready, rows = rows if ready is None else ready.unionByName(rows), None
-        else:
-            small = rows.join(large, ["mask", "key"], "left_anti")
-            ready = small if ready is None else ready.unionByName(small)
-            nexts = [(_signed(m), _signed(w)) for m in masks.values() for w in _split_mask(m, radius)]
-            masks = {w: w % (1 << 64) for _, w in nexts}
-            deeper = spark.createDataFrame(nexts, "mask long, wider long")
-            rows = (
-                rows.join(large, ["mask", "key"], "left_semi")
-                .join(F.broadcast(deeper), "mask")
-                .select(F.col("wider").alias("mask"), F.col("wider").bitwiseAND(F.col("fp")).alias("key"), "fp")
-            )
+    levels = gray_levels(fps, size)
+    if not levels:
+        return spark.createDataFrame([], "a long, b long")
+    codes = levels[0].select("node", "codes")
+    allowed = F.filter("codes", lambda c: F.bit_count(c.bitwiseXOR(F.col("value")).bitwiseAND(F.col("mask"))) <= radius)
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = (
+        near_groups(levels, radius).select("a", "b", "mask", "value").repartition(spread, "a", "b")
+        .join(codes.withColumnRenamed("node", "b"), "b").select("a", "b", allowed.alias("theirs")).where("size(theirs) > 0")
+        .join(codes.withColumnRenamed("node", "a"), "a").select("a", "b", F.col("codes").alias("mine"), "theirs")
+    )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        last: tuple[int, int] | None = None
-
-        def links(fps: np.ndarray) -> list[tuple[int, int]]:
-            if len(fps) == 2:
-                return [(fps[0], fps[1])] if np.bitwise_count(fps[0] ^ fps[1]) <= radius else []
-            index = GrayIndex(fps)
-            i, j = index.pairs(radius)
-            return [(index.fps[x], index.fps[y]) for x, y in forest(i, j, len(fps))]
-
-        def flush(held: list[np.ndarray]) -> list[tuple[int, int]]:
-            whole = np.concatenate(held) if held else np.zeros(0, dtype=U64)
-            held.clear()
-            return links(whole) if len(whole) > 1 else []
-
-        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        last, index = None, None
+        for batch in sliced(batches, 100):
+            found: list[tuple[int, int]] = []
+            for a, b, mine, theirs in zip(*(batch.column(k) for k in range(4)), strict=True):
+                if a != last:
+                    last, index = a, GrayIndex(_codes(mine))
+                found += index.links(index if a == b else GrayIndex(_codes(theirs)), radius)
             got = np.array(found, dtype=U64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
 
-        for batch in batches:
-            m, k, f = (np.asarray(c) for c in batch.columns)
-            if not len(f):
-                continue
-            f = f.view(U64)
-            found: list[tuple[int, int]] = []
-            begins = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (k[1:] != k[:-1]))))
-            ends = np.append(begins[1:], len(f))
-            goes_on = last == (m[0], k[0])
-            if not goes_on:
-                found += flush(held)
-            held.append(f[: ends[0]])
-            if len(begins) > 1:
-                found += flush(held)
-                for g in np.flatnonzero(ends - begins > 1).tolist():
-                    if 0 < g < len(begins) - 1:
-                        found += links(f[begins[g] : ends[g]])
-                held.append(f[begins[-1] :])
-            last = (m[-1], k[-1])
-            if found:
-                yield batch_of(found)
-        if found := flush(held):
-            yield batch_of(found)
-
-    return ready.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(search, "a long, b long").distinct()
+    return met.mapInArrow(search, "a long, b long").distinct()
+
+
+def _codes(cell: pa.Scalar) -> np.ndarray:
+    return np.asarray(cell.values).view(U64)
 
 
 def _classes(marked: DataFrame, radius: int) -> DataFrame:

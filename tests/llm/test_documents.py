@@ -12,7 +12,9 @@ from quirespark.llm.components import connected_components
 from quirespark.llm.language import fit_language_model, identify_languages
 from quirespark.llm.packing import WordEncoder, differencing, pack_documents, windows_for
 from quirespark.llm.sharding import place, shard_documents
-from quirespark.llm.simhash import GrayIndex, fingerprint, fingerprint_edges, gray_rank, keep_representatives, simhash_components
+from quirespark.llm.simhash import (
+    GrayIndex, fingerprint, fingerprint_edges, gray_levels, gray_rank, keep_representatives, near_groups, simhash_components,
+)
 from quirespark.llm.toxicity import COST, LEET, ToxicityModel, _Scorer, char_model, decode, fit_toxicity, restore, score_toxicity
 
 from .util import AWKWARD, awkward, empty, union_components
@@ -364,6 +366,65 @@ def test_gray_index_pairs():
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
 
 
+@pytest.fixture(scope="module")
+def many_codes(spark):
+    """20,000 codes: scattered ones, and crowds of up to three differing bits around some of them."""
+    rng = np.random.default_rng(11)
+    codes = rng.integers(0, 1 << 64, 16_000, dtype=np.uint64)
+    flips = (np.uint64(1) << rng.integers(0, 64, (4_000, 3)).astype(np.uint64)) * rng.integers(0, 2, (4_000, 3)).astype(np.uint64)
+    codes = np.unique(np.concatenate([codes, codes[rng.integers(0, 300, 4_000)] ^ np.bitwise_xor.reduce(flips, axis=1)]))
+    return codes, spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+
+
+def test_gray_levels_prune(spark, many_codes):
+    """Groups follow Gray order over all partitions, nodes hold their codes' shared bits, and every level prunes soundly."""
+    codes, fps = many_codes
+    levels = gray_levels(fps, size=100)
+    groups = {r["node"]: r for r in levels[0].collect()}
+    members = {g: np.array(r["codes"], dtype=np.int64).view(np.uint64) for g, r in groups.items()}
+    in_order = np.concatenate([np.sort(gray_rank(members[g])) for g in sorted(members)])
+    assert (np.diff(in_order.astype(object)) > 0).all() and len(in_order) == len(codes)
+    assert {len(m) for g, m in members.items() if g != max(members)} == {100}
+    for g, r in groups.items():
+        ones, zeros = np.bitwise_and.reduce(members[g]), np.bitwise_and.reduce(~members[g])
+        assert r["mask"] % (1 << 64) == int(ones | zeros) and r["value"] % (1 << 64) == int(ones)
+    sizes = [nodes.count() for nodes in levels]
+    assert sizes == [len(groups), -(-len(groups) // 16), 1]
+    kept = {(r["a"], r["b"]): r for r in near_groups(levels, 2).collect()}
+    above = near_groups(levels[1:], 2).count()
+    assert above <= sizes[1] * (sizes[1] + 1) // 2 and len(kept) < len(groups) * (len(groups) + 1) // 4
+    for a in range(len(groups)):
+        for b in range(a, len(groups)):
+            both = (groups[a]["mask"] & groups[b]["mask"]) % (1 << 64)
+            apart = ((groups[a]["value"] ^ groups[b]["value"]) & both).bit_count()
+            assert ((a, b) in kept) == (apart <= 2)
+            if (a, b) in kept:
+                assert kept[a, b]["apart"] == apart and kept[a, b]["known"] % (1 << 64) == both
+
+
+def test_gray_edges_over_many_groups(many_codes):
+    """Links between groups as well as within them: components equal those of all pairs."""
+    codes, fps = many_codes
+    links = []
+    for at, c in enumerate(codes):
+        links += [(int(c), int(x)) for x in codes[at + 1 :][np.bitwise_count(codes[at + 1 :] ^ c) <= 2]]
+    got = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in fingerprint_edges(fps, 2, 100).collect()]
+    assert len(links) > 4_000
+    nodes = [int(c) for c in codes]
+    assert union_components(nodes, got) == union_components(nodes, links)
+
+
+def test_gray_search_in_parts():
+    """A crowd whose links exceed what is held at once, between two indexes of different heights."""
+    crowd = np.array([(1 << i) | (1 << j) for i in range(64) for j in range(64)], dtype=np.uint64)
+    x, y = GrayIndex(np.unique(crowd)), GrayIndex(np.array([0, 1 << 63 | 1 << 5 | 1], dtype=np.uint64))
+    inner = x.links(x, 2, at_once=1000)
+    assert set(union_components(x.fps.tolist(), [(int(a), int(b)) for a, b in inner]).values()) == {1}
+    want = {(i, j) for i, a in enumerate(x.fps.tolist()) for j, b in enumerate(y.fps.tolist()) if (a ^ b).bit_count() <= 2}
+    got = [(i, j) for part in x.near(y, 2) for i, j in zip(*(k.tolist() for k in part), strict=True)]
+    assert set(got) == want and len(got) == len(want) and want
+
+
 def test_fingerprint_words():
     for t in (None, "", "a", "A b", "a b c", "Ä b\x0bc d\x1ce", "one two three four " * 50):
         assert fingerprint(t) == plain_fingerprint(t)
