@@ -1,5 +1,5 @@
 """Queries over the driver's tables."""
 
-from . import catalog, documents, rules
+from . import catalog, documents, rules, structure
 
-__all__ = ["catalog", "documents", "rules"]
+__all__ = ["catalog", "documents", "rules", "structure"]
