@@ -1,8 +1,8 @@
 """A document's markup as ordered pieces: environments open and close over a sequence of blocks.
 
 What is open before a block follows from the block before it, so the stack needs no sequential pass: each block states
-what it leaves open, and a block's events are the difference to what the last one left. "The last one" is found in two
-levels, within chunks of a document and over the chunks' ends, so a document is neither one task nor one string.
+what it leaves open, and a block's events are the difference to what the last one left. Windows of one partitioning and
+order find it: blocks are shuffled and sorted once, and stream through their document's task, neither an array nor a string.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from ..functions import text as X
 
 FRONT = ("title", "author", "affiliation", "metadata")
 VISUALS = ("figure", "table")
-CHUNK = 4096
 
 
 @dataclass(frozen=True)
@@ -33,23 +32,6 @@ class Look:
     indent: float = 1.0
 
 
-def last_before(blocks: DataFrame, name: str, value: Column, given: Column, chunk: int = CHUNK) -> DataFrame:
-    """``blocks`` with ``name``: the value of the last earlier block of its document for which ``given`` holds; else null.
-
-    Windows run over ``chunk`` places of a document at most; what a chunk starts from is the last value of the chunks
-    before it, found over one row for each chunk.
-    """
-    held = F.when(given, F.struct(value.alias("v")))
-    rows = blocks.withColumn("_chunk", F.floor(F.col("pos") / chunk)).withColumn("_held", held)
-    inside = Window.partitionBy("doc_id", "_chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.partitionBy("doc_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy("doc_id", "_chunk").agg(F.max_by("_held", F.when(F.col("_held").isNotNull(), F.col("pos"))).alias("_end"))
-    ends = ends.select(F.col("doc_id").alias("_d"), F.col("_chunk").alias("_c"), F.last("_end", ignorenulls=True).over(over).alias("_end"))
-    own = rows.withColumn("_own", F.last("_held", ignorenulls=True).over(inside))
-    joined = own.join(ends, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_chunk") == F.col("_c")))
-    return joined.withColumn(name, F.coalesce("_own", "_end")["v"]).drop("_chunk", "_held", "_own", "_d", "_c", "_end")
-
-
 def _number(value: Column, places: int) -> Column:
     return F.format_string(f"%.{places}f", F.bround(value, places))
 
@@ -106,7 +88,7 @@ def _body(look: Look) -> Column:
     )
 
 
-def document_pieces(blocks: DataFrame, look: Look = Look(), chunk: int = CHUNK) -> DataFrame:
+def document_pieces(blocks: DataFrame, look: Look = Look()) -> DataFrame:
     """(doc_id, pos, part, text): the pieces of each document's body, to be read in the order of (pos, part).
 
     ``blocks`` has doc_id, page, pos (one of each in a document), kind, text (set already: prose escaped, tables and equations
@@ -121,19 +103,20 @@ def document_pieces(blocks: DataFrame, look: Look = Look(), chunk: int = CHUNK)
         "doc_id", "page", "pos", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"), flow.alias("flow_columns"),
         F.coalesce("column", F.lit("")).alias("column"), F.coalesce("style", F.lit("normal")).alias("style"), "indent", "size", "x0", "y0", "x1", "y1",
     )
-    starts = rows.groupBy(F.col("doc_id").alias("_d")).agg(F.min(F.when(~F.col("kind").isin(*FRONT), F.col("pos"))).alias("_start"))
-    rows = rows.join(starts, F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d")
-    rows = rows.withColumn("front", F.coalesce(F.col("pos") < F.col("_start"), F.lit(True))).drop("_start").where("kind <> 'footer'")
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    so_far, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("front", F.min(F.col("kind").isin(*FRONT)).over(so_far)).withColumn("last", F.lead(F.lit(False), 1, True).over(order))
     kind = F.col("kind")
-    resets = ~F.col("front") & (kind.isin(*VISUALS, "list_item", "equation") | (F.col("text") != ""))
+    body = ~F.col("front") & (kind != "footer")
+    resets = body & (kind.isin(*VISUALS, "list_item", "equation") | (F.col("text") != ""))
     box = F.struct("kind", "page", "column", "flow_columns", "x0", "y0", "x1", "y1")
-    rows = last_before(rows, "visual", box, resets, chunk)
+    rows = rows.withColumn("visual", F.last(F.when(resets, box), ignorenulls=True).over(earlier))
     v = F.col("visual")
     after = (kind == "caption") & v["kind"].isin(*VISUALS) & (v["page"] == F.col("page")) & (v["column"] == "full")
     wide = ((F.col("column") == "full") & (F.col("flow_columns") > 1)) | F.coalesce(after, F.lit(False))
     rows = rows.withColumn("wide", wide).withColumn("n", F.when(F.col("wide"), 1).otherwise(F.col("flow_columns")))
     rows = rows.withColumn("open", F.struct("n", (kind == "list_item").alias("items")))
-    rows = last_before(rows, "was", F.col("open"), ~F.col("front"), chunk)
+    rows = rows.withColumn("was", F.last(F.when(body, F.col("open")), ignorenulls=True).over(earlier))
     n, before, listed = F.col("n"), F.coalesce(F.col("was")["n"], F.lit(1)), F.coalesce(F.col("was")["items"], F.lit(False))
     ends = listed & ((n != before) | F.col("wide") | (kind != "list_item"))
     events = F.concat(
@@ -144,11 +127,10 @@ def document_pieces(blocks: DataFrame, look: Look = Look(), chunk: int = CHUNK)
     )
     piece = lambda part, text: F.struct(F.lit(part).alias("part"), text.alias("text"))
     front = F.when(F.col("text") == "", "").otherwise(_front(look))
-    made = F.when(F.col("front"), F.array(piece(1, front))).otherwise(F.array(piece(0, events), piece(1, _body(look))))
-    pieces = rows.select("doc_id", "pos", F.explode(made).alias("p")).where("p.text <> ''").select("doc_id", "pos", "p.part", "p.text")
-    last = F.max_by(F.when(~F.col("front"), F.col("open")), F.when(~F.col("front"), F.col("pos")))
-    ended = rows.groupBy("doc_id").agg(last.alias("open"))
-    bare = blocks.select("doc_id").distinct().select(F.col("doc_id").alias("_d"))
-    tail = _joined(F.when(F.col("open")["items"], "\\end{itemize}\n").otherwise(""), F.when(F.col("open")["n"] > 1, "\\end{multicols}\n").otherwise(""), "\\end{document}\n")
-    ended = bare.join(ended, F.col("doc_id").eqNullSafe(F.col("_d")), "left").select(F.col("_d").alias("doc_id"), F.lit(None).cast("int").alias("pos"), F.lit(2).alias("part"), tail.alias("text"))
-    return pieces.unionByName(ended)
+    left = F.when(body, F.col("open")).otherwise(F.col("was"))
+    tail = _joined(F.when(left["items"], "\\end{itemize}\n").otherwise(""), F.when(left["n"] > 1, "\\end{multicols}\n").otherwise(""), "\\end{document}\n")
+    made = F.array(
+        F.when(body, piece(0, events)), F.when(F.col("front"), piece(1, front)).when(body, piece(1, _body(look))), F.when(F.col("last"), piece(2, tail))
+    )
+    pieces = rows.select("doc_id", "pos", F.explode(made).alias("p")).where("p.text <> ''")
+    return pieces.select("doc_id", F.when(F.col("p.part") < 2, F.col("pos")).alias("pos"), "p.part", "p.text")

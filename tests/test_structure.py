@@ -126,7 +126,6 @@ def test_mixed_document(spark):
     assert flow.document_pieces(spark.createDataFrame([], BLOCK)).count() == 0
 
 
-def test_chunks_change_nothing(spark, sf_dir):
-    blocks = structure.flowing_blocks(spark, sf_dir)
-    whole, small = flow.document_pieces(blocks), flow.document_pieces(blocks, chunk=3)
-    assert whole.exceptAll(small).count() == 0 and small.exceptAll(whole).count() == 0
+def test_blocks_are_shuffled_once(spark, sf_dir):
+    plan = flow.document_pieces(structure.flowing_blocks(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
