@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 import zlib
@@ -392,6 +393,45 @@ def test_licence_relations(spark):
         scan_licences(df, many)
 
 
+def test_licence_gaps_of_any_length(spark):
+    """A head takes the nearest tail behind it in its sentence, however far; gaps of no word are none."""
+    sentences = spark.createDataFrame([("One", "open it * close it"), ("Two", "start * middle part * end"), ("In", "close it"), ("Tie", "open it again")], "id string, sentence string")
+    far = " ".join(["word"] * 3000)
+    texts = {
+        f"Open it {far} close it": "One", "open it close it": "In", "open it close it x close it": "One", "open it. x close it": "In", "start a middle part b end": "Two",
+        "start middle part b end": "", "start a middle part b": "", f"start {far} middle part {far} end or start x": "Two", "open it a close it b close it": "One In", "open it open it a close it": "One",
+        "open it again b close it": "One", "open it again": "Tie",
+    }
+    df = spark.createDataFrame([(None, t, i) for t, i in texts.items()] * 2, "doc_id long, text string, want string")
+    got = scan_licences(df.withColumn("doc_id", F.md5("text")), sentences, spark.createDataFrame([], "place int, rule string, ids array<string>"))
+    want = {hashlib.md5(t.encode()).hexdigest(): i for t, i in texts.items()}
+    rows = got.collect()
+    assert len(rows) == 2 * len(texts) and {r["doc_id"]: r["sentence_ids"] for r in rows} == want
+
+
+def test_common_licences(spark):
+    holder = "the author and the many organisations and persons that have given parts of it over the years, listed in the file beside this one,"
+    cases = {
+        "// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later", "SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0",
+        "SPDX-License-Identifier: BSL-1.0": "BSL-1.0", "Code is under the MIT licence.": "MIT", "Code is available under Mozilla Public License 2.0.": "MPL-2.0",
+        "Text is licensed under CC BY 3.0.": "CC-BY-3.0", "This file is under the ISC license": "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC-full",
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published": "AGPL-3.0",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file)": "BSL-1.0", "CC0 1.0 Universal": "CC0-1.0",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        f"Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of {holder} nor the names of its contributors may be used": "BSD-3-Clause",
+        "the spdx format has a licence identifier; MIT is a school": "", "All rights reserved": "Proprietary",
+    }
+    df = spark.createDataFrame([(want, t) for t, want in cases.items()], "doc_id string, text string")
+    assert [r for r in scan_licences(df).collect() if r["licences"] != r["doc_id"]] == []
+
+
+def test_licence_scan_is_lookups(spark):
+    """Sentences are joined by key from a broadcast table; no text is shuffled."""
+    plan = scan_licences(spark.range(1).selectExpr("id doc_id", "'x' text"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [key" in plan and "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 HEADERS = {
     "Apache-2.0-header": """# Licensed under the Apache License, Version 2.0 (the "License");
 # you may not use this file except in compliance with the License.
