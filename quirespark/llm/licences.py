@@ -244,7 +244,7 @@ def sentence_hits(docs: DataFrame, sentences: list[tuple[str, str]]) -> DataFram
     keys = F.array(*map(F.lit, sorted({p[0] for p in pieces})))
     table = F.broadcast(docs.sparkSession.createDataFrame(pieces, "key string, words string, n int, sentence int, half int, parts int, id string"))
     anchors = "|".join(_anchors(list(known)))
-    marked = docs.where(F.col("text").rlike(f"(?i){anchors}")).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text").distinct()
+    marked = docs.where(F.lower("text").rlike(anchors)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "text")
     parts = marked.select("doc_id", "digest", F.posexplode(F.split(normal_words(F.col("text")), r"\|")).alias("at", "s")).where(F.col("s").rlike(anchors))
     parts = parts.select("doc_id", "digest", "at", F.split(F.trim("s"), " ").alias("w"))
     heads = F.flatten(F.transform("w", lambda _, i: F.array(*[F.array_join(F.slice("w", i + 1, F.lit(k)), " ") for k in lengths])))
