@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from itertools import takewhile
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import text as X
 
@@ -13,26 +18,50 @@ RESERVED = (
     "rho", "gamma", "theta", "sigma", "pi", "phi", "psi", "omega", "alpha", "beta", "delta", "lambda", "mu", "nu", "tau",
 )
 
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _runs(text: str) -> list[str]:
+    """Maximal runs of letters; ``\\w`` also has numbers that are not digits."""
+    found = _WORD.findall(text)
+    return found if all(map(str.isalpha, found)) else "".join(c if c.isalpha() else " " for c in text).split()
+
+
+def _head(text: str) -> str:
+    """The run of letters that a text starts with."""
+    m = _WORD.match(text)
+    return "" if m is None else m[0] if m[0].isalpha() else "".join(takewhile(str.isalpha, m[0]))
+
+
+def _folded(text: str) -> str:
+    out = text.lower()
+    if not out.isascii():
+        for letter, spelt in X.FOLDS.items():
+            out = out.replace(letter, spelt)
+    return out
+
+
+def _mended(text: str, source: str) -> str:
+    """Words go into one table by their folded tails, so both texts are read once, however long they are."""
+    words = _runs(source)
+    only: dict[str, str | None] = {}
+    for word, tail in zip(words, _folded(" ".join([w[1:] for w in words])).split(" "), strict=False):
+        only[tail] = None if tail in only else word
+    first, *rest = text.split("§")
+    asked, out = [_head(p) for p in rest], [first]
+    for piece, tail, key in zip(rest, asked, _folded(" ".join(asked)).split(" "), strict=True):
+        word = only.get(key) if tail and key not in RESERVED else None
+        out += (word, piece[len(tail) :]) if word and len(word) == len(tail) + 1 else ("§", piece)
+    return "".join(out)
+
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\p{L}+)"))
+@F.pandas_udf(StringType())
+def _by_tails(text: pd.Series, source: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _mended(t, s or "") for t, s in zip(text, source, strict=True)], dtype=object)
 
 
 def repaired(text: Column, source: Column) -> Column:
     """``text`` with each §word replaced by the one word of ``source`` that is a letter longer and ends in it, cases
     folded. A word that the source has twice, or two words that fit, repair nothing; commands and lone signs stay."""
-    pieces = F.split(text, "§", -1)
-    known = words(source)
-    tails = F.transform(known, lambda w: X.folded(F.substr(w, F.lit(2))))
-
-    def mended(piece: Column) -> Column:
-        tail = F.regexp_extract(piece, r"^(\p{L}+)", 1)
-        first = F.array_position(tails, X.folded(tail))  # the only one if it is the last one too
-        alone = (first > 0) & (F.size(tails) + 1 - F.array_position(F.reverse(tails), X.folded(tail)) == first)
-        word = F.get(known, (first - 1).cast("int"))
-        use = (tail != "") & ~X.folded(tail).isin(*RESERVED) & alone & (F.length(word) == F.length(tail) + 1)
-        return F.when(use, F.concat(word, F.substr(piece, F.length(tail) + 1))).otherwise(F.concat(F.lit("§"), piece))
-
-    rest = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.lit(0), F.size(pieces) - 1)), mended)
-    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, ""))
-    return F.when(text.contains("§") & (F.size(known) > 0), whole).otherwise(text)
+    some = text.contains("§")
+    return F.when(some, _by_tails(F.when(some, text), F.when(some, source))).otherwise(text)
