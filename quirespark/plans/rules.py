@@ -232,9 +232,11 @@ def table_items(spark: SparkSession, sf: str) -> DataFrame:
     words = F.split("text", " ", -1)
     part = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("content"))
     cell = lambda w, k: F.struct(F.when(k % 5 == 4, F.array(part("text", F.concat(w, F.lit(" "))), part("math", F.lit("x_1")))).otherwise(F.array(part("text", w))).alias("parts"))
-    cells = F.transform(words, cell)
-    rows = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 4).cast("int")), lambda i: F.struct(F.slice(cells, i * 4 + 1, F.lit(4)).alias("cells")))
-    b = E.blocks(spark, sf).where("kind = 'table'").withColumn("rows", rows)
+    rows = lambda cells: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(cells) - 1) / 4).cast("int")), lambda i: F.struct(F.slice(cells, i * 4 + 1, F.lit(4)).alias("cells"))
+    )
+    # Cells are made once for a block: a lambda that named their making would make all of them again for every row.
+    b = E.blocks(spark, sf).where("kind = 'table'").withColumn("rows", X.let(F.transform(words, cell), rows))
     return tables.table_items(b).select("doc_id", "pos", "id", "kind", F.trim("source").alias("source"))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirespark.functions import glyphs
+from quirespark.plans import rules
 
 N = 4_000
 LIMIT = 30  # seconds
@@ -55,3 +56,9 @@ def test_signs_without_a_source_stay(spark):
     df = spark.createDataFrame(rows, "i long, t string, s string")
     got = {r.i: r.r for r in df.select("i", glyphs.repaired(F.col("t"), F.col("s")).alias("r")).collect()}
     assert got == {0: None, 1: "§ello", 2: "§ello", 3: "hello", 4: "", 5: "Hello §", 6: "Hello² §²x"}
+
+
+def test_cells_of_a_long_line(spark, words, tmp_path):
+    spark.createDataFrame([(8, " ".join(words))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r.source for r in rules.table_items(spark, str(tmp_path)).collect()}
+    assert got == {f"p0_b0__r{k // 4}c{k % 4}": f"{w} [[MATH_0]]" if k % 5 == 4 else w for k, w in enumerate(words)}
