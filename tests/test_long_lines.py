@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirespark.functions import glyphs
+from quirespark.functions import protect as P
 from quirespark.plans import rules
 
 N = 4_000
@@ -58,6 +59,19 @@ def test_signs_without_a_source_stay(spark):
     assert got == {0: None, 1: "§ello", 2: "§ello", 3: "hello", 4: "", 5: "Hello §", 6: "Hello² §²x"}
 
 
+def test_terms_of_a_long_text_are_kept_and_put_back(spark, words):
+    terms = ("ab", "abc", "ß")
+    text = " [[MATH_0]] ".join([" ".join(words * 3), *words[:N // 4]])
+    find = re.compile(P.pattern(terms))
+    held = find.findall(text)
+    count = iter(range(len(held)))
+    safe = find.sub(lambda _: P.TOKEN.format(next(count)), text)
+    df = spark.createDataFrame([(text,)], "t string")
+    made = df.select(P.protected(F.col("t"), terms).alias("safe"), P.held(F.col("t"), terms).alias("kept"))
+    r = made.select("*", P.restored(F.col("safe"), F.col("kept")).alias("back"), P.restore_fault(F.col("safe"), F.col("kept")).alias("fault")).first()
+    assert len(held) > N and (r.safe, r.kept, r.back, r.fault) == (safe, held, text, None)
+
+
 def test_cells_of_a_long_line(spark, words, tmp_path):
     spark.createDataFrame([(8, " ".join(words))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.id: r.source for r in rules.table_items(spark, str(tmp_path)).collect()}
