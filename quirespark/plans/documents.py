@@ -228,7 +228,7 @@ def stabilised_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 @register()
 def stabilised_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    h = E.hints(spark, sf)
+    h = stabilise.read_once(E.hints(spark, sf))
     return stabilise.coverage(stabilise.stabilised(E.blocks(spark, sf), h), h)
 
 
