@@ -1,20 +1,23 @@
 """Sequenced change applier: numbered changes of each client applied in order by a stateful stream.
 
-Changes reach the stream in batches. The state of a client is a map from number to held row, and one value: the next
-number, the values as they stand, and what is known of the held rows. Whatever order the rows of a batch arrive in, the
-first of a number by (day, change_id) is held and the others are rejected, so a client's rows are neither sorted nor
-gathered. Each row carries its batch's clock (the largest day of earlier batches); clock rows carry it to every known
-client, also to those without a change in the batch, so that gaps that waited long enough are jumped.
-
-A client is the unit of state, so its rows of one batch meet in one task, one after the other; all else (numbering,
-batches, clock rows, results) is spread by (client, number). Nothing but one pair of numbers a batch and one count a
-sort partition reaches the driver.
+Changes reach the stream in batches. The state of a client is a map from number to held row, the next number and the
+values as they stand. Whatever order the rows of a batch arrive in, the first of a number by (day, change_id) is held and
+the others are rejected, so a client's rows are neither sorted nor gathered. Each row carries its batch's clock (the
+largest day of earlier batches); clock rows carry it to every known client, also to those without a change in the batch,
+so that gaps that waited long enough are jumped.
+
+Python pays for each key and each call of the state far more than for a client's work. So small clients share a key: a
+team's states are read once and written once a batch, and one clock row reaches all its clients. The number of teams grows
+with the table. A client of many numbers is a key of its own and looks its held rows up in the state one by one, so that
+no task has them all in memory. All else (numbering, batches, clock rows, results) is spread by (client, number). Nothing
+but three numbers a batch and one count a sort partition reaches the driver.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +29,10 @@ from ._common import discard, materialize, ranked, shared_folder
 COLUMNS = ("change_id", "client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance")
 _CHANGE = "n long, change_id long, day long, op string, city string, balance double"
 _RESULT = "change_id long, client_id long, n long, status string, batch int, missed long, city string, balance double, op string"
-#: Narrow rows with one struct: each client's rows come and go as a batch of their own, at a cost for every column. A clock row has no change.
-FED = f"client_id long, clock long, change struct<{_CHANGE}>, batch int"  # the folder's column comes last
-MADE = f"made struct<{_RESULT}>"
+#: Narrow rows with one struct: every cell costs the stream. A clock row has no change and no client.
+FED = f"team string, client_id long, clock long, change struct<{_CHANGE}>, batch int"  # the folder's column comes last
+RESULTS = [part.split()[0] for part in _RESULT.split(", ")]
+MADE = ", ".join(f"{name} array<{kind}>" for name, kind in (part.split() for part in _RESULT.split(", ")))  # many results a row, by column
 _KINDS = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
 
 
@@ -39,10 +43,21 @@ def _struct(text: str) -> T.StructType:
 
 _HELD = "change_id long, day long, op string, city string, balance double, batch int"
 _NOW = "next long, city string, balance double, held long, earliest long, op string"
+#: A team's state by column: its clients, then their held rows (``of``: the client's place).
+_CLIENTS = "client_id long, next long, city string, balance double, op string"
+_ROWS = "of long, n long, change_id long, day long, op string, city string, balance double, batch long"
+_TEAM = T.StructType(
+    [T.StructField(prefix + f.name, T.ArrayType(f.dataType)) for prefix, text in (("", _CLIENTS), ("held_", _ROWS)) for f in _struct(text)]
+)
+ALONE = "client "  # the team of a client with more than FEW numbers starts so
+FEW, TEAM_ROWS, TEAMS = 1024, 4096, 64  # numbers of a client in a team; rows of a team, about, over all batches; teams at least
 FOREVER = 1 << 40  # a clock that every held row's patience has run out by
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+START = (1, None, None, 0, FOREVER, None)
+
+
 class Applier(StatefulProcessor):
     """State of one client: ``held`` n -> row, ``now`` the next number and the current values."""
 
@@ -54,32 +69,23 @@ class Applier(StatefulProcessor):
         self.now = handle.getValueState("now", _struct(_NOW))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        for result in self.one_client(key[0], rows):
+            yield Row(made=dict(zip(RESULTS, result, strict=True)))
+
+    def one_client(self, client_id: int | None, rows: Iterator[Row]) -> Iterator[tuple]:
         before = self.now.get()
-        one = Client(key[0], self.held, before or (1, None, None, 0, FOREVER, None))
-        fresh: dict[int, tuple] = {}
+        one = Client(client_id, self.held, before or START)
         batch = None
         for r in rows:
             if batch is None:
                 batch = r.batch
                 if r.clock is not None:
                     yield from one.jump(r.clock - self.patience, batch)
-            if r.change is None:  # a clock row
-                continue
-            n, *row = r.change.values()
-            row = (*row, batch)
-            if n < one.next:
-                yield one.rejected(n, row)
-                continue
-            if (other := fresh.get(n)) is not None:
-                row, other = sorted((row, other), key=_order)
-                yield one.rejected(n, other)
-            fresh[n] = row
-            if len(fresh) >= self.at_once:
-                yield from one.hold(fresh)
-                fresh = {}
-        yield from one.admit(fresh, batch)
-        if batch == self.last_batch and one.next > 1:  # the number before next is the last that was applied
-            yield _made(change_id=None, client_id=key[0], n=one.next - 1, status="last", batch=batch, missed=0, city=None, balance=None, op=one.op)
+            if r.change is not None:  # else a clock row
+                yield from one.take(r.change, batch, self.at_once)
+        yield from one.admit(batch)
+        if batch == self.last_batch:
+            yield from one.last(batch)
         if (after := one.state()) != before:
             self.now.update(after)
 
@@ -87,20 +93,93 @@ class Applier(StatefulProcessor):
         pass
 
 
+class TeamApplier(Applier):
+    """State of a key: that of one client as above, or ``team``, that of many small ones."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.team = handle.getValueState("team", _TEAM)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        if key[0].startswith(ALONE):
+            name = key[0].removeprefix(ALONE)
+            results = self.one_client(None if name == "null" else int(name), rows)
+        else:
+            results = self.many_clients(rows)
+        while some := list(islice(results, self.at_once)):
+            yield Row(**dict(zip(RESULTS, zip(*some, strict=True), strict=True)))
+
+    def many_clients(self, rows: Iterator[Row]) -> Iterator[tuple]:
+        clients, batch, seen = _unpacked(self.team.get()), None, {}
+        for r in rows:
+            if batch is None:
+                batch = r.batch
+                if r.clock is not None:
+                    for one in clients.values():
+                        yield from one.jump(r.clock - self.patience, batch)
+            if r.change is None:  # a clock row
+                continue
+            if (one := clients.get(r.client_id)) is None:
+                one = clients[r.client_id] = Client(r.client_id, Shelf(), START)
+            seen[r.client_id] = one
+            yield from one.take(r.change, batch, self.at_once)
+        for one in seen.values():
+            yield from one.admit(batch)
+        if batch == self.last_batch:
+            yield from chain.from_iterable(one.last(batch) for one in clients.values())
+        self.team.update(_packed(clients.values()))
+
+
+class Shelf(dict):
+    """Held rows of a small client, by number, with the calls of a map state."""
+
+    getValue, removeKey, updateValue = dict.get, dict.__delitem__, dict.__setitem__  # noqa: N815
+
+    def iterator(self) -> Iterator[tuple]:
+        return iter(self.items())
+
+
+def _packed(clients: Iterable[Client]) -> tuple:
+    """The value of ``_TEAM``."""
+    known, held = [], []
+    for at, one in enumerate(clients):
+        known.append((one.client_id, one.next, one.city, one.balance, one.op))
+        held += [(at, n, *row) for (n,), row in one.map.items()]
+    return (*map(list, zip(*known, strict=True)), *(map(list, zip(*held, strict=True)) if held else [[] for _ in _ROWS.split(", ")]))
+
+
+def _unpacked(team: tuple | None) -> dict[int | None, Client]:
+    if team is None:
+        return {}
+    width = len(_CLIENTS.split(", "))
+    clients = [Client(c, Shelf(), (n, city, balance, 0, FOREVER, op)) for c, n, city, balance, op in zip(*team[:width], strict=True)]
+    for of, n, *row in zip(*team[width:], strict=True):
+        one = clients[of]
+        one.map[(n,)] = tuple(row)
+        one.n_held += 1
+        one.earliest = min(one.earliest, row[1])
+    return {one.client_id: one for one in clients}
+
+
 class Client:
     """One client's state while a batch is worked on."""
 
     def __init__(self, client_id: int | None, held: object, now: tuple) -> None:
         self.client_id, self.map = client_id, held
         self.next, self.city, self.balance, self.n_held, self.earliest, self.op = now
+        self.fresh: dict[int, tuple] = {}  # the batch's rows that are neither rejected nor in the map yet
 
     def state(self) -> tuple:
         return (self.next, self.city, self.balance, self.n_held, self.earliest, self.op)
 
-    def rejected(self, n: int, row: tuple) -> Row:
-        return _made(change_id=row[0], client_id=self.client_id, n=n, status="rejected", batch=row[5], missed=0, city=None, balance=None, op=row[2])
+    def rejected(self, n: int, row: tuple) -> tuple:
+        return (row[0], self.client_id, n, "rejected", row[5], 0, None, None, row[2])
 
-    def applied(self, row: tuple, batch: int, missed: int = 0) -> Row:
+    def last(self, batch: int) -> Iterator[tuple]:
+        if self.next > 1:  # the number before next is the last that was applied
+            yield (None, self.client_id, self.next - 1, "last", batch, 0, None, None, self.op)
+
+    def applied(self, row: tuple, batch: int, missed: int = 0) -> tuple:
         """Apply the row whose number is next."""
         _, _, op, city, balance, _ = row
         if op == "D":
@@ -112,9 +191,23 @@ class Client:
             self.balance = self.balance if balance is None else balance
         self.op, n = op, self.next
         self.next += 1
-        return _made(change_id=row[0], client_id=self.client_id, n=n, status="applied", batch=batch, missed=missed, city=self.city, balance=self.balance, op=op)
-
-    def pop(self, batch: int, missed: int = 0) -> Iterator[Row]:
+        return (row[0], self.client_id, n, "applied", batch, missed, self.city, self.balance, op)
+
+    def take(self, change: dict, batch: int, at_once: int) -> Iterator[tuple]:
+        """Reject a row of the batch or keep it in ``fresh``; full, that goes into the map."""
+        n, *row = change.values()
+        row = (*row, batch)
+        if n < self.next:
+            yield self.rejected(n, row)
+            return
+        if (other := self.fresh.get(n)) is not None:
+            row, other = sorted((row, other), key=_order)
+            yield self.rejected(n, other)
+        self.fresh[n] = row
+        if len(self.fresh) >= at_once:
+            yield from self.hold()
+
+    def pop(self, batch: int, missed: int = 0) -> Iterator[tuple]:
         """Apply held rows for as long as numbers follow one another."""
         while self.n_held and (row := self.map.getValue((self.next,))) is not None:
             self.map.removeKey((self.next,))
@@ -122,7 +215,7 @@ class Client:
             yield self.applied(row, batch, missed)
             missed = 0
 
-    def jump(self, before: int, batch: int) -> Iterator[Row]:
+    def jump(self, before: int, batch: int) -> Iterator[tuple]:
         """Apply every held row up to the last one that has waited since ``before`` or longer, over all gaps, and what follows it.
 
         Each jump goes to the smallest held number, and jumps go on while a held row is that old: so they end past the
@@ -142,8 +235,9 @@ class Client:
                 missed, self.next = n - self.next, n
                 yield from self.pop(batch, missed)
 
-    def hold(self, fresh: dict[int, tuple]) -> Iterator[Row]:
-        """Put rows into the map; one that an earlier row of its number forbids is rejected."""
+    def hold(self) -> Iterator[tuple]:
+        """Put fresh rows into the map; one that an earlier row of its number forbids is rejected."""
+        fresh, self.fresh = self.fresh, {}
         for n, row in fresh.items():
             other = self.map.getValue((n,)) if self.n_held else None
             if other is not None:
@@ -158,8 +252,9 @@ class Client:
             self.n_held += 1
             self.earliest = min(self.earliest, row[1])
 
-    def admit(self, fresh: dict[int, tuple], batch: int) -> Iterator[Row]:
+    def admit(self, batch: int) -> Iterator[tuple]:
         """Apply what follows the next number, held or new; hold what does not."""
+        fresh = self.fresh
         while True:
             other = self.map.getValue((self.next,)) if self.n_held else None
             row = fresh.get(self.next)
@@ -178,31 +273,28 @@ class Client:
                         row, other = other, row
                     yield self.rejected(self.next, other)
             yield self.applied(row, batch)
-        yield from self.hold(fresh)
+        yield from self.hold()
         if not self.n_held:
             self.earliest = FOREVER
 
 
-def _made(**result: object) -> Row:
-    return Row(made=result)
-
-
 def _order(row: tuple) -> tuple:
     """By day, then change_id; rows that agree in both go by what they hold, nulls first."""
     return tuple((x is not None, x) if x is not None else (False,) for x in (row[1], row[0], row[2], row[3], row[4]))
 
 
 def number_changes(changes: DataFrame) -> DataFrame:
-    """Distinct changes with n, the dense rank of seq among their client's (nulls first), without any window by client.
+    """Distinct changes with n, the dense rank of seq among their client's (nulls first), and ``numbers``, how many ranks that
+    client has; without any window by client.
 
     Distinct (client_id, seq) are sorted over all tasks; a pair's place there minus the first place of its client is its
     rank. A client that holds much of the table is spread like any other. Null clients are one client.
     """
     rows = materialize(changes.select(*COLUMNS).distinct())
     places = ranked(rows.select("client_id", "seq").distinct(), ["client_id", "seq"], "place")
-    firsts = places.groupBy(F.col("client_id").alias("c")).agg(F.min("place").alias("first"))
+    firsts = places.groupBy(F.col("client_id").alias("c")).agg(F.min("place").alias("first"), F.count("*").alias("numbers"))
     numbers = places.join(firsts, F.col("client_id").eqNullSafe(F.col("c"))).select(
-        F.col("client_id").alias("c"), F.col("seq").alias("s"), (F.col("place") - F.col("first") + 1).alias("n")
+        F.col("client_id").alias("c"), F.col("seq").alias("s"), (F.col("place") - F.col("first") + 1).alias("n"), "numbers"
     )
     both = F.col("client_id").eqNullSafe(F.col("c")) & F.col("seq").eqNullSafe(F.col("s"))
     out = materialize(rows.join(numbers, both).drop("c", "s"))
@@ -238,20 +330,25 @@ def apply_changes(
         numbered.where("valid_at is not null")
         .where(h % drop_mod != 0)
         .withColumn("day", day)
-        .select("change_id", "client_id", "n", "day", "op", "city", "balance", number.cast("int").alias("batch"))
+        .select("change_id", "client_id", "n", "day", "op", "city", "balance", number.cast("int").alias("batch"), "numbers")
     )
-    largest = {r.batch: r.day for r in rows.groupBy("batch").agg(F.max("day").alias("day")).collect()}  # a row a batch
+    sizes = rows.groupBy("batch").agg(F.max("day").alias("day"), F.count("*").alias("rows")).collect()  # a row a batch
+    largest = {r.batch: r.day for r in sizes}
     clocks = {b: max((d for k, d in largest.items() if k < b), default=None) for b in range(1, batches + 1)} | {batches + 1: FOREVER}
     clock = F.lit(None).cast("long")
     for b, at in clocks.items():
         if at is not None:
             clock = F.when(F.col("batch") == b, F.lit(at).cast("long")).otherwise(clock)
     change = F.struct(*(F.col(part.split()[0]) for part in _CHANGE.split(", ")))
+    teams = max(TEAMS, sum(r.rows for r in sizes) // TEAM_ROWS)
+    name = F.coalesce(F.col("client_id").cast("string"), F.lit("null"))
+    team = F.when(F.col("numbers") > FEW, F.concat(F.lit(ALONE), name)).otherwise(F.pmod(F.xxhash64("client_id"), F.lit(teams)).cast("string"))
+    rows = rows.withColumn("team", team)
     ticks = (
-        rows.groupBy("client_id").agg(F.min("batch").alias("since"))
-        .select("client_id", F.explode(F.sequence(F.col("since") + 1, F.lit(batches + 1))).alias("batch"))
+        rows.groupBy("team").agg(F.min("batch").alias("since"))
+        .select("team", F.explode(F.sequence(F.col("since") + 1, F.lit(batches + 1))).alias("batch"))
     )
-    fed = rows.select("client_id", "batch", change.alias("change")).unionByName(ticks, allowMissingColumns=True).withColumn("clock", clock)
+    fed = rows.select("team", "client_id", "batch", change.alias("change")).unionByName(ticks, allowMissingColumns=True).withColumn("clock", clock)
     folder = f"{shared_folder(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
     fed.hint("rebalance", "batch").write.partitionBy("batch").parquet(f"{folder}/cut")
     discard(numbered)
@@ -274,8 +371,8 @@ def _streamed(spark: SparkSession, folder: str, batches: int, patience: int) ->
     fs.mkdirs(hadoop(f"{folder}/fed"))
     stream = (
         spark.readStream.schema(FED).parquet(f"{folder}/fed")
-        .groupBy("client_id")
-        .transformWithState(Applier(patience, batches + 1), MADE, outputMode="Append", timeMode="None")
+        .groupBy("team")
+        .transformWithState(TeamApplier(patience, batches + 1), MADE, outputMode="Append", timeMode="None")
     )
     with _state_settings(spark):
         for k in range(1, batches + 2):
@@ -293,7 +390,7 @@ def _streamed(spark: SparkSession, folder: str, batches: int, patience: int) ->
         fs.delete(hadoop(f"{folder}/{part}"), True)
     if not fs.exists(hadoop(f"{folder}/made")):
         return spark.createDataFrame([], _RESULT)
-    return spark.read.schema(MADE).parquet(f"{folder}/made").select("made.*")
+    return spark.read.schema(MADE).parquet(f"{folder}/made").select(F.inline(F.arrays_zip(*RESULTS)))
 
 
 class _state_settings:
