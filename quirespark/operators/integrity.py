@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -14,6 +15,8 @@ from ..functions import formula as M
 from ..functions import text as X
 from .providers import Identity, Provider, translate
 
+KEYS = ("doc_id", "page")
+
 
 def checked(items: DataFrame, language: str = "en") -> DataFrame:
     """One reason for each item: empty (also null and blank), then placeholders (as multisets), then quality; null if good."""
@@ -83,14 +86,22 @@ def same_pages(got: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 
-def dedup_similar(blocks: DataFrame, ratio: float = 0.92, least: int = 18, shared: float = 0.28, inside: int = 30, content: Sequence[str] = ()) -> DataFrame:
+def by_page(rows: DataFrame) -> DataFrame:
+    """rows by (doc_id, page), in order of pos, with ``at``, their places from 1 on the page. A window asks for rows in that order;
+    unlike repartition(), it moves none that lie by page already."""
+    return rows.withColumn("at", F.row_number().over(Window.partitionBy(*KEYS).orderBy("pos")))
+
+
+def dedup_similar(blocks: DataFrame, ratio: float = 0.92, least: int = 18, shared: float = 0.28, inside: int = 30, content: Sequence[str] = (), most: Sequence[str] = (), ordered: bool = False) -> DataFrame:
     """(doc_id, page, pos, text_of, *content): the blocks kept of each page, and the block whose content stands there.
 
     In order, a block whose signature has ``least`` characters joins the first kept block with the same signature, or
     with a box that shares ``shared`` of the smaller of both and a similar text: a difflib ratio (the later block's
     signature first) of at least ``ratio``, or one signature within the other if both have ``inside`` characters. Of the
     two, an anchored block's content stays (column anchored, if there is one), else the longer text's, else the
-    first's; its columns ``content`` come along. A page is one group.
+    first's; its columns ``content`` come along. For columns ``most`` among them, ``most_`` and the name is the greatest value
+    of the page's kept blocks. A page is one group; ``ordered`` blocks are those of :func:`by_page` with no more done to them
+    than what goes row by row.
     """
     from difflib import SequenceMatcher
 
@@ -107,8 +118,8 @@ def dedup_similar(blocks: DataFrame, ratio: float = 0.92, least: int = 18, share
         area = max(0.0, min(p["x1"], q["x1"]) - max(p["x0"], q["x0"])) * max(0.0, min(p["y1"], q["y1"]) - max(p["y0"], q["y0"]))
         return area / max(1.0, min(size(p), size(q))) >= shared
 
-    def page(rows: list[dict]) -> list[dict]:
-        kept: list[list] = []  # place, content
+    def page(rows: list[dict]) -> list[list]:
+        kept: list[list] = []  # place, the row whose content stands there
         for row in rows:
             fits = lambda k, row=row: len(k[1]["sig"]) >= least and (k[1]["sig"] == row["sig"] or (over(row, k[1]) and alike(row["sig"], k[1]["sig"])))
             match = next(filter(fits, kept), None) if len(row["sig"]) >= least else None
@@ -116,27 +127,44 @@ def dedup_similar(blocks: DataFrame, ratio: float = 0.92, least: int = 18, share
                 kept.append([row["pos"], row])
             elif (row["anchored"], len(row["sig"])) > (match[1]["anchored"], len(match[1]["sig"])):
                 match[1] = row
-        return [{"doc_id": r["doc_id"], "page": r["page"], "pos": at, "text_of": r["pos"], **{c: r[f"of_{c}"] for c in content}} for at, r in kept]
+        return kept
+
+    def pages(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The kept rows of whole pages; columns that nothing here asks for are taken by place, without a look into them."""
+        table = pa.Table.from_batches(batches).combine_chunks()
+        rows = table.select([*KEYS, "pos", "sig", "anchored", "x0", "y0", "x1", "y1", *[f"of_{c}" for c in most]]).to_pylist()
+        kept: list[list] = []
+        tops: list[list] = []
+        for _, same in groupby(enumerate(rows), lambda x: (x[1]["doc_id"], x[1]["page"])):
+            stay = page([row | {"row": i} for i, row in same])
+            kept += stay
+            tops += [[max((r[f"of_{c}"] for _, r in stay if r[f"of_{c}"] is not None), default=None) for c in most]] * len(stay)
+        taken = table.take(pa.array([r["row"] for _, r in kept], pa.int64()))
+        columns = [*(taken[c] for c in KEYS), pa.array([at for at, _ in kept], pa.int32()), taken["pos"], *(taken[f"of_{c}"] for c in content), *(pa.array(x) for x in zip(*tops, strict=True))]
+        yield from pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []  # the rows of the page that may go on in the next batch
+        held: list[pa.RecordBatch] = []  # the rows of the page that may go on in the next batch
+        last = None
         for batch in batches:
-            done: list[dict] = []
-            for row in batch.to_pylist():
-                if held and (held[0]["doc_id"], held[0]["page"]) != (row["doc_id"], row["page"]):
-                    done += page(held)
-                    held = []
-                held.append(row)
-            if done:
-                yield pa.RecordBatch.from_pylist(done, schema)
+            keys = list(zip(*(batch.column(c).to_pylist() for c in KEYS), strict=True))
+            if not keys:
+                continue
+            cut = next((i + 1 for i in reversed(range(len(keys))) if keys[i] != keys[-1]), 0)
+            if cut:
+                yield from pages([*held, batch.slice(0, cut)])
+            elif held and last != keys[0]:
+                yield from pages(held)
+            held = [batch.slice(cut)] if cut or last != keys[0] else [*held, batch]
+            last = keys[-1]
         if held:
-            yield pa.RecordBatch.from_pylist(page(held), schema)
+            yield from pages(held)
 
     anchored = F.col("anchored") if "anchored" in blocks.columns else F.lit(False)
-    sig = X.signature(F.col("kind"), F.col("text"))
-    rows = blocks.select("doc_id", "page", F.col("pos").cast("int").alias("pos"), sig.alias("sig"), anchored.alias("anchored"), "x0", "y0", "x1", "y1", *[F.col(c).alias(f"of_{c}") for c in content])
+    placed = blocks if ordered else by_page(blocks)
+    sig = X.signature(F.col("kind"), F.col("text")).alias("sig")
+    rows = placed.select("doc_id", "page", "at", F.col("pos").cast("int").alias("pos"), sig, anchored.alias("anchored"), "x0", "y0", "x1", "y1", *[F.col(c).alias(f"of_{c}") for c in content])
     kinds = dict(blocks.dtypes)
-    names = ", ".join([f"doc_id {kinds['doc_id']}, page {kinds['page']}, pos int, text_of int", *(f"{c} {kinds[c]}" for c in content)])
+    names = ", ".join([f"doc_id {kinds['doc_id']}, page {kinds['page']}, pos int, text_of int", *(f"{c} {kinds[c]}" for c in content), *(f"most_{c} {kinds[c]}" for c in most)])
     schema = to_arrow_schema(StructType.fromDDL(names))
-    ordered = rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "pos")
-    return ordered.mapInArrow(run, names)
+    return rows.mapInArrow(run, names)

@@ -38,10 +38,14 @@ def best_match(blocks: DataFrame, hints: DataFrame) -> DataFrame:
     ).select("doc_id", "pos", "m.hint_ord", "m.font", "m.size")
 
 
+def strong(of_hint: float = 0.78, of_block: float = 0.48) -> Column:
+    """Whether a hint and a block of :func:`scored` cover each other well."""
+    return (F.col("of_hint") >= of_hint) & (F.col("of_block") >= of_block)
+
+
 def unique_match(blocks: DataFrame, hints: DataFrame, of_hint: float = 0.78, of_block: float = 0.48) -> DataFrame:
     """Blocks with exactly one strong hint, and that hint."""
-    strong = scored(blocks, hints).where((F.col("of_hint") >= of_hint) & (F.col("of_block") >= of_block))
-    return strong.groupBy("doc_id", "pos").agg(F.count("*").alias("n"), F.min("hint_ord").alias("hint_ord")).where("n = 1").drop("n")
+    return scored(blocks, hints).where(strong(of_hint, of_block)).groupBy("doc_id", "pos").agg(F.count("*").alias("n"), F.min("hint_ord").alias("hint_ord")).where("n = 1").drop("n")
 
 
 def uncovered(hints: DataFrame, blocks: DataFrame, share: float = 0.42) -> DataFrame:
@@ -54,6 +58,11 @@ def uncovered(hints: DataFrame, blocks: DataFrame, share: float = 0.42) -> DataF
     return h.join(b, [*[F.col(f"h.{c}") == F.col(f"b.{c}") for c in PAGE], covered], "left_anti")
 
 
+def largest(k: int) -> Column:
+    """The numbers of a block's hints of :func:`scored` with the k largest overlaps, largest first."""
+    return F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("shared")).alias("a"), F.col("hint_ord").alias("o")))), 1, k), lambda x: x["o"])
+
+
 def top_text(blocks: DataFrame, hints: DataFrame, k: int = 4) -> DataFrame:
     """The texts of each block's k largest overlaps, largest first, joined by blanks."""
     ranked = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("shared")).alias("a"), F.col("hint_ord").alias("o"), F.col("hint_text").alias("t")))), 1, k)

@@ -103,3 +103,21 @@ def test_hints_are_read_once(spark, monkeypatch):
     assert [(r.place, r.origin, r.text) for r in stable.orderBy("place").collect()] == [(0, "block", "some prose of hint 0"), (1, "recovered", "some prose of hint 1"), (2, "recovered", "some prose of hint 2")]
     assert [tuple(r) for r in stabilise.coverage(stable, read).select("source_letters", "output_letters").collect()] == [(45, 45)]
     assert len(calls) == 1
+
+
+def test_texts_of_blocks_and_hints_move_once(spark):
+    """The stabiliser's shuffles hold little more than each text once: boxes tell what texts are needed for."""
+    columns = "doc_id long, page int, {} int, text string, {} double, x0 double, y0 double, x1 double, y1 double"
+    place = lambda i: (60.0, 40.0 + 110 * i, 440.0, 130.0 + 110 * i)
+    rng = random.Random(5)
+    texts = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9000)) for _ in range(8)] for _ in range(60)]
+    rows = [(d, 0, i, t, 10.0, *place(i)) for d, page in enumerate(texts) for i, t in enumerate(page)]
+    blocks = spark.createDataFrame(rows, columns.format("pos", "kind_no")).drop("kind_no").withColumn("kind", F.lit("paragraph"))
+    hints = spark.createDataFrame(rows, columns.format("hint_ord", "size")).withColumn("font", F.lit("Times"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    moved = lambda: store.executorSummary("driver").totalShuffleWrite()
+    before = moved()
+    stable = stabilise.stabilised(blocks, hints)
+    assert sum(len(r.text) for r in stable.select("text").collect()) == 60 * 8 * 9000
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert moved() - before < 3 * 60 * 8 * 9000
