@@ -228,8 +228,9 @@ def stabilised_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 @register()
 def stabilised_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    h = stabilise.read_once(E.hints(spark, sf))
-    return stabilise.coverage(stabilise.stabilised(E.blocks(spark, sf), h), h)
+    h = E.hints(spark, sf)
+    read = stabilise.read_once(h, texts=False)
+    return stabilise.coverage(stabilise.stabilised(E.blocks(spark, sf), h, read), read)
 
 
 # Messages and records

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quirespark.functions import glyphs
 from quirespark.functions import protect as P
 from quirespark.functions import text as X
+from quirespark.llm import _common
 from quirespark.operators import stabilise
-from quirespark.plans import rules
+from quirespark.plans import documents, rules
 
 N = 4_000
 LIMIT = 30  # seconds
@@ -121,3 +122,18 @@ def test_texts_of_blocks_and_hints_move_once(spark):
     assert sum(len(r.text) for r in stable.select("text").collect()) == 60 * 8 * 9000
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     assert moved() - before < 3 * 60 * 8 * 9000
+
+
+def test_coverage_writes_no_texts_and_moves_each_once(spark, tmp_path, monkeypatch):
+    """Pages' letters ask for the stabilised blocks and for what the rules say of the hints, not for the hints' texts in a table."""
+    rng = random.Random(7)
+    lines = lambda: "\n".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9000)) for _ in range(8))
+    spark.createDataFrame([(d, lines()) for d in range(60)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    moved = lambda: store.executorSummary("driver").totalShuffleWrite()
+    monkeypatch.setattr(_common, "shared_folder", lambda _: f"{tmp_path}/shared")
+    before = moved()
+    rows = documents.stabilised_coverage(spark, str(tmp_path)).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert rows and sum(f.stat().st_size for f in (tmp_path / "shared").rglob("*.parquet")) < 9000 * 8
+    assert moved() - before < 3 * 60 * 8 * 9000
