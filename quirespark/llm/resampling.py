@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize, ranked, settled, sliced
+from ._common import LARGE_ROWS, discard, materialize, ranked, settled, sliced
 
 #: Words: runs of digits, small ASCII letters and anything beyond ASCII, once A-Z are small.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -163,7 +163,7 @@ def _importance_weights(docs: DataFrame, target: DataFrame, least: int, most: in
     ours = _blocks(docs, least, most).withColumn("side", F.lit(0))
     theirs = _blocks(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), least, most).withColumn("side", F.lit(1))
     block = F.shiftleft(F.col("part").cast("long"), 32) + F.shiftleft(F.col("number").cast("long"), 1) + F.col("side")
-    blocks = materialize(ours.unionByName(theirs).withColumn("block", block))
+    blocks = materialize(ours.unionByName(theirs).withColumn("block", block), LARGE_ROWS)
     features, per = count_features(blocks, least, most, buckets)
     sums = per.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     ratio = ((F.col("t") + 1) * F.lit(float(sums.s + buckets))) / ((F.col("s") + 1) * F.lit(float(sums.t + buckets)))

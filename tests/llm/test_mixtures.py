@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 from fractions import Fraction
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,20 @@ def test_each_distinct_tuple_is_hashed_once_and_blocks_stay_small(spark):
     blocks = resampling._blocks(docs.repartition(2), 1, 2)
     assert max(len(r.docs) for r in blocks.select("docs").collect()) <= resampling.BLOCK_DOCS
     assert all(len(r.words) == 53 for r in blocks.select("words").collect())
+
+
+def test_large_blocks_are_written_and_read_few_at_a_time(spark, tmp_path, monkeypatch):
+    """A row group holds a block or two of megabytes, not all those of a task."""
+    from quirespark.llm import _common
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(200_000)]
+    texts = [" ".join(w + x for w in words) + " the cat" for x in "klmnop"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(_common, "shared_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(_common, "discard", lambda _: None)
+    got = importance_weights(docs, docs.where("false").select("text"))
+    assert sorted((r.doc_id, r.n_features) for r in got.collect()) == [(i, 200_002) for i in range(6)]
+    files = [pq.ParquetFile(f) for f in tmp_path.rglob("*.parquet")]
+    groups = [f.metadata.row_group(i) for f in files if "totals" in f.schema_arrow.names for i in range(f.num_row_groups)]
+    assert sum(g.num_rows for g in groups) >= 3 and max(g.num_rows for g in groups) <= 2
